@@ -126,19 +126,41 @@ def bootcamp_display(city: Column | str, on: Column | str, slot: Column | str) -
     )
 
 
+def fixed_text(c: Column | str, digits: int) -> Column:
+    """Non-negative double with a fixed number of decimals, rounded on its exact binary value.
+
+    ``405.95`` is stored just below its face value and so gives ``405.9``.  The product with
+    the power of ten is split into its rounded value and its rounding error, which decides
+    whether an apparent half really is one.
+    """
+    x, scale = as_col(c).cast("double"), float(10**digits)
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    product = x * scale
+    error = (high * scale - product) + (x - high) * scale
+    whole = F.floor(product)
+    over = product - whole
+    up = (over > 0.5) | ((over == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    units = whole + up.cast("long")
+    if digits == 0:
+        return F.format_number(units, 0)
+    decimals = F.lpad((units % int(scale)).cast("string"), digits, "0")
+    return F.concat(F.format_number(F.floor(units / int(scale)), 0), F.lit("."), decimals)
+
+
 def compact_number(c: Column | str) -> Column:
     """``1.2k``, ``3M``, thousands commas below a thousand, two decimals for fractions."""
     x = as_col(c).cast("double")
     size = F.abs(x)
 
     def scaled(unit: float, suffix: str) -> Column:
-        return F.concat(F.regexp_replace(F.format_string("%.1f", size / unit), r"\.0$", ""), F.lit(suffix))
+        text = F.replace(fixed_text(size / unit, 1), F.lit(","), F.lit(""))
+        return F.concat(F.regexp_replace(text, r"\.0$", ""), F.lit(suffix))
 
     body = (
         F.when(size >= 1e6, scaled(1e6, "M"))
         .when(size >= 1e3, scaled(1e3, "k"))
         .when(size == F.floor(size), F.format_number(size, 0))
-        .otherwise(F.format_number(size, 2))
+        .otherwise(fixed_text(size, 2))
     )
     return F.concat(F.when(x < 0, "-").otherwise(""), body)
 
@@ -149,7 +171,7 @@ def thousands(c: Column | str) -> Column:
 
 def score_text(c: Column | str) -> Column:
     """Up to four decimals without trailing zeros; a dash for NULL."""
-    fixed = F.format_string("%.4f", as_col(c).cast("double"))
-    return F.when(as_col(c).isNull(), F.lit("—")).otherwise(
-        F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), r"\.$", "")
-    )
+    x = as_col(c).cast("double")
+    fixed = F.replace(fixed_text(F.abs(x), 4), F.lit(","), F.lit(""))
+    short = F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), r"\.$", "")
+    return F.when(x.isNull(), F.lit("—")).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), short))

@@ -43,6 +43,14 @@ def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     )
 
 
+def mean(df: DataFrame, score: str) -> Column:
+    """Average as a double; decimal scores are summed exactly first."""
+    if df.schema[score].dataType.typeName() == "decimal":
+        n = F.count(score)
+        return F.when(n > 0, F.sum(score).cast("double") / n)
+    return F.avg(F.col(score).cast("double"))
+
+
 def score_rollup(df: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Row and scored counts, min, max, mean and population deviation of a score."""
     x = F.col(score).cast("double")
@@ -51,7 +59,7 @@ def score_rollup(df: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame
         F.count(score).alias("scored_n"),
         F.min(x).alias("min_score"),
         F.max(x).alias("max_score"),
-        F.avg(x).alias("avg_score"),
+        mean(df, score).alias("avg_score"),
         F.stddev_pop(x).alias("stddev_score"),
     )
 
@@ -106,7 +114,7 @@ def score_stats(df: DataFrame, score: str, by: Sequence[str] = (), in_memory_gro
         F.count(score).alias("n_scored"),
         F.min(x).alias("min_score"),
         F.max(x).alias("max_score"),
-        F.avg(x).alias("avg_score"),
+        mean(df, score).alias("avg_score"),
         F.stddev_samp(x).alias("stddev_score"),
     )
     marks = exact_percentiles(keyed, score, by=keys, in_memory_group=in_memory_group)

@@ -115,7 +115,7 @@ def patch_column(
 ) -> tuple[DataFrame, DataFrame]:
     """Set ``column`` from the last sheet row per key, inside ``scope``; also the sheet rows without a match."""
     scope = F.lit(True) if scope is None else scope
-    last = keep_last(sheet.select(*keys, column, *[o for o in order if o not in keys]), keys, order)
+    last = keep_last(sheet.select(*dict.fromkeys([*keys, column, *order])), keys, order)
     last = last.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col(column).alias("_patch"))
     match = null_safe(keys, [f"_s_{k}" for k in keys]) & scope
     patched = (

@@ -43,7 +43,7 @@ def default_session(options: DataFrame, on: str, today: date, row_id: str, size:
 
     Ties go to the larger ``size``, then to the larger id.
     """
-    day = F.coalesce(F.col(on), F.lit(date(1, 1, 1)))
+    day = F.coalesce(F.col(on), F.lit("0001-01-01").cast("date"))
     past = day <= F.lit(today)
     distance = F.when(past, -F.datediff(day, F.lit(today))).otherwise(F.datediff(day, F.lit(today)))
     bigger = [F.desc(size)] if size else []
@@ -171,14 +171,14 @@ def eligible_members(members: DataFrame, regs: DataFrame, rounds: DataFrame, key
 
     Only the first registration of an address matters, so no range join is needed.
     """
-    first = regs.where("form_timestamp IS NOT NULL").groupBy(F.col("email_normalized").alias("_email")).agg(
-        F.min("form_timestamp").alias("_first")
+    first = regs.where("form_timestamp IS NOT NULL").groupBy(F.col("email_normalized").alias("_reg_email")).agg(
+        F.min("form_timestamp").alias("_reg_first")
     )
-    close = rounds.select(F.col("id").alias("_round"), F.col("closes_at").alias("_closes"))
+    close = rounds.select(F.col("id").alias("_close_round"), F.col("closes_at").alias("_close_at"))
     email, round_id = keys
     return (
-        members.join(first, F.col(email) == F.col("_email"), "left")
-        .join(close, F.col(round_id) == F.col("_round"), "left")
-        .withColumn("eligible", F.coalesce(F.col("_first") <= F.col("_closes"), F.lit(False)))
-        .drop("_email", "_first", "_round", "_closes")
+        members.join(first, F.col(email) == F.col("_reg_email"), "left")
+        .join(close, F.col(round_id) == F.col("_close_round"), "left")
+        .withColumn("eligible", F.coalesce(F.col("_reg_first") <= F.col("_close_at"), F.lit(False)))
+        .drop("_reg_email", "_reg_first", "_close_round", "_close_at")
     )

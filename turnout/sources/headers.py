@@ -69,7 +69,10 @@ _SUBMISSION_HEADERS = {
     "updated by email": "export_updated_by_email",
 }
 ROUND_HEADERS = {**_SUBMISSION_HEADERS, "linkedin post": "linkedin_post"}
-SESSION_HEADERS = {**_SUBMISSION_HEADERS, "deployed changes notes": "deployed_changes_notes"}
+SESSION_HEADERS = {
+    **_SUBMISSION_HEADERS,
+    "describe the changes/updates made in the deployed version": "deployed_changes_notes",
+}
 
 BOOTCAMP_HEADERS = {
     "city": "city",

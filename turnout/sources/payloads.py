@@ -17,85 +17,108 @@ ENVELOPE_KEYS = ("data", "result", "response", "payload", "body", "event")
 HEADER_KEYS = ("columns", "headers", "fields", "keys", "schema")
 
 
-def _is(kind: str):
-    return lambda x: F.schema_of_variant(x).startswith(kind)
+def _kind_is(pattern: str):
+    return lambda x: F.schema_of_variant(x).rlike(pattern)
 
 
-def _at(v: Column, path: str, to: str = "array<variant>") -> Column:
-    return F.try_variant_get(v, path, to)
+_OBJECT, _LIST, _SCALAR = _kind_is("^OBJECT"), _kind_is("^ARRAY"), _kind_is("^(?!OBJECT|ARRAY|VOID)")
 
 
-def _objects(items: Column) -> Column:
-    """The objects of a list as text maps; NULL when there are none."""
-    objects = F.transform(F.filter(items, _is("OBJECT")), lambda x: F.try_variant_get(x, "$", "map<string,string>"))
-    return F.when(F.size(objects) > 0, objects)
+def _list_at(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "array<variant>")
+
+
+def _texts(items: Column) -> Column:
+    return F.transform(items, lambda x: F.try_variant_get(x, "$", "string"))
 
 
 def map_last_wins(entries: Column) -> Column:
     """Map from (key, value) entries; of equal keys the last one stays."""
-    def last(e: Column, i: Column) -> Column:
-        later = F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1)))
-        return ~F.exists(later, lambda o: o["key"] == e["key"])
-
-    return F.map_from_entries(F.filter(entries, last))
-
-
-def tabular_json_to_rows(v: Column, base: str) -> Column:
-    """Records of a list of lists beside (or led by) a header row; NULL when ``base`` holds none."""
-    scalar = lambda x: ~F.schema_of_variant(x).rlike("^(OBJECT|ARRAY|VOID)")
-    named = []
-    for k in HEADER_KEYS:
-        heads = _at(v, f"{base}.{k}")
-        ok = (F.size(heads) > 0) & F.forall(heads, scalar)
-        named.append(F.when(ok, F.transform(heads, lambda h: F.try_variant_get(h, "$", "string"))))
-    given = F.coalesce(*named)
-    found = []
-    for k in LIST_KEYS:
-        items = _at(v, f"{base}.{k}")
-        rows = F.transform(F.filter(items, _is("ARRAY")), lambda r: F.try_variant_get(r, "$", "array<variant>"))
-        lead = F.get(rows, F.lit(0))
-        lead_ok = F.forall(lead, scalar)
-        heads = F.coalesce(given, F.when(lead_ok, F.transform(lead, lambda h: F.try_variant_get(h, "$", "string"))))
-        body = F.when(given.isNotNull(), rows).otherwise(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))))
-
-        def record(r: Column, heads: Column = heads) -> Column:
-            width = F.least(F.size(heads), F.size(r))
-            pairs = F.zip_with(
-                F.slice(heads, F.lit(1), width),
-                F.slice(r, F.lit(1), width),
-                lambda h, x: F.struct(h.alias("key"), F.try_variant_get(x, "$", "string").alias("value")),
-            )
-            return map_last_wins(pairs)
-
-        is_table = F.schema_of_variant(F.get(items, F.lit(0))).startswith("ARRAY")
-        records = F.when(is_table & heads.isNotNull(), F.transform(body, record))
-        found.append(F.when(F.size(records) > 0, records))
-    return F.coalesce(*found)
-
-
-def extract_records(payload: Column | str) -> Column:
-    """The record list of a JSON payload of unknown shape, as text maps; NULL when there is none.
-
-    Looked for in order: a top-level list, the list keys, the envelopes (lists, then tables),
-    a table at the top.
-    """
-    v = F.try_parse_json(as_col(payload))
-    nested = []
-    for e in ENVELOPE_KEYS:
-        nested += [_objects(_at(v, f"$.{e}.{k}")) for k in NESTED_LIST_KEYS]
-        nested.append(tabular_json_to_rows(v, f"$.{e}"))
-    return F.coalesce(
-        _objects(_at(v, "$")), *[_objects(_at(v, f"$.{k}")) for k in LIST_KEYS], *nested, tabular_json_to_rows(v, "$")
-    )
+    def later(kept: Column, e: Column) -> Column:
+        return F.concat(F.filter(kept, lambda k: k["key"] != e["key"]), F.array(e))
+
+    return F.map_from_entries(F.reduce(entries, F.slice(entries, 1, 0), later))
+
+
+def _attempts(v: Column) -> Column:
+    """Every place a record list may be, in the order they are tried."""
+    def attempt(path: str, table: bool, base: int) -> Column:
+        return F.struct(
+            _list_at(v, path).alias("items"), F.lit(table).alias("is_table"), F.lit(base).alias("base")
+        )
+
+    out = [attempt("$", False, 0)]
+    out += [attempt(f"$.{k}", False, 0) for k in LIST_KEYS]
+    for i, e in enumerate(ENVELOPE_KEYS, start=1):
+        out += [attempt(f"$.{e}.{k}", False, i) for k in NESTED_LIST_KEYS]
+        out += [attempt(f"$.{e}.{k}", True, i) for k in LIST_KEYS]
+    out += [attempt(f"$.{k}", True, 0) for k in LIST_KEYS]
+    return F.array(*out)
+
+
+def _header_rows(v: Column) -> Column:
+    """The header row beside a table, at the top and in every envelope; NULL where there is none."""
+    def header(base: str) -> Column:
+        rows = F.filter(
+            F.array(*[_list_at(v, f"{base}.{k}") for k in HEADER_KEYS]),
+            lambda h: (F.size(h) > 0) & F.forall(h, _SCALAR),
+        )
+        return _texts(F.get(rows, F.lit(0)))
+
+    return F.array(header("$"), *[header(f"$.{e}") for e in ENVELOPE_KEYS])
+
+
+def tabular_json_to_rows(rows: Column, header: Column) -> Column:
+    """Records of a list of lists; without a separate header the first row is one."""
+    lists = F.transform(F.filter(rows, _LIST), lambda r: F.try_variant_get(r, "$", "array<variant>"))
+    names = F.coalesce(header, _texts(F.get(lists, F.lit(0))))
+    body = F.slice(lists, F.when(header.isNull(), 2).otherwise(1), F.greatest(F.size(rows), F.lit(1)))
+
+    def record(row: Column) -> Column:
+        width = F.least(F.size(names), F.size(row))
+        pairs = F.arrays_zip(
+            F.slice(names, F.lit(1), width).alias("key"), F.slice(_texts(row), F.lit(1), width).alias("value")
+        )
+        return map_last_wins(pairs)
+
+    return F.transform(body, record)
 
 
 def extract_records_json(payloads: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """One row per record (``record``, a text map), and the payloads whose shape is unknown."""
-    found = payloads.withColumn("_records", extract_records(column))
-    records = found.where("_records IS NOT NULL").select(
-        *payloads.columns, F.posexplode("_records").alias("record_no", "record")
+    """Find the record list of JSON payloads of unknown shape.
+
+    Looked for in order: a top-level list, the list keys, each envelope (lists, then tables), a
+    table at the top.  Gives one row per record (``record``, a text map, and ``record_no``), and
+    the payloads that hold no list at all.
+    """
+    rest = [c for c in payloads.columns if c != column]
+    parsed = payloads.withColumn("_v", F.try_parse_json(column))
+    headed = parsed.withColumn("_heads", _header_rows(F.col("_v")))
+
+    def holds_records(a: Column) -> Column:
+        first = F.try_variant_get(F.get(a["items"], F.lit(0)), "$", "array<variant>")
+        lists = F.size(F.filter(a["items"], _LIST))
+        table = F.when(F.get(F.col("_heads"), a["base"]).isNotNull(), lists > 0).otherwise(
+            (lists > 1) & F.forall(first, _SCALAR)
+        )
+        return F.when(a["is_table"], first.isNotNull() & table).otherwise(F.exists(a["items"], _OBJECT))
+
+    found = headed.withColumn("_pick", F.get(F.filter(_attempts(F.col("_v")), holds_records), F.lit(0)))
+    pick = F.col("_pick")
+    objects = F.transform(
+        F.filter(pick["items"], _OBJECT), lambda x: F.try_variant_get(x, "$", "map<string,string>")
+    )
+    tables = tabular_json_to_rows(pick["items"], F.get(F.col("_heads"), pick["base"]))
+    records = found.select(
+        *rest, F.posexplode(F.when(pick["is_table"], tables).otherwise(objects)).alias("record_no", "record")
+    )
+    # A list without objects is an empty result, not an unknown shape.
+    top = _list_at(F.col("_v"), "$")
+    empty = F.coalesce(F.size(top) == 0, F.lit(False)) | F.exists(
+        F.array(*[_list_at(F.col("_v"), f"$.{k}") for k in LIST_KEYS]), lambda x: x.isNotNull()
     )
-    return records.drop(column), found.where("_records IS NULL").drop("_records")
+    unknown = found.where(pick.isNull() & ~empty).select(*payloads.columns)
+    return records, unknown
 
 
 def record_key(k: Column) -> Column:
