@@ -17,13 +17,20 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Fixed value: the characters that count as white space in files.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip_all(c: Column | str) -> Column:
     """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(as_col(c), r"^\s+|\s+$", "")
+    return F.btrim(as_col(c), F.lit(WHITE_SPACE))
 
 
 def collapse_spaces(c: Column | str) -> Column:
-    return strip_all(F.regexp_replace(as_col(c), r"\s+", " "))
+    return F.trim(F.regexp_replace(as_col(c), f"[{WHITE_SPACE}]+", " "))
 
 
 def blank_to_null(c: Column | str) -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnout.functions.dates import parse_date_text, parse_timestamp_text
-from turnout.functions.text import as_col, blank_to_null, split_trailing_years, strip_all
+from turnout.functions.text import WHITE_SPACE, as_col, blank_to_null, split_trailing_years, strip_all
+
+WHITE_SPACE_SQL = "".join(f"\\u{ord(c):04x}" for c in WHITE_SPACE)
 
 # Keys under which a payload may hold its record list, envelope and header row.
 LIST_KEYS = ("data", "registrations", "results", "items", "records", "rows", "users", "participants")
@@ -17,11 +19,8 @@ ENVELOPE_KEYS = ("data", "result", "response", "payload", "body", "event")
 HEADER_KEYS = ("columns", "headers", "fields", "keys", "schema")
 
 
-def _kind_is(pattern: str):
-    return lambda x: F.schema_of_variant(x).rlike(pattern)
-
-
-_OBJECT, _LIST, _SCALAR = _kind_is("^OBJECT"), _kind_is("^ARRAY"), _kind_is("^(?!OBJECT|ARRAY|VOID)")
+def _scalar(x: Column) -> Column:
+    return F.schema_of_variant(x).rlike("^(?!OBJECT|ARRAY|VOID)")
 
 
 def _list_at(v: Column, path: str) -> Column:
@@ -32,45 +31,78 @@ def _texts(items: Column) -> Column:
     return F.transform(items, lambda x: F.try_variant_get(x, "$", "string"))
 
 
+def _rows(items: Column) -> Column:
+    """The lists among the items."""
+    return F.filter(F.transform(items, lambda x: _list_at(x, "$")), lambda r: r.isNotNull())
+
+
 def map_last_wins(entries: Column) -> Column:
     """Map from (key, value) entries; of equal keys the last one stays."""
     def later(kept: Column, e: Column) -> Column:
         return F.concat(F.filter(kept, lambda k: k["key"] != e["key"]), F.array(e))
 
-    return F.map_from_entries(F.reduce(entries, F.slice(entries, 1, 0), later))
+    keys = F.transform(entries, lambda e: e["key"])
+    unique = F.size(F.array_distinct(keys)) == F.size(keys)
+    return F.map_from_entries(
+        F.when(unique, entries).otherwise(F.reduce(entries, F.slice(entries, 1, 0), later))
+    )
+
+
+def _is_envelope(v: str, key: str) -> str:
+    return f"try_variant_get({v}, '$.{key}', 'map<string,variant>') IS NOT NULL"
+
 
+def _first_record_list(v: str, heads: str) -> Column:
+    """The first place that holds records: its items, whether they are a table, and its envelope number.
 
-def _attempts(v: Column) -> Column:
-    """Every place a record list may be, in the order they are tried."""
-    def attempt(path: str, table: bool, base: int) -> Column:
-        return F.struct(
-            _list_at(v, path).alias("items"), F.lit(table).alias("is_table"), F.lit(base).alias("base")
+    One SQL text, because building hundreds of small columns one by one takes longer than
+    running them; ``coalesce`` stops at the first hit.
+    """
+    is_object = "x -> try_variant_get(x, '$', 'map<string,variant>') IS NOT NULL"
+    is_list = "x -> try_variant_get(x, '$', 'array<variant>') IS NOT NULL"
+    is_scalar = "x -> NOT rlike(schema_of_variant(x), '^(OBJECT|ARRAY|VOID)')"
+    lead = "try_variant_get(get(a.items, 0), '$', 'array<variant>')"
+
+    def attempt(path: str, table: bool, base: int) -> str:
+        lists = f"size(filter(a.items, {is_list}))"
+        is_table = (
+            f"{lead} IS NOT NULL AND if(get({heads}, {base}) IS NOT NULL, {lists} > 0, "
+            f"{lists} > 1 AND forall({lead}, {is_scalar}))"
+        )
+        holds = is_table if table else f"exists(a.items, {is_object})"
+        place = (
+            f"named_struct('items', try_variant_get({v}, '{path}', 'array<variant>'), "
+            f"'is_table', {str(table).lower()}, 'base', {base})"
         )
+        return f"get(filter(array({place}), a -> {holds}), 0)"
 
     out = [attempt("$", False, 0)]
     out += [attempt(f"$.{k}", False, 0) for k in LIST_KEYS]
     for i, e in enumerate(ENVELOPE_KEYS, start=1):
-        out += [attempt(f"$.{e}.{k}", False, i) for k in NESTED_LIST_KEYS]
-        out += [attempt(f"$.{e}.{k}", True, i) for k in LIST_KEYS]
+        inside = [attempt(f"$.{e}.{k}", False, i) for k in NESTED_LIST_KEYS]
+        inside += [attempt(f"$.{e}.{k}", True, i) for k in LIST_KEYS]
+        out.append(f"if({_is_envelope(v, e)}, coalesce({', '.join(inside)}), NULL)")
     out += [attempt(f"$.{k}", True, 0) for k in LIST_KEYS]
-    return F.array(*out)
+    return F.expr(f"coalesce({', '.join(out)})")
 
 
-def _header_rows(v: Column) -> Column:
+def _header_rows(v: str) -> Column:
     """The header row beside a table, at the top and in every envelope; NULL where there is none."""
-    def header(base: str) -> Column:
-        rows = F.filter(
-            F.array(*[_list_at(v, f"{base}.{k}") for k in HEADER_KEYS]),
-            lambda h: (F.size(h) > 0) & F.forall(h, _SCALAR),
-        )
-        return _texts(F.get(rows, F.lit(0)))
-
-    return F.array(header("$"), *[header(f"$.{e}") for e in ENVELOPE_KEYS])
+    def beside(base: str) -> str:
+        return "array(" + ", ".join(f"try_variant_get({v}, '{base}.{k}', 'array<variant>')" for k in HEADER_KEYS) + ")"
+
+    lists = [beside("$")]
+    lists += [f"if({_is_envelope(v, e)}, {beside(f'$.{e}')}, NULL)" for e in ENVELOPE_KEYS]
+    usable = F.transform(
+        F.expr(f"array({', '.join(lists)})"),
+        lambda rows: F.get(F.filter(rows, lambda h: (F.size(h) > 0) & F.forall(h, _scalar)), F.lit(0)),
+    )
+    return F.transform(usable, _texts)
 
 
 def tabular_json_to_rows(rows: Column, header: Column) -> Column:
     """Records of a list of lists; without a separate header the first row is one."""
-    lists = F.transform(F.filter(rows, _LIST), lambda r: F.try_variant_get(r, "$", "array<variant>"))
+    lists = _rows(rows)
     names = F.coalesce(header, _texts(F.get(lists, F.lit(0))))
     body = F.slice(lists, F.when(header.isNull(), 2).otherwise(1), F.greatest(F.size(rows), F.lit(1)))
 
@@ -93,20 +125,12 @@ def extract_records_json(payloads: DataFrame, column: str) -> tuple[DataFrame, D
     """
     rest = [c for c in payloads.columns if c != column]
     parsed = payloads.withColumn("_v", F.try_parse_json(column))
-    headed = parsed.withColumn("_heads", _header_rows(F.col("_v")))
-
-    def holds_records(a: Column) -> Column:
-        first = F.try_variant_get(F.get(a["items"], F.lit(0)), "$", "array<variant>")
-        lists = F.size(F.filter(a["items"], _LIST))
-        table = F.when(F.get(F.col("_heads"), a["base"]).isNotNull(), lists > 0).otherwise(
-            (lists > 1) & F.forall(first, _SCALAR)
-        )
-        return F.when(a["is_table"], first.isNotNull() & table).otherwise(F.exists(a["items"], _OBJECT))
+    headed = parsed.withColumn("_heads", _header_rows("_v"))
 
-    found = headed.withColumn("_pick", F.get(F.filter(_attempts(F.col("_v")), holds_records), F.lit(0)))
+    found = headed.withColumn("_pick", _first_record_list("_v", "_heads"))
     pick = F.col("_pick")
-    objects = F.transform(
-        F.filter(pick["items"], _OBJECT), lambda x: F.try_variant_get(x, "$", "map<string,string>")
+    objects = F.filter(
+        F.transform(pick["items"], lambda x: F.try_variant_get(x, "$", "map<string,string>")), lambda m: m.isNotNull()
     )
     tables = tabular_json_to_rows(pick["items"], F.get(F.col("_heads"), pick["base"]))
     records = found.select(
@@ -114,9 +138,8 @@ def extract_records_json(payloads: DataFrame, column: str) -> tuple[DataFrame, D
     )
     # A list without objects is an empty result, not an unknown shape.
     top = _list_at(F.col("_v"), "$")
-    empty = F.coalesce(F.size(top) == 0, F.lit(False)) | F.exists(
-        F.array(*[_list_at(F.col("_v"), f"$.{k}") for k in LIST_KEYS]), lambda x: x.isNotNull()
-    )
+    named = ", ".join(f"try_variant_get(_v, '$.{k}', 'array<variant>')" for k in LIST_KEYS)
+    empty = F.coalesce(F.size(top) == 0, F.lit(False)) | F.expr(f"coalesce({named}) IS NOT NULL")
     unknown = found.where(pick.isNull() & ~empty).select(*payloads.columns)
     return records, unknown
 
@@ -169,15 +192,18 @@ RECORD_ALIASES = {
 }
 
 
-def first_alias(record: Column, names: Sequence[str]) -> Column:
-    return F.coalesce(*[blank_to_null(F.try_element_at(record, F.lit(n))) for n in names])
+def first_alias(record: str, names: Sequence[str]) -> Column:
+    """First non-blank value among the names, stripped."""
+    wanted = ", ".join(f"'{n}'" for n in names)
+    cells = f"transform(array({wanted}), n -> btrim(try_element_at({record}, n), '{WHITE_SPACE_SQL}'))"
+    return F.expr(f"get(filter({cells}, x -> x <> ''), 0)")
 
 
 def map_registration_records(records: DataFrame, record: str = "record") -> tuple[DataFrame, DataFrame]:
     """Typed registration rows, and the records without an e-mail with the reason."""
     keyed = records.withColumn("_m", normalised_record(record))
     m = F.col("_m")
-    fields = {name: first_alias(m, names) for name, names in RECORD_ALIASES.items()}
+    fields = {name: first_alias("_m", names) for name, names in RECORD_ALIASES.items()}
     # The attendance question is matched by its start, as in files.
     question = F.filter(F.map_entries(m), lambda e: e["key"].startswith("in_which_city,_would_you_like_to_attend"))
     fields["attendance_city"] = F.coalesce(
