@@ -35,13 +35,17 @@ def read_csv_strings(spark: SparkSession, path: str, multiline: bool = True) ->
 
 
 def _unique(names: list[str]) -> list[str]:
-    """Make headers distinct without regard to case; later copies get a numbered suffix after a tab."""
-    seen: dict[str, int] = {}
-    out = []
-    for n in names:
-        k = n.lower()
-        seen[k] = seen.get(k, 0) + 1
-        out.append(n if seen[k] == 1 else f"{n}\t{seen[k]}")
+    """Headers as written, later copies (without regard to case) marked by a tab and their position.
+
+    Spark appends the position to every header that occurs more than once; that is undone here.
+    """
+    bare = [n.removesuffix(str(i)).lower() for i, n in enumerate(names)]
+    copies = {b for i, b in enumerate(bare) if b != names[i].lower() and bare.count(b) > 1}
+    out, seen = [], set()
+    for i, (n, b) in enumerate(zip(names, bare)):
+        own = n.removesuffix(str(i)) if b in copies else n
+        out.append(f"{own}\t{i}" if own.lower() in seen else own)
+        seen.add(own.lower())
     return out
 
 

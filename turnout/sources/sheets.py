@@ -73,10 +73,12 @@ def parse_submissions(raw: DataFrame, keep: Sequence[str], kind: str = "round")
     held = raw.withColumn("_file", F.struct(*key)) if key else raw
     cells = canonical_columns(held, names, required=["team_name", "leader_email"])
     if key:
-        cells = cells.select(*[c for c in cells.columns if c != "_file"], *[F.col("_file")[k].alias(k) for k in key])
+        own = [c for c in cells.columns if c != "_file" and c not in key]
+        cells = cells.select(*own, *[F.col("_file")[k].alias(k) for k in key])
     typed = type_submissions(cells)
     valid = F.col("team_name").isNotNull() & F.col("leader_email").isNotNull()
-    counts = typed.groupBy(*key).agg(
+    groups = [k for k in key if k != ORDINAL]
+    counts = typed.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("rows_read"), F.count(F.when(valid, 1)).alias("rows_valid")
     )
     return typed.where(valid), counts
