@@ -188,7 +188,8 @@ def state_alias_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 _ROUND_COUNTS = """, counted AS (SELECT r.*, CASE WHEN opens_at IS NOT NULL THEN
     (SELECT count(*) FROM regs WHERE form_timestamp <= r.opens_at) END AS registrations_at_open,
-    (SELECT count(*) FROM regs WHERE form_timestamp <= r.closes_at) AS registrations_at_close FROM rounds r)"""
+    CASE WHEN closes_at IS NOT NULL THEN
+    (SELECT count(*) FROM regs WHERE form_timestamp <= r.closes_at) END AS registrations_at_close FROM rounds r)"""
 
 
 @query(_ROUND_COUNTS + " SELECT id, registrations_at_open, registrations_at_close FROM counted", "rounds", "regs")
@@ -198,7 +199,7 @@ def eligible_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""SELECT strftime(m.at, '%Y-%m-%d') AS at, (SELECT count(*) FROM regs WHERE form_timestamp <= m.at) AS n
-  FROM (SELECT DISTINCT o_orderdate AS at FROM orders) m""", "regs")
+  FROM (SELECT DISTINCT o_orderdate AS at FROM orders WHERE o_orderdate IS NOT NULL) m""", "regs")
 def registrations_by_moment(spark: SparkSession, folder: str) -> DataFrame:
     """Registrations up to each of many moments, read off a distributed running total."""
     moments = base.read_table(spark, folder, "orders", ["o_orderdate"])
@@ -295,9 +296,11 @@ def export_rows_in_person(spark: SparkSession, folder: str) -> DataFrame:
   ps AS (SELECT p.*, s.session_id FROM ip_subs p LEFT JOIN s ON lower(trim(attendance_city, ' ')) = s.city
     AND p.session_on = s.session_on AND trim(p.session_label, ' ') = s.session_label),
   sess AS (SELECT email_normalized AS e, session_id AS w FROM rs WHERE session_id IS NOT NULL
-    UNION SELECT r.email_normalized, p.session_id FROM ps p JOIN regs r ON r.id = p.registration_id),
-  rnd AS (SELECT leader_email_normalized AS e, challenge_id AS w FROM subs UNION
-    SELECT r.email_normalized, s.challenge_id FROM subs s JOIN regs r ON r.id = s.registration_id)
+    UNION SELECT r.email_normalized, p.session_id FROM ps p JOIN regs r ON r.id = p.registration_id
+    WHERE p.session_id IS NOT NULL),
+  rnd AS (SELECT leader_email_normalized AS e, challenge_id AS w FROM subs WHERE challenge_id IS NOT NULL UNION
+    SELECT r.email_normalized, s.challenge_id FROM subs s JOIN regs r ON r.id = s.registration_id
+    WHERE s.challenge_id IS NOT NULL)
   SELECT e AS email_normalized, CAST(sum(a) AS BIGINT) AS n_sessions, CAST(sum(b) AS BIGINT) AS n_rounds
   FROM (SELECT e, 1 AS a, 0 AS b FROM sess UNION ALL SELECT e, 0, 1 FROM rnd) GROUP BY 1""", "regs", "subs", "sessions")
 def participation_union(spark: SparkSession, folder: str) -> DataFrame:
@@ -342,8 +345,9 @@ _SUBMITTED = """count(*) AS total_submissions, count(DISTINCT leader_email_norma
 
 
 @query(_ROUND_COUNTS + f""" SELECT c.id, c.title, registrations_at_open, registrations_at_close,
-  registrations_at_close - registrations_at_open AS registrations_during_window, total_submissions, unique_submitters,
-  deployed_count, scored_count FROM counted c
+  registrations_at_close - registrations_at_open AS registrations_during_window,
+  coalesce(total_submissions, 0) AS total_submissions, coalesce(unique_submitters, 0) AS unique_submitters,
+  coalesce(deployed_count, 0) AS deployed_count, coalesce(scored_count, 0) AS scored_count FROM counted c
   LEFT JOIN (SELECT challenge_id, {_SUBMITTED} FROM subs GROUP BY 1) s ON s.challenge_id = c.id""",
        "rounds", "regs", "subs")
 def round_summary_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -391,7 +395,8 @@ def overview_counts_row(spark: SparkSession, folder: str) -> DataFrame:
     regexp_replace(printf('%.1f', o_totalprice / 1000), '\\.0$', '') || 'k'
     WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR)
     ELSE printf('%.2f', o_totalprice) END AS compact,
-  regexp_replace(regexp_replace(printf('%.4f', o_totalprice), '0+$', ''), '\\.$', '') AS exact FROM orders""")
+  coalesce(regexp_replace(regexp_replace(printf('%.4f', o_totalprice), '0+$', ''), '\\.$', ''), '—') AS exact
+  FROM orders""")
 def score_formats(spark: SparkSession, folder: str) -> DataFrame:
     orders = base.read_table(spark, folder, "orders", ["o_orderkey", "o_totalprice"])
     return orders.select(

@@ -26,9 +26,10 @@ def scratch(spark: SparkSession) -> str:
 # --- CSV ----------------------------------------------------------------------------------------
 
 
-@query("""SELECT email, full_name, coalesce(strftime(form_timestamp - INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S'), '') AS at,
+@query("""SELECT trim(email, ' ') AS email, trim(full_name, ' ') AS full_name, coalesce(strftime(form_timestamp - INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S'), '') AS at,
   CASE WHEN trim(utm_source, ' ') <> '' THEN trim(utm_source, ' ') END AS utm_source, trim(city, ' ') AS city,
-  designation, designation_years, strftime(dob, '%Y-%m-%d') AS dob,
+  nullif(trim(designation, ' '), '') AS designation,
+  CASE WHEN designation IS NOT NULL THEN designation_years END AS designation_years, strftime(dob, '%Y-%m-%d') AS dob,
   strftime(session_on, '%Y-%m-%d') AS session_on, trim(session_label, ' ') AS session_label FROM regs""", "regs")
 def csv_registrations(spark: SparkSession, folder: str) -> DataFrame:
     """Registrations written as CSV with the form's headers, then parsed; naive times are business time."""
@@ -57,7 +58,7 @@ def csv_registrations(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""WITH cells AS (SELECT o_orderkey, o_orderpriority AS tab, 'Customer#' || o_custkey AS email,
     CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'Team ' || o_custkey END AS team, o_totalprice FROM orders)
-  SELECT tab, email AS leader_email, max_by(o_totalprice, o_orderkey) AS total_score,
+  SELECT tab, email AS leader_email, first(o_totalprice ORDER BY o_orderkey DESC) AS total_score,
     max(o_orderkey) AS row_no FROM cells WHERE team <> '' GROUP BY 1, 2""")
 def sheet_submissions(spark: SparkSession, folder: str) -> DataFrame:
     """Order rows as sheet cells under the sheet's headers: typed, filtered, last row per round and leader."""
@@ -149,8 +150,9 @@ def timestamps_from_text(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment || ' (x) lead' ELSE c_mktsegment END AS designation,
-    CASE WHEN c_custkey % 4 <> 1 THEN CAST(c_custkey % 30 AS INTEGER) END AS years FROM customer""")
+@query("""SELECT c_custkey AS id, nullif(trim(CASE WHEN c_custkey % 4 = 0
+      THEN c_mktsegment || ' (x) lead' ELSE c_mktsegment END, ' '), '') AS designation,
+    CASE WHEN c_custkey % 4 <> 1 AND c_mktsegment IS NOT NULL THEN CAST(c_custkey % 30 AS INTEGER) END AS years FROM customer""")
 def split_designation(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("c_custkey")
     tail = F.concat(F.lit(" ( "), (key % 30).cast("string"), F.lit(" ) "))

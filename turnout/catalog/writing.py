@@ -73,7 +73,7 @@ def upsert_keep_if_null(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(_merged_sql("CASE WHEN i.id IS NOT NULL THEN i.name ELSE c.name END",
-                   "coalesce(i.balance, 0) + coalesce(c.balance, 0)"))
+                   "CASE WHEN i.id IS NULL THEN c.balance ELSE i.balance + coalesce(c.balance, 0) END"))
 def upsert_additive(spark: SparkSession, folder: str) -> DataFrame:
     return _as_double(upsert(_current(spark, folder), _incoming(spark, folder), ["id"], additive=["balance"]))
 
@@ -193,7 +193,8 @@ _GRANTS = """, grants AS (SELECT id AS row_no, participant_id, delta, idempotenc
       ELSE CAST(1 + participant_id % 7 AS INTEGER) END AS round_id,
     CASE WHEN challenge_id = 'error' THEN CAST(1 + participant_id % 3 AS INTEGER) END AS event_id,
     participant_id % 2 = 0 AS force FROM ledger),
-  judged AS (SELECT g.*, CASE WHEN g.round_id = 99 THEN 'challenge not found'
+  judged AS (SELECT g.*, CASE WHEN participant_id IS NULL OR delta IS NULL OR coalesce(reason, '') = ''
+        THEN 'participant_id, delta and reason are required' WHEN g.round_id = 99 THEN 'challenge not found'
       WHEN g.round_id IS NULL AND g.event_id = 1 THEN 'event_id must reference a virtual event'
       WHEN g.round_id IS NULL AND g.event_id = 3 THEN 'event not found'
       WHEN g.round_id IS NOT NULL AND NOT coalesce(f.form_timestamp <= r.closes_at, false) AND NOT force
