@@ -96,6 +96,10 @@ def test_score_stats_of_edge_groups(spark):
     got = {r.g: r for r in distribution.score_stats(df, "s", by=["g"]).collect()}
     assert (got["a"].n_scored, got["a"].median, got["a"].stddev_score, got["a"].score_range) == (1, 1.5, None, 0.0)
     assert (got["b"].n_scored, got["b"].median, got["b"].avg_score) == (0, None, None)
+    for rows, n in ((df, 1), (df.limit(0), 0)):
+        for limit in (0, 100):
+            whole = distribution.score_stats(rows, "s", in_memory_group=limit).collect()
+            assert [r.n_scored for r in whole] == [n] and whole[0].median == (1.5 if n else None)
 
 
 # --- duplicates and merges ---------------------------------------------------------------------

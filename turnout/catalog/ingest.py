@@ -197,7 +197,7 @@ def payloads(spark: SparkSession, folder: str) -> DataFrame:
     CASE WHEN event_type <> 'signup' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS form_timestamp
   FROM events WHERE event_type IN ('view', 'click', 'purchase', 'signup')""")
 def json_records(spark: SparkSession, folder: str) -> DataFrame:
-    records, _ = extract_records_json(payloads(spark, folder), "payload")
+    records, _ = extract_records_json(payloads(spark, folder), "payload", spark.sparkContext.defaultParallelism)
     rows, _ = map_registration_records(records)
     return rows.select(
         "payload_no", "email", "full_name", F.date_format("form_timestamp", "yyyy-MM-dd HH:mm:ss").alias("form_timestamp")
@@ -208,7 +208,7 @@ def json_records(spark: SparkSession, folder: str) -> DataFrame:
   WHERE event_type IN ('view', 'click', 'purchase') UNION ALL
   SELECT event_id, 'no records' FROM events WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup')""")
 def json_rejects(spark: SparkSession, folder: str) -> DataFrame:
-    records, unknown = extract_records_json(payloads(spark, folder), "payload")
+    records, unknown = extract_records_json(payloads(spark, folder), "payload", spark.sparkContext.defaultParallelism)
     _, rejects = map_registration_records(records)
     return rejects.select("payload_no", "reason").unionByName(
         unknown.select("payload_no", F.lit("no records").alias("reason"))

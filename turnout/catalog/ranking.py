@@ -24,7 +24,8 @@ from turnout.plans.leaderboards import (
     score_order,
     session_leaderboard,
 )
-from turnout.plans.stats import segment_counts, submission_totals
+from turnout.operators.resolve import kind_gate
+from turnout.plans.stats import round_stats, segment_counts, session_stats, submission_totals
 
 _BOARD = """SELECT {rank} AS rank, team_name, leader_name, leader_email, CAST(total_score AS DOUBLE) AS total_score{more},
   strftime(export_created_at, '%Y-%m-%d') AS submitted_at FROM {rows}"""
@@ -241,3 +242,51 @@ def default_session_pick(spark: SparkSession, folder: str) -> DataFrame:
     return pick.select("id", "city", day_text("session_on"), "session_label", "team_count")
 
 
+
+
+_SESSION = """WHERE sheet_kind = 'main' AND lower(trim(attendance_city, ' ')) = 'nation_4'
+  AND session_on = DATE '1997-04-01' AND lower(trim(session_label, ' ')) = ''"""
+
+
+def _one_session(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return session_stats(
+        base.in_person_submissions(spark, folder), base.registrations(spark, folder), base.sessions(spark, folder),
+        " Nation_4", date(1997, 4, 1), "",
+    )
+
+
+@query(f"SELECT {_STATS} FROM ip_subs {_SESSION}", "ip_subs")
+def session_score_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(_one_session(spark, folder)["scores"])
+
+
+@query("""SELECT count(*) AS registrations FROM regs WHERE lower(trim(coalesce(attendance_city, ''), ' ')) = 'nation_4'
+  AND session_on = DATE '1997-04-01' AND lower(trim(session_label, ' ')) = ''""", "regs")
+def session_registration_count(spark: SparkSession, folder: str) -> DataFrame:
+    return _one_session(spark, folder)["registrations"]
+
+
+@query(f"""SELECT count(*) AS total_submissions, count(DISTINCT registration_id) AS unique_registrations,
+  count(registration_id) AS linked_submissions FROM ip_subs {_SESSION}""", "ip_subs")
+def session_submission_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return _one_session(spark, folder)["totals"]
+
+
+@query(_SEGMENTED + f" SELECT segment, {_STATS} FROM seg WHERE challenge_id = 5 AND segment IN ('student', 'professional')"
+       + " GROUP BY 1", "subs", "regs")
+def round_segment_scores(spark: SparkSession, folder: str) -> DataFrame:
+    found = round_stats(
+        base.submissions(spark, folder), base.registrations(spark, folder), base.rounds(spark, folder), 5
+    )
+    return _rounded(found["segment_scores"])
+
+
+@query("""SELECT count(*) AS row_n, round(stddev_pop(CAST(total_score AS DOUBLE)), 4) AS stddev_score FROM subs
+  WHERE event_id IN (SELECT r_regionkey FROM region WHERE r_name >= 'ASIA')""", "subs")
+def kind_gated_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of programmes of one kind; regions stand for programmes, those from A to AS for the other kind."""
+    programmes = base.read_table(spark, folder, "region").select(
+        F.col("r_regionkey").alias("id"), F.when(F.col("r_name") >= "ASIA", "virtual").otherwise("in_person").alias("kind")
+    )
+    rollup = score_rollup(kind_gate(base.submissions(spark, folder), programmes, "virtual"), "total_score")
+    return rollup.select("row_n", F.round("stddev_score", 4).alias("stddev_score"))

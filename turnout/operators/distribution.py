@@ -105,24 +105,30 @@ def exact_percentiles(
 
 
 def score_stats(df: DataFrame, score: str, by: Sequence[str] = (), in_memory_group: int = IN_MEMORY_GROUP) -> DataFrame:
-    """n, min, max, avg, sample deviation, quartiles and range of the scored rows per group."""
+    """n, min, max, avg, sample deviation, quartiles and range of the scored rows per group.
+
+    Without ``by`` there is one row, also for no input.
+    """
     by = list(by)
-    keyed = df if by else df.withColumn("_all", F.lit(1))
-    keys = by or ["_all"]
     x = F.col(score).cast("double")
-    base = keyed.groupBy(*keys).agg(
+    base = df.groupBy(*by).agg(
         F.count(score).alias("n_scored"),
         F.min(x).alias("min_score"),
         F.max(x).alias("max_score"),
         mean(df, score).alias("avg_score"),
         F.stddev_samp(x).alias("stddev_score"),
     )
-    marks = exact_percentiles(keyed, score, by=keys, in_memory_group=in_memory_group)
-    marks = marks.select(*[F.col(k).alias(f"_m_{k}") for k in keys], "percentiles")
-    match = F.lit(True)
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_m_{k}"))
-    return base.join(marks, match, "left").select(
+    if by:
+        marks = exact_percentiles(df, score, by=by, in_memory_group=in_memory_group)
+        marks = marks.select(*[F.col(k).alias(f"_m_{k}") for k in by], "percentiles")
+        match = F.lit(True)
+        for k in by:
+            match = match & F.col(k).eqNullSafe(F.col(f"_m_{k}"))
+        joined = base.join(marks, match, "left")
+    else:
+        whole = exact_percentiles(df.withColumn("_all", F.lit(1)), score, by=["_all"], in_memory_group=in_memory_group)
+        joined = base.withColumn("percentiles", whole.select("percentiles").scalar())
+    return joined.select(
         *by,
         "n_scored",
         "min_score",
