@@ -109,7 +109,7 @@ def ledger_leaderboard(spark: SparkSession, folder: str) -> DataFrame:
 @query(", " + _LEDGER_SCORES.format(extra="") + _SCORE_PAGE.format(n=100), "enrolled", "ledger")
 def balance_leaderboard(spark: SparkSession, folder: str) -> DataFrame:
     balances = base.ledger(spark, folder).groupBy("participant_id").agg(
-        F.sum("delta").cast("decimal(14,4)").alias("balance")
+        F.sum("delta").alias("balance")
     )
     scores = balance_scores(base.enrolled(spark, folder), balances)
     return ranked_scores(scores, 100).withColumn("score", F.col("score").cast("double"))

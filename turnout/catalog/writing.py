@@ -142,16 +142,20 @@ def replace_slice_rows(spark: SparkSession, folder: str) -> DataFrame:
     return replace_slice(current, incoming, ["user_id", "event_type"])
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents keyed by a digest of the whole text, so that the shuffle does not carry the text."""
+    docs = base.read_table(spark, folder, "documents", ["doc_id", "text", "lang", "source"])
+    return docs.withColumn("digest", F.sha2("text", 256)).drop("text")
+
+
 @query("""SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) = 1""")
 def dedupe_keep_last(spark: SparkSession, folder: str) -> DataFrame:
-    docs = base.read_table(spark, folder, "documents", ["doc_id", "text", "lang", "source"])
-    return keep_last(docs, ["text"], ["doc_id"]).drop("text")
+    return keep_last(_documents(spark, folder), ["digest"], ["doc_id"]).drop("digest")
 
 
 @query("""SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""")
 def dedupe_keep_first(spark: SparkSession, folder: str) -> DataFrame:
-    docs = base.read_table(spark, folder, "documents", ["doc_id", "text", "lang", "source"])
-    return keep_first(docs, ["text"], ["doc_id"]).drop("text")
+    return keep_first(_documents(spark, folder), ["digest"], ["doc_id"]).drop("digest")
 
 
 @query("""SELECT count(*) AS rows_read, count(*) FILTER (text IS NULL OR trim(text, ' ') = '') AS rows_skipped,
@@ -159,18 +163,21 @@ def dedupe_keep_first(spark: SparkSession, folder: str) -> DataFrame:
   count(*) FILTER (trim(text, ' ') <> '') - count(DISTINCT text) FILTER (trim(text, ' ') <> '') AS rows_collapsed
   FROM documents""")
 def dedupe_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return dedupe_stats(base.read_table(spark, folder, "documents", ["text"]), ["text"], required=["text"])
+    docs = base.read_table(spark, folder, "documents", ["text"]).select(
+        F.sha2("text", 256).alias("digest"), F.when(F.trim("text") != "", "text").alias("filled")
+    )
+    return dedupe_stats(docs, ["digest"], required=["filled"])
 
 
 @query("""SELECT l.doc_id AS label_doc, k.keeper AS doc_id, quality FROM labels l
   JOIN (SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keeper FROM documents) k ON k.doc_id = l.doc_id""")
 def keep_latest_repoint(spark: SparkSession, folder: str) -> DataFrame:
     """Labels of dropped copies point at the copy that is kept."""
-    docs = base.read_table(spark, folder, "documents", ["doc_id", "text"])
+    docs = _documents(spark, folder).select("doc_id", "digest")
     labels = base.read_table(spark, folder, "labels").select(
         F.col("doc_id").alias("label_doc"), "doc_id", "quality"
     )
-    _, (moved,) = keep_latest_and_repoint(docs, ["text"], ["doc_id"], "doc_id", [(labels, "doc_id")])
+    _, (moved,) = keep_latest_and_repoint(docs, ["digest"], ["doc_id"], "doc_id", [(labels, "doc_id")])
     return moved
 
 
@@ -216,7 +223,7 @@ def _granted(spark: SparkSession, folder: str):
     programmes = spark.createDataFrame([(1, "in_person"), (2, "virtual")], "id int, kind string")
     people = base.registrations(spark, folder).select("id", "email")
     balances = base.enrolled(spark, folder).select(
-        "participant_id", F.lit(2).alias("event_id"), F.lit(10).cast("decimal(14,4)").alias("balance")
+        "participant_id", F.lit(2).alias("event_id"), F.lit(10).cast("decimal(24,4)").alias("balance")
     )
     history = ledger.limit(0)
     return grant_credits(

@@ -146,7 +146,8 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n:
     """First ``n`` rows of each group.
 
     ``row_number() <= n`` lets Spark keep only ``n`` rows per group and map task before the
-    shuffle, so a hot group arrives cut down.
+    shuffle, so a hot group arrives cut down.  Spark does this up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` rows (1000 by default).
     """
     window = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= n).drop("_n")

@@ -81,7 +81,7 @@ def balance_scores(enrolled: DataFrame, balances: DataFrame) -> DataFrame:
     """Stored balance per enrolled participant, zero without one."""
     side = balances.select(F.col("participant_id").alias("_pid"), "balance")
     return enrolled.join(side, F.col("participant_id") == F.col("_pid"), "left").select(
-        *enrolled.columns, F.coalesce("balance", F.lit(0).cast(MONEY)).alias("score")
+        *enrolled.columns, F.coalesce("balance", F.lit(0).cast("decimal(24,4)")).alias("score")
     )
 
 

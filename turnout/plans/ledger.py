@@ -78,6 +78,6 @@ def grant_credits(
         "participant_id", "challenge_id", F.col("delta").cast(MONEY).alias("delta"), "reason", "idempotency_key",
         "force_ineligible", F.col("_scope").alias("event_id"),
     )
-    deltas = rows.groupBy("participant_id", "event_id").agg(F.sum("delta").cast(MONEY).alias("balance"))
+    deltas = rows.groupBy("participant_id", "event_id").agg(F.sum("delta").alias("balance"))
     merged = upsert(balances, deltas, ["participant_id", "event_id"], additive=["balance"])
     return Granted(rows, merged, rejects)

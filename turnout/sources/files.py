@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Position of a row in its input: file, block within the file, place within the scan.
@@ -65,15 +65,25 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, hig
 
 
 def file_manifest(spark: SparkSession, path: str, module: str, pattern: str = "*") -> DataFrame:
-    """One row per input file: name, size, time, SHA-256, module, status."""
+    """One row per input file: name, size, time, SHA-256, module, status.
+
+    A file too large to be read as one value is listed without a digest.
+    """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
     )
-    return files.where(F.col("length") <= MAX_BINARY).select(
-        F.regexp_extract("path", "([^/]+)$", 1).alias("file_name"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("modified_at"),
-        F.sha2("content", 256).alias("sha256"),
-        F.lit(module).alias("module"),
-        F.lit("received").alias("status"),
+
+    def listed(rows: DataFrame, digest: Column, status: str) -> DataFrame:
+        return rows.select(
+            F.regexp_extract("path", "([^/]+)$", 1).alias("file_name"),
+            F.col("length").alias("size_bytes"),
+            F.col("modificationTime").alias("modified_at"),
+            digest.alias("sha256"),
+            F.lit(module).alias("module"),
+            F.lit(status).alias("status"),
+        )
+
+    # The size filter reaches the source, and the second scan does not ask for the content.
+    return listed(files.where(F.col("length") <= MAX_BINARY), F.sha2("content", 256), "received").unionByName(
+        listed(files.where(F.col("length") > MAX_BINARY), F.lit(None).cast("string"), "received, not hashed")
     )
