@@ -143,13 +143,19 @@ def score_stats(df: DataFrame, score: str, by: Sequence[str] = (), in_memory_gro
 
 
 def with_segment(subs: DataFrame, regs: DataFrame, link: str, reg_id: str, occupation: str) -> DataFrame:
-    """Add ``segment`` from the linked registration's occupation."""
+    """Add ``segment`` from the linked registration's occupation.
+
+    Unlinked submissions, often a large share, skip the join: as NULL keys they would all meet
+    in one partition.
+    """
     side = regs.select(F.col(reg_id).alias("_reg_id"), F.col(occupation).alias("_occupation"))
-    return (
-        subs.join(side, F.col(link) == F.col("_reg_id"), "left")
+    linked = (
+        subs.where(F.col(link).isNotNull())
+        .join(side, F.col(link) == F.col("_reg_id"), "left")
         .withColumn("segment", segment_case("_occupation", link))
         .drop("_reg_id", "_occupation")
     )
+    return linked.unionByName(subs.where(F.col(link).isNull()).withColumn("segment", F.lit("unknown")))
 
 
 def attempt_buckets(segmented: DataFrame, attempts: str, by: Sequence[str] = ()) -> DataFrame:
