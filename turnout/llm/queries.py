@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnout.llm import quality, secrets, sql, urls
+from turnout.llm import lexicon, packing, quality, secrets, sql, tokenfiles, urls, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +31,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 URL_RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
 
 
@@ -54,3 +59,31 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     of = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(secrets.listed(F.col("base_spans")), 256).alias("base_sha256"),
                         secrets.listed(F.col("all_spans")).alias("spans"))
+
+
+@query()
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document, counted from flat files by their separators; see ``tokenfiles``."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    end_id = wordbpe.load(TOKENIZER).special["<|endoftext|>"]
+    return tokenfiles.document_token_counts(docs, TOKENIZER, end_id).select("doc_id", "n_tokens")
+
+
+@query()
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document; see ``packing``."""
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "text"), TOKENIZER)
+
+
+def _digests(bpe: wordbpe.WordBpe, ids: np.ndarray) -> dict:
+    return {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(ids.astype("<u4").data).hexdigest(),
+            "decoded_sha256": hashlib.sha256(bpe.decode(ids)).hexdigest()}
+
+
+@query()
+def op9_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the ids and the decoded text of every document; see ``lexicon``."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    name = lexicon.compile_lexicon(docs, TOKENIZER)
+    columns = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    return lexicon.encode(docs, _digests, columns, TOKENIZER, name)
