@@ -35,7 +35,7 @@ class Output:
     def __init__(self, uri: str):
         system, path = store(uri)
         system.create_dir(path.rpartition("/")[0], recursive=True)
-        self.uri, self.size, self.stream = uri, 0, system.open_output_stream(path)
+        self.uri, self.size, self.stream = uri, 0, system.open_output_stream(path, compression=None)
 
     def write(self, data: bytes) -> None:
         self.stream.write(data)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnout.llm import lexicon, packing, quality, secrets, sql, tokenfiles, urls, wordbpe
+from turnout.llm import lexicon, packing, quality, secrets, sql, tokenfiles, topk, urls, warc, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -87,3 +87,18 @@ def op9_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
     name = lexicon.compile_lexicon(docs, TOKENIZER)
     columns = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
     return lexicon.encode(docs, _digests, columns, TOKENIZER, name)
+
+
+@query(sql.WARC)
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """What is read back of a record for every page; see ``warc``."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    read = warc.read_archives(warc.write_archives(pages))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
+@query(sql.TOP_K)
+def op8_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best candidates of every vector whose id is divisible by 20; see ``topk``."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors.where("vec_id % 20 = 0"), vectors)

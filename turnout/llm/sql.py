@@ -110,5 +110,26 @@ def _secrets(rate: float = 0.05) -> str:
     FROM d LEFT JOIN spans USING (rid) GROUP BY rid, doc_id"""
 
 
+#: Base32 has no function in SQL: the SHA-1's 160 bits are cut into 32 groups of five.
+WARC = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+    last AS (SELECT hex, max(page_id) AS last FROM p GROUP BY hex HAVING count(*) > 1),
+    bits AS (SELECT DISTINCT hex, array_to_string(list_transform(string_split(hex, ''),
+        lambda c: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', c)]), '') AS b FROM p),
+    named AS (SELECT hex, array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + 16 * b[5 * i + 1]::INT + 8 * b[5 * i + 2]::INT + 4 * b[5 * i + 3]::INT + 2 * b[5 * i + 4]::INT + b[5 * i + 5]::INT, 1)), '') AS payload_digest FROM bits)
+    SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, payload_digest,
+        CASE WHEN page_id <> last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to, NULL AS problem
+    FROM p JOIN named USING (hex) LEFT JOIN last USING (hex)"""
+
+TOP_K = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS w FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    t AS (SELECT vec_id, unnest(generate_series(1, len(w))) AS i, unnest(w)::BIGINT AS x FROM v),
+    scores AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score FROM t q JOIN t c ON q.i = c.i
+        WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id GROUP BY ALL)
+    SELECT query_id, rank, vec_id, score FROM (
+        SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM scores) WHERE rank <= 20"""
+
 QUALITY = _quality()
 SECRETS = _secrets()
