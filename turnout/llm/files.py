@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
@@ -43,3 +46,20 @@ class Output:
 
     def close(self) -> None:
         self.stream.close()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once a session, so that tasks can import it wherever the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_turnout_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.writestr(str(file.relative_to(package.parent)), file.read_bytes())
+    out = Output(f"{run_folder(spark, 'code')}/{package.name}.zip")
+    out.write(held.getvalue())
+    out.close()
+    context.addPyFile(out.uri)
+    context._turnout_shipped = True

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnout.llm import wordbpe
-from turnout.llm.files import Output, attempt_file, run_folder
+from turnout.llm.files import Output, attempt_file, run_folder, ship
 
 #: Words in the lexicon: it bounds the file that every worker maps.
 LEXICON_WORDS = 1 << 16
@@ -56,6 +56,7 @@ def word_counts(docs: DataFrame, tokenizer: str, text: str = "text", flush_words
         for batch in count(batches):
             yield pa.record_batch({"word": batch.column("word").cast(pa.binary()), "n": batch.column("n")})
 
+    ship(docs.sparkSession)
     return docs.select(text).mapInArrow(plain, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -211,6 +212,7 @@ def encode(docs: DataFrame, finish: Callable, columns: dict[str, pa.DataType], t
 
     schema = StructType([*(StructField(n, t) for n, t in zip(names, key_types, strict=True)),
                          *(StructField(c, from_arrow_type(kind)) for c, kind in columns.items())])
+    ship(docs.sparkSession)
     made = source.mapInArrow(run, schema)
     return made.select(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True)), *columns)
 
@@ -228,4 +230,5 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
         bpe = wordbpe.load(tokenizer)
         return column.map(lambda x: "" if x is None else bpe.decode(np.asarray(x, np.int64)).decode())
 
+    ship(encoded.sparkSession)
     return encoded.withColumn("decoded", text_of(F.col(ids)))

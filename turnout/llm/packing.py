@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnout.llm import wordbpe
+from turnout.llm.files import ship
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -64,5 +65,6 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, separator: int =
                     columns.append(pa.array(parts, pa.list_(pa.int32())))
                 yield pa.record_batch(columns, names=[*names, "ids"][:len(columns)])
 
+    ship(docs.sparkSession)
     pieces = source.mapInArrow(cut, SCHEMA + (", ids array<int>" if with_ids else ""))
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint"), "bucket": F.col("length")})

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnout.llm import lexicon, packing, quality, secrets, sql, tokenfiles, topk, urls, warc, wordbpe
+from turnout.llm import jaccard, lexicon, packing, quality, secrets, sql, tokenfiles, topk, urls, warc, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -102,3 +102,9 @@ def op8_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 best candidates of every vector whose id is divisible by 20; see ``topk``."""
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors.where("vec_id % 20 = 0"), vectors)
+
+
+@query(sql.JACCARD)
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Set size and component of every document at three words and nine tenths; see ``jaccard``."""
+    return jaccard.jaccard_join(table(spark, folder, "documents").select("doc_id", "text"), words=3, percent=90)

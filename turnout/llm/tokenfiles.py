@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnout.llm import wordbpe
-from turnout.llm.files import Output, attempt_file, run_folder, store
+from turnout.llm.files import Output, attempt_file, run_folder, ship, store
 
 #: Ids in one block, and blocks in one group of the prefix scan.
 BLOCK_IDS = 1 << 20
@@ -59,6 +59,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str
         if out is not None:
             out.close()
 
+    ship(spark)
     source.mapInArrow(write, "doc_id bigint, file string, ordinal bigint, file_ids bigint").write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
@@ -95,6 +96,7 @@ def separators(blocks: DataFrame, end_id: int, width: int = 4) -> DataFrame:
                     pa.array([np.diff(at) - 1], pa.list_(pa.int64()))], names=["file", "block", "start", "n", "found", "first", "last", "inner"])
 
     schema = "file string, block bigint, start bigint, n bigint, found bigint, first bigint, last bigint, inner array<bigint>"
+    ship(blocks.sparkSession)
     return blocks.repartition("file", "block").mapInArrow(scan, schema)
 
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnout.llm.files import ship
+
 #: Rows of a candidate block, and queries of a query block.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 512
 _VECTORS = pa.list_(pa.int64())
@@ -117,6 +119,7 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 64,
           block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score) of every query's k best candidates."""
+    ship(candidates.sparkSession)
     plain = lambda rows: whole_weights(rows.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).alias("vector")).where(
         F.col("vec_id").isNotNull()), "vector", scale)
     wanted = plain(queries).groupBy("vec_id").agg(F.min("vector").alias("vector"))

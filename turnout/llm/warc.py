@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnout.llm.files import Output, attempt_file, run_folder, store
+from turnout.llm.files import Output, attempt_file, run_folder, ship, store
 
 CHUNK = 1 << 16
 RECORDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, archive string, problem string"
@@ -211,6 +211,7 @@ def write_archives(pages: DataFrame, revisit_bytes: int = 0, date: str = "2024-0
             archive, counts, sizes = zip(*done, strict=True)
             yield pa.record_batch([pa.array(archive), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], names=["archive", "records", "bytes"])
 
+    ship(spark)
     revisits(pages, revisit_bytes).mapInArrow(write, "archive string, records bigint, bytes bigint").write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
@@ -254,4 +255,5 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
+    ship(archives.sparkSession)
     return archives.select("archive").repartition("archive").mapInArrow(read, RECORDS)
