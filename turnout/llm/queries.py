@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnout.llm import jaccard, lexicon, packing, quality, secrets, sql, tokenfiles, topk, urls, warc, wordbpe
+from turnout.llm import jaccard, lexicon, packing, quality, recompression, secrets, sql, tokenfiles, topk, urls, warc, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -108,3 +108,9 @@ def op8_top_k(spark: SparkSession, folder: str) -> DataFrame:
 def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Set size and component of every document at three words and nine tenths; see ``jaccard``."""
     return jaccard.jaccard_join(table(spark, folder, "documents").select("doc_id", "text"), words=3, percent=90)
+
+
+@query(sql.SUBSTRINGS)
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without repeated windows of 50 words; see ``recompression``."""
+    return recompression.word_digests(table(spark, folder, "documents").select("doc_id", "text"), length=50)

@@ -143,7 +143,18 @@ JACCARD = r"""
     sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
     reach(x, y) AS (SELECT x, y FROM sides UNION SELECT r.x, b.y FROM reach r JOIN sides b ON r.y = b.x)
     SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, min(r.y)) AS component_id
-    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.x = d.doc_id GROUP BY ALL"""
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id, n.n"""
+
+SUBSTRINGS = r"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    windows AS (SELECT rid, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+        FROM (SELECT rid, doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+    firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+    gone AS (SELECT DISTINCT rid, i + k AS i FROM (SELECT rid, i FROM windows JOIN firsts USING (h) WHERE doc_id > first), (SELECT unnest(generate_series(0, 49)) AS k)),
+    words AS (SELECT rid, i, w[i] AS word FROM (SELECT rid, w, unnest(generate_series(1, len(w))) AS i FROM d)),
+    kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid)
+    SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (rid)"""
 
 QUALITY = _quality()
 SECRETS = _secrets()
