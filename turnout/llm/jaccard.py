@@ -106,7 +106,7 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def index_rows(docs: DataFrame, words: int, percent: int, weights: np.ndarray) -> DataFrame:
-    """(doc_id, n, class, prefix, prefix_class): set size, digest of the set, its first shingles in order, digest of these."""
+    """(doc_id, text_key, n, class, prefix, head): set size, digest of the set, its first shingles in order, digest of these."""
     table = docs.sparkSession.sparkContext.broadcast(weights)
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +129,10 @@ def index_rows(docs: DataFrame, words: int, percent: int, weights: np.ndarray) -
                     whole.append(int(mix(mix(grams).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(grams)))[0].astype(np.int64)))
                     head.append(int(mix((mix(first) * (np.arange(1, len(first) + 1, dtype=np.uint64) * np.uint64(BASE) | np.uint64(1))).sum(dtype=np.uint64, keepdims=True))[0].astype(np.int64)))
                     prefix.append(first.astype(np.int64))
-                yield pa.record_batch([batch.column(1).slice(start, stop - start), pa.array(n, pa.int64()), pa.array(whole, pa.int64()),
-                                       pa.array(prefix, pa.list_(pa.int64())), pa.array(head, pa.int64())], names=["doc_id", "n", "class", "prefix", "head"])
+                yield pa.record_batch([*(batch.column(c).slice(start, stop - start) for c in (1, 2)), pa.array(n, pa.int64()), pa.array(whole, pa.int64()),
+                                       pa.array(prefix, pa.list_(pa.int64())), pa.array(head, pa.int64())], names=["doc_id", "text_key", "n", "class", "prefix", "head"])
 
-    rows = docs.select("text", "doc_id").mapInArrow(index, "doc_id bigint, n bigint, class bigint, prefix array<bigint>, head bigint")
+    rows = docs.select("text", "doc_id", "text_key").mapInArrow(index, "doc_id bigint, text_key bigint, n bigint, class bigint, prefix array<bigint>, head bigint")
     return durable(rows)
 
 
@@ -180,7 +180,31 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
 
 def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", star_rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``: component_id is the smallest id reachable by links."""
-    source = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("bigint").alias("doc_id"))
+    return _joined(docs, words, percent, doc_id, text, star_rounds).select("doc_id", "n_shingles", "component_id")
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component: the one with the smallest id, of rows that repeat it one.
+
+    Rows without a set of shingles or without an id stay as they are.
+    """
+    joined = durable(_joined(docs, words, percent, doc_id, text, 2).where("doc_id IS NOT NULL AND n_shingles > 0"))
+    best = joined.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
+    judged = joined.join(best, "root").groupBy("doc_id", "text_key").agg(
+        F.max(F.struct("doc_id", "text_key") == F.col("best")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    touched = durable(judged.where("NOT stays OR n > 1"))
+    side = F.broadcast(touched) if touched.count() <= BROADCAST_IDS else touched
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).cast("bigint").alias("doc_id"),
+                        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"))
+    rest = keyed.join(side, ["doc_id", "text_key"], "left_anti")
+    repeated = keyed.join(side.where("stays"), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return rest.unionByName(repeated).select("_row.*")
+
+
+def _joined(docs: DataFrame, words: int, percent: int, doc_id: str, text: str, star_rounds: int) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, root) for every row."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    source = docs.select(whole.alias("text"), F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(whole).alias("text_key"))
     ship(docs.sparkSession)
     rows = index_rows(source, words, percent, bucket_weights(source, words))
     linked = rows.where("doc_id IS NOT NULL AND n > 0")
@@ -224,10 +248,10 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str
         labels = durable(up.select("class", "grp", F.coalesce(merged["root"], labels["root"]).alias("root")))
     full = classes.select("class", "first_id").join(labels.select("class", "root"), "class")
     lowest = full.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = full.join(lowest, "root").select("class", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
+    named = full.join(lowest, "root").select("class", "component_id", "root")
+    out = rows.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), "root")
 
 
 def _expanded(pairs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -25,8 +25,13 @@ BLOCK_IDS = 1 << 20
 GROUP_BLOCKS = 4096
 
 
+def id_width(tokenizer: str) -> int:
+    """Bytes of an id in a file: 2 if the vocabulary allows, else 4."""
+    return 2 if len(wordbpe.load(tokenizer).tokens) <= 1 << 16 else 4
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", file_bytes: int = 1 << 28) -> DataFrame:
-    """Writes the texts' ids as 32-bit files in the shared folder; gives (doc_id, file, ordinal, file_ids) in the order written.
+    """Writes the texts' ids as flat files in the shared folder; gives (doc_id, file, ordinal, file_ids) in the order written.
 
     Special tokens in a text are ordinary text here, so the end-of-document id stands for nothing else.  The rows are the
     manifest: they are written once, and a file that they do not name (of a lost attempt) is not read.
@@ -34,6 +39,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str
     spark = docs.sparkSession
     folder = run_folder(spark, "tokens")
     source = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("bigint").alias("doc_id"))
+    width = id_width(tokenizer)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = wordbpe.load(tokenizer)
@@ -47,14 +53,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str
                     out, ordinal = Output(attempt_file(f"{folder}/data", "part", ".ids")), 0
                 # Each document's ids move right by the number of separators before them.
                 ends = np.cumsum(counts + 1)
-                flat = np.full(int(ends[-1]), end_id, "<u4")
+                flat = np.full(int(ends[-1]), end_id, f"<u{width}")
                 inside = np.ones(len(flat), bool)
                 inside[ends - 1] = False
                 flat[inside] = ids
                 out.write(flat.tobytes())
                 n = last - first
                 yield pa.record_batch([batch.column(1).slice(first, n), pa.array([out.uri] * n), pa.array(range(ordinal, ordinal + n), pa.int64()),
-                                       pa.array((out.size // 4 - len(flat) + ends).tolist(), pa.int64())], names=["doc_id", "file", "ordinal", "file_ids"])
+                                       pa.array((out.size // width - len(flat) + ends).tolist(), pa.int64())], names=["doc_id", "file", "ordinal", "file_ids"])
                 ordinal += n
         if out is not None:
             out.close()
@@ -139,5 +145,5 @@ def document_token_counts(docs: DataFrame, tokenizer: str, end_id: int, doc_id:
     """(doc_id, n_tokens) of every document, counted from the files written for it."""
     manifest = write_token_files(docs, tokenizer, end_id, doc_id, text)
     files = manifest.groupBy("file").agg(F.max("file_ids").alias("file_ids"))
-    counted = count_tokens(files, end_id, **sizes)
+    counted = count_tokens(files, end_id, id_width(tokenizer), **sizes)
     return manifest.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
