@@ -29,10 +29,10 @@ SKETCH_BITS = 7
 
 #: Measure -> (numerator, denominator, scale, slack, whether small values are bad too).
 MEASURES = {
-    "m_length": ("word_chars", "n_words", 100, 100, True),
+    "m_length": ("word_chars", "n_words", 100, 200, True),
     "m_symbols": ("n_symbols", "n_words", 1000, 100, False),
-    "m_lines": ("n_dup_lines", "n_lines", 1000, 250, False),
-    "m_repeats": ("n_repeat_words", "n_words", 1000, 100, False),
+    "m_lines": ("n_dup_lines", "n_lines", 1000, 400, False),
+    "m_repeats": ("n_repeat_words", "n_words", 1000, 200, False),
 }
 
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "level", "kept")

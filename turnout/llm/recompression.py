@@ -246,11 +246,12 @@ def _kept_words(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, gone: n
 
 
 def _kept_text(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, gone: np.ndarray) -> tuple[int, str]:
-    """The text without the removed words and the blanks after each of them."""
+    """The text without the removed words and the blanks after them (before them, at the text's end)."""
     edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
     parts, last = [], 0
     for a, b in edges.reshape(-1, 2).tolist():
-        parts.append(data[starts[last]:starts[a]].tobytes() if a > last else b"")
+        if a > last:
+            parts.append(data[starts[last]:starts[a] if b < len(starts) else stops[a - 1]].tobytes())
         last = b
     if last < len(starts):
         parts.append(data[starts[last]:stops[-1]].tobytes())

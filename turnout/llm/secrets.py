@@ -37,11 +37,13 @@ KINDS = ("assign", "access", "hex", "random")
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 VALUES = DIGITS + UPPER + LOWER + "+/_-"
 
-#: Index of coincidence, class changes per character and serial correlation of written language.
-COINCIDENCE, CHANGES, CORRELATION = 0.075, 0.12, 0.5
+#: Index of coincidence, class changes per character and serial correlation of language; changes as in identifiers and paths.
+COINCIDENCE, CHANGES, CORRELATION = 0.075, 0.3, 0.35
 #: The three statistics are positively related; variance of their sum.
 SUM_VARIANCE = 4.8
 BINS, LOWEST, HIGHEST = 8, -40, 96
+#: No candidate below this bin (2.25 deviations) is reported, however many others are found.
+LEAST_BIN = 18
 LENGTH_CLASSES = (16, 24, 32, 48, 64, 128)
 
 SPAN = "array<struct<start:bigint,kind:int,stop:bigint>>"
@@ -167,7 +169,7 @@ def cut_offs(scanned: DataFrame, rate: float = 0.05) -> list[tuple[int, int]]:
     reached = totals.select("size", "m", F.explode("bins").alias("b"), "bins").select(
         "size", "m", F.col("b.z").alias("z"),
         F.aggregate("bins", F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["z"] >= F.col("b.z"), x["n"]).otherwise(F.lit(0).cast("bigint"))).alias("found"))
-    good = reached.where((F.col("m") * chance <= rate * F.col("found")) & (F.col("z") > 0))
+    good = reached.where((F.col("m") * chance <= rate * F.col("found")) & (F.col("z") >= LEAST_BIN))
     return [(r["size"], r["z"]) for r in good.groupBy("size").agg(F.min("z").alias("z")).orderBy("size").collect()]
 
 

@@ -100,7 +100,7 @@ def _secrets(rate: float = 0.05) -> str:
     binned AS (SELECT rid, start, stop, size, least(greatest(floor(z * {secrets.BINS}), {secrets.LOWEST}), {secrets.HIGHEST})::INT AS z FROM zs),
     counts AS (SELECT size, z, count(*) AS n FROM binned GROUP BY ALL),
     reached AS (SELECT size, z, sum(n) OVER (PARTITION BY size) AS m, sum(n) OVER (PARTITION BY size ORDER BY z DESC) AS found FROM counts),
-    cuts AS (SELECT size, min(z) AS z FROM reached WHERE z > 0 AND m * ([{tails}])[z - {secrets.LOWEST} + 1]::DOUBLE <= {rate}::DOUBLE * found GROUP BY size),
+    cuts AS (SELECT size, min(z) AS z FROM reached WHERE z >= {secrets.LEAST_BIN} AND m * ([{tails}])[z - {secrets.LOWEST} + 1]::DOUBLE <= {rate}::DOUBLE * found GROUP BY size),
     spans AS (
         SELECT rid, 'assign' AS kind, 0 AS k, start, stop FROM assign WHERE length(value) >= 6
         UNION ALL SELECT rid, 'access', 1, start, stop FROM access UNION ALL SELECT rid, 'hex', 2, start, stop FROM hex
