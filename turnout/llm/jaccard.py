@@ -28,9 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnout.llm.components import components
-from turnout.llm.files import ship
+from turnout.llm.files import ship, written
 from turnout.llm.wordhash import BASE, blocks, mix, windows, words_of
-from turnout.session import durable
 
 #: 2^ORDER_BITS buckets of shingle counts, summed in ranges of 2^RANGE_BITS.
 ORDER_BITS, RANGE_BITS = 22, 16
@@ -133,7 +132,7 @@ def index_rows(docs: DataFrame, words: int, percent: int, weights: np.ndarray) -
                                        pa.array(prefix, pa.list_(pa.int64())), pa.array(head, pa.int64())], names=["doc_id", "text_key", "n", "class", "prefix", "head"])
 
     rows = docs.select("text", "doc_id", "text_key").mapInArrow(index, "doc_id bigint, text_key bigint, n bigint, class bigint, prefix array<bigint>, head bigint")
-    return durable(rows)
+    return written(rows)
 
 
 def _overlap(a: str, b: str, percent: int) -> str:
@@ -147,10 +146,21 @@ def _meet(percent: int) -> str:
     return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND x.n - x.pos >= {need} AND y.n - y.pos >= {need}"
 
 
+def prefix_filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes share enough.
+
+    What two sets share beyond their prefixes is at most what is left of the one whose prefix ends first, so the prefixes
+    themselves must share the rest of the overlap needed.
+    """
+    side = lambda c, p: classes.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(p))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return both.where(f"size(array_intersect(x, y)) >= {_overlap('na', 'nb', percent)} - greatest(na - size(x), nb - size(y))").select("a", "b")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are similar enough."""
     needed = pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).distinct()
-    picked = durable(classes.join(needed, "class").select("class", F.col("first_id").alias("doc_id")))
+    picked = written(classes.join(needed, "class").select("class", F.col("first_id").alias("doc_id")))
     ids = picked.select("doc_id").distinct()
     wanted = docs.join(F.broadcast(ids) if picked.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
@@ -162,7 +172,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
                 yield pa.record_batch([pa.array(whole, pa.int64()), pa.array([g.tobytes() for g in found], pa.binary())], names=["class", "grams"])
 
     held = wanted.select("text").mapInArrow(sets, "class bigint, grams binary").join(picked.select("class"), "class", "left_semi")
-    held = durable(held.dropDuplicates(["class"]))
+    held = written(held.dropDuplicates(["class"]))
     one = pairs.join(held.select(F.col("class").alias("a"), F.col("grams").alias("x")), "a")
     two = one.join(held.select(F.col("class").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -188,11 +198,11 @@ def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, doc_
 
     Rows without a set of shingles or without an id stay as they are.
     """
-    joined = durable(_joined(docs, words, percent, doc_id, text, 2).where("doc_id IS NOT NULL AND n_shingles > 0"))
+    joined = written(_joined(docs, words, percent, doc_id, text, 2).where("doc_id IS NOT NULL AND n_shingles > 0"))
     best = joined.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
     judged = joined.join(best, "root").groupBy("doc_id", "text_key").agg(
         F.max(F.struct("doc_id", "text_key") == F.col("best")).alias("stays"), F.count(F.lit(1)).alias("n"))
-    touched = durable(judged.where("NOT stays OR n > 1"))
+    touched = written(judged.where("NOT stays OR n > 1"))
     side = F.broadcast(touched) if touched.count() <= BROADCAST_IDS else touched
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).cast("bigint").alias("doc_id"),
                         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"))
@@ -208,14 +218,14 @@ def _joined(docs: DataFrame, words: int, percent: int, doc_id: str, text: str, s
     ship(docs.sparkSession)
     rows = index_rows(source, words, percent, bucket_weights(source, words))
     linked = rows.where("doc_id IS NOT NULL AND n > 0")
-    classes = durable(linked.groupBy("class").agg(
+    classes = written(linked.groupBy("class").agg(
         F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("head").alias("head"), F.max_by("prefix", "head").alias("prefix")))
     # A group is named by its smallest class; most groups have one member.
     names = classes.groupBy("n", "head").agg(F.min("class").alias("grp"))
-    members = durable(classes.select("class", "n", "head").join(names, ["n", "head"]).select("class", "grp"))
+    members = written(classes.select("class", "n", "head").join(names, ["n", "head"]).select("class", "grp"))
     groups = classes.join(members.where("class = grp"), "class").select(F.col("grp"), "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
-    postings = durable(groups.join(shared, "gram"))
+    postings = written(groups.join(shared, "gram"))
     within = members.where("class != grp").select(F.col("grp").alias("a"), F.col("class").alias("b"))
     labels = members.withColumn("root", F.col("class"))
     for turn in range(star_rounds + 1):
@@ -224,7 +234,7 @@ def _joined(docs: DataFrame, words: int, percent: int, doc_id: str, text: str, s
         left = postings.join(state, "grp")
         if turn:
             open_grams = left.groupBy("gram").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l != h").select("gram")
-            left = durable(left.join(open_grams, "gram"))
+            left = written(left.join(open_grams, "gram"))
         if turn < star_rounds:
             # Every group meets the pivot of each shingle: the group in which the shingle stands earliest, then another one.
             order = F.struct("pos", "grp", "n") if turn == 0 else F.struct(F.xxhash64("grp", F.lit(turn)).alias("h"), "grp", "n", "pos")
@@ -238,14 +248,14 @@ def _joined(docs: DataFrame, words: int, percent: int, doc_id: str, text: str, s
             met = met.select(F.col("x.grp").alias("a"), F.col("y.grp").alias("b")).distinct()
             inside = labels.alias("p").join(labels.alias("q"), "grp").where("p.class < q.class AND p.root != q.root").select(F.col("p.class").alias("a"), F.col("q.class").alias("b"))
             found = _expanded(met, labels).unionAll(inside)
-        found = durable(found)
+        found = written(prefix_filtered(found, classes, percent))
         if found.isEmpty():
             continue
         root_of = lambda side: labels.select(F.col("class").alias(side), F.col("root").alias(f"r{side}"))  # noqa: B023, E731
         good = verified(found, classes, source, words, percent).join(root_of("a"), "a").join(root_of("b"), "b")
         merged = components(good.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         up = labels.join(merged, labels["root"] == merged["node"], "left")
-        labels = durable(up.select("class", "grp", F.coalesce(merged["root"], labels["root"]).alias("root")))
+        labels = written(up.select("class", "grp", F.coalesce(merged["root"], labels["root"]).alias("root")))
     full = classes.select("class", "first_id").join(labels.select("class", "root"), "class")
     lowest = full.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = full.join(lowest, "root").select("class", "component_id", "root")

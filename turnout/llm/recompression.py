@@ -29,9 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnout.llm.files import ship
+from turnout.llm.files import ship, written
 from turnout.llm.wordhash import BASE, _powers, blocks, mix, windows, words_of
-from turnout.session import durable
 
 #: Rounds of naming.  More rounds give wider contexts and fewer anchors in a window.
 ROUNDS = 3
@@ -167,7 +166,7 @@ def describe(docs: DataFrame, length: int) -> DataFrame:
                     *(batch.column(c).slice(start, stop - start) for c in (1, 2)), pa.array(np.diff(found.bounds), pa.int64()), pa.array(whole, pa.int64()),
                     pa.array(sha), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_words", "whole", "kept_sha256", "keys"])
 
-    return durable(docs.select("text", "doc_id", "text_key").mapInArrow(
+    return written(docs.select("text", "doc_id", "text_key").mapInArrow(
         run, "doc_id bigint, text_key bigint, n_words bigint, whole bigint, kept_sha256 string, keys array<bigint>"))
 
 
@@ -179,10 +178,10 @@ def repeated_words(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     firsts = long.groupBy("whole", "n_words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     rows = rows.join(firsts.select("whole", "n_words", "first"), ["whole", "n_words"], "left").withColumn(
         "copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & (F.col("n_words") >= length)).drop("first", "whole")
-    rows = durable(rows)
+    rows = written(rows)
     held = rows.where(f"NOT copy AND n_words >= {length} AND doc_id IS NOT NULL").select("doc_id", "text_key", F.explode("keys").alias("key"))
     shared = held.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    taking = durable(held.join(shared, "key").groupBy("doc_id", "text_key").agg(F.collect_set("key").alias("keys")))
+    taking = written(held.join(shared, "key").groupBy("doc_id", "text_key").agg(F.collect_set("key").alias("keys")))
     size = taking.agg(F.coalesce(F.sum(F.size("keys") + 1), F.lit(0))).first()[0]
     texts = docs.join(F.broadcast(taking) if size <= BROADCAST_KEYS else taking, ["doc_id", "text_key"])
 
@@ -202,10 +201,10 @@ def repeated_words(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
                         pa.array(at - found.bounds[i], pa.int32()), pa.array(_signed(digests[at]), pa.int64())], names=["doc_id", "text_key", "start", "window"])
 
     found = texts.select("text", "doc_id", "text_key", "keys").mapInArrow(run, "doc_id bigint, text_key bigint, start int, window bigint")
-    found = durable(found)
+    found = written(found)
     least = found.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
-    again = found.join(least, "window").where("doc_id > first").select("doc_id", "text_key", "start").distinct()
-    return rows, durable(again.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("start")).alias("starts")))
+    again = found.join(least, "window").where("doc_id > first").select("doc_id", "text_key", "start")
+    return rows, written(again.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("start")).alias("starts")))
 
 
 def covered(starts: np.ndarray, length: int, words: int) -> np.ndarray:
