@@ -226,8 +226,9 @@ def _joined(docs: DataFrame, words: int, percent: int, doc_id: str, text: str, s
     groups = classes.join(members.where("class = grp"), "class").select(F.col("grp"), "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
     postings = written(groups.join(shared, "gram"))
-    within = members.where("class != grp").select(F.col("grp").alias("a"), F.col("class").alias("b"))
+    within = members.where("class != grp").select(F.least("grp", "class").alias("a"), F.greatest("grp", "class").alias("b"))
     labels = members.withColumn("root", F.col("class"))
+    tested = None
     for turn in range(star_rounds + 1):
         # Only shingles whose groups are not all of one component yet can bring a new link between components.
         state = labels.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
@@ -248,9 +249,12 @@ def _joined(docs: DataFrame, words: int, percent: int, doc_id: str, text: str, s
             met = met.select(F.col("x.grp").alias("a"), F.col("y.grp").alias("b")).distinct()
             inside = labels.alias("p").join(labels.alias("q"), "grp").where("p.class < q.class AND p.root != q.root").select(F.col("p.class").alias("a"), F.col("q.class").alias("b"))
             found = _expanded(met, labels).unionAll(inside)
+        if tested is not None:
+            found = found.join(tested, ["a", "b"], "left_anti")
         found = written(prefix_filtered(found, classes, percent))
         if found.isEmpty():
             continue
+        tested = found if tested is None else tested.unionAll(found)
         root_of = lambda side: labels.select(F.col("class").alias(side), F.col("root").alias(f"r{side}"))  # noqa: B023, E731
         good = verified(found, classes, source, words, percent).join(root_of("a"), "a").join(root_of("b"), "b")
         merged = components(good.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
@@ -268,4 +272,4 @@ def _expanded(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of groups to pairs of their members whose components differ."""
     one = pairs.join(labels.select(F.col("grp").alias("a"), F.col("class").alias("ca"), F.col("root").alias("ra")), "a")
     two = one.join(labels.select(F.col("grp").alias("b"), F.col("class").alias("cb"), F.col("root").alias("rb")), "b")
-    return two.where("ra != rb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    return two.where("ra != rb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
