@@ -33,6 +33,8 @@ from turnout.llm.wordhash import BASE, blocks, mix, windows, words_of
 
 #: 2^ORDER_BITS buckets of shingle counts, summed in ranges of 2^RANGE_BITS.
 ORDER_BITS, RANGE_BITS = 22, 16
+#: At most 2^SLOT_BITS bits (64 MB) tell which indexed shingles may be shared.
+SLOT_BITS = 29
 #: Up to so many ids are broadcast to pick texts for verification; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -135,6 +137,65 @@ def index_rows(docs: DataFrame, words: int, percent: int, weights: np.ndarray) -
     return written(rows)
 
 
+def shared_slots(rows: DataFrame) -> np.ndarray:
+    """Bits of the hash slots that two or more indexed shingles fall into; what falls into others is certainly unique.
+
+    The bitmap has four slots a shingle or more, up to 2^SLOT_BITS; beyond that it filters less, and the join does the rest.
+    """
+    total = rows.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    bits = min(SLOT_BITS, max(20, int(4 * total).bit_length()))
+    size = 1 << max(14, bits - 6)
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = np.sort(_slots(batch.column(0).flatten().to_numpy(zero_copy_only=False), bits))
+            cuts = np.searchsorted(slots, np.arange(0, (1 << bits) + size, size))
+            for r in range(len(cuts) - 1):
+                if cuts[r] < cuts[r + 1]:
+                    part = (slots[cuts[r]:cuts[r + 1]] - r * size).astype("<u4")
+                    yield pa.record_batch([pa.array([r], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["range", "slots"])
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for r, slots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held = seen.setdefault(r, np.zeros(size, np.uint8))
+                once, n = np.unique(np.frombuffer(slots, "<u4"), return_counts=True)
+                held[once] = np.minimum(held[once] + np.minimum(n, 2), 2)
+        for r, held in seen.items():
+            yield pa.record_batch([pa.array([r], pa.int32()), pa.array([np.packbits(held > 1).tobytes()], pa.binary())], names=["range", "bits"])
+
+    placed = rows.select("prefix").mapInArrow(place, "range int, slots binary")
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for row in placed.repartition(64, "range").mapInArrow(add, "range int, bits binary").toLocalIterator():
+        out[row["range"] * size // 8:(row["range"] + 1) * size // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _slots(grams: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(grams.astype(np.uint64) ^ np.uint64(BASE)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def indexed(rows: DataFrame, slots: np.ndarray) -> DataFrame:
+    """(class, doc_id, n, pos, gram) of every row with shingles that may be shared: their places in the prefix, and digests."""
+    table, bits = rows.sparkSession.sparkContext.broadcast(slots), (len(slots) * 8).bit_length() - 1
+
+    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = table.value
+        for batch in batches:
+            prefix = batch.column(3)
+            grams, ends = prefix.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.diff(prefix.offsets.to_numpy()))
+            at = _slots(grams, bits)
+            shared = (held[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            place = np.arange(len(grams)) - np.repeat(np.r_[0, ends[:-1]], np.diff(np.r_[0, ends]))
+            bounds = np.searchsorted(np.flatnonzero(shared), np.r_[0, ends]).astype(np.int32)
+            some = np.diff(bounds) > 0
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(v[shared], kind)) for v, kind in ((place, pa.int32()), (grams, pa.int64()))]
+            yield pa.record_batch([*(batch.column(c) for c in range(3)), *lists], names=["class", "doc_id", "n", "pos", "gram"]).filter(pa.array(some))
+
+    return rows.select("class", "doc_id", "n", "prefix").mapInArrow(pick, "class bigint, doc_id bigint, n bigint, pos array<int>, gram array<bigint>")
+
+
 def _overlap(a: str, b: str, percent: int) -> str:
     """Fewest common shingles of sets of sizes a and b that are similar enough, as SQL."""
     return f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
@@ -146,23 +207,32 @@ def _meet(percent: int) -> str:
     return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND x.n - x.pos >= {need} AND y.n - y.pos >= {need}"
 
 
-def prefix_filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the wanted classes (one column, distinct); these are broadcast up to BROADCAST_IDS."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, wanted.columns, "left_semi")
+
+
+def _both_sides(pairs: DataFrame) -> DataFrame:
+    return written(pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).distinct())
+
+
+def prefix_filtered(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose prefixes share enough.
 
     What two sets share beyond their prefixes is at most what is left of the one whose prefix ends first, so the prefixes
     themselves must share the rest of the overlap needed.
     """
-    side = lambda c, p: classes.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(p))
+    sets = written(picked(rows.select("class", "n", "prefix"), _both_sides(pairs)).dropDuplicates(["class"]))
+    side = lambda c, p: sets.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(p))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     return both.where(f"size(array_intersect(x, y)) >= {_overlap('na', 'nb', percent)} - greatest(na - size(x), nb - size(y))").select("a", "b")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are similar enough."""
-    needed = pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).distinct()
-    picked = written(classes.join(needed, "class").select("class", F.col("first_id").alias("doc_id")))
-    ids = picked.select("doc_id").distinct()
-    wanted = docs.join(F.broadcast(ids) if picked.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    needed = _both_sides(pairs)
+    ids = written(picked(classes, needed).select(F.col("first_id").alias("doc_id")).distinct())
+    wanted = picked(docs, ids)
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,8 +241,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
                 whole = [int(mix(mix(g).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(g)))[0].astype(np.int64)) for g in found]
                 yield pa.record_batch([pa.array(whole, pa.int64()), pa.array([g.tobytes() for g in found], pa.binary())], names=["class", "grams"])
 
-    held = wanted.select("text").mapInArrow(sets, "class bigint, grams binary").join(picked.select("class"), "class", "left_semi")
-    held = written(held.dropDuplicates(["class"]))
+    held = wanted.select("text").mapInArrow(sets, "class bigint, grams binary")
+    held = written(picked(held, needed).dropDuplicates(["class"]))
     one = pairs.join(held.select(F.col("class").alias("a"), F.col("grams").alias("x")), "a")
     two = one.join(held.select(F.col("class").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -218,16 +288,17 @@ def _joined(docs: DataFrame, words: int, percent: int, doc_id: str, text: str, s
     ship(docs.sparkSession)
     rows = index_rows(source, words, percent, bucket_weights(source, words))
     linked = rows.where("doc_id IS NOT NULL AND n > 0")
-    classes = written(linked.groupBy("class").agg(
-        F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("head").alias("head"), F.max_by("prefix", "head").alias("prefix")))
+    classes = written(linked.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("head").alias("head")))
     # A group is named by its smallest class; most groups have one member.
     names = classes.groupBy("n", "head").agg(F.min("class").alias("grp"))
-    members = written(classes.select("class", "n", "head").join(names, ["n", "head"]).select("class", "grp"))
-    groups = classes.join(members.where("class = grp"), "class").select(F.col("grp"), "n", F.posexplode("prefix").alias("pos", "gram"))
+    members = written(classes.join(names, ["n", "head"]).select("class", "grp", "first_id"))
+    heads = members.where("class = grp").select("class", "first_id")
+    index = indexed(linked, shared_slots(linked)).join(heads, "class").where("doc_id = first_id").dropDuplicates(["class"])
+    groups = index.select(F.col("class").alias("grp"), "n", F.inline(F.arrays_zip("pos", "gram")))
     shared = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
     postings = written(groups.join(shared, "gram"))
     within = members.where("class != grp").select(F.least("grp", "class").alias("a"), F.greatest("grp", "class").alias("b"))
-    labels = members.withColumn("root", F.col("class"))
+    labels = members.select("class", "grp", F.col("class").alias("root"))
     tested = None
     for turn in range(star_rounds + 1):
         # Only shingles whose groups are not all of one component yet can bring a new link between components.
@@ -251,7 +322,7 @@ def _joined(docs: DataFrame, words: int, percent: int, doc_id: str, text: str, s
             found = _expanded(met, labels).unionAll(inside)
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
-        found = written(prefix_filtered(found, classes, percent))
+        found = written(prefix_filtered(written(found), linked, percent))
         if found.isEmpty():
             continue
         tested = found if tested is None else tested.unionAll(found)

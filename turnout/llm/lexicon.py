@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkFiles
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnout.llm import wordbpe
-from turnout.llm.files import Output, attempt_file, run_folder, ship
+from turnout.llm.files import Output, attempt_file, run_folder, ship, written
 
 #: Words in the lexicon: it bounds the file that every worker maps.
 LEXICON_WORDS = 1 << 16
@@ -61,8 +62,19 @@ def word_counts(docs: DataFrame, tokenizer: str, text: str = "text", flush_words
 
 
 def frequent_words(counts: DataFrame, most: int = LEXICON_WORDS) -> list[bytes]:
-    """The ``most`` most frequent words; equal counts by word."""
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    """The most frequent words, at most ``most`` of them: all whose count reaches a bound that so many words reach.
+
+    The bound is read off the number of words per count, by leading digits: a few hundred rows however many words there are.
+    """
+    edge = F.expr("n - n % greatest(1, shiftleft(1L, length(bin(n)) - 9))").alias("edge")
+    sizes = {r["edge"]: r["words"] for r in counts.groupBy(edge).agg(F.count(F.lit(1)).alias("words")).collect()}
+    bound, total = None, 0
+    for value in sorted(sizes, reverse=True):
+        total += sizes[value]
+        if total > most:
+            break
+        bound = value
+    return [] if bound is None else [bytes(r["word"]) for r in counts.where(F.col("n") >= bound).select("word").collect()]
 
 
 class Automaton:
@@ -175,7 +187,7 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", words:
         sizes = np.array([len(w) for w in ordered], np.int64)
         return bpe.merge(np.frombuffer(b"".join(ordered), np.uint8), np.cumsum(sizes) - sizes, sizes)
 
-    automaton = Automaton.build(frequent_words(word_counts(docs, tokenizer, text), words), ids_of)
+    automaton = Automaton.build(frequent_words(written(word_counts(docs, tokenizer, text), "words"), words), ids_of)
     uri = attempt_file(run_folder(spark, "lexicon"), "words", ".bin")
     out = Output(uri)
     out.write(automaton.to_bytes())
@@ -223,8 +235,6 @@ def token_ids(bpe: wordbpe.WordBpe, ids: np.ndarray) -> dict:
 
 def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     """Adds ``decoded`` (text) to rows with a column of ids; null ids decode to the empty text."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text_of(column: pd.Series) -> pd.Series:
         bpe = wordbpe.load(tokenizer)

@@ -74,7 +74,9 @@ def measure(docs: DataFrame, text: str = "text", min_words: int = 10, repeat_per
     counts = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w, window).alias("n_repeat_words")))
     line_counts = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"),
                                                 (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    out = docs.withColumns({"_words": counts, "_lines": line_counts}).withColumns({
+    # Not deterministic in Spark's eyes, so that a filter on a measure is not pushed below it, which would compute it again.
+    once = lambda c: F.when(F.spark_partition_id() >= 0, c)
+    out = docs.withColumns({"_words": once(counts), "_lines": once(line_counts)}).withColumns({
         "n_words": F.col("_words.n_words"),
         "word_chars": F.length(F.regexp_replace(whole, SPACE + "+", "")).cast("long"),
         "n_symbols": (F.length(whole) - F.length(F.regexp_replace(whole, "[" + SYMBOLS + "]+", ""))).cast("long"),

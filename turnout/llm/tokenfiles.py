@@ -146,4 +146,4 @@ def document_token_counts(docs: DataFrame, tokenizer: str, end_id: int, doc_id:
     manifest = write_token_files(docs, tokenizer, end_id, doc_id, text)
     files = manifest.groupBy("file").agg(F.max("file_ids").alias("file_ids"))
     counted = count_tokens(files, end_id, id_width(tokenizer), **sizes)
-    return manifest.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
+    return manifest.hint("merge").join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
