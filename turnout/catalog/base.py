@@ -67,7 +67,7 @@ def registrations(spark: SparkSession, folder: str) -> DataFrame:
     born = F.date_add(F.lit("1960-02-29").cast("date"), (F.col("c_custkey") % 14000).cast("int"))
     return base.select(
         F.col("c_custkey").alias("id"),
-        F.lit(1).alias("event_id"),
+        F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(2).alias("event_id"),
         F.concat("c_name", F.lit("@Example.org")).alias("email"),
         normalise_email(F.concat("c_name", F.lit("@Example.org"))).alias("email_normalized"),
         F.col("c_name").alias("full_name"),
@@ -95,7 +95,7 @@ def registrations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 REGS = """regs AS (
-  SELECT c_custkey AS id, 1 AS event_id, c_name || '@Example.org' AS email,
+  SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS event_id, c_name || '@Example.org' AS email,
     nullif(lower(trim(c_name || '@Example.org', ' ')), '') AS email_normalized, c_name AS full_name,
     'p' || c_custkey AS profile_name, lpad(CAST(c_custkey AS VARCHAR), 10, '9') AS mobile,
     CASE c_mktsegment WHEN 'BUILDING' THEN ' College_Student' WHEN 'AUTOMOBILE' THEN 'student'
@@ -186,7 +186,7 @@ def rounds(spark: SparkSession, folder: str) -> DataFrame:
         .agg(F.min(at).alias("opens_at"), F.max(at).alias("closes_at"))
         .select(
             "id",
-            F.lit(2).alias("event_id"),
+            F.when(F.col("id") % 4 == 0, 1).otherwise(2).alias("event_id"),
             F.concat(F.lit("Round "), F.col("id").cast("string")).alias("title"),
             F.when(F.col("id") > 1, F.col("opens_at")).alias("opens_at"),
             "closes_at",
@@ -196,7 +196,7 @@ def rounds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ROUNDS = """rounds AS (
-  SELECT id, 2 AS event_id, 'Round ' || id AS title, CASE WHEN id > 1 THEN opens_at END AS opens_at, closes_at,
+  SELECT id, CASE WHEN id % 4 = 0 THEN 1 ELSE 2 END AS event_id, 'Round ' || id AS title, CASE WHEN id > 1 THEN opens_at END AS opens_at, closes_at,
     CASE id % 3 WHEN 0 THEN 'live' WHEN 1 THEN 'draft' ELSE 'closed' END AS status
   FROM (SELECT CAST(year(o_orderdate) - 1994 AS INTEGER) AS id, min(o_orderdate) AS opens_at,
           max(o_orderdate) AS closes_at FROM orders GROUP BY 1))"""
@@ -252,6 +252,14 @@ def enrolled(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "customer", ["c_custkey"]).select(F.col("c_custkey").alias("participant_id"))
 
 
+def programmes(spark: SparkSession, folder: str) -> DataFrame:
+    """Event 1 is in person, event 2 virtual."""
+    return spark.createDataFrame([(1, "in_person"), (2, "virtual")], "id int, kind string")
+
+
+PROGRAMMES = "programmes AS (SELECT * FROM (VALUES (1, 'in_person'), (2, 'virtual')) p(id, kind))"
+
+
 ENROLLED = "enrolled AS (SELECT c_custkey AS participant_id FROM customer)"
 
 
@@ -287,7 +295,7 @@ ACTIVITY = """activity AS (
 PARTS = {
     "regs": ("", REGS), "subs": ("", SUBS), "ip_subs": ("subs", IP_SUBS), "rounds": ("", ROUNDS),
     "sessions": ("ip_subs", SESSIONS), "signups": ("", SIGNUPS), "ledger": ("", LEDGER),
-    "enrolled": ("", ENROLLED), "activity": ("", ACTIVITY),
+    "enrolled": ("", ENROLLED), "programmes": ("", PROGRAMMES), "activity": ("", ACTIVITY),
 }
 
 

@@ -128,14 +128,15 @@ def funnel_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pair_stats(events.where("event_type = 'view'"), events.where("event_type = 'purchase'"), ["user_id", "day"])
 
 
-@query("""SELECT s.id, s.challenge_id, coalesce(f.first <= r.closes_at, false) AS eligible FROM subs s
-  LEFT JOIN (SELECT email_normalized, min(form_timestamp) AS first FROM regs GROUP BY 1) f
-    ON f.email_normalized = s.leader_email_normalized LEFT JOIN rounds r ON r.id = s.challenge_id""",
-       "subs", "regs", "rounds")
+@query("""SELECT s.id, s.challenge_id, EXISTS (SELECT 1 FROM rounds r JOIN programmes p ON p.id = r.event_id AND p.kind = 'virtual'
+      JOIN regs m ON m.event_id = r.event_id AND m.form_timestamp <= r.closes_at
+      WHERE r.id = s.challenge_id AND m.email_normalized = s.leader_email_normalized) AS eligible FROM subs s""",
+       "subs", "regs", "rounds", "programmes")
 def eligible_submissions(spark: SparkSession, folder: str) -> DataFrame:
     subs = base.submissions(spark, folder).select("id", "challenge_id", "leader_email_normalized")
     out = eligible_members(
-        subs, base.registrations(spark, folder), base.rounds(spark, folder), ("leader_email_normalized", "challenge_id")
+        subs, base.registrations(spark, folder), base.rounds(spark, folder), base.programmes(spark, folder),
+        ("leader_email_normalized", "challenge_id"),
     )
     return out.select("id", "challenge_id", "eligible")
 

@@ -187,9 +187,9 @@ def state_alias_rollup(spark: SparkSession, folder: str) -> DataFrame:
 # --- rounds and eligibility ------------------------------------------------------------------
 
 _ROUND_COUNTS = """, counted AS (SELECT r.*, CASE WHEN opens_at IS NOT NULL THEN
-    (SELECT count(*) FROM regs WHERE form_timestamp <= r.opens_at) END AS registrations_at_open,
+    (SELECT count(*) FROM regs WHERE regs.event_id = r.event_id AND form_timestamp <= r.opens_at) END AS registrations_at_open,
     CASE WHEN closes_at IS NOT NULL THEN
-    (SELECT count(*) FROM regs WHERE form_timestamp <= r.closes_at) END AS registrations_at_close FROM rounds r)"""
+    (SELECT count(*) FROM regs WHERE regs.event_id = r.event_id AND form_timestamp <= r.closes_at) END AS registrations_at_close FROM rounds r)"""
 
 
 @query(_ROUND_COUNTS + " SELECT id, registrations_at_open, registrations_at_close FROM counted", "rounds", "regs")
@@ -203,7 +203,7 @@ def eligible_counts(spark: SparkSession, folder: str) -> DataFrame:
 def registrations_by_moment(spark: SparkSession, folder: str) -> DataFrame:
     """Registrations up to each of many moments, read off a distributed running total."""
     moments = base.read_table(spark, folder, "orders", ["o_orderdate"])
-    counted = counts_not_after(base.registrations(spark, folder), "form_timestamp", moments, "o_orderdate", few=0)
+    counted = counts_not_after(base.registrations(spark, folder), "form_timestamp", moments, "o_orderdate")
     return counted.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("at"), "n")
 
 

@@ -220,24 +220,35 @@ def missing_in_action_by_day(spark: SparkSession, folder: str) -> DataFrame:
     return missing_in_action(views, purchases, ["day", "user_id"])
 
 
-_OPTIONS = """, teams AS (SELECT lower(trim(attendance_city, ' ')) AS city, session_on, session_label, count(*) AS n
-    FROM ip_subs WHERE sheet_kind = 'main' GROUP BY 1, 2, 3),
-  options AS (SELECT s.*, coalesce(n, 0) AS team_count, coalesce(n, 0) > 0 AS has_data FROM sessions s
-    LEFT JOIN teams t ON t.city = s.city AND t.session_on = s.session_on AND t.session_label = s.session_label)"""
+# Sessions as labelled by the teams; postponed tracks play for another event.
+_OPTIONS = """, played AS (SELECT * REPLACE (CASE WHEN track = 'P' THEN 3 ELSE 1 END AS event_id) FROM ip_subs),
+  held AS (SELECT lower(trim(attendance_city, ' ')) AS city, session_on, session_label, min(id) AS id, 1 AS event_id
+    FROM played GROUP BY 1, 2, 3),
+  teams AS (SELECT event_id, lower(trim(attendance_city, ' ')) AS city, session_on, session_label, count(*) AS n
+    FROM played WHERE sheet_kind = 'main' GROUP BY 1, 2, 3, 4),
+  options AS (SELECT s.*, coalesce(n, 0) AS team_count, coalesce(n, 0) > 0 AS has_data FROM held s LEFT JOIN teams t
+    ON t.event_id = s.event_id AND t.city = s.city AND t.session_on = s.session_on AND t.session_label = s.session_label)"""
+
+
+def _options(spark: SparkSession, folder: str) -> DataFrame:
+    subs = base.in_person_submissions(spark, folder).withColumn("event_id", F.when(F.col("track") == "P", 3).otherwise(1))
+    held = subs.groupBy(F.lower(F.trim("attendance_city")).alias("city"), "session_on", "session_label").agg(
+        F.min("id").alias("id")).withColumn("event_id", F.lit(1))
+    return session_options(held, subs)
 
 
 @query(_OPTIONS + """ SELECT id, city, strftime(session_on, '%Y-%m-%d') AS session_on, session_label, team_count, has_data
-  FROM options""", "sessions")
+  FROM options""", "ip_subs")
 def session_options_list(spark: SparkSession, folder: str) -> DataFrame:
-    options = session_options(base.sessions(spark, folder), base.in_person_submissions(spark, folder))
+    options = _options(spark, folder)
     return options.select("id", "city", day_text("session_on"), "session_label", "team_count", "has_data")
 
 
 @query(_OPTIONS + """ SELECT id, city, strftime(session_on, '%Y-%m-%d') AS session_on, session_label, team_count
   FROM options WHERE session_on <= DATE '1999-11-15'
-  ORDER BY options.session_on DESC, team_count DESC, id DESC LIMIT 1""", "sessions")
+  ORDER BY options.session_on DESC, team_count DESC, id DESC LIMIT 1""", "ip_subs")
 def default_session_pick(spark: SparkSession, folder: str) -> DataFrame:
-    options = session_options(base.sessions(spark, folder), base.in_person_submissions(spark, folder))
+    options = _options(spark, folder)
     pick = default_session(options, "session_on", date(1999, 11, 15), "id", "team_count")
     return pick.select("id", "city", day_text("session_on"), "session_label", "team_count")
 

@@ -194,54 +194,62 @@ def append_once(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("id", "participant_id", F.col("delta").cast("double").alias("delta"))
 
 
-# Grants are ledger rows given to the customer of the same number, for the round of their day.
-_GRANTS = """, grants AS (SELECT id AS row_no, participant_id, delta, idempotency_key, challenge_id AS reason,
-    CASE WHEN challenge_id = 'error' THEN NULL WHEN challenge_id = 'view' THEN 99
+# Grants are ledger rows given to the customer of the same number, for the round of their day; every tenth row is
+# the ledger's history.  A key is a customer and a kind of event, so it is used again and again.
+_GRANTS = """, rows AS (SELECT id AS row_no, participant_id, delta, participant_id || '-' || challenge_id AS idempotency_key,
+    challenge_id AS reason, CASE WHEN challenge_id = 'error' THEN NULL WHEN challenge_id = 'view' THEN 99
       ELSE CAST(1 + participant_id % 7 AS INTEGER) END AS round_id,
     CASE WHEN challenge_id = 'error' THEN CAST(1 + participant_id % 3 AS INTEGER) END AS event_id,
-    participant_id % 2 = 0 AS force FROM ledger),
-  judged AS (SELECT g.*, CASE WHEN participant_id IS NULL OR delta IS NULL OR coalesce(reason, '') = ''
-        THEN 'participant_id, delta and reason are required' WHEN g.round_id = 99 THEN 'challenge not found'
-      WHEN g.round_id IS NULL AND g.event_id = 1 THEN 'event_id must reference a virtual event'
-      WHEN g.round_id IS NULL AND g.event_id = 3 THEN 'event not found'
-      WHEN g.round_id IS NOT NULL AND NOT coalesce(f.form_timestamp <= r.closes_at, false) AND NOT force
-        THEN 'participant ineligible for challenge' END AS why
-    FROM grants g LEFT JOIN rounds r ON r.id = g.round_id LEFT JOIN regs f ON f.id = g.participant_id),
-  final AS (SELECT *, CASE WHEN why IS NOT NULL THEN why WHEN row_number() OVER (PARTITION BY idempotency_key, why IS NULL
-    ORDER BY row_no) > 1 THEN 'duplicate' END AS outcome FROM judged)"""
+    id % 3 = 0 AS force FROM ledger),
+  used AS (SELECT DISTINCT idempotency_key FROM rows WHERE row_no % 10 = 0),
+  judged AS (SELECT g.*, CASE WHEN g.round_id IS NOT NULL THEN r.event_id ELSE p.id END AS scope,
+      coalesce(g.reason, '') = '' OR participant_id IS NULL OR delta IS NULL AS incomplete,
+      g.idempotency_key IN (SELECT idempotency_key FROM used) AS known,
+      CASE WHEN g.round_id IS NULL AND g.event_id IS NULL THEN 'no_target'
+        WHEN g.round_id IS NOT NULL AND r.id IS NULL THEN 'unknown_round'
+        WHEN g.round_id IS NULL AND p.id IS NULL THEN 'unknown_programme'
+        WHEN g.round_id IS NULL AND p.kind <> 'virtual' THEN 'not_virtual'
+        WHEN g.round_id IS NOT NULL AND NOT force AND NOT EXISTS (SELECT 1 FROM regs m, programmes e
+            WHERE e.id = r.event_id AND e.kind = 'virtual' AND m.event_id = r.event_id
+              AND m.email_normalized = c.email_normalized AND m.form_timestamp <= r.closes_at)
+          THEN 'participant ineligible for challenge' END AS own
+    FROM rows g LEFT JOIN rounds r ON r.id = g.round_id LEFT JOIN programmes p ON p.id = g.event_id
+      LEFT JOIN regs c ON c.id = g.participant_id WHERE g.row_no % 10 <> 0),
+  final AS (SELECT *, CASE WHEN incomplete THEN 'incomplete' WHEN known THEN 'duplicate'
+      WHEN row_no > min(row_no) FILTER (own IS NULL AND NOT incomplete AND NOT known) OVER (PARTITION BY idempotency_key)
+        THEN 'duplicate' ELSE own END AS outcome FROM judged)"""
 
 
 def _granted(spark: SparkSession, folder: str):
     kind, pid = F.col("challenge_id"), F.col("participant_id")
-    ledger = base.ledger(spark, folder)
-    grants = ledger.select(
-        F.col("id").alias("row_no"), "participant_id", "delta", "idempotency_key", kind.alias("reason"),
+    rows = base.ledger(spark, folder).select(
+        F.col("id").alias("row_no"), "participant_id", "delta",
+        F.concat_ws("-", pid.cast("string"), kind).alias("idempotency_key"), kind.alias("reason"),
         F.when(kind == "error", None).when(kind == "view", 99).otherwise((1 + pid % 7).cast("int")).alias("challenge_id"),
         F.when(kind == "error", (1 + pid % 3).cast("int")).alias("event_id"),
-        (pid % 2 == 0).alias("force"),
+        (F.col("id") % 3 == 0).alias("force"),
     )
-    programmes = spark.createDataFrame([(1, "in_person"), (2, "virtual")], "id int, kind string")
     people = base.registrations(spark, folder).select("id", "email")
     balances = base.enrolled(spark, folder).select(
         "participant_id", F.lit(2).alias("event_id"), F.lit(10).cast("decimal(24,4)").alias("balance")
     )
-    history = ledger.limit(0)
     return grant_credits(
-        grants, history, balances, base.rounds(spark, folder), programmes, people, base.registrations(spark, folder)
+        rows.where("row_no % 10 <> 0"), rows.where("row_no % 10 = 0"), balances, base.rounds(spark, folder),
+        base.programmes(spark, folder), people, base.registrations(spark, folder),
     )
 
 
-@query(_GRANTS + """ SELECT c.participant_id, 2 AS event_id,
-    10 + coalesce((SELECT CAST(sum(delta) AS DOUBLE) FROM final f WHERE f.participant_id = c.participant_id
-      AND outcome IS NULL), 0) AS balance
-  FROM enrolled c""", "ledger", "rounds", "regs", "enrolled")
+@query(_GRANTS + """ SELECT participant_id, event_id, CAST(sum(amount) AS DOUBLE) AS balance FROM (
+    SELECT participant_id, 2 AS event_id, CAST(10 AS DECIMAL(14,4)) AS amount FROM enrolled
+    UNION ALL SELECT participant_id, scope, delta FROM final WHERE outcome IS NULL) GROUP BY 1, 2""",
+       "ledger", "rounds", "regs", "programmes", "enrolled")
 def grant_credits_balances(spark: SparkSession, folder: str) -> DataFrame:
     out = _granted(spark, folder).balances.drop("_action")
     return out.withColumn("balance", F.col("balance").cast("double"))
 
 
 @query(_GRANTS + " SELECT outcome, count(*) AS n FROM final WHERE outcome IS NOT NULL GROUP BY 1",
-       "ledger", "rounds", "regs")
+       "ledger", "rounds", "regs", "programmes")
 def grant_credits_rejects(spark: SparkSession, folder: str) -> DataFrame:
     rejects = _granted(spark, folder).rejects
     return rejects.groupBy(F.col("reason_rejected").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))

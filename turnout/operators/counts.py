@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 
 from turnout.functions.dates import business_date, business_hour
 from turnout.functions.text import as_col, not_blank
-from turnout.operators.ordering import running_total, top_per_group
-
-#: Most moments that are counted as one conditional count each.
-FEW_MOMENTS = 64
+from turnout.operators.ordering import bucketed_total, top_per_group
 
 
 def label_counts(df: DataFrame, label: Column | str, n: int | None = None, name: str = "label") -> DataFrame:
@@ -26,13 +23,13 @@ def label_counts(df: DataFrame, label: Column | str, n: int | None = None, name:
     return ordered.limit(n) if n is not None else ordered
 
 
-def facet_values(df: DataFrame, columns: Sequence[str], cap: int = 300) -> DataFrame:
-    """First ``cap`` distinct non-blank trimmed values of each column, in one scan."""
+def facet_values(df: DataFrame, columns: Sequence[str], cap: int | None = None) -> DataFrame:
+    """Distinct non-blank trimmed values of each column, all or the first ``cap``, in one scan."""
     pairs = F.explode(
         F.array(*[F.struct(F.lit(c).alias("facet"), F.trim(F.col(c).cast("string")).alias("value")) for c in columns])
     )
     values = df.select(pairs.alias("p")).select("p.facet", "p.value").where(not_blank("value")).distinct()
-    return top_per_group(values, ["facet"], [F.asc("value")], cap)
+    return values if cap is None else top_per_group(values, ["facet"], [F.asc("value")], cap)
 
 
 def options_with_extras(df: DataFrame, column: str, extras: Sequence[str] = ()) -> DataFrame:
@@ -88,43 +85,24 @@ def hourly_counts(df: DataFrame, ts: str) -> DataFrame:
 
 
 def counts_not_after(
-    points: DataFrame, ts: str, moments: DataFrame, moment: str, name: str = "n", few: int = FEW_MOMENTS
+    points: DataFrame, ts: str, moments: DataFrame, moment: str, name: str = "n", by: Sequence[str] = ()
 ) -> DataFrame:
-    """For each distinct non-NULL moment, how many points are at or before it.
+    """For each distinct non-NULL moment of each ``by`` group, how many points of the group are at or before it.
 
-    Up to ``few`` moments become conditional counts in a single aggregation.  More are merged
-    into the time-ordered points and read off a distributed running total, so no point is
-    ever paired with a moment.
+    The moments are merged into the counted points and read off a running total by day, so no point is ever paired
+    with a moment.
     """
-    marks = moments.select(F.col(moment).alias("_at")).where("_at IS NOT NULL").distinct()
-    head = [r[0] for r in marks.select(F.col("_at").cast("string")).limit(few + 1).collect()]
+    by = list(by)
+    marks = moments.select(*by, F.col(moment).alias("_at")).where("_at IS NOT NULL").distinct()
     kind = marks.schema["_at"].dataType
-    if len(head) <= few:
-        if not head:
-            return marks.select(F.col("_at").alias(moment), F.lit(0).cast("long").alias(name))
-        texts = sorted(head)
-        tallies = points.agg(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(t).cast(kind).alias("_at"),
-                        F.count(F.when(F.col(ts) <= F.lit(t).cast(kind), 1)).alias("_n"),
-                    )
-                    for t in texts
-                ]
-            ).alias("_all")
-        )
-        return tallies.select(F.explode("_all").alias("x")).select(
-            F.col("x")["_at"].alias(moment), F.col("x")["_n"].alias(name)
-        )
-    seen = points.where(F.col(ts).isNotNull()).groupBy(F.col(ts).cast(kind).alias("_at")).agg(
-        F.count(F.lit(1)).alias("_w")
+    seen = points.where(F.col(ts).isNotNull()).groupBy(*by, F.col(ts).cast(kind).alias("_at")).agg(
+        F.count(F.lit(1)).alias("_points")
     )
     line = seen.withColumn("_mark", F.lit(False)).unionByName(
-        marks.withColumn("_w", F.lit(0).cast("long")).withColumn("_mark", F.lit(True))
+        marks.withColumn("_points", F.lit(0).cast("long")).withColumn("_mark", F.lit(True))
     )
-    run = running_total(line, [F.col("_at"), F.col("_mark")], F.col("_w"), "_n")
-    return run.where("_mark").select(F.col("_at").alias(moment), F.col("_n").alias(name))
+    run = bucketed_total(line, [F.col("_at"), F.col("_mark")], F.to_date("_at"), F.col("_points"), "_n", by)
+    return run.where("_mark").select(*by, F.col("_at").alias(moment), F.col("_n").alias(name))
 
 
 def alias_rollup(

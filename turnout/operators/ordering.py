@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from turnout.session import durable
 
-#: Last rank that is still produced by a top-k sort; deeper pages use the full ranking.
-DEEP_PAGE = 10_000
-
 _PART = "_range_part"
 
 
@@ -67,6 +64,36 @@ def running_total(
     return out.drop("_w", _PART, "_o_part", "_offset", "_total", *[f"_o_{b}" for b in by])
 
 
+def bucketed_total(
+    df: DataFrame, order: Sequence[Column], bucket: Column, weight: Column, name: str, by: Sequence[str] = (),
+    total_name: str | None = None,
+) -> DataFrame:
+    """Inclusive running sum of ``weight`` in ``order`` within each ``by`` group, without a job of its own.
+
+    ``bucket`` must not decrease along ``order``; it depends on the row alone, so nothing has to be pinned.  Each
+    bucket is summed in its own task, and one row per bucket carries the sums before it.
+    """
+    by = list(by)
+    keyed = df.withColumns({"_b": bucket, "_w": weight})
+    sums = keyed.groupBy(*by, "_b").agg(F.sum("_w").alias("_part_sum"))
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        *[F.col(b).alias(f"_o_{b}") for b in by],
+        F.col("_b").alias("_o_b"),
+        F.coalesce(F.sum("_part_sum").over(earlier), F.lit(0)).alias("_offset"),
+        F.sum("_part_sum").over(group).alias("_total"),
+    )
+    match = F.col("_b") == F.col("_o_b")
+    for b in by:
+        match = match & F.col(b).eqNullSafe(F.col(f"_o_{b}"))
+    local = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = keyed.join(offsets, match).withColumn(name, F.col("_offset") + F.sum("_w").over(local))
+    if total_name:
+        out = out.withColumn(total_name, F.col("_total"))
+    return out.drop("_b", "_w", "_o_b", "_offset", "_total", *[f"_o_{b}" for b in by])
+
+
 def global_rank(
     df: DataFrame,
     order: Sequence[Column],
@@ -80,40 +107,32 @@ def global_rank(
     With ``ties`` (the leading sort columns) equal rows share the rank of the first of them,
     as SQL ``RANK()`` does; ``row_name`` then also gives the plain row number.
     """
-    ranged = _ranged(df, order, partitions)
-    window = Window.partitionBy(_PART).orderBy(*order)
-    local = ranged.withColumn("_n", F.row_number().over(window))
-    # At most one row per range partition from here on, so the unpartitioned window is small.
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The place within the sorted range partition is in the low 33 bits of the id, the partition above them.  It is
+    # pinned before it is used, as a recomputation could draw other range bounds.
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = durable(placed).withColumn(_PART, F.shiftright("_id", 33))
+    # One row per range partition, so the unpartitioned window and the broadcast are small.
     sizes = ranged.groupBy(_PART).agg(F.count(F.lit(1)).alias("_size"))
     offsets = sizes.select(
         F.col(_PART).alias("_o_part"),
         F.coalesce(
             F.sum("_size").over(Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("_offset"),
-        "_size",
     )
-    numbered = local.join(offsets, F.col(_PART) == F.col("_o_part")).withColumn("_row", F.col("_offset") + F.col("_n"))
+    row = F.col("_offset") + F.col("_id") - F.shiftleft(F.col(_PART), 33) + 1
+    numbered = ranged.join(F.broadcast(offsets), F.col(_PART) == F.col("_o_part")).withColumn("_row", row)
+    numbered = numbered.drop(_PART, "_id", "_o_part", "_offset")
     if not ties:
-        return numbered.withColumn(name, F.col("_row")).drop(_PART, "_n", "_o_part", "_offset", "_size", "_row")
-
-    # Within a partition the first row of a tie is local.  A tie that crosses a border is the
-    # last one of a partition and the first one of the next, so its true start is the smallest
-    # start seen among the first and last rows of all partitions.
-    tie_window = Window.partitionBy(_PART, *ties).orderBy(*order)
-    numbered = numbered.withColumn("_start", F.min("_row").over(tie_window))
-    edge_rows = numbered.where((F.col("_n") == 1) | (F.col("_n") == F.col("_size")))
-    edges = edge_rows.groupBy(*[F.col(t).alias(f"_e_{t}") for t in ties]).agg(F.min("_start").alias("_edge_start"))
+        return numbered.withColumnRenamed("_row", name)
+
+    # Equal rows share the smallest row number among them.
+    starts = numbered.groupBy(*[F.col(t).alias(f"_e_{t}") for t in ties]).agg(F.min("_row").alias(name))
     match = F.lit(True)
     for t in ties:
         match = match & F.col(t).eqNullSafe(F.col(f"_e_{t}"))
-    # ``edges`` holds at most two rows per range partition.
-    ranked = numbered.join(F.broadcast(edges), match, "left").withColumn(
-        name, F.least(F.col("_start"), F.coalesce(F.col("_edge_start"), F.col("_start")))
-    )
-    if row_name:
-        ranked = ranked.withColumn(row_name, F.col("_row"))
-    scratch = [_PART, "_n", "_o_part", "_offset", "_size", "_row", "_start", "_edge_start"]
-    return ranked.drop(*scratch, *[f"_e_{t}" for t in ties])
+    ranked = numbered.join(starts, match).drop(*[f"_e_{t}" for t in ties])
+    return ranked.withColumnRenamed("_row", row_name) if row_name else ranked.drop("_row")
 
 
 def ranked_page(
@@ -127,14 +146,9 @@ def ranked_page(
     """Rows ``offset + 1 .. offset + limit`` of the ranking, with their rank.
 
     The first ``offset + limit`` rows are a distributed top-k; ranks depend only on earlier
-    rows, so numbering that prefix is exact.  Deep pages rank the table instead.
+    rows, so numbering that prefix is exact.  For pages far down, ``deep_page`` ranks the table.
     """
     order = list(order)
-    if offset + limit > DEEP_PAGE:
-        place = "_place" if ties else name
-        ranked = global_rank(df, order, ties=ties, name=name, row_name="_place")
-        page = ranked.where(F.col(place).between(offset + 1, offset + limit))
-        return page.drop("_place") if ties else page
     window = Window.orderBy(*order)
     number = F.rank().over(Window.orderBy(*order[: len(ties)])) if ties else F.row_number().over(window)
     top = df.orderBy(*order).limit(offset + limit)
@@ -142,6 +156,16 @@ def ranked_page(
     return page.where(F.col("_row") > offset).drop("_row")
 
 
+def deep_page(
+    df: DataFrame, order: Sequence[Column], limit: int, offset: int, ties: Sequence[str] | None = None, name: str = "rank"
+) -> DataFrame:
+    """As ``ranked_page`` from the full ranking, for offsets too large to sort in one task."""
+    place = "_place" if ties else name
+    ranked = global_rank(df, order, ties=ties, name=name, row_name="_place" if ties else None)
+    page = ranked.where(F.col(place).between(offset + 1, offset + limit))
+    return page.drop("_place") if ties else page
+
+
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """First ``n`` rows of each group.
 

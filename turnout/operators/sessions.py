@@ -15,10 +15,11 @@ from turnout.operators.dedupe import keep_first, latest_per_key
 
 
 def session_options(sessions: DataFrame, subs: DataFrame) -> DataFrame:
-    """Sessions with the number of main-sheet teams, newest first."""
+    """Sessions with the number of main-sheet teams of the same event, newest first."""
     teams = (
         subs.where("sheet_kind = 'main'")
         .groupBy(
+            F.col("event_id").alias("_event"),
             F.lower(F.trim("attendance_city")).alias("_city"),
             F.col("session_on").alias("_on"),
             F.coalesce("session_label", F.lit("")).alias("_label"),
@@ -26,7 +27,8 @@ def session_options(sessions: DataFrame, subs: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     match = (
-        (F.lower(F.trim("city")) == F.col("_city"))
+        (F.col("event_id") == F.col("_event"))
+        & (F.lower(F.trim("city")) == F.col("_city"))
         & (F.col("session_on") == F.col("_on"))
         & (F.coalesce("session_label", F.lit("")) == F.col("_label"))
     )
@@ -50,14 +52,14 @@ def default_session(options: DataFrame, on: str, today: date, row_id: str, size:
     return options.orderBy(past.desc(), distance.asc(), *bigger, F.desc(row_id)).limit(1)
 
 
-def session_list(regs: DataFrame, subs: DataFrame, cap: int = 80) -> DataFrame:
-    """Dated sessions named by registrations, then those only submissions name."""
+def session_list(regs: DataFrame, subs: DataFrame, cap: int | None = None) -> DataFrame:
+    """Dated sessions named by registrations, then those only submissions name; all or the first ``cap``."""
     named = regs.where("session_on IS NOT NULL").select(
         coalesce_label("attendance_city", "city", default="(Unknown)").alias("city"),
         "session_on",
         F.trim(F.coalesce("session_label", F.lit(""))).alias("session_label"),
         F.lit(0).alias("_source"),
-    ).distinct().orderBy("session_on", "city", "session_label").limit(cap)
+    ).distinct()
     played = subs.where("sheet_kind = 'main' AND session_on IS NOT NULL AND trim(attendance_city) <> ''").select(
         F.trim("attendance_city").alias("city"),
         "session_on",
@@ -66,11 +68,9 @@ def session_list(regs: DataFrame, subs: DataFrame, cap: int = 80) -> DataFrame:
     ).distinct()
     keyed = named.unionByName(played).withColumn("scope_key", scope_key("city", "session_on", "session_label"))
     first = keep_first(keyed, ["scope_key"], ["_source", "city"]).drop("_source")
-    return (
-        first.withColumn("display", session_display("city", "session_on", "session_label"))
-        .orderBy("session_on", F.lower("city"), "session_label", "city")
-        .limit(cap)
-    )
+    ordered = first.withColumn("display", session_display("city", "session_on", "session_label")).orderBy(
+        "session_on", F.lower("city"), "session_label", "city")
+    return ordered if cap is None else ordered.limit(cap)
 
 
 def rsvp_overlay(sessions: DataFrame, manual: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -100,12 +100,12 @@ def rsvp_overlay(sessions: DataFrame, manual: DataFrame, snapshots: DataFrame) -
 
 
 def latest_snapshots(scopes: DataFrame, mappings: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Every scope with its mapping and latest snapshot, where present."""
+    """Every scope with its mapping (the last one, if it has several) and latest snapshot, where present."""
     latest = latest_per_key(snapshots, ["scope_key"], ["fetched_at", "id"])
     latest = latest.select(
         F.col("scope_key").alias("_scope"), "rsvp_invite_sent", "rsvp_accepted", "checked_in_participants", "fetched_at"
     )
-    named = mappings.select(F.col("scope_key").alias("_mapped"), "external_key")
+    named = mappings.groupBy(F.col("scope_key").alias("_mapped")).agg(F.max("external_key").alias("external_key"))
     return (
         scopes.join(named, F.col("scope_key") == F.col("_mapped"), "left")
         .join(latest, F.col("scope_key") == F.col("_scope"), "left")
@@ -113,6 +113,11 @@ def latest_snapshots(scopes: DataFrame, mappings: DataFrame, snapshots: DataFram
     )
 
 
+def event_snapshots(snapshots: DataFrame, event_id: str = "event_id") -> DataFrame:
+    """The latest snapshot of every scope of every event."""
+    return latest_per_key(snapshots, [event_id, "scope_key"], ["fetched_at", "id"])
+
+
 def rsvp_buckets(members: DataFrame, email: str) -> DataFrame:
     """Strongest bucket per address from (list key, address) rows."""
     strength = F.lit(None).cast("int")
@@ -141,17 +146,17 @@ def pick_round(rounds: DataFrame, requested: int | None = None, configured: int
     return rounds.orderBy(hit.desc(), *round_order()).limit(1)
 
 
-def round_counts(rounds: DataFrame, regs: DataFrame, few: int | None = None) -> DataFrame:
-    """Rounds with registrations at open and at close; NULL where the bound is not set."""
-    options = {} if few is None else {"few": few}
-    bounds = rounds.select(F.col("opens_at").alias("_at")).unionByName(rounds.select(F.col("closes_at").alias("_at")))
-    counted = counts_not_after(regs, "form_timestamp", bounds, "_at", "_n", **options)
-    at_open = counted.select(F.col("_at").alias("_o"), F.col("_n").alias("registrations_at_open"))
-    at_close = counted.select(F.col("_at").alias("_c"), F.col("_n").alias("registrations_at_close"))
+def round_counts(rounds: DataFrame, regs: DataFrame) -> DataFrame:
+    """Rounds with their event's registrations at open and at close; NULL where the bound is not set."""
+    bounds = rounds.select("event_id", F.col("opens_at").alias("_at")).unionByName(
+        rounds.select("event_id", F.col("closes_at").alias("_at")))
+    counted = counts_not_after(regs, "form_timestamp", bounds, "_at", "_n", ["event_id"])
+    at_open = counted.select(F.col("event_id").alias("_oe"), F.col("_at").alias("_o"), F.col("_n").alias("registrations_at_open"))
+    at_close = counted.select(F.col("event_id").alias("_ce"), F.col("_at").alias("_c"), F.col("_n").alias("registrations_at_close"))
     return (
-        rounds.join(at_open, F.col("opens_at") == F.col("_o"), "left")
-        .join(at_close, F.col("closes_at") == F.col("_c"), "left")
-        .drop("_o", "_c")
+        rounds.join(at_open, (F.col("opens_at") == F.col("_o")) & F.col("event_id").eqNullSafe(F.col("_oe")), "left")
+        .join(at_close, (F.col("closes_at") == F.col("_c")) & F.col("event_id").eqNullSafe(F.col("_ce")), "left")
+        .drop("_o", "_c", "_oe", "_ce")
     )
 
 
@@ -166,19 +171,24 @@ def eligibility_summary(regs: DataFrame, closes_at: Column, as_of: datetime) ->
     )
 
 
-def eligible_members(members: DataFrame, regs: DataFrame, rounds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``members`` (e-mail and round) with ``eligible``: registered no later than the round's close.
+def eligible_members(
+    members: DataFrame, regs: DataFrame, rounds: DataFrame, programmes: DataFrame, keys: Sequence[str]
+) -> DataFrame:
+    """``members`` (e-mail and round) with ``eligible``: registered for the round's event, which is a virtual
+    programme, no later than the round's close.
 
-    Only the first registration of an address matters, so no range join is needed.
+    Only the first registration of an address for an event matters, so no range join is needed.
     """
-    first = regs.where("form_timestamp IS NOT NULL").groupBy(F.col("email_normalized").alias("_reg_email")).agg(
-        F.min("form_timestamp").alias("_reg_first")
-    )
-    close = rounds.select(F.col("id").alias("_close_round"), F.col("closes_at").alias("_close_at"))
+    first = regs.where("form_timestamp IS NOT NULL").groupBy(
+        F.col("event_id").alias("_reg_event"), F.col("email_normalized").alias("_reg_email")
+    ).agg(F.min("form_timestamp").alias("_reg_first"))
+    virtual = programmes.where("kind = 'virtual'").select(F.col("id").alias("_virtual")).distinct()
+    close = rounds.join(virtual, F.col("event_id") == F.col("_virtual"), "left_semi").select(
+        F.col("id").alias("_close_round"), F.col("event_id").alias("_close_event"), F.col("closes_at").alias("_close_at"))
     email, round_id = keys
     return (
-        members.join(first, F.col(email) == F.col("_reg_email"), "left")
-        .join(close, F.col(round_id) == F.col("_close_round"), "left")
+        members.join(close, F.col(round_id) == F.col("_close_round"), "left")
+        .join(first, (F.col(email) == F.col("_reg_email")) & (F.col("_close_event") == F.col("_reg_event")), "left")
         .withColumn("eligible", F.coalesce(F.col("_reg_first") <= F.col("_close_at"), F.lit(False)))
-        .drop("_reg_email", "_reg_first", "_close_round", "_close_at")
+        .drop("_reg_event", "_reg_email", "_reg_first", "_close_round", "_close_event", "_close_at")
     )

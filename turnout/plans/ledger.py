@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from turnout.functions.numbers import MONEY
 from turnout.functions.text import normalise_email
 from turnout.operators.merge import upsert
-from turnout.operators.dedupe import keep_first
 from turnout.operators.sessions import eligible_members
 
 
+#: Why a grant is refused.  The text of NOT_ELIGIBLE is a fixed value, the others are codes of this library.
+INCOMPLETE, DUPLICATE, NO_TARGET = "incomplete", "duplicate", "no_target"
+UNKNOWN_ROUND, UNKNOWN_PROGRAMME, NOT_VIRTUAL = "unknown_round", "unknown_programme", "not_virtual"
+NOT_ELIGIBLE = "participant ineligible for challenge"
+
+
 @dataclass(frozen=True)
 class Granted:
+    tagged: DataFrame  # every grant with reason_rejected (NULL if accepted); the others are filters on it
     ledger: DataFrame  # rows to append
     balances: DataFrame  # balances after the batch, with _action
     rejects: DataFrame  # refused grants, with a reason
@@ -27,10 +33,10 @@ def grant_credits(
 ) -> Granted:
     """Apply a batch of grants.
 
-    A grant is dropped as a duplicate when its idempotency key was used; rejected when it
-    lacks a participant, amount or reason, when its round or programme does not exist or is
-    not virtual, or when the participant was not registered by the round's close and
-    ``force`` is not set.  ``row_no`` orders the batch.
+    A grant without participant, amount or reason is incomplete.  Next, it is a duplicate when its idempotency key
+    was used, in the ledger or by an accepted grant before it; this goes before all other checks.  Then its round or
+    programme must exist and be virtual, and the participant must have registered for the round's event by its
+    close unless ``force`` is set.  ``row_no`` orders the batch.
     """
     incomplete = (
         F.col("participant_id").isNull() | F.col("delta").isNull() | (F.coalesce("reason", F.lit("")) == "")
@@ -46,38 +52,33 @@ def grant_credits(
             F.when(F.col("_kind") == "virtual", F.col("_programme"))
         ))
     )
-    gated = eligible_members(scoped, regs, rounds, ("_email", "challenge_id"))
+    gated = eligible_members(scoped, regs, rounds, programmes, ("_email", "challenge_id"))
     needs_gate = F.col("challenge_id").isNotNull() & ~F.col("eligible")
     forced = F.coalesce("force", F.lit(False))
     seen = ledger.where("idempotency_key IS NOT NULL").select(F.col("idempotency_key").alias("_seen")).distinct()
     checked = gated.join(seen, F.col("idempotency_key") == F.col("_seen"), "left").withColumn(
-        "reason_rejected",
-        F.when(incomplete, "participant_id, delta and reason are required")
-        .when(F.col("_seen").isNotNull(), "duplicate")
-        .when(F.col("challenge_id").isNull() & F.col("event_id").isNull(), "challenge_id or event_id is required")
-        .when(F.col("challenge_id").isNotNull() & F.col("_round").isNull(), "challenge not found")
-        .when(F.col("challenge_id").isNull() & F.col("_programme").isNull(), "event not found")
-        .when(F.col("_scope").isNull(), "event_id must reference a virtual event")
-        .when(needs_gate & ~forced, "participant ineligible for challenge"),
-    )
-    accepted = checked.where("reason_rejected IS NULL").withColumn("force_ineligible", needs_gate & forced)
-    # Inside the batch the first acceptable grant of an idempotency key wins; the others are duplicates.
-    keyed = accepted.where("idempotency_key IS NOT NULL")
-    first = keep_first(keyed, ["idempotency_key"], ["row_no"])
-    applied = first.select(*accepted.columns).unionByName(accepted.where("idempotency_key IS NULL"))
-    winners = first.select(F.col("idempotency_key").alias("_w"), F.col("row_no").alias("_w_row"))
-    repeated = (
-        keyed.join(winners, F.col("idempotency_key") == F.col("_w"))
-        .where(F.col("row_no") > F.col("_w_row"))
-        .withColumn("reason_rejected", F.lit("duplicate"))
-    )
-    rejects = checked.where("reason_rejected IS NOT NULL").select(*grants.columns, "reason_rejected").unionByName(
-        repeated.select(*grants.columns, "reason_rejected")
+        "_own",
+        F.when(incomplete, INCOMPLETE)
+        .when(F.col("_seen").isNotNull(), DUPLICATE)
+        .when(F.col("challenge_id").isNull() & F.col("event_id").isNull(), NO_TARGET)
+        .when(F.col("challenge_id").isNotNull() & F.col("_round").isNull(), UNKNOWN_ROUND)
+        .when(F.col("challenge_id").isNull() & F.col("_programme").isNull(), UNKNOWN_PROGRAMME)
+        .when(F.col("_scope").isNull(), NOT_VIRTUAL)
+        .when(needs_gate & ~forced, NOT_ELIGIBLE),
     )
-    rows = applied.select(
+    # The first acceptable grant of an idempotency key uses it; what comes later with it is a duplicate.
+    users = checked.where("_own IS NULL AND idempotency_key IS NOT NULL").groupBy(F.col("idempotency_key").alias("_key")).agg(
+        F.min("row_no").alias("_used_at"))
+    late = F.coalesce(F.col("row_no") > F.col("_used_at"), F.lit(False)) & ~incomplete
+    tagged = checked.join(users, F.col("idempotency_key") == F.col("_key"), "left").withColumn(
+        "reason_rejected", F.when(late, DUPLICATE).otherwise(F.col("_own"))
+    ).withColumn("force_ineligible", needs_gate & forced).select(
+        *grants.columns, "reason_rejected", "force_ineligible", "_scope")
+    rejects = tagged.where("reason_rejected IS NOT NULL").select(*grants.columns, "reason_rejected")
+    rows = tagged.where("reason_rejected IS NULL").select(
         "participant_id", "challenge_id", F.col("delta").cast(MONEY).alias("delta"), "reason", "idempotency_key",
         "force_ineligible", F.col("_scope").alias("event_id"),
     )
     deltas = rows.groupBy("participant_id", "event_id").agg(F.sum("delta").alias("balance"))
     merged = upsert(balances, deltas, ["participant_id", "event_id"], additive=["balance"])
-    return Granted(rows, merged, rejects)
+    return Granted(tagged, rows, merged, rejects)
