@@ -97,6 +97,8 @@ def test_business_day_starts_at_1830_utc(spark):
 
 
 @pytest.mark.parametrize("raw, expected", [("2026-05-04", date(2026, 5, 4)), ("1970-01-01", None), ("4 May", None),
+                                           ("5/4/2026", date(2026, 5, 4)), ("15/04/2026", date(2026, 4, 15)), ("15-04-2026 10:00", date(2026, 4, 15)),
+                                           ("May 4, 2026", date(2026, 5, 4)), ("4 MAY 2026", date(2026, 5, 4)), ("2026/05/04", date(2026, 5, 4)), ("13/13/2026", None),
                                            (" 2026-05-04 00:00:00", date(2026, 5, 4))])
 def test_parse_date(spark, raw, expected):
     assert one(spark, dates.parse_date_text("x"), raw) == expected
@@ -105,10 +107,12 @@ def test_parse_date(spark, raw, expected):
 def test_effective_range():
     low, high = date(2024, 1, 10), date(2024, 3, 1)
     assert dates.effective_range(None, None, low, high) is None
-    assert dates.effective_range(date(2024, 2, 1), None, low, high) == (date(2024, 2, 1), high)
+    assert dates.effective_range(date(2024, 2, 1), None, low, high) == (date(2024, 2, 1), date(2024, 2, 1))
+    assert dates.effective_range(None, date(2024, 2, 1), low, high) == (low, date(2024, 2, 1))
     assert dates.effective_range(date(2024, 2, 20), date(2024, 2, 1), low, high) == (date(2024, 2, 1), date(2024, 2, 20))
     assert dates.effective_range(date(2020, 1, 1), date(2030, 1, 1), low, high) == (low, high)
-    assert dates.effective_range(date(2000, 1, 1), None, date(2000, 1, 1), date(2010, 1, 1))[1] == date(2001, 2, 4)
+    assert dates.effective_range(None, date(2010, 1, 1), date(2000, 1, 1), date(2010, 1, 1)) == (date(2000, 1, 1), date(2010, 1, 1))
+    assert dates.effective_range(None, date(2010, 1, 1), date(2000, 1, 1), date(2010, 1, 1), max_days=400)[1] == date(2001, 2, 4)
 
 
 @pytest.mark.parametrize("raw, expected", [("730d", (730, "days")), ("12 months", (12, "months")), ("6", (6, "days")),

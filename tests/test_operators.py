@@ -39,14 +39,12 @@ def test_rank_of_one_value_everywhere(spark):
     assert {r.rank for r in got.collect()} == {1}
 
 
-def test_deep_page_equals_shallow_page(spark, monkeypatch):
+def test_deep_page_equals_shallow_page(spark):
     df = numbers(spark, [float(i % 11) for i in range(200)])
     order = [F.desc("x"), F.asc("id")]
     for ties in (None, ["x"]):
         shallow = ordering.ranked_page(df, order, 20, 30, ties=ties).collect()
-        with monkeypatch.context() as m:
-            m.setattr(ordering, "DEEP_PAGE", 10)
-            deep = ordering.ranked_page(df, order, 20, 30, ties=ties).select(*df.columns, "rank").collect()
+        deep = ordering.deep_page(df, order, 20, 30, ties=ties).select(*df.columns, "rank").collect()
         assert {tuple(r) for r in shallow} == {tuple(r) for r in deep} and len(deep) == 20
 
 
@@ -74,18 +72,20 @@ def test_histogram_counts_every_value(spark, values, bins):
     got = distribution.histogram(numbers(spark, [float(v) for v in values]), "x", bins).orderBy("bin").collect()
     assert sum(r["count"] for r in got) == len(values)
     assert got[0].low == min(values) and got[-1].high == max(values)
-    assert len(got) == (1 if len(set(values)) == 1 else min(max(bins, 3), 50))
+    assert len(got) == (1 if len(set(values)) == 1 else bins)
 
 
 def test_histogram_of_nothing(spark):
     assert distribution.histogram(numbers(spark, [None]), "x").count() == 0
+    with pytest.raises(ValueError):
+        distribution.histogram(numbers(spark, [1.0]), "x", 0)
 
 
-def test_percentiles_beyond_memory_equal_the_builtin(spark):
-    data = [("hot", float((i * 7919) % 1000)) for i in range(1500)] + [("one", 3.0), ("two", 1.0), ("two", 2.0), ("none", None)]
+def test_percentiles_equal_the_builtin(spark):
+    data = [("hot", (i * 7919) % 1000 - 300.5) for i in range(1500)] + [("one", 3.0), ("two", 1.0), ("two", 2.0), ("none", None)]
     df = spark.createDataFrame(data, "g string, x double")
-    near = {r.g: r.percentiles for r in distribution.exact_percentiles(df, "x", by=["g"]).collect()}
-    far = {r.g: r.percentiles for r in distribution.exact_percentiles(df, "x", by=["g"], in_memory_group=0).collect()}
+    near = {r.g: r.p for r in df.where("x IS NOT NULL").groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, distribution.QUARTILES))).alias("p")).collect()}
+    far = {r.g: r.percentiles for r in distribution.exact_percentiles(df, "x", by=["g"]).collect()}
     assert near.keys() == far.keys() == {"hot", "one", "two"}
     for g in near:
         assert far[g] == pytest.approx(near[g])
@@ -97,9 +97,8 @@ def test_score_stats_of_edge_groups(spark):
     assert (got["a"].n_scored, got["a"].median, got["a"].stddev_score, got["a"].score_range) == (1, 1.5, None, 0.0)
     assert (got["b"].n_scored, got["b"].median, got["b"].avg_score) == (0, None, None)
     for rows, n in ((df, 1), (df.limit(0), 0)):
-        for limit in (0, 100):
-            whole = distribution.score_stats(rows, "s", in_memory_group=limit).collect()
-            assert [r.n_scored for r in whole] == [n] and whole[0].median == (1.5 if n else None)
+        whole = distribution.score_stats(rows, "s").collect()
+        assert [r.n_scored for r in whole] == [n] and whole[0].median == (1.5 if n else None)
 
 
 # --- duplicates and merges ---------------------------------------------------------------------
@@ -143,6 +142,26 @@ def test_upsert_policies_and_null_keys(spark, rows):
     assert rows(touched, "city", "name") == [("a", "old"), ("b", "now"), ("c", "now")]
 
 
+def test_upsert_of_repeated_keys(spark, rows):
+    current = spark.createDataFrame([(1, None, "old", 0)], "k int, j int, v string, o int")
+    incoming = spark.createDataFrame([(1, None, "a", 1), (1, None, "b", 2), (2, 3, "c", 9), (2, 3, "d", 8)], "k int, j int, v string, o int")
+    got = merge.upsert(current, incoming, ["k", "j"], order=["o"])
+    assert rows(got, "k", "v", "_action") == [(1, "b", "update"), (2, "c", "insert")]
+    with pytest.raises(Exception, match="repeat a key"):
+        merge.upsert(current, incoming, ["k", "j"]).collect()
+
+
+def test_repeated_dimension_keys_do_not_multiply(spark, rows):
+    facts = spark.createDataFrame([(1, "Goa ", None), (2, "goa", 7), (3, "x", None), (4, None, None)], "id int, city string, fk int")
+    dim = spark.createDataFrame([(5, "goa"), (4, "GOA"), (9, "y")], "sid int, town string")
+    assert rows(merge.relink_by_natural_key(facts, dim, {"city": "town"}, "fk", "sid", lower=["city"]), "id", "fk") == [(1, 4), (2, 7), (3, None), (4, None)]
+    scopes = spark.createDataFrame([(1, "a", "p"), (1, "b", "q"), (2, "c", "r")], "s int, d string, e string")
+    batch = spark.createDataFrame([(1, "b", "q", 10), (1, "a", "q", 11), (1, "z", "q", 12), (3, "a", "p", 13), (2, "c", "r", 14)], "s int, d string, e string, id int")
+    ok, bad = resolve.scope_gate(batch, scopes, "s", {"d": "d", "e": "e"})
+    assert rows(ok, "id") == [(10,), (14,)]
+    assert rows(bad, "id", "reason") == [(11, "no scope matches as a whole"), (12, "d does not match scope"), (13, "scope not found")]
+
+
 def test_replace_slice_leaves_other_slices(spark, rows):
     current = spark.createDataFrame([(1, "x", "one"), (1, "x", "two"), (1, "y", "keep"), (2, "x", "keep")], "s int, k string, e string")
     incoming = spark.createDataFrame([(1, "x", "three")], "s int, k string, e string")
@@ -172,7 +191,7 @@ def test_patch_by_last_sheet_row(spark, rows):
     sheet = spark.createDataFrame([(1, "a", 2), (2, "a", 3), (3, "z", 4), (4, "z", 1)], "o int, e string, n int")
     patched, unmatched = merge.patch_column(current, sheet, ["e"], "n", ["o"], F.col("r") == 1)
     assert rows(patched) == [("a", 1, 3), ("a", 2, 9), ("b", 1, 5)]
-    assert tuple(merge.unmatched_report(unmatched, "e").first()) == (2, 1, "z")
+    assert tuple(merge.unmatched_report(unmatched, "e", 80).first()) == (2, 1, "z")
 
 
 PAIRS = st.dictionaries(st.integers(0, 6), st.sampled_from(["u", "v", None]), min_size=1, max_size=6)
@@ -275,20 +294,22 @@ def test_funnel_pairs(spark):
 # --- counts and sessions -----------------------------------------------------------------------------
 
 
-def test_counts_not_after_both_ways(spark, rows):
+def test_counts_not_after(spark, rows):
     points = spark.createDataFrame([(datetime(2024, 1, d),) for d in (1, 2, 2, 5)] + [(None,)], "t timestamp_ntz")
     moments = spark.createDataFrame([(datetime(2024, 1, d),) for d in (1, 2, 2, 3, 9)] + [(None,)], "m timestamp_ntz")
-    few = rows(counts.counts_not_after(points, "t", moments, "m"), "m", "n")
-    many = rows(counts.counts_not_after(points, "t", moments, "m", few=0), "m", "n")
-    assert few == many and [n for _, n in few] == [1, 3, 3, 4]
+    assert [n for _, n in rows(counts.counts_not_after(points, "t", moments, "m"), "m", "n")] == [1, 3, 3, 4]
+    tagged = points.withColumn("g", F.lit(1)).unionByName(points.limit(2).withColumn("g", F.lit(None).cast("int")))
+    asked = moments.withColumn("g", F.lit(1)).unionByName(moments.withColumn("g", F.lit(2)))
+    got = rows(counts.counts_not_after(tagged, "t", asked, "m", by=["g"]), "g", "m", "n")
+    assert [(g, n) for g, _, n in got] == [(1, 1), (1, 3), (1, 3), (1, 4), (2, 0), (2, 0), (2, 0), (2, 0)]
 
 
 def test_round_counts_with_open_bounds(spark):
-    regs = spark.createDataFrame([(datetime(2024, 1, 1),), (datetime(2024, 1, 3),)], "form_timestamp timestamp_ntz")
-    rounds = spark.createDataFrame([(1, None, datetime(2024, 1, 3)), (2, datetime(2024, 1, 2), None)],
-                                   "id int, opens_at timestamp_ntz, closes_at timestamp_ntz")
+    regs = spark.createDataFrame([(5, datetime(2024, 1, 1)), (5, datetime(2024, 1, 3)), (6, datetime(2024, 1, 2))], "event_id int, form_timestamp timestamp_ntz")
+    rounds = spark.createDataFrame([(1, 5, None, datetime(2024, 1, 3)), (2, 5, datetime(2024, 1, 2), None), (3, 6, datetime(2024, 1, 1), datetime(2024, 1, 3))],
+                                   "id int, event_id int, opens_at timestamp_ntz, closes_at timestamp_ntz")
     got = {r.id: (r.registrations_at_open, r.registrations_at_close) for r in sessions.round_counts(rounds, regs).collect()}
-    assert got == {1: (None, 2), 2: (1, None)}
+    assert got == {1: (None, 2), 2: (1, None), 3: (0, 1)}
 
 
 @pytest.mark.parametrize("today, expected", [(date(2026, 5, 1), 3), (date(2026, 5, 16), 1), (date(2020, 1, 1), 4)])

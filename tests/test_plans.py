@@ -73,7 +73,7 @@ def test_crossover(spark):
          sub(5, "c", 1, city="Pune"), sub(6, "d", 1, kind="warmup")], SUBS)
     v = spark.createDataFrame([sub(7, "a", 1), sub(8, "b", 1), sub(9, "z", 1), sub(10, "d", 1)], SUBS)
     params = CrossoverParams.from_request({"sheet_kind": " MAIN", "in_person_event_id": "1", "city_limit": "900"}, 9, 1)
-    assert (params.sheet_kind, params.city_limit) == ("main", 50)
+    assert (params.sheet_kind, params.city_limit) == ("main", 900)
     counts, cities = crossover(ip, v, params)
     assert tuple(counts.first()) == (3, 4, 2, 1, 2)
     assert [tuple(r) for r in cities.collect()] == [("Delhi", 1)]
@@ -115,7 +115,7 @@ def test_dashboard_and_overview(spark, subs):
     assert all_time["timeline"].count() == 120 and all_time["hourly"].agg(F.sum("n")).first()[0] == 2
     assert tuple(all_time["track_overlap"].first())[:3] == (3, 5, 2)
     assert all_time["led_in_person"].first()[0] == 2
-    ranged = registration_dashboard(regs, now, "virtual", date_from=date(2026, 1, 5))
+    ranged = registration_dashboard(regs, now, "virtual", date_from=date(2026, 1, 5), date_to=date(2026, 1, 20))
     assert ranged["totals"].first().total == 1
     assert [(r.day, r.n) for r in ranged["timeline"].orderBy("day").collect()][-1] == (date(2026, 1, 11), 1)
     assert ranged["last_7_days"].first()[0] == 1
@@ -150,41 +150,44 @@ def test_roster_segments_scores_and_pages(spark):
     scored = best_score(regs, df)
     assert {r.id: r.submission_score for r in scored.where("submission_score IS NOT NULL").collect()} == {1: 8, 2: 9, 4: 9, 7: 3}
     page = roster_page(scored, sort_columns("score", "desc"), page=1, per_page=3)
-    assert (page.total, page.pages, page.per_page) == (30, 3, 10)
-    assert [r.id for r in page.rows.orderBy("row").limit(4).collect()] == [4, 2, 1, 7]
+    assert (page.total, page.pages, page.per_page) == (30, 10, 3)
+    assert [r.id for r in page.rows.orderBy("row").collect()] == [4, 2, 1]
     assert [r.id for r in roster_page(regs, sort_columns("nope", "asc"), 3, 10).rows.collect()][-1] == 1
 
 
 def test_grants(spark):
-    rounds = spark.createDataFrame([(1, 2, datetime(2026, 1, 10))], "id int, event_id int, closes_at timestamp_ntz")
+    rounds = spark.createDataFrame([(1, 2, datetime(2026, 1, 10)), (3, 1, datetime(2026, 1, 10))], "id int, event_id int, closes_at timestamp_ntz")
     programmes = spark.createDataFrame([(1, "in_person"), (2, "virtual")], "id int, kind string")
     people = spark.createDataFrame([(1, "A@x.co"), (2, "b@x.co"), (3, None)], "id int, email string")
-    regs = spark.createDataFrame([("a@x.co", datetime(2026, 1, 10)), ("b@x.co", datetime(2026, 1, 11))], "email_normalized string, form_timestamp timestamp_ntz")
+    regs = spark.createDataFrame([(2, "a@x.co", datetime(2026, 1, 10)), (1, "a@x.co", datetime(2026, 1, 1)), (2, "b@x.co", datetime(2026, 1, 11)), (1, "b@x.co", datetime(2026, 1, 2))],
+                                 "event_id int, email_normalized string, form_timestamp timestamp_ntz")
     ledger = spark.createDataFrame([("old",)], "idempotency_key string")
     balances = spark.createDataFrame([(1, 2, Decimal(5))], "participant_id int, event_id int, balance decimal(14,4)")
     grants = spark.createDataFrame(
         [(1, 1, 2.0, "r", 1, None, "k1", False), (2, 1, 9.0, "r", 1, None, "k1", False), (3, 1, 1.0, "r", None, 2, None, None),
          (4, 1, 1.0, "r", None, 1, None, None), (5, 2, 1.0, "r", 1, None, None, False), (6, 2, 4.0, "r", 1, None, None, True),
          (7, 1, 1.0, "", 1, None, None, None), (8, 1, 1.0, "r", 99, None, None, None), (9, 1, 1.0, "r", None, None, None, None),
-         (10, 1, 1.0, "r", 1, None, "old", None), (11, 1, 1.0, "r", None, 7, None, None)],
+         (10, 1, 1.0, "r", 1, None, "old", None), (11, 1, 1.0, "r", None, 7, None, None),
+         (12, 1, 1.0, "r", 3, None, None, False), (13, 2, 1.0, "r", 1, None, "k1", False), (14, 2, 1.0, "r", 1, None, "k2", False),
+         (15, 1, 1.0, "r", 1, None, "k2", False), (16, 2, 1.0, "r", 99, None, "old", False)],
         "row_no int, participant_id int, delta double, reason string, challenge_id int, event_id int, idempotency_key string, force boolean")
     out = grant_credits(grants, ledger, balances, rounds, programmes, people, regs)
-    assert {(r.participant_id, r.balance, r._action) for r in out.balances.collect()} == {(1, 8, "update"), (2, 4, "insert")}
+    assert {(r.participant_id, r.balance, r._action) for r in out.balances.collect()} == {(1, 9, "update"), (2, 4, "insert")}
     assert {r.row_no: r.reason_rejected for r in out.rejects.collect()} == {
-        2: "duplicate", 4: "event_id must reference a virtual event", 5: "participant ineligible for challenge",
-        7: "participant_id, delta and reason are required", 8: "challenge not found", 9: "challenge_id or event_id is required",
-        10: "duplicate", 11: "event not found"}
+        2: "duplicate", 4: "not_virtual", 5: "participant ineligible for challenge", 7: "incomplete", 8: "unknown_round",
+        9: "no_target", 10: "duplicate", 11: "unknown_programme", 12: "participant ineligible for challenge", 13: "duplicate",
+        14: "participant ineligible for challenge", 16: "duplicate"}
     assert [r.force_ineligible for r in out.ledger.where("participant_id = 2").collect()] == [True]
 
 
 def test_log_window():
-    assert [activity.window_hours(x) for x in (None, "", "x", "0", "-3", "5", "99999")] == [168, 168, 168, None, None, 5, 2160]
+    assert [activity.window_hours(x) for x in (None, "", "x", "0", "-3", "5", "99999")] == [168, 168, 168, None, None, 5, 99999]
 
 
 def test_report_sections(spark, subs, tmp_path):
     regs = spark.createDataFrame([reg(1, "a@x.co", at=datetime(2026, 1, 1))], REGS)
-    rounds = spark.createDataFrame([(2, None, datetime(2026, 2, 1)), (1, datetime(2026, 1, 1), datetime(2026, 1, 2))],
-                                   "id int, opens_at timestamp_ntz, closes_at timestamp_ntz")
+    rounds = spark.createDataFrame([(2, 1, None, datetime(2026, 2, 1)), (1, 1, datetime(2026, 1, 1), datetime(2026, 1, 2))],
+                                   "id int, event_id int, opens_at timestamp_ntz, closes_at timestamp_ntz")
     sections = reports.report_sections(regs, regs, subs, subs, rounds, datetime(2026, 1, 3))
     assert list(sections) == ["Summary", "InPerson", "Cities", "Top10", "Virtual", "Challenges", "Challenge 1", "Challenge 2", "Retention"]
     reports.export_report({k: sections[k] for k in ("Summary", "Challenge 1", "Retention")}, str(tmp_path / "report"))
@@ -206,10 +209,22 @@ def test_plans_have_no_nested_loops(spark, name):
 
 
 def test_facets_are_cut_before_the_shuffle(spark):
-    plan = QUERIES["facet_value_lists"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    from turnout.operators.counts import facet_values
+
+    df = spark.createDataFrame([("a", "b")], "p string, q string")
+    plan = facet_values(df, ["p", "q"], 2)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+def test_log_search_reads_the_months_it_needs(spark, tmp_path):
+    rows = spark.createDataFrame([(datetime(2025, m, 3), "VIEW", f"2025-{m:02d}") for m in (1, 5, 6)], "occurred_at timestamp_ntz, action string, month string")
+    rows.write.partitionBy("month").parquet(str(tmp_path / "log"))
+    log = spark.read.schema("occurred_at timestamp_ntz, action string, month string").parquet(str(tmp_path / "log"))
+    found = activity.activity_search(log, action="VIEW", start=activity.since(datetime(2025, 6, 5), 24 * 20))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 1 and "PartitionFilters: [isnotnull(month" in plan and ">= 2025-05" in plan
+
+
 def test_scans_read_only_what_is_used(spark):
     plan = QUERIES["track_overlap"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan and "PushedFilters: [IsNotNull(o_orderstatus)" in plan

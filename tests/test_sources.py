@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from turnout.operators.resolve import bootcamp_rules, email_list, validate_rows
 from turnout.sources import headers, payloads, sheets, tabs
-from turnout.sources.files import file_manifest, read_csv_strings
+from turnout.sources.files import file_manifest, read_csv_strings, with_status
 
 
 def write(folder, name, *lines):
@@ -202,7 +202,9 @@ def test_rsvp_snapshot(spark):
 
 
 def test_file_manifest(spark, tmp_path):
-    write(tmp_path, "a.csv", "x")
-    row = file_manifest(spark, str(tmp_path), "registrations").first()
-    assert (row.file_name, row.size_bytes) == ("a.csv", 2)
-    assert row.sha256 == "73cb3858a687a8494ca3323053016282f3dad39d42cf62ca4e79dda2aac7d9ac"
+    for name, lines in (("a.csv", ["k", "1", "2", ""]), ("b.csv", ["k", "2", "1"]), ("c.csv", ["k", "2", "2"])):
+        write(tmp_path, name, *lines)
+    listed = file_manifest(read_csv_strings(spark, str(tmp_path)), "registrations", ["k"])
+    got = {r.file_name: r for r in with_status(listed, spark.createDataFrame([("b.csv", "loaded")], "file_name string, status string")).collect()}
+    assert {k: (r.n_rows, r.status) for k, r in got.items()} == {"a.csv": (2, "received"), "b.csv": (2, "loaded"), "c.csv": (2, "received")}
+    assert got["a.csv"].digest == got["b.csv"].digest != got["c.csv"].digest and got["b.csv"].size_bytes == 6

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from turnout.streaming import jobs
@@ -57,18 +58,66 @@ def test_change_capture_over_batches(spark, tmp_path):
                        (1, '{"id":3}', "INSERT")}
 
 
+def test_changes_with_deletions_and_untouched_buckets(spark, tmp_path):
+    schema = "id int, name string, gone boolean"
+    source, state, log = tmp_path / "in", str(tmp_path / "state"), str(tmp_path / "log")
+    steps = ([(i, "a", False) for i in range(40)], [(1, "b", False), (2, "a", False), (3, None, True), (99, None, True)], [(3, "c", False), (1, "b", False)])
+    for data in steps:
+        put(spark, source, data, schema)
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        run(jobs.capture_changes(stream, ["id"], ["name"], state, log, str(tmp_path / "cp"), deleted="gone", buckets=8))
+    changes = {(r.batch_id, r.record_pk, r.op) for r in jobs.read_batches(spark, log).where("batch_id > 0").collect()}
+    assert changes == {(1, '{"id":1}', "UPDATE"), (1, '{"id":3}', "DELETE"), (2, '{"id":3}', "INSERT")}
+    table = jobs.BucketTable(state, ("id",), 8)
+    shape = spark.createDataFrame([], schema).schema
+    rows = {r.id: r.name for r in table.rows(spark, shape).collect()}
+    assert rows == {i: "a" for i in range(40)} | {1: "b", 3: "c"}
+    assert len(jobs.subfolders(spark, f"{state}/rows/batch_id=2")) <= 2  # only the buckets that the batch touched
+    assert table.vacuum(spark) > 0 and {r.id: r.name for r in table.rows(spark, shape).collect()} == rows
+
+
+def test_a_key_never_passes_twice(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    for year in (2020, 2026):
+        put(spark, source, [(1, 2.0, "a", datetime(year, 1, 1)), (2, 1.0, None, datetime(year, 1, 1)), (3, 2.0, f"k{year}", datetime(year, 1, 1))], LEDGER)
+        ledger = spark.readStream.schema(LEDGER).parquet(str(source))
+        run(jobs.grants_once(ledger, ["participant_id"], jobs.BucketTable(str(tmp_path / "used"), ("idempotency_key",), 4), out, str(tmp_path / "cp")))
+    assert sorted(str(r.idempotency_key) for r in jobs.read_batches(spark, out).collect()) == ["None", "None", "a", "k2020", "k2026"]
+
+
+def test_a_failed_run_is_logged(spark, tmp_path):
+    put(spark, tmp_path / "in", [(1, json.dumps([{"email": "a@x.co"}]))], "payload_no int, payload string")
+    stream = spark.readStream.schema("payload_no int, payload string").parquet(str(tmp_path / "in"))
+    (tmp_path / "table").write_text("a file where the folder should be")
+    with pytest.raises(Exception):
+        run(jobs.sync_registrations(stream, "payload", jobs.BucketTable(str(tmp_path / "table"), ("email_normalized",)), str(tmp_path / "runs"), str(tmp_path / "cp")))
+    row = jobs.read_batches(spark, str(tmp_path / "runs")).first()
+    assert row.status == "failed" and row.error and row.rows_inserted is None and row.finished_at >= row.started_at
+
+
+def test_old_months_are_removed(spark, tmp_path):
+    log = str(tmp_path / "log")
+    spark.createDataFrame([(m, f"2025-{m:02d}") for m in (1, 5, 6, 7)], "v int, month string").write.partitionBy("month").parquet(log)
+    assert jobs.drop_old_months(spark, log, "2 months", datetime(2025, 7, 15)) == ["2025-01"]
+    assert sorted(r.v for r in spark.read.parquet(log).collect()) == [5, 6, 7]
+    jobs.append_snapshot(spark.createDataFrame([(1, "s")], "event_id int, scope_key string"), str(tmp_path / "snaps"))
+    jobs.append_snapshot(spark.createDataFrame([(1, "s")], "event_id int, scope_key string"), str(tmp_path / "snaps"))
+    assert spark.read.parquet(str(tmp_path / "snaps")).count() == 2
+
+
 def test_registration_sync_and_run_log(spark, tmp_path):
     schema = "payload_no int, payload string"
-    source, rows, runs = tmp_path / "in", str(tmp_path / "rows"), str(tmp_path / "runs")
+    source, rows, runs = tmp_path / "in", jobs.BucketTable(str(tmp_path / "rows"), ("email_normalized",), 4), str(tmp_path / "runs")
     first = {"data": [{"email": "A@x.co", "name": "one", "city": "Pune"}, {"email": "a@X.co", "name": "two"}, {"name": "nobody"}]}
     for data in ([(1, json.dumps(first)), (2, json.dumps({"note": 1}))], [(3, json.dumps([{"email": "a@x.co", "full_name": "three"}]))]):
         put(spark, source, data, schema)
         stream = spark.readStream.schema(schema).parquet(str(source))
         run(jobs.sync_registrations(stream, "payload", rows, runs, str(tmp_path / "cp")))
     log = jobs.read_batches(spark, runs)
-    assert tuple(log.where("batch_id = 0").select("rows_read", "rows_rejected", "payloads_unknown", "rows_written").first()) == (3, 1, 1, 1)
-    assert jobs.latest_run(log).first().rows_written == 1
-    current = jobs.current_rows(jobs.read_batches(spark, rows), ["email_normalized"])
+    assert tuple(log.where("batch_id = 0").select("rows_read", "rows_rejected", "payloads_unknown", "rows_inserted", "rows_updated").first()) == (3, 1, 1, 1, 0)
+    last = jobs.latest_run(log).first()
+    assert (last.status, last.trigger, last.rows_inserted, last.rows_updated, len(last.digest)) == ("completed", "schedule", 0, 1, 16)
+    current = rows.rows(spark, spark.createDataFrame([], "email_normalized string, full_name string").schema)
     assert [(r.email_normalized, r.full_name) for r in current.collect()] == [("a@x.co", "three")]
 
 

@@ -163,9 +163,9 @@ _FACETS = ("full_name", "occupation", "designation", "city", "state", "country",
 @query(", v AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS facet, trim({c}, ' ') AS value FROM regs" for c in _FACETS
 ) + """) SELECT facet, value FROM (SELECT DISTINCT facet, value FROM v WHERE value <> '')
-  QUALIFY row_number() OVER (PARTITION BY facet ORDER BY value) <= 300""", "regs")
+""", "regs")
 def facet_value_lists(spark: SparkSession, folder: str) -> DataFrame:
-    return facet_values(base.registrations(spark, folder), _FACETS, 300)
+    return facet_values(base.registrations(spark, folder), _FACETS)
 
 
 @query("""SELECT value FROM (SELECT DISTINCT trim(attendance_city, ' ') AS value FROM regs

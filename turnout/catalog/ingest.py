@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from turnout.catalog import base
 from turnout.catalog.base import query
-from turnout.functions.dates import parse_timestamp_text
+from turnout.functions.dates import parse_timestamp_text, unparsed
 from turnout.functions.numbers import attempts_from_text, float_from_text, int_from_text
 from turnout.functions.text import split_trailing_years
 from turnout.session import shared_folder
-from turnout.sources.files import file_manifest, read_csv_strings
+from turnout.sources.files import file_manifest, read_csv_strings, with_status
 from turnout.sources.payloads import extract_records_json, map_registration_records, parse_rsvp_snapshot
 from turnout.sources.sheets import dedupe_submissions, parse_registrations, parse_submissions
 from turnout.sources.tabs import route_tabs_to_kind, route_tabs_to_rounds
@@ -132,22 +132,25 @@ def numbers_from_text(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("""SELECT event_id AS id, strftime(CASE event_type WHEN 'view' THEN ts - INTERVAL 330 MINUTE WHEN 'click'
-    THEN ts + INTERVAL 150 MINUTE ELSE ts END, '%Y-%m-%d %H:%M:%S.%f') AS at
-  FROM events WHERE event_type IN ('view', 'click', 'purchase')""")
+@query("""SELECT event_id AS id, strftime(CASE event_id % 8 WHEN 1 THEN ts + INTERVAL 150 MINUTE WHEN 2 THEN ts
+    WHEN 7 THEN NULL ELSE CASE event_id % 8 WHEN 0 THEN ts WHEN 3 THEN date_trunc('second', ts)
+      WHEN 6 THEN CAST(date_trunc('day', ts) AS TIMESTAMP) ELSE date_trunc('minute', ts) END - INTERVAL 330 MINUTE END,
+    '%Y-%m-%d %H:%M:%S.%f') AS at, event_id % 8 = 7 AS lost FROM events""")
 def timestamps_from_text(spark: SparkSession, folder: str) -> DataFrame:
-    """Views are written without an offset, clicks with -02:30, purchases in UTC."""
+    """Eight ways to write a time: three ISO forms, month first, names of months, day first, a bare day, and none."""
+    which = F.col("event_id") % 8
     wall = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    kind = F.col("event_type")
+    # Slashes are read month first where that is a date; a day after the twelfth says that it stands first.
+    slashed = F.when(F.dayofmonth("ts") > 12, F.date_format("ts", "dd/MM/yyyy HH:mm")).otherwise(F.date_format("ts", "MM/dd/yyyy HH:mm"))
     text = (
-        F.when(kind == "view", wall).when(kind == "click", F.concat(wall, F.lit("-02:30")))
-        .otherwise(F.concat(F.replace(wall, F.lit(" "), F.lit("T")), F.lit("Z")))
-    )
-    events = base.read_table(spark, folder, "events", ["event_id", "ts", "event_type"])
-    return events.where(kind.isin("view", "click", "purchase")).select(
-        F.col("event_id").alias("id"),
-        F.date_format(parse_timestamp_text(text), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"),
+        F.when(which == 0, wall).when(which == 1, F.concat(wall, F.lit("-02:30")))
+        .when(which == 2, F.concat(F.replace(wall, F.lit(" "), F.lit("T")), F.lit("Z")))
+        .when(which == 3, F.date_format("ts", "M/d/yyyy H:mm:ss")).when(which == 4, F.date_format("ts", "MMM d, yyyy h:mm a"))
+        .when(which == 5, slashed).when(which == 6, F.date_format("ts", "yyyy/MM/dd")).otherwise("soon")
     )
+    events = base.read_table(spark, folder, "events", ["event_id", "ts"]).select(F.col("event_id").alias("id"), text.alias("cell"))
+    parsed = events.withColumn("at", parse_timestamp_text("cell"))
+    return parsed.select("id", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), unparsed("cell", "at").alias("lost"))
 
 
 @query("""SELECT c_custkey AS id, nullif(trim(CASE WHEN c_custkey % 4 = 0
@@ -197,7 +200,7 @@ def payloads(spark: SparkSession, folder: str) -> DataFrame:
     CASE WHEN event_type <> 'signup' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS form_timestamp
   FROM events WHERE event_type IN ('view', 'click', 'purchase', 'signup')""")
 def json_records(spark: SparkSession, folder: str) -> DataFrame:
-    records, _ = extract_records_json(payloads(spark, folder), "payload", spark.sparkContext.defaultParallelism)
+    records, _ = extract_records_json(payloads(spark, folder), "payload")
     rows, _ = map_registration_records(records)
     return rows.select(
         "payload_no", "email", "full_name", F.date_format("form_timestamp", "yyyy-MM-dd HH:mm:ss").alias("form_timestamp")
@@ -208,7 +211,7 @@ def json_records(spark: SparkSession, folder: str) -> DataFrame:
   WHERE event_type IN ('view', 'click', 'purchase') UNION ALL
   SELECT event_id, 'no records' FROM events WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup')""")
 def json_rejects(spark: SparkSession, folder: str) -> DataFrame:
-    records, unknown = extract_records_json(payloads(spark, folder), "payload", spark.sparkContext.defaultParallelism)
+    records, unknown = extract_records_json(payloads(spark, folder), "payload")
     _, rejects = map_registration_records(records)
     return rejects.select("payload_no", "reason").unionByName(
         unknown.select("payload_no", F.lit("no records").alias("reason"))
@@ -233,7 +236,16 @@ def rsvp_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+@query("""SELECT 'nation.parquet' AS file_name, count(*) AS n_rows, CAST(sum(('0x' || substr(md5(concat_ws(chr(31),
+      n_nationkey, n_name, n_regionkey)), 1, 15))::HUGEINT) % 1152921504606846976 AS BIGINT) AS digest,
+    'tables' AS module, 'received' AS status FROM nation
+  UNION ALL SELECT 'customer.parquet', count(*), CAST(sum(('0x' || substr(md5(concat_ws(chr(31), c_custkey, c_name,
+      coalesce(c_mktsegment, '\\N'))), 1, 15))::HUGEINT) % 1152921504606846976 AS BIGINT), 'tables', 'loaded' FROM customer""")
 def file_manifest_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Manifest of the input files themselves; SQL over the tables cannot see them."""
-    return file_manifest(spark, folder, "tables", "*.parquet").drop("modified_at")
+    """Manifest of two of the input files; a later step reports one of them as loaded."""
+    listed = [
+        file_manifest(base.read_table(spark, folder, name), "tables", columns) for name, columns in
+        (("nation", ["n_nationkey", "n_name", "n_regionkey"]), ("customer", ["c_custkey", "c_name", "c_mktsegment"]))
+    ]
+    done = spark.createDataFrame([("customer.parquet", "loaded")], "file_name string, status string")
+    return with_status(listed[0].unionByName(listed[1]), done).drop("size_bytes")

@@ -167,8 +167,7 @@ def score_stats_by_segment(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"SELECT challenge_id, {_STATS} FROM subs GROUP BY 1", "subs")
 def score_stats_distributed(spark: SparkSession, folder: str) -> DataFrame:
-    """The same statistics with every group treated as too large for one buffer."""
-    return _rounded(score_stats(base.submissions(spark, folder), "total_score", by=["challenge_id"], in_memory_group=0))
+    return _rounded(score_stats(base.submissions(spark, folder), "total_score", by=["challenge_id"]))
 
 
 @query(_SEGMENTED + """ SELECT count(*) FILTER (segment = 'unknown') AS team_segment_unknown,

@@ -2,44 +2,54 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from turnout.catalog import base
 from turnout.catalog.base import query
 from turnout.catalog.ingest import payloads, scratch
 from turnout.streaming.jobs import (
+    BucketTable,
     append_activity,
     capture_changes,
     current_rows,
-    first_grants,
+    drop_old_months,
+    grants_once,
     read_batches,
-    retained,
     running_balances,
+    subfolders,
     sync_registrations,
     windowed_counts,
     write_updates,
 )
 
+#: Files a streamed table is split into; each is a micro-batch.
+BATCHES = 4
+
 
 def finish(writer: DataStreamWriter) -> None:
     """Process everything there is, then stop."""
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def _stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    # The pattern matches a table that is one file as well as one that is a folder.
-    return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parque[t]")
+def _stream(spark: SparkSession, rows: DataFrame, out: str) -> DataFrame:
+    """The rows as a stream of BATCHES micro-batches, dealt by a hash so that keys come again in later ones."""
+    files = rows.withColumn("_deal", F.pmod(F.xxhash64(*rows.columns), F.lit(BATCHES)))
+    for n in range(BATCHES):
+        files.where(F.col("_deal") == n).drop("_deal").coalesce(1).write.mode("append").parquet(f"{out}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+
+
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/events.parquet")
 
 
 @query("""SELECT user_id AS participant_id, event_type AS challenge_id,
   CAST(sum(CAST(value AS DECIMAL(14,4))) AS DOUBLE) AS balance FROM events GROUP BY 1, 2""")
 def stream_balances(spark: SparkSession, folder: str) -> DataFrame:
     out = scratch(spark)
-    ledger = _stream(spark, folder, "events").select(
+    ledger = _stream(spark, _events(spark, folder), out).select(
         F.col("user_id").alias("participant_id"), F.col("event_type").alias("challenge_id"), F.col("value").alias("delta")
     )
     keys = ["participant_id", "challenge_id"]
@@ -49,59 +59,84 @@ def stream_balances(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""SELECT strftime(date_trunc('hour', ts + INTERVAL 330 MINUTE), '%Y-%m-%d %H') AS start, count(*) AS n
-  FROM events WHERE event_type = 'signup' GROUP BY 1""")
+  FROM events GROUP BY 1""")
 def stream_hourly_counts(spark: SparkSession, folder: str) -> DataFrame:
     out = scratch(spark)
-    signups = _stream(spark, folder, "events").where("event_type = 'signup'")
-    finish(write_updates(windowed_counts(signups, "ts", "1 hour", "2 days"), f"{out}/rows", f"{out}/state"))
+    rows = _stream(spark, _events(spark, folder), out)
+    finish(write_updates(windowed_counts(rows, "ts", "1 hour", "400 days"), f"{out}/rows", f"{out}/state"))
     rows = current_rows(read_batches(spark, f"{out}/rows"), ["start"])
     return rows.withColumn("start", F.date_format("start", "yyyy-MM-dd HH"))
 
 
-@query("""SELECT DISTINCT concat_ws('-', CAST(user_id AS VARCHAR), event_type, strftime(ts, '%Y%m%d')) AS idempotency_key
-  FROM events""")
+@query("""SELECT DISTINCT user_id || '-' || event_type AS idempotency_key FROM events""")
 def stream_first_grants(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys that come in every batch pass once, however long after the first time they come again."""
     out = scratch(spark)
-    key = F.concat_ws("-", F.col("user_id").cast("string"), "event_type", F.date_format("ts", "yyyyMMdd"))
-    ledger = _stream(spark, folder, "events").select(key.alias("idempotency_key"), F.col("ts").cast("timestamp").alias("at"))
-    rows = first_grants(ledger, "at", "2 days").select("idempotency_key")
-    finish(
-        rows.writeStream.format("parquet").option("path", f"{out}/rows")
-        .option("checkpointLocation", f"{out}/state").outputMode("append")
-    )
-    return spark.read.parquet(f"{out}/rows")
+    key = F.concat_ws("-", F.col("user_id").cast("string"), "event_type")
+    ledger = _stream(spark, _events(spark, folder), out).select("event_id", key.alias("idempotency_key"))
+    finish(grants_once(ledger, ["event_id"], BucketTable(f"{out}/used", ("idempotency_key",), 16), f"{out}/rows", f"{out}/state"))
+    return read_batches(spark, f"{out}/rows").select("idempotency_key")
 
 
 @query("""SELECT strftime(ts, '%Y-%m') AS month, event_type AS action, count(*) AS n FROM events
-  WHERE strftime(ts, '%Y-%m') >= '2024-01' GROUP BY 1, 2""")
+  WHERE strftime(ts, '%Y-%m') >= (SELECT strftime(max(ts) - INTERVAL 20 DAY, '%Y-%m') FROM events) GROUP BY 1, 2""")
 def stream_activity_log(spark: SparkSession, folder: str) -> DataFrame:
-    """The log partitioned by month, with retention applied."""
+    """The log partitioned by month; the months before the last twenty days are removed, then the rest is read."""
     out = scratch(spark)
-    finish(append_activity(_stream(spark, folder, "events"), "ts", f"{out}/log", f"{out}/state"))
-    log = retained(spark.read.parquet(f"{out}/log"), "90d", datetime(2024, 4, 1))
-    return log.withColumn("month", F.date_format(F.col("month").cast("date"), "yyyy-MM")).groupBy(
-        "month", F.col("event_type").alias("action")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    finish(append_activity(_stream(spark, _events(spark, folder), out), "ts", f"{out}/log", f"{out}/state"))
+    last = _events(spark, folder).agg(F.max("ts")).first()[0]
+    drop_old_months(spark, f"{out}/log", "20d", last)
+    months = [f"{out}/log/{m}" for m in subfolders(spark, f"{out}/log")]
+    log = spark.read.option("basePath", f"{out}/log").parquet(*months)
+    return log.groupBy(F.col("month").cast("string").substr(1, 7).alias("month"), F.col("event_type").alias("action")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT lower('user' || user_id || '@example.org') AS email_normalized,
-    first(event_type ORDER BY event_id DESC) AS full_name FROM events
-  WHERE event_type IN ('view', 'click', 'purchase', 'signup') GROUP BY 1""")
+@query("""WITH last AS (SELECT event_type, user_id, max(event_id) AS event_id FROM events
+    WHERE event_type IN ('view', 'click', 'purchase', 'signup') GROUP BY ALL)
+  SELECT lower('user' || user_id || '@example.org') AS email_normalized, count(*) AS n_kinds FROM last GROUP BY 1""")
 def stream_registration_sync(spark: SparkSession, folder: str) -> DataFrame:
-    """Payload files streamed through extraction, mapping and upsert."""
+    """Payload files streamed through extraction, mapping and upsert; the kinds of event whose name a registrant had."""
     out = scratch(spark)
-    payloads(spark, folder).write.parquet(f"{out}/in")
-    source = spark.readStream.schema("payload_no long, payload string").parquet(f"{out}/in")
-    finish(sync_registrations(source, "payload", f"{out}/rows", f"{out}/runs", f"{out}/state"))
-    rows = current_rows(read_batches(spark, f"{out}/rows"), ["email_normalized"])
-    return rows.select("email_normalized", "full_name")
+    source = _stream(spark, payloads(spark, folder), out)
+    table = BucketTable(f"{out}/table", ("email_normalized",), 16)
+    finish(sync_registrations(source, "payload", table, f"{out}/runs", f"{out}/state"))
+    named = read_batches(spark, f"{out}/table/rows").select("email_normalized", "full_name").distinct()
+    seen = _events(spark, folder).where("event_type IN ('view', 'click', 'purchase', 'signup')").select(
+        F.lower(F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.org"))).alias("email_normalized"), F.col("event_type").alias("full_name")).distinct()
+    return seen.join(named.select("email_normalized").distinct(), "email_normalized").groupBy("email_normalized").agg(F.count(F.lit(1)).alias("n_kinds"))
+
+
+@query("""SELECT 'completed' AS status, count(*) FILTER (event_type IN ('view', 'click', 'purchase')) * 2
+    + count(*) FILTER (event_type = 'signup') AS rows_read,
+    count(*) FILTER (event_type IN ('view', 'click', 'purchase')) AS rows_rejected,
+    count(*) FILTER (event_type NOT IN ('view', 'click', 'purchase', 'signup')) AS payloads_unknown,
+    count(DISTINCT user_id) FILTER (event_type IN ('view', 'click', 'purchase', 'signup')) AS rows_inserted FROM events""")
+def stream_run_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The run rows of a sync, added up."""
+    out = scratch(spark)
+    table = BucketTable(f"{out}/table", ("email_normalized",), 16)
+    finish(sync_registrations(_stream(spark, payloads(spark, folder), out), "payload", table, f"{out}/runs", f"{out}/state"))
+    names = ("rows_read", "rows_rejected", "payloads_unknown", "rows_inserted")
+    return read_batches(spark, f"{out}/runs").groupBy("status").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def _versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Three versions of every customer, the second unlike the first, the third a deletion for every fifth."""
+    rows = base.read_table(spark, folder, "customer", ["c_custkey", "c_name", "c_mktsegment"])
+    return rows.select("c_custkey", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("v"), "c_name", "c_mktsegment").select(
+        "c_custkey", "v", "c_name", F.when(F.col("v") == 1, F.col("c_mktsegment")).otherwise("MOVED").alias("segment"),
+        ((F.col("v") == 3) & (F.col("c_custkey") % 5 == 0)).alias("gone"))
 
 
-@query("SELECT 'INSERT' AS op, count(*) AS n FROM customer")
+@query("""SELECT 'INSERT' AS op, count(*) AS n FROM customer UNION ALL
+  SELECT 'UPDATE', count(*) FROM customer WHERE c_mktsegment IS DISTINCT FROM 'MOVED' UNION ALL
+  SELECT 'DELETE', count(*) FROM customer WHERE c_custkey % 5 = 0""")
 def stream_change_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Inserts, then updates, then deletions and rows that did not change, a micro-batch each."""
     out = scratch(spark)
-    customers = _stream(spark, folder, "customer")
-    finish(capture_changes(customers, ["c_custkey"], ["c_name"], f"{out}/rows", f"{out}/log", f"{out}/state"))
+    versions = _versions(spark, folder)
+    for v in (1, 2, 3):
+        versions.where(F.col("v") == v).drop("v").coalesce(1).write.mode("append").parquet(f"{out}/in")
+        stream = spark.readStream.schema(versions.drop("v").schema).parquet(f"{out}/in")
+        finish(capture_changes(stream, ["c_custkey"], ["c_name"], f"{out}/rows", f"{out}/log", f"{out}/state", deleted="gone", buckets=16))
     return read_batches(spark, f"{out}/log").groupBy("op").agg(F.count(F.lit(1)).alias("n"))
-
-

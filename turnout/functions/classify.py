@@ -46,8 +46,9 @@ def valid_email(c: Column | str) -> Column:
 
 
 def sql_kind(statement: Column | str) -> Column:
-    """Kind of an SQL statement from its first word, comments skipped."""
-    word = F.upper(F.regexp_extract(as_col(statement), r"^\s*(?:--[^\n]*\n|/\*(?s:.*?)\*/\s*)*\s*([A-Za-z]+)", 1))
+    """Kind of an SQL statement: what its first word says once the comments before it are gone."""
+    bare = F.regexp_replace(as_col(statement), r"\A(?:\s|--.*(?:\n|\z)|/\*[\s\S]*?\*/)+", "")
+    word = F.upper(F.regexp_extract(bare, r"\A[A-Za-z]+", 0))
     # Statement words by kind.
     return (
         F.when(word.isNull() | (word == ""), "OTHER")

@@ -13,7 +13,7 @@ from datetime import date, datetime, time, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from turnout.functions.text import as_col, blank_to_null, strip_all
+from turnout.functions.text import as_col, blank_to_null
 
 BUSINESS_ZONE = "Asia/Kolkata"
 
@@ -45,27 +45,49 @@ def completed_years(born: Column | str, as_of: Column | str) -> Column:
     return F.year(as_of) - F.year(born) - before_birthday.cast("int")
 
 
+#: Layouts of a day in files, in the order tried: ISO, month first, day first, names of months.
+DAY_LAYOUTS = ("yyyy-M-d", "M-d-yyyy", "d-M-yyyy", "MMM d yyyy", "d MMM yyyy", "MMMM d yyyy", "d MMMM yyyy")
+
+#: Layouts of a time of day.
+CLOCK_LAYOUTS = ("H:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]", "H:mm", "h:mm:ss a", "h:mm a")
+
+#: An offset stands only behind a time of day; the last group of 15-01-2024 is none.
+OFFSET = r"(?<=:\d{2}|\.\d{1,6}|:\d{2}\s|\.\d{1,6}\s)(Z|[+-]\d{2}:?\d{2})$"
+
+
+def _wall_time(text: Column) -> Column:
+    """Day and time of day of a cell without offset; midnight without a time, NULL for anything else."""
+    # Separators of a day become hyphens (spaces beside names of months), so that each layout is written once.
+    clock = F.upper(F.regexp_extract(text, r"[ T,]\s*(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?\s*(?:[aApP][mM])?)\s*$", 1))
+    clock = F.regexp_replace(clock, r"\s*([AP]M)$", " $1")
+    day = F.regexp_replace(F.regexp_replace(text, r"[ T,]\s*\d{1,2}:\d{2}.*$", ""), r"^\s+|[\s,]+$", "")
+    day = F.when(day.rlike("[A-Za-z]"), F.initcap(F.regexp_replace(day, r"[\s,/.-]+", " "))).otherwise(F.regexp_replace(day, "[/.]", "-"))
+    on = F.coalesce(*[F.try_to_timestamp(day, F.lit(p)).cast("timestamp_ntz") for p in DAY_LAYOUTS])
+    at = F.coalesce(*[F.try_to_timestamp(F.concat(F.lit("2000-01-01 "), clock), F.lit(f"yyyy-MM-dd {p}")).cast("timestamp_ntz")
+                      for p in CLOCK_LAYOUTS])
+    return F.when(text.rlike(r"\d:\d"), on + (at - F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"))).otherwise(on)
+
+
 def parse_date_text(c: Column | str) -> Column:
-    """ISO date prefix of a cell; anything else, and the sentinel, is NULL."""
-    return nullify_sentinel(F.try_to_date(F.substring(strip_all(c), 1, 10), "yyyy-MM-dd"))
+    """Day of a cell in any layout of DAY_LAYOUTS, a time after it left out; anything else, and the sentinel, is NULL."""
+    return nullify_sentinel(F.to_date(_wall_time(F.regexp_replace(blank_to_null(c), OFFSET, ""))))
 
 
-#: Timestamp layouts accepted in files, most specific first.
-TIMESTAMP_LAYOUTS = (
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-)
+def unparsed(cell: Column | str, parsed: Column | str) -> Column:
+    """Whether a cell that is not blank came to nothing; counted, it says what a file lost."""
+    return blank_to_null(cell).isNotNull() & as_col(parsed).isNull()
 
 
 def parse_timestamp_text(c: Column | str, zone: str = BUSINESS_ZONE) -> Column:
-    """UTC timestamp of a cell: an explicit offset is an instant, anything else is wall time in ``zone``."""
-    text = F.regexp_replace(blank_to_null(c), r"^(\d{4}-\d{2}-\d{2})T", "$1 ")
-    offset = r"\s*(Z|[+-]\d{2}:?\d{2})$"
-    with_offset = text.rlike(offset)
-    local = F.regexp_replace(text, offset, "")
-    wall = F.coalesce(*[F.try_to_timestamp(local, F.lit(p)).cast("timestamp_ntz") for p in TIMESTAMP_LAYOUTS])
-    mark = F.regexp_extract(text, offset, 1)
+    """UTC timestamp of a cell: an explicit offset is an instant, anything else is wall time in ``zone``.
+
+    Layouts are those of DAY_LAYOUTS and CLOCK_LAYOUTS; 03/04/2024 is the fourth of March.
+    """
+    text = blank_to_null(c)
+    with_offset = text.rlike(OFFSET)
+    local = F.regexp_replace(text, OFFSET, "")
+    wall = _wall_time(local)
+    mark = F.regexp_extract(text, OFFSET, 1)
     sign = F.when(F.substring(mark, 1, 1) == "-", -1).otherwise(1)
     digits = F.regexp_replace(mark, "[^0-9]", "")
     minutes = F.when(digits == "", 0).otherwise(
@@ -95,7 +117,7 @@ def parse_filter_date(raw: str | None) -> date | None:
 
 def parse_filter_moment(raw: str | None, end: bool = False) -> datetime | None:
     """Start (or inclusive end) of a range; a bare date means the first (or last) moment of that day."""
-    text = (raw or "").strip()[:40].replace("T", " ")
+    text = (raw or "").strip().replace("T", " ")
     for layout in ("%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d"):
         try:
             moment = datetime.strptime(text, layout)
@@ -110,15 +132,18 @@ def effective_range(
     wanted_to: date | None,
     data_min: date | None,
     data_max: date | None,
-    max_days: int = 400,
+    max_days: int | None = None,
 ) -> tuple[date, date] | None:
-    """Requested range filled, swapped and clamped to the data; None means all data."""
+    """Requested range filled, swapped and clamped to the data; None means all data.
+
+    A start alone means that day, an end alone everything up to it.
+    """
     if data_min is None or data_max is None or (wanted_from is None and wanted_to is None):
         return None
-    first, last = sorted((wanted_from or data_min, wanted_to or data_max))
+    first, last = sorted((wanted_from or data_min, wanted_to or wanted_from or data_max))
     first, last = max(first, data_min), min(last, data_max)
     first = min(first, last)
-    return first, min(last, first + timedelta(days=max_days))
+    return first, last if max_days is None else min(last, first + timedelta(days=max_days))
 
 
 def parse_retention(text: str) -> tuple[int, str]:
@@ -133,9 +158,9 @@ def parse_retention(text: str) -> tuple[int, str]:
     }
     found = re.fullmatch(r"\s*(?:interval\s+)?'?(\d+)\s*([a-zA-Z]+)?'?\s*", text, re.IGNORECASE)
     if not found:
-        raise ValueError(f"cannot parse retention interval: {text!r}")
+        raise ValueError(f"not a length of time to keep rows: {text!r}")
     word = (found[2] or "days").lower()
     for unit, spellings in units.items():
         if word in spellings:
             return int(found[1]), unit
-    raise ValueError(f"unknown interval unit: {word!r}")
+    raise ValueError(f"{word!r} is no unit of time")

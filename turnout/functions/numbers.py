@@ -33,5 +33,8 @@ def ratio(top: Column | str, bottom: Column | str, digits: int = 6) -> Column:
     return F.when(bottom == 0, F.lit(0.0)).otherwise(F.round(top / bottom, digits))
 
 
-def clamp(value: int | None, low: int, high: int, default: int) -> int:
-    return min(max(int(value if value is not None else default), low), high)
+def at_least_one(value: int, what: str) -> int:
+    """The value if it is a count of one or more."""
+    if int(value) < 1:
+        raise ValueError(f"{what} must be 1 or more, not {value}")
+    return int(value)

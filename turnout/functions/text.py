@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Longest session label kept.
-LABEL_LENGTH = 64
 
 
 def as_col(c: Column | str) -> Column:
@@ -72,7 +70,7 @@ def initcap_words(c: Column | str) -> Column:
 
 
 def session_label(c: Column | str) -> Column:
-    return F.substring(F.coalesce(strip_all(c), F.lit("")), 1, LABEL_LENGTH)
+    return F.coalesce(strip_all(c), F.lit(""))
 
 
 def split_trailing_years(c: Column | str) -> tuple[Column, Column]:

@@ -8,11 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnout.functions.classify import attempt_bucket, segment_case
-from turnout.functions.numbers import clamp
-from turnout.operators.ordering import running_total
-
-#: Largest group whose distinct values may sit in one aggregation buffer.
-IN_MEMORY_GROUP = 2_000_000
+from turnout.functions.numbers import at_least_one
+from turnout.operators.ordering import bucketed_total
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -22,7 +19,7 @@ def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
 
     The last bin is closed.  One distinct value gives one bin, no value gives none.
     """
-    bins = clamp(bins, 3, 50, 10)
+    bins = at_least_one(bins, "bins")
     values = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
     # A scalar subquery: the range is computed once and no join is needed.
     span = values.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("s")).scalar()
@@ -69,22 +66,17 @@ def exact_percentiles(
     value: str,
     probabilities: Sequence[float] = QUARTILES,
     by: Sequence[str] = (),
-    in_memory_group: int = IN_MEMORY_GROUP,
 ) -> DataFrame:
     """Exact interpolated percentiles per group, as the array ``percentiles``.
 
-    Groups that fit in an aggregation buffer use the built-in.  Past that size the distinct
-    values are counted, range partitioned and walked by running total, so a group holding a
-    third of all rows is spread over many tasks.
+    The distinct values are counted and walked by a running total over buckets of a thousandth of their size, so a
+    group holding a third of all rows is spread over many tasks.
     """
     by = list(by)
     x = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    largest = x.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= in_memory_group:
-        return x.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(p) for p in probabilities])).alias("percentiles"))
-
     counted = x.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    run = running_total(counted, [F.col("_v")], F.col("_c"), "_hi", by=by, total_name="_n")
+    size = F.floor(F.log1p(F.abs("_v")) * 1024)
+    run = bucketed_total(counted, [F.col("_v")], F.when(F.col("_v") < 0, -size).otherwise(size), F.col("_c"), "_hi", by, "_n")
     first = F.col("_hi") - F.col("_c")
 
     def holds(k: Column) -> Column:
@@ -104,7 +96,7 @@ def exact_percentiles(
     )
 
 
-def score_stats(df: DataFrame, score: str, by: Sequence[str] = (), in_memory_group: int = IN_MEMORY_GROUP) -> DataFrame:
+def score_stats(df: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
     """n, min, max, avg, sample deviation, quartiles and range of the scored rows per group.
 
     Without ``by`` there is one row, also for no input.
@@ -119,14 +111,14 @@ def score_stats(df: DataFrame, score: str, by: Sequence[str] = (), in_memory_gro
         F.stddev_samp(x).alias("stddev_score"),
     )
     if by:
-        marks = exact_percentiles(df, score, by=by, in_memory_group=in_memory_group)
+        marks = exact_percentiles(df, score, by=by)
         marks = marks.select(*[F.col(k).alias(f"_m_{k}") for k in by], "percentiles")
         match = F.lit(True)
         for k in by:
             match = match & F.col(k).eqNullSafe(F.col(f"_m_{k}"))
         joined = base.join(marks, match, "left")
     else:
-        whole = exact_percentiles(df.withColumn("_all", F.lit(1)), score, by=["_all"], in_memory_group=in_memory_group)
+        whole = exact_percentiles(df.withColumn("_all", F.lit(1)), score, by=["_all"])
         joined = base.withColumn("percentiles", whole.select("percentiles").scalar())
     return joined.select(
         *by,

@@ -29,21 +29,26 @@ def upsert(
     additive: Sequence[str] = (),
     insert_only: bool = False,
     touch: Mapping[str, Column] | None = None,
+    order: Sequence[Column | str] = (),
 ) -> DataFrame:
     """Merged rows plus ``_action`` (insert, update or keep).
 
     Incoming rows replace current ones, except that ``keep_if_null`` columns keep the current
     value where the incoming one is NULL and ``additive`` columns are summed.  ``touch`` sets
     columns of inserted and updated rows, such as the update time.  Keys match NULL to NULL.
-    ``incoming`` must hold one row per key.
+    Of incoming rows with one key the last by ``order`` counts; without an order a repeated key is an error.
     """
     keys = list(keys)
     body = [c for c in current.columns if c not in keys]
     old = current.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.struct(F.lit(1).alias("_"), *body).alias("_old"))
     new_body = [c for c in body if c in incoming.columns]
-    new = incoming.select(
-        *[F.col(k).alias(f"_n_{k}") for k in keys], F.struct(F.lit(1).alias("_"), *new_body).alias("_new")
-    )
+    row = F.struct(F.lit(1).alias("_"), *new_body)
+    if order:
+        new = keep_last(incoming, keys, order).select(*[F.col(k).alias(f"_n_{k}") for k in keys], row.alias("_new"))
+    else:
+        new = incoming.groupBy(*[F.col(k).alias(f"_n_{k}") for k in keys]).agg(F.any_value(row).alias("_new"), F.count(F.lit(1)).alias("_k"))
+        new = new.withColumn("_new", F.when(F.col("_k") == 1, F.col("_new")).otherwise(
+            F.raise_error(F.lit("incoming rows repeat a key: give an order")))).drop("_k")
     both = old.join(new, null_safe([f"_o_{k}" for k in keys], [f"_n_{k}" for k in keys]), "full_outer")
     has_old, has_new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
     written = has_new & ~has_old if insert_only else has_new
@@ -128,7 +133,7 @@ def patch_column(
     return patched, unmatched
 
 
-def unmatched_report(unmatched: DataFrame, key: str, sample: int = 80) -> DataFrame:
+def unmatched_report(unmatched: DataFrame, key: str, sample: int) -> DataFrame:
     """Unmatched row count, distinct keys and the first ``sample`` keys in order."""
     per_key = unmatched.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     shown = per_key.where(F.col(key).isNotNull()).orderBy(key).limit(sample)
@@ -159,19 +164,18 @@ def relink_by_natural_key(
 ) -> DataFrame:
     """Fill an empty foreign key from the dimension row with the same natural key.
 
-    ``on`` maps fact columns to dimension columns; those in ``lower`` compare case-insensitively.
+    ``on`` maps fact columns to dimension columns; those in ``lower`` compare case-insensitively.  Of dimension rows with
+    one key the smallest id counts.  Only facts with an empty key are joined.
     """
     def key(name: str, of: str) -> Column:
         return F.lower(F.trim(F.col(of))) if name in lower else F.col(of)
 
-    side = dim.select(
-        F.col(dim_id).alias("_dim_id"), *[key(f, d).alias(f"_d{i}") for i, (f, d) in enumerate(on.items())]
-    )
+    side = dim.groupBy(*[key(f, d).alias(f"_d{i}") for i, (f, d) in enumerate(on.items())]).agg(F.min(dim_id).alias("_dim_id"))
     match = F.lit(True)
     for i, f in enumerate(on):
         match = match & (key(f, f) == F.col(f"_d{i}"))
-    return (
-        facts.join(side, match, "left")
-        .withColumn(fk, F.coalesce(F.col(fk), F.col("_dim_id")))
+    filled = (
+        facts.where(F.col(fk).isNull()).join(side, match, "left").withColumn(fk, F.col("_dim_id"))
         .drop("_dim_id", *[f"_d{i}" for i in range(len(on))])
     )
+    return facts.where(F.col(fk).isNotNull()).unionByName(filled)

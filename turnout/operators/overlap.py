@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnout.functions.numbers import at_least_one
+
 
 def member_flags(sides: dict[str, DataFrame], key: str) -> DataFrame:
     """One row per non-blank key with a flag per side."""
@@ -85,7 +87,7 @@ def retention_top_n(
     subs: DataFrame, first_round: object, second_round: object, round_id: str, member: str, score: str, at: str, n: int
 ) -> DataFrame:
     """Members of the first round also in the second, and the same for its top ``n`` by best score."""
-    n = max(1, min(int(n), 100_000))
+    n = at_least_one(n, "n")
     in_1, in_2 = F.col(round_id) == F.lit(first_round), F.col(round_id) == F.lit(second_round)
     per_member = subs.where(in_1 | in_2).groupBy(member).agg(
         F.max(in_1).alias("_in_1"),

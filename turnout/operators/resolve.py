@@ -127,14 +127,24 @@ def scope_gate(
 ) -> tuple[DataFrame, DataFrame]:
     """Keep rows whose scope exists and agrees on every column of ``must_equal``; the rest get a reason.
 
-    ``scopes`` holds one row per ``key``.
+    Where ``scopes`` repeats a key, a row must agree with one of its rows.
     """
-    side = scopes.select(F.col(key).alias("_scope"), *[F.col(d).alias(f"_d_{d}") for d in must_equal.values()])
+    side = scopes.groupBy(F.col(key).alias("_scope")).agg(F.collect_set(F.struct(*must_equal.values())).alias("_known"))
     joined = batch.join(side, F.col(key) == F.col("_scope"), "left")
+
+    def agrees(columns: Mapping[str, str]) -> Column:
+        def row(known: Column) -> Column:
+            same = F.lit(True)
+            for b, d in columns.items():
+                same = same & F.col(b).eqNullSafe(known[d])
+            return same
+        return F.exists("_known", row)
+
     why = F.when(F.col("_scope").isNull(), F.lit("scope not found"))
     for b, d in must_equal.items():
-        why = why.when(~F.col(b).eqNullSafe(F.col(f"_d_{d}")), F.lit(f"{b} does not match scope"))
-    checked = joined.withColumn(reason, why).drop("_scope", *[f"_d_{d}" for d in must_equal.values()])
+        why = why.when(~agrees({b: d}), F.lit(f"{b} does not match scope"))
+    why = why.when(~agrees(must_equal), F.lit("no scope matches as a whole"))
+    checked = joined.withColumn(reason, why).drop("_scope", "_known")
     return checked.where(F.col(reason).isNull()).drop(reason), checked.where(F.col(reason).isNotNull())
 
 
@@ -150,7 +160,8 @@ def natural_key_fallback(
     """Attach session columns by id, or by natural key where the id is empty."""
     by_id = sessions.select(F.col(dim_id).alias("_sid"), *carry)
     linked = facts.where(F.col(fk).isNotNull()).join(by_id, F.col(fk) == F.col("_sid"), "left").drop("_sid")
-    side = sessions.select(*[F.col(d).alias(f"_d{i}") for i, d in enumerate(on.values())], *carry)
+    # Of sessions with one natural key the smallest id counts.
+    side = keep_first(sessions, list(on.values()), [dim_id]).select(*[F.col(d).alias(f"_d{i}") for i, d in enumerate(on.values())], *carry)
     match = F.lit(True)
     for i, f in enumerate(on):
         match = match & (F.col(f) == F.col(f"_d{i}"))

@@ -9,6 +9,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnout.functions.numbers import at_least_one
 from turnout.functions.classify import SEGMENTS, attempt_bucket, segment_case
 from turnout.functions.dates import parse_filter_date, parse_filter_moment
 from turnout.operators.ordering import page_count, ranked_page
@@ -60,22 +61,22 @@ class RosterFilter:
     @classmethod
     def from_request(cls, args: Mapping[str, str]) -> RosterFilter:
         """Whitelisted request values; invalid ones are ignored."""
-        def text(name: str, size: int = 200) -> str:
-            return (args.get(name) or "").strip()[:size]
+        def text(name: str) -> str:
+            return (args.get(name) or "").strip()
 
-        def digits(name: str, size: int = 12) -> int | None:
-            raw = text(name, size)
-            return int(raw) if raw.isdigit() else None
+        def digits(name: str) -> int | None:
+            raw = text(name)
+            return int(raw) if raw.isdecimal() and raw.isascii() else None
 
         def years(name: str) -> int | None:
-            n = digits(name, 8)
+            n = digits(name)
             return n if n is not None and n <= 99 else None
 
         low, high = years("designation_years_min"), years("designation_years_max")
         if low is not None and high is not None and low > high:
             low, high = high, low
-        segment = text("segment", 24).lower()
-        attempts = digits("attempts", 8)
+        segment = text("segment").lower()
+        attempts = digits("attempts")
         return cls(
             facets={c: text(f"af_{c}") for c in FACET_COLUMNS if text(f"af_{c}")},
             search=text("q"),
@@ -228,8 +229,8 @@ class Page:
 
 
 def roster_page(rows: DataFrame, order: Sequence[Column], page: int = 1, per_page: int = 50) -> Page:
-    """One page of the roster with the total; the page size is clamped to 10–100."""
-    per_page, page = min(max(per_page, 10), 100), max(page, 1)
+    """One page of the roster with the total."""
+    per_page, page = at_least_one(per_page, "per_page"), max(page, 1)
     total = rows.count()
     numbered = ranked_page(rows, order, per_page, (page - 1) * per_page, name="row")
     return Page(numbered, total, page, per_page, page_count(total, per_page))

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnout.functions.dates import month_of
 from turnout.functions.text import as_col
 from turnout.operators.ordering import ranked_page
 from turnout.operators.roster import text_search
@@ -22,12 +23,12 @@ CHANGE_TEXT = (
 
 
 def window_hours(raw: str | None) -> int | None:
-    """Hours to look back: 168 by default, at most 90 days, None (all time) for zero or less."""
+    """Hours to look back: 168 by default, None (all time) for zero or less."""
     try:
         hours = int((raw or "").strip() or 168)
     except ValueError:
         return 168
-    return None if hours <= 0 else min(hours, 24 * 90)
+    return None if hours <= 0 else hours
 
 
 def since(as_of: datetime, hours: int | None) -> Column | None:
@@ -36,13 +37,22 @@ def since(as_of: datetime, hours: int | None) -> Column | None:
     return F.lit((as_of - timedelta(hours=hours)).strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
+def _since(log: DataFrame, start: Column | None) -> DataFrame:
+    if start is None:
+        return log
+    if "month" in log.columns:
+        log = log.where(F.col("month") >= month_of(start))
+    return log.where(F.col("occurred_at") >= start)
+
+
 def activity_search(log: DataFrame, q: str = "", action: str = "", start: Column | None = None) -> DataFrame:
-    """Matching activity rows; text is looked for in every text column the log has."""
-    out = log
-    if start is not None:
-        out = out.where(F.col("occurred_at") >= start)
+    """Matching activity rows; text is looked for in every text column the log has.
+
+    A log partitioned by ``month`` is read from the month of ``start`` on.
+    """
+    out = _since(log, start)
     if action:
-        out = out.where(F.col("action") == action[:120])
+        out = out.where(F.col("action") == action)
     if q:
         out = out.where(text_search([c for c in ACTIVITY_TEXT if c in log.columns], q))
     return out
@@ -50,7 +60,7 @@ def activity_search(log: DataFrame, q: str = "", action: str = "", start: Column
 
 def change_search(log: DataFrame, q: str = "", start: Column | None = None) -> DataFrame:
     """Matching change rows; arrays and maps are searched as JSON text."""
-    out = log if start is None else log.where(F.col("occurred_at") >= start)
+    out = _since(log, start)
     if not q:
         return out
     found = F.lit(False)
@@ -68,9 +78,9 @@ def log_page(rows: DataFrame, tie: str, page: int = 1, per_page: int = 50) -> Da
     return ranked_page(rows, order, per_page, max(page - 1, 0) * per_page, name="row")
 
 
-def distinct_actions(log: DataFrame, start: Column | None = None, cap: int = 48) -> DataFrame:
-    rows = log if start is None else log.where(F.col("occurred_at") >= start)
-    return rows.select("action").where("action IS NOT NULL AND action <> ''").distinct().orderBy("action").limit(cap)
+def distinct_actions(log: DataFrame, start: Column | None = None, cap: int | None = None) -> DataFrame:
+    actions = _since(log, start).select("action").where("action IS NOT NULL AND action <> ''").distinct().orderBy("action")
+    return actions if cap is None else actions.limit(cap)
 
 
 def has_pk(record_pk: Column | str, row_id: int | str) -> Column:
@@ -80,13 +90,13 @@ def has_pk(record_pk: Column | str, row_id: int | str) -> Column:
 
 def record_timeline(
     changes: DataFrame, views: DataFrame, table_name: str, entity: str, module: str, row_id: int,
-    change_cap: int = 200, view_cap: int = 100, cap: int = 250,
+    change_cap: int | None = None, view_cap: int | None = None, cap: int | None = None,
 ) -> DataFrame:
-    """Changes and views of one record in time order, each list and the whole capped to the earliest."""
+    """Changes and views of one record in time order; caps, where given, keep the earliest of each list and of all."""
+    first = lambda rows, n: rows if n is None else rows.limit(n)
     columns = F.array_join("changed_columns", ", ")
     data = (
-        changes.where((F.col("table_name") == table_name) & has_pk("record_pk", row_id))
-        .orderBy("occurred_at", "op").limit(change_cap)
+        first(changes.where((F.col("table_name") == table_name) & has_pk("record_pk", row_id)).orderBy("occurred_at", "op"), change_cap)
         .select(
             "occurred_at", F.lit("data").alias("kind"), "op",
             F.when(F.col("op") == "INSERT", "Registration row inserted")
@@ -97,11 +107,10 @@ def record_timeline(
         )
     )
     seen = (
-        views.where(
+        first(views.where(
             (F.col("action") == "VIEW") & (F.coalesce("entity", F.lit("")) == entity)
             & (F.coalesce("module", F.lit("")) == module) & has_pk("record_pk", row_id)
-        )
-        .orderBy("occurred_at", "endpoint").limit(view_cap)
+        ).orderBy("occurred_at", "endpoint"), view_cap)
         .select(
             "occurred_at", F.lit("event").alias("kind"), F.col("action").alias("op"),
             F.concat(F.lit("Detail viewed"), F.when(F.coalesce("endpoint", F.lit("")) != "",
@@ -109,4 +118,4 @@ def record_timeline(
             "principal",
         )
     )
-    return data.unionByName(seen).orderBy("occurred_at", "kind", "summary").limit(cap)
+    return first(data.unionByName(seen).orderBy("occurred_at", "kind", "summary"), cap)

@@ -64,7 +64,7 @@ class CrossoverParams:
             attendance_city=text("attendance_city"),
             session_on=parse_filter_date(args.get("session_on")),
             label_contains=text("label_contains"),
-            label=(args["label"] or "").strip()[:64] if "label" in args else None,
+            label=(args["label"] or "").strip() if "label" in args else None,
             in_person_from=parse_filter_moment(args.get("in_person_from")),
             in_person_to=parse_filter_moment(args.get("in_person_to")),
             in_person_regs={c: text(f"in_person_{c}") for c in ("city", "state", "attendance_city")
@@ -73,7 +73,7 @@ class CrossoverParams:
             virtual_from=parse_filter_moment(args.get("virtual_from")),
             virtual_to=parse_filter_moment(args.get("virtual_to")),
             virtual_regs={c: text(f"virtual_{c}") for c in ("city", "state") if text(f"virtual_{c}")},
-            city_limit=min(50, max(1, int(limit))) if limit.lstrip("-").isdigit() else 20,
+            city_limit=int(limit) if limit.isdecimal() and int(limit) > 0 else 20,
         )
 
     def in_person_rows(self) -> Column:

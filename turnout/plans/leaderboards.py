@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnout.functions.numbers import MONEY, ratio
+from turnout.functions.numbers import MONEY, at_least_one, ratio
 from turnout.operators.ordering import ranked_page
 from turnout.operators.roster import ci_equals
 
@@ -65,7 +65,7 @@ def leader_averages(subs: DataFrame) -> DataFrame:
 
 def global_leaderboard(subs: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     order = score_order("average_score", "submitted_at", "leader_email_normalized")
-    return ranked_page(leader_averages(subs), order, min(max(limit, 1), 500), max(offset, 0))
+    return ranked_page(leader_averages(subs), order, at_least_one(limit, "limit"), max(offset, 0))
 
 
 def ledger_scores(enrolled: DataFrame, ledger: DataFrame, round_id: int | str | None = None) -> DataFrame:

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Position of a row in its input: file, block within the file, place within the scan.
 ORDINAL = "_ordinal"
 
-#: Largest file Spark reads as one binary value.
-MAX_BINARY = 2_147_483_647
-
 
 def read_csv_strings(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Header CSV, every column text, plus the row ordinal and the file name.
 
-    ``multiline`` allows line breaks inside quotes, at the price of one task per file; large
-    files known to have none should switch it off so that they split.
+    ``multiline`` allows line breaks inside quotes, at the price of one task per file; switch it off for files known
+    to have none, so that they are split over tasks.
     """
     raw = (
         spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
@@ -55,35 +54,28 @@ def read_table(spark: SparkSession, folder: str, name: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, **options: str
-              ) -> DataFrame:
-    """A database table read in ``parts`` ranges of an integer key."""
-    reader = spark.read.format("jdbc").options(
-        url=url, dbtable=table, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts, **options
-    )
-    return reader.load()
+#: Row digests are numbers below 2^60, so that their sum over a file fits a decimal.
+DIGEST_MODULUS = 1 << 60
 
 
-def file_manifest(spark: SparkSession, path: str, module: str, pattern: str = "*") -> DataFrame:
-    """One row per input file: name, size, time, SHA-256, module, status.
+def file_manifest(rows: DataFrame, module: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row per input file of a file scan: name, size, rows, digest, module, status.
 
-    A file too large to be read as one value is listed without a digest.
+    The digest is the sum, modulo 2^60, of the first 60 bits of each row's MD5, so it does not depend on the order of
+    rows and files of any size are split over tasks.  Equal digests tell a file that was received before.
     """
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    )
-
-    def listed(rows: DataFrame, digest: Column, status: str) -> DataFrame:
-        return rows.select(
-            F.regexp_extract("path", "([^/]+)$", 1).alias("file_name"),
-            F.col("length").alias("size_bytes"),
-            F.col("modificationTime").alias("modified_at"),
-            digest.alias("sha256"),
-            F.lit(module).alias("module"),
-            F.lit(status).alias("status"),
-        )
-
-    # The size filter reaches the source, and the second scan does not ask for the content.
-    return listed(files.where(F.col("length") <= MAX_BINARY), F.sha2("content", 256), "received").unionByName(
-        listed(files.where(F.col("length") > MAX_BINARY), F.lit(None).cast("string"), "received, not hashed")
-    )
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in (columns or rows.columns)]
+    row = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *cells)), 1, 15), 16, 10).cast("decimal(20,0)")
+    tagged = rows.select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_size").alias("size_bytes"), row.alias("_d"))
+    return tagged.groupBy("file_name").agg(
+        F.max("size_bytes").alias("size_bytes"),
+        F.count(F.lit(1)).alias("n_rows"),
+        (F.sum("_d") % F.lit(DIGEST_MODULUS).cast("decimal(20,0)")).cast("long").alias("digest"),
+    ).withColumns({"module": F.lit(module), "status": F.lit("received")})
+
+
+def with_status(manifest: DataFrame, outcome: DataFrame, key: str = "file_name") -> DataFrame:
+    """The manifest with the status that ``outcome`` (key, status) gives some of its files."""
+    side = outcome.groupBy(F.col(key).alias("_key")).agg(F.max("status").alias("_status"))
+    joined = manifest.join(side, F.col(key) == F.col("_key"), "left")
+    return joined.withColumn("status", F.coalesce("_status", "status")).drop("_key", "_status")

@@ -116,18 +116,14 @@ def tabular_json_to_rows(rows: Column, header: Column) -> Column:
     return F.transform(body, record)
 
 
-def extract_records_json(
-    payloads: DataFrame, column: str, spread: int | None = None
-) -> tuple[DataFrame, DataFrame]:
+def extract_records_json(payloads: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """Find the record list of JSON payloads of unknown shape.
 
     Looked for in order: a top-level list, the list keys, each envelope (lists, then tables), a
     table at the top.  Gives one row per record (``record``, a text map, and ``record_no``), and
-    the payloads that hold no list at all.  Parsing is heavy on the processor: ``spread`` deals
-    the payloads out to that many tasks when the input has fewer partitions.
+    the payloads that hold no list at all.  Parsing is heavy on the processor, so few large files are better
+    dealt out (``payloads.repartition(n)``) before they come here.
     """
-    if spread and payloads.rdd.getNumPartitions() < spread:
-        payloads = payloads.repartition(spread)
     rest = [c for c in payloads.columns if c != column]
     parsed = payloads.withColumn("_v", F.try_parse_json(column))
     headed = parsed.withColumn("_heads", _header_rows("_v"))
