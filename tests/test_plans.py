@@ -189,9 +189,9 @@ def test_report_sections(spark, subs, tmp_path):
     rounds = spark.createDataFrame([(2, 1, None, datetime(2026, 2, 1)), (1, 1, datetime(2026, 1, 1), datetime(2026, 1, 2))],
                                    "id int, event_id int, opens_at timestamp_ntz, closes_at timestamp_ntz")
     sections = reports.report_sections(regs, regs, subs, subs, rounds, datetime(2026, 1, 3))
-    assert list(sections) == ["Summary", "InPerson", "Cities", "Top10", "Virtual", "Challenges", "Challenge 1", "Challenge 2", "Retention"]
-    reports.export_report({k: sections[k] for k in ("Summary", "Challenge 1", "Retention")}, str(tmp_path / "report"))
-    assert spark.read.parquet(str(tmp_path / "report" / "Challenge_1")).count() == 5
+    assert list(sections) == ["Summary", "InPerson", "Cities", "Top10", "Virtual", "Challenges", "Teams", "Retention"]
+    reports.export_report({k: sections[k] for k in ("Summary", "Teams", "Retention")}, str(tmp_path / "report"))
+    assert spark.read.parquet(str(tmp_path / "report" / "Teams" / "challenge_id=1")).count() == 5
     assert tuple(spark.read.parquet(str(tmp_path / "report" / "Retention")).first()) == (5, 1, 1, 1)
     reports.export_csv(regs, str(tmp_path / "csv"))
     text = next((tmp_path / "csv").glob("part*")).read_bytes().decode()

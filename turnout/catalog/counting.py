@@ -224,10 +224,16 @@ def round_list(spark: SparkSession, folder: str) -> DataFrame:
     return rounds.select("id", "title", "status", day_text("opens_at"), day_text("closes_at"), "place")
 
 
-@query("""SELECT id, title FROM rounds ORDER BY CASE status WHEN 'live' THEN 0 WHEN 'draft' THEN 1 ELSE 2 END,
-  opens_at ASC NULLS LAST, id LIMIT 1""", "rounds")
+@query("""SELECT 'asked' AS way, id, title FROM rounds WHERE id = 6 UNION ALL SELECT 'configured', id, title FROM rounds WHERE id = 2
+  UNION ALL (SELECT 'first', id, title FROM rounds ORDER BY CASE status WHEN 'live' THEN 0 WHEN 'draft' THEN 1 ELSE 2 END,
+  opens_at ASC NULLS LAST, id LIMIT 1)""", "rounds")
 def default_round(spark: SparkSession, folder: str) -> DataFrame:
-    return pick_round(base.rounds(spark, folder), requested=99, configured=2).select("id", "title")
+    """A round that was asked for, the configured one when none was, and the first when that is unknown too."""
+    rounds = base.rounds(spark, folder)
+    ways = {"asked": pick_round(rounds, requested=6, configured=2), "configured": pick_round(rounds, configured=2),
+            "first": pick_round(rounds, requested=99, configured=2)}
+    out = [df.select(F.lit(way).alias("way"), "id", "title") for way, df in ways.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 # --- roster -----------------------------------------------------------------------------------

@@ -292,11 +292,11 @@ def round_segment_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""SELECT count(*) AS row_n, round(stddev_pop(CAST(total_score AS DOUBLE)), 4) AS stddev_score FROM subs
-  WHERE event_id IN (SELECT r_regionkey FROM region WHERE r_name >= 'ASIA')""", "subs")
+  WHERE challenge_id IN (SELECT r_regionkey FROM region WHERE r_name >= 'ASIA')""", "subs")
 def kind_gated_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of programmes of one kind; regions stand for programmes, those from A to AS for the other kind."""
     programmes = base.read_table(spark, folder, "region").select(
         F.col("r_regionkey").alias("id"), F.when(F.col("r_name") >= "ASIA", "virtual").otherwise("in_person").alias("kind")
     )
-    rollup = score_rollup(kind_gate(base.submissions(spark, folder), programmes, "virtual"), "total_score")
+    rollup = score_rollup(kind_gate(base.submissions(spark, folder), programmes, "virtual", "challenge_id"), "total_score")
     return rollup.select("row_n", F.round("stddev_score", 4).alias("stddev_score"))

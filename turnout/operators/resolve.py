@@ -14,10 +14,14 @@ from turnout.operators.dedupe import keep_first
 from turnout.operators.merge import null_safe
 
 
-def validate_rows(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """Split rows by ``rules`` (message to failing condition): accepted, and rejected with ``errors``."""
+def validate_rows(df: DataFrame, rules: Mapping[str, Column], index: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Split rows by ``rules`` (message to failing condition): accepted, and rejected with ``errors``.
+
+    With ``index``, a column that numbers the rows, each message names its row.
+    """
+    where = F.lit("") if index is None else F.concat(F.lit("row "), F.col(index).cast("string"), F.lit(": "))
     errors = F.array_compact(
-        F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(message)) for message, bad in rules.items()])
+        F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.concat(where, F.lit(message))) for message, bad in rules.items()])
     )
     checked = df.withColumn("errors", errors)
     return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)

@@ -236,6 +236,21 @@ def roster_page(rows: DataFrame, order: Sequence[Column], page: int = 1, per_pag
     return Page(numbered, total, page, per_page, page_count(total, per_page))
 
 
+def in_list(df: DataFrame, column: str, values: DataFrame, value: str) -> DataFrame:
+    """Rows whose column is among the values; a list of any length is a semi join."""
+    wanted = values.select(F.col(value).alias("_wanted")).where("_wanted IS NOT NULL").distinct()
+    return df.join(wanted, F.col(column) == F.col("_wanted"), "left_semi")
+
+
+def registrant_submissions(regs: DataFrame, subs: DataFrame, sessions: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """For every registration that has any: its submissions with their sessions' names, as an array in list order."""
+    held = sessions.select(F.col("id").alias("_sid"), F.col("event_id").alias("_sev"), "display")
+    entry = F.struct(*[F.col(c) for c in ("sheet_kind", "team_name", "session_on", "id", *columns)], "display")
+    linked = subs.where("registration_id IS NOT NULL").join(held, (F.col("session_id") == F.col("_sid")) & (F.col("event_id") == F.col("_sev")))
+    lists = linked.groupBy(F.col("registration_id").alias("_rid"), F.col("event_id").alias("_rev")).agg(F.sort_array(F.collect_list(entry)).alias("submissions"))
+    return regs.join(lists, (F.col("id") == F.col("_rid")) & (F.col("event_id") == F.col("_rev"))).drop("_rid", "_rev")
+
+
 def participation(regs: DataFrame, ip_subs: DataFrame, v_subs: DataFrame, v_regs: DataFrame) -> DataFrame:
     """Per e-mail: distinct in-person sessions (registered or submitted) and distinct virtual rounds."""
     linked = ip_subs.where("session_id IS NOT NULL AND registration_id IS NOT NULL").select(

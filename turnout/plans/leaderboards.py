@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnout.functions.numbers import MONEY, at_least_one, ratio
-from turnout.operators.ordering import ranked_page
+from turnout.operators.ordering import ranked_page, top_per_group
 from turnout.operators.roster import ci_equals
 
 TEAM_COLUMNS = ("team_name", "leader_name", "leader_email", "total_score")
@@ -28,6 +28,14 @@ def round_leaderboard(subs: DataFrame, limit: int = 50, offset: int = 0,
     return page.select("rank", *columns, F.col("export_created_at").alias("submitted_at"))
 
 
+def round_tops(subs: DataFrame, limit: int, columns: Sequence[str] = TEAM_COLUMNS) -> DataFrame:
+    """The best teams of every round, in one job."""
+    rows = subs.where("challenge_id IS NOT NULL").select("challenge_id", "id", "export_created_at", *columns)
+    top = top_per_group(rows, ["challenge_id"], score_order(), limit)
+    place = F.row_number().over(Window.partitionBy("challenge_id").orderBy(*score_order()))
+    return top.select("challenge_id", place.alias("rank"), *columns, F.col("export_created_at").alias("submitted_at"))
+
+
 def session_scope(city: str, on: date | None = None, label: str | None = None, every_date: bool = False) -> Column:
     """Main-sheet rows of one session.
 

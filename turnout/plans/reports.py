@@ -12,7 +12,7 @@ from turnout.functions.text import coalesce_label, not_blank
 from turnout.operators.counts import last_n_days
 from turnout.operators.overlap import member_flags, retention_top_n
 from turnout.operators.sessions import round_counts
-from turnout.plans.leaderboards import round_leaderboard, session_leaderboard
+from turnout.plans.leaderboards import round_tops, session_leaderboard
 
 
 def submission_counts(subs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -100,8 +100,8 @@ def report_sections(
     ip_regs: DataFrame, v_regs: DataFrame, ip_subs: DataFrame, v_subs: DataFrame, rounds: DataFrame, as_of: datetime,
     top_n: int = 400,
 ) -> dict[str, DataFrame]:
-    """All report sections by name; one section per round lists its top teams."""
-    ids = [r[0] for r in rounds.orderBy(F.col("opens_at").asc_nulls_last(), "id").select("id").collect()]
+    """All report sections by name; one section lists the top teams of every round."""
+    ids = [r[0] for r in rounds.orderBy(F.col("opens_at").asc_nulls_last(), "id").select("id").limit(2).collect()]
     out = {
         "Summary": track_overlap_report(ip_regs, v_regs, v_subs),
         "InPerson": in_person_summary(ip_regs, ip_subs, as_of),
@@ -110,8 +110,7 @@ def report_sections(
         "Virtual": submission_counts(v_subs),
         "Challenges": round_summary(rounds, v_regs, v_subs),
     }
-    for i in ids:
-        out[f"Challenge {i}"] = round_leaderboard(v_subs.where(F.col("challenge_id") == i), top_n)
+    out["Teams"] = round_tops(v_subs, top_n)
     if len(ids) >= 2:
         out["Retention"] = retention_top_n(
             v_subs, ids[0], ids[1], "challenge_id", "leader_email_normalized", "total_score", "export_created_at", top_n
@@ -120,9 +119,11 @@ def report_sections(
 
 
 def export_report(sections: Mapping[str, DataFrame], folder: str) -> None:
-    """Write every section to its own folder."""
+    """Write every section to its own folder; one with rounds has a folder for each of them."""
     for name, section in sections.items():
-        section.write.mode("overwrite").parquet(f"{folder}/{name.replace(' ', '_')}")
+        writer = section.write.mode("overwrite")
+        by_round = "challenge_id" in section.columns and "rank" in section.columns
+        (writer.partitionBy("challenge_id") if by_round else writer).parquet(f"{folder}/{name.replace(' ', '_')}")
 
 
 #: Columns of a roster export; the score belongs to the virtual track, the session to the in-person one.
@@ -140,7 +141,9 @@ def export_rows(rows: DataFrame, mode: str = "in_person") -> DataFrame:
 
 
 def export_csv(rows: DataFrame, folder: str, mode: str = "in_person") -> None:
-    """CSV with header; the byte-order mark leads the header of every part file."""
+    """CSV with header, blanks kept; the byte-order mark leads the header of every part file."""
     out = export_rows(rows, mode)
     first, *rest = out.columns
-    out.toDF("﻿" + first, *rest).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(folder)
+    out.toDF("﻿" + first, *rest).write.mode("overwrite").options(
+        header=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(folder)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from turnout.operators.distribution import attempt_buckets, score_stats, with_se
 from turnout.operators.overlap import cohort_vs_prior, with_prior
 from turnout.operators.roster import ci_equals
 from turnout.operators.sessions import round_counts
+from turnout.plans.crossover import CrossoverParams, crossover
 from turnout.plans.leaderboards import session_scope
 
 
@@ -50,8 +52,12 @@ def chronological() -> list[Column]:
     return [F.col("closes_at").asc_nulls_last(), F.col("opens_at").asc_nulls_last(), F.col("id").asc()]
 
 
-def round_stats(subs: DataFrame, regs: DataFrame, rounds: DataFrame, round_id: int) -> dict[str, DataFrame]:
-    """Registrations at open and close, totals, scores, segments, attempts and cohorts of one round."""
+def round_stats(
+    subs: DataFrame, regs: DataFrame, rounds: DataFrame, round_id: int, in_person: DataFrame | None = None,
+    params: CrossoverParams | None = None,
+) -> dict[str, DataFrame]:
+    """Registrations at open and close, totals, scores, segments, attempts and cohorts of one round; with the
+    in-person submissions also its crossover with them."""
     this = rounds.where(F.col("id") == round_id)
     out = common_stats(subs.where(F.col("challenge_id") == round_id), regs)
     out["registrations"] = round_counts(this, regs).select("id", "registrations_at_open", "registrations_at_close")
@@ -61,6 +67,8 @@ def round_stats(subs: DataFrame, regs: DataFrame, rounds: DataFrame, round_id: i
         ), "challenge_id", "leader_email_normalized",
     )
     out["cohort"] = cohorts.where(F.col("challenge_id") == round_id)
+    if in_person is not None and params is not None:
+        out["crossover"] = crossover(in_person, subs, replace(params, round_ids=(round_id,)))[0]
     return out
 
 
@@ -102,9 +110,11 @@ def session_cohorts(subs: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def session_stats(
-    subs: DataFrame, regs: DataFrame, sessions: DataFrame, city: str, on: date | None, label: str | None
+    subs: DataFrame, regs: DataFrame, sessions: DataFrame, city: str, on: date | None, label: str | None,
+    virtual: DataFrame | None = None, params: CrossoverParams | None = None,
 ) -> dict[str, DataFrame]:
-    """Registrations, totals, scores, segments, attempts and cohorts of one in-person session."""
+    """Registrations, totals, scores, segments, attempts and cohorts of one in-person session; with the virtual
+    submissions also its crossover with them."""
     out = common_stats(subs.where(session_scope(city, on, label)), regs)
     out["registrations"] = session_registrations(regs, city, on, label)
     here = (
@@ -112,4 +122,6 @@ def session_stats(
         & ci_equals("session_label", label or "")
     )
     out["cohort"] = session_cohorts(subs, sessions).where(here)
+    if virtual is not None and params is not None:
+        out["crossover"] = crossover(subs.where(session_scope(city, on, label)), virtual, params)[0]
     return out
