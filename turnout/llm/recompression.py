@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnout.llm.files import ship, written
-from turnout.llm.wordhash import BASE, _powers, blocks, mix, windows, words_of
+from turnout.llm.wordhash import BASE, blocks, mix, powers, windows, words_of
 
 #: Rounds of naming.  More rounds give wider contexts and fewer anchors in a window.
 ROUNDS = 3
@@ -127,7 +127,7 @@ def window_keys(digests: np.ndarray, bounds: np.ndarray, length: int, rounds: in
     keys = np.zeros(len(starts), np.uint64)
     if not len(starts):
         return starts, keys
-    power, inverse = _powers(max(16, int(len(digests)).bit_length()))
+    power, inverse = powers(len(digests) + 1)
     total = np.zeros(len(digests) + 1, np.uint64)
     np.cumsum(digests * power[:len(digests)], out=total[1:])
     left = np.arange(len(starts))

@@ -12,7 +12,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +66,7 @@ class WordBpe:
         self.token_bytes = [t.encode() for t in self.tokens]
         chars = byte_symbols()
         self.symbol_bytes = {c: b for b, c in enumerate(chars)}
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.inner = np.array([vocab[c] for c in chars], np.int64)
         self.final = np.array([vocab[c + suffix] for c in chars], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -76,6 +76,11 @@ class WordBpe:
         for rank, merged in self.pair.values():
             self.rank_merged[rank] = merged
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's tokenizer, for the few texts that need it."""
+        return Tokenizer.from_file(self.path)
+
     def _normal(self, text: str) -> str:
         if text.isascii():
             return text.lower()

@@ -7,7 +7,6 @@ digests in every task.  Different words share a digest with a chance of about 2^
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +32,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and its inverse modulo 2^64 for i below 2^bits."""
-    n = 1 << bits
-    out = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        power = np.ones(1, np.uint64)
-        while len(power) < n:
-            power = np.concatenate([power, power * np.uint64(pow(base, len(power), 1 << 64))])
-        out.append(power)
-    return out[0], out[1]
+_held: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE^i and its inverse modulo 2^64 for i below n, or beyond; one pair of tables a worker, which grows."""
+    for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+        while len(_held[k]) < n:
+            _held[k] = np.concatenate([_held[k], _held[k] * np.uint64(pow(base, len(_held[k]), 1 << 64))])
+    return _held[0], _held[1]
 
 
 @dataclass
@@ -77,7 +74,7 @@ def words_of(column: pa.Array, fold: bool = False) -> Words:
         begins[1:] &= ~word[:-1] | edge[1:-1]
         ends[:-1] &= ~word[1:] | edge[1:-1]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power, inverse = _powers(max(16, int(len(data)).bit_length()))
+    power, inverse = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTES[data] * power[:len(data)], out=total[1:])
     digests = mix((total[stops] - total[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
@@ -98,7 +95,7 @@ def windows(digests: np.ndarray, length: int) -> np.ndarray:
 
 
 def _rolled(digests: np.ndarray, length: int) -> np.ndarray:
-    power, inverse = _powers(max(16, int(len(digests)).bit_length()))
+    power, inverse = powers(len(digests) + 1)
     total = np.zeros(len(digests) + 1, np.uint64)
     np.cumsum(digests * power[:len(digests)], out=total[1:])
     n = len(digests) - length + 1
