@@ -56,8 +56,15 @@ class Output:
         self.stream.close()
 
 
+#: Arrow batches that reach Python hold whole texts; Spark's own limits (10,000 rows, 64 MB) would fill a small executor.
+BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once a session, so that tasks can import it wherever the driver found it."""
+    """Prepares a session for tasks in Python: bounds their batches, and gives the executors this package (once), so
+    that tasks can import it wherever the driver found it."""
+    for key, value in BATCH_SETTINGS.items():
+        spark.conf.set(key, value)
     context = spark.sparkContext
     if getattr(context, "_turnout_shipped", False):
         return

@@ -346,7 +346,7 @@ def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def text_blocks(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, list[str | None]]]:
+def text_blocks(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, list[str | None]]]:
     """(start, stop, texts) of a batch, a few MB at a time, so a worker's memory does not follow the batch."""
     sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]) if len(texts) else np.zeros(0, np.int32)
     for start, stop in slices(sizes, most):

@@ -102,7 +102,7 @@ def _rolled(digests: np.ndarray, length: int) -> np.ndarray:
     return mix((total[length:] - total[:-length]) * inverse[:n])
 
 
-def blocks(column: pa.Array, most: int = 2 << 20):
+def blocks(column: pa.Array, most: int = 1 << 20):
     """(start, stop, part) of a batch's texts, a few MB at a time."""
     sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]) if len(column) else np.zeros(0, np.int32)
     for start, stop in slices(sizes, most):
