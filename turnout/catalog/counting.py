@@ -330,7 +330,7 @@ def participation_union(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(""", named AS (SELECT DISTINCT coalesce(nullif(trim(attendance_city, ' '), ''), nullif(trim(city, ' '), ''),
     '(Unknown)') AS city, session_on, trim(session_label, ' ') AS session_label, 0 AS source FROM regs
-    WHERE session_on IS NOT NULL ORDER BY session_on, city, session_label LIMIT 80),
+    WHERE session_on IS NOT NULL),
   played AS (SELECT DISTINCT trim(attendance_city, ' ') AS city, session_on, trim(session_label, ' ') AS session_label,
     1 AS source FROM ip_subs WHERE sheet_kind = 'main' AND session_on IS NOT NULL),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY lower(city), session_on, session_label ORDER BY source, city) AS rn
@@ -338,7 +338,7 @@ def participation_union(spark: SparkSession, folder: str) -> DataFrame:
   SELECT city, strftime(session_on, '%Y-%m-%d') AS session_on, session_label,
     city || ' · ' || strftime(session_on, '%d %b %Y')
       || CASE WHEN session_label <> '' THEN ' · ' || session_label ELSE '' END AS display
-  FROM ranked WHERE rn = 1 ORDER BY ranked.session_on, lower(city), session_label, city LIMIT 80""", "regs", "ip_subs")
+  FROM ranked WHERE rn = 1""", "regs", "ip_subs")
 def session_list_merged(spark: SparkSession, folder: str) -> DataFrame:
     merged = session_list(base.registrations(spark, folder), base.in_person_submissions(spark, folder))
     return merged.select("city", day_text("session_on"), "session_label", "display")

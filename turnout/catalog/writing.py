@@ -126,7 +126,7 @@ base.ORACLE["patch_attempts"] = base.ORACLE["patch_attempts"].replace(
       ORDER BY k LIMIT 80)) AS sample FROM bad""")
 def patch_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     unmatched = _patched(spark, folder)[1].select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("key"))
-    return unmatched_report(unmatched, "key")
+    return unmatched_report(unmatched, "key", 80)
 
 
 @query("""WITH inc AS (SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events
