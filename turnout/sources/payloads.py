@@ -116,33 +116,43 @@ def tabular_json_to_rows(rows: Column, header: Column) -> Column:
     return F.transform(body, record)
 
 
-def extract_records_json(payloads: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """Find the record list of JSON payloads of unknown shape.
+def locate_records(payloads: DataFrame, column: str) -> DataFrame:
+    """The payloads' other columns with ``records`` (array of text maps, NULL where none were found) and ``unknown``.
 
-    Looked for in order: a top-level list, the list keys, each envelope (lists, then tables), a
-    table at the top.  Gives one row per record (``record``, a text map, and ``record_no``), and
-    the payloads that hold no list at all.  Parsing is heavy on the processor, so few large files are better
-    dealt out (``payloads.repartition(n)``) before they come here.
+    Looked for in order: a top-level list, the list keys, each envelope (lists, then tables), a table at the top.  A list
+    without objects is an empty result, not an unknown shape.  One parse serves records and rejects alike, so a caller
+    that wants both should persist this.  Parsing is heavy on the processor: few large files are better dealt out
+    (``payloads.repartition(n)``) before they come here.
     """
     rest = [c for c in payloads.columns if c != column]
     parsed = payloads.withColumn("_v", F.try_parse_json(column))
-    headed = parsed.withColumn("_heads", _header_rows("_v"))
-
-    found = headed.withColumn("_pick", _first_record_list("_v", "_heads"))
+    # Not deterministic in Spark's eyes, so that these long expressions are not written out again where they are used.
+    once = lambda c: F.when(F.spark_partition_id() >= 0, c)
+    headed = parsed.withColumn("_heads", once(_header_rows("_v")))
+    found = headed.withColumn("_pick", once(_first_record_list("_v", "_heads")))
     pick = F.col("_pick")
     objects = F.filter(
         F.transform(pick["items"], lambda x: F.try_variant_get(x, "$", "map<string,string>")), lambda m: m.isNotNull()
     )
     tables = tabular_json_to_rows(pick["items"], F.get(F.col("_heads"), pick["base"]))
-    records = found.select(
-        *rest, F.posexplode(F.when(pick["is_table"], tables).otherwise(objects)).alias("record_no", "record")
-    )
-    # A list without objects is an empty result, not an unknown shape.
     top = _list_at(F.col("_v"), "$")
     named = ", ".join(f"try_variant_get(_v, '$.{k}', 'array<variant>')" for k in LIST_KEYS)
     empty = F.coalesce(F.size(top) == 0, F.lit(False)) | F.expr(f"coalesce({named}) IS NOT NULL")
-    unknown = found.where(pick.isNull() & ~empty).select(*payloads.columns)
-    return records, unknown
+    return found.select(
+        *rest, F.when(pick["is_table"], tables).otherwise(objects).alias("records"), (pick.isNull() & ~empty).alias("unknown"), column
+    )
+
+
+def located_records(located: DataFrame, column: str) -> DataFrame:
+    """One row per record: the payload's columns, ``record_no`` and ``record``."""
+    rest = [c for c in located.columns if c not in ("records", "unknown", column)]
+    return located.select(*rest, F.posexplode("records").alias("record_no", "record"))
+
+
+def extract_records_json(payloads: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """One row per record of JSON payloads of unknown shape, and the payloads that hold no list at all."""
+    located = locate_records(payloads, column)
+    return located_records(located, column), located.where("unknown").select(*payloads.columns)
 
 
 def record_key(k: Column) -> Column:

@@ -21,7 +21,7 @@ from turnout.functions.numbers import MONEY
 from turnout.operators.changes import diff_changes
 from turnout.operators.dedupe import keep_last
 from turnout.operators.merge import append_idempotent, null_safe, upsert
-from turnout.sources.payloads import extract_records_json, map_registration_records
+from turnout.sources.payloads import locate_records, located_records, map_registration_records
 
 BATCH = "batch_id"
 
@@ -194,10 +194,9 @@ def sync_registrations(payloads: DataFrame, column: str, table: BucketTable, run
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         run = {"module": "registration_sync", "trigger": trigger, "started_at": datetime.now(timezone.utc).replace(tzinfo=None), "status": "failed"}
-        records, unknown = extract_records_json(batch, column)
-        records = records.persist()
+        located = locate_records(batch, column).persist()
         try:
-            rows, rejects = map_registration_records(records)
+            rows, _ = map_registration_records(located_records(located, column))
             keyed = rows.withColumn("email_normalized", F.lower(F.trim("email")))
             position = sorted((c for c in keyed.columns if c in ("record_no", "payload_no", "_file")), reverse=True)
             last = keep_last(keyed, ["email_normalized"], position).persist()
@@ -205,7 +204,8 @@ def sync_registrations(payloads: DataFrame, column: str, table: BucketTable, run
                 old, new, ["email_normalized"], keep_if_null).drop("_action"))
             updated = before.join(last, "email_normalized", "left_semi").count()
             total = last.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("*").cast("decimal(38,0)")).alias("d")).first()
-            run |= {"status": "completed", "rows_read": records.count(), "rows_rejected": rejects.count(), "payloads_unknown": unknown.count(),
+            seen = located.agg(F.coalesce(F.sum(F.greatest(F.size("records"), F.lit(0))), F.lit(0)).alias("read"), F.count_if("unknown").alias("unknown")).first()
+            run |= {"status": "completed", "rows_read": seen["read"], "rows_rejected": seen["read"] - rows.count(), "payloads_unknown": seen["unknown"],
                     "rows_inserted": total["n"] - updated, "rows_updated": updated, "digest": f"{int(total['d'] or 0) % (1 << 64):016x}"}
             last.unpersist()
         except Exception as error:
@@ -215,7 +215,7 @@ def sync_registrations(payloads: DataFrame, column: str, table: BucketTable, run
             run["finished_at"] = datetime.now(timezone.utc).replace(tzinfo=None)
             names = [c.split()[0] for c in RUN.split(", ")]
             write_batch(spark.createDataFrame([tuple(run.get(n) for n in names)], RUN).coalesce(1), batch_id, runs)
-            records.unpersist()
+            located.unpersist()
 
     return payloads.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
 
