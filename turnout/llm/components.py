@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from turnout.llm.files import written
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60, steps: list[str] | None = None) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); root is the smallest node reachable.
 
-    Each round is two aggregations with a join on the links, written; rounds grow with the logarithm of a
+    ``steps`` notes the folders of the tables written.  Each round is two aggregations with a join on the links, written; rounds grow with the logarithm of a
     component's size.  Only counts come to the driver.  Raises if it has not settled after ``most_rounds``.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    edges = written(edges)
+    edges = written(edges, steps)
     for _ in range(most_rounds):
         # Large star: every larger neighbour of u is linked to the smallest node around u.
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,7 +26,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         smaller = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = large.join(smaller, "u")
         new = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v"))).distinct()
-        new = written(new)
+        new = written(new, steps)
         state = new.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("us")).first()
         crossing = new.select("u").intersect(new.select("v")).limit(1).count()
         edges = new

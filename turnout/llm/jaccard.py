@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnout.llm.components import components
-from turnout.llm.files import ship, written
+from turnout.llm.files import discard, ship, written
 from turnout.llm.wordhash import BASE, blocks, mix, windows, words_of
 
 #: 2^ORDER_BITS buckets of shingle counts, summed in ranges of 2^RANGE_BITS.
@@ -106,7 +106,7 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def index_rows(docs: DataFrame, words: int, percent: int, weights: np.ndarray) -> DataFrame:
+def index_rows(docs: DataFrame, words: int, percent: int, weights: np.ndarray, steps: list[str]) -> DataFrame:
     """(doc_id, text_key, n, class, prefix, head): set size, digest of the set, its first shingles in order, digest of these."""
     table = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -134,7 +134,7 @@ def index_rows(docs: DataFrame, words: int, percent: int, weights: np.ndarray) -
                                        pa.array(prefix, pa.list_(pa.int64())), pa.array(head, pa.int64())], names=["doc_id", "text_key", "n", "class", "prefix", "head"])
 
     rows = docs.select("text", "doc_id", "text_key").mapInArrow(index, "doc_id bigint, text_key bigint, n bigint, class bigint, prefix array<bigint>, head bigint")
-    return written(rows)
+    return written(rows, steps)
 
 
 def shared_slots(rows: DataFrame) -> np.ndarray:
@@ -212,26 +212,26 @@ def picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, wanted.columns, "left_semi")
 
 
-def _both_sides(pairs: DataFrame) -> DataFrame:
-    return written(pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).distinct())
+def _both_sides(pairs: DataFrame, steps: list[str]) -> DataFrame:
+    return written(pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).distinct(), steps)
 
 
-def prefix_filtered(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def prefix_filtered(pairs: DataFrame, rows: DataFrame, percent: int, steps: list[str]) -> DataFrame:
     """The pairs (a, b) whose prefixes share enough.
 
     What two sets share beyond their prefixes is at most what is left of the one whose prefix ends first, so the prefixes
     themselves must share the rest of the overlap needed.
     """
-    sets = written(picked(rows.select("class", "n", "prefix"), _both_sides(pairs)).dropDuplicates(["class"]))
+    sets = written(picked(rows.select("class", "n", "prefix"), _both_sides(pairs, steps)).dropDuplicates(["class"]), steps)
     side = lambda c, p: sets.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(p))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    both = pairs.hint("merge").join(side("a", "x"), "a").join(side("b", "y").hint("merge"), "b")
     return both.where(f"size(array_intersect(x, y)) >= {_overlap('na', 'nb', percent)} - greatest(na - size(x), nb - size(y))").select("a", "b")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, steps: list[str]) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are similar enough."""
-    needed = _both_sides(pairs)
-    ids = written(picked(classes, needed).select(F.col("first_id").alias("doc_id")).distinct())
+    needed = _both_sides(pairs, steps)
+    ids = written(picked(classes, needed).select(F.col("first_id").alias("doc_id")).distinct(), steps)
     wanted = picked(docs, ids)
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,9 +242,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
                 yield pa.record_batch([pa.array(whole, pa.int64()), pa.array([g.tobytes() for g in found], pa.binary())], names=["class", "grams"])
 
     held = wanted.select("text").mapInArrow(sets, "class bigint, grams binary")
-    held = written(picked(held, needed).dropDuplicates(["class"]))
-    one = pairs.join(held.select(F.col("class").alias("a"), F.col("grams").alias("x")), "a")
-    two = one.join(held.select(F.col("class").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
+    held = written(picked(held, needed).dropDuplicates(["class"]), steps)
+    one = pairs.hint("merge").join(held.select(F.col("class").alias("a"), F.col("grams").alias("x")), "a")
+    two = one.join(held.select(F.col("class").alias("b"), F.col("grams").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,7 +260,10 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
 
 def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", star_rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``: component_id is the smallest id reachable by links."""
-    return _joined(docs, words, percent, doc_id, text, star_rounds).select("doc_id", "n_shingles", "component_id")
+    steps: list[str] = []
+    joined = written(_joined(docs, words, percent, doc_id, text, star_rounds, steps).select("doc_id", "n_shingles", "component_id"))
+    discard(docs.sparkSession, steps)
+    return joined
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -268,7 +271,9 @@ def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, doc_
 
     Rows without a set of shingles or without an id stay as they are.
     """
-    joined = written(_joined(docs, words, percent, doc_id, text, 2).where("doc_id IS NOT NULL AND n_shingles > 0"))
+    steps: list[str] = []
+    joined = written(_joined(docs, words, percent, doc_id, text, 2, steps).where("doc_id IS NOT NULL AND n_shingles > 0"))
+    discard(docs.sparkSession, steps)
     best = joined.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
     judged = joined.join(best, "root").groupBy("doc_id", "text_key").agg(
         F.max(F.struct("doc_id", "text_key") == F.col("best")).alias("stays"), F.count(F.lit(1)).alias("n"))
@@ -281,66 +286,69 @@ def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, doc_
     return rest.unionByName(repeated).select("_row.*")
 
 
-def _joined(docs: DataFrame, words: int, percent: int, doc_id: str, text: str, star_rounds: int) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id, root) for every row."""
+def _joined(docs: DataFrame, words: int, percent: int, doc_id: str, text: str, star_rounds: int, steps: list[str]) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, root) for every row; ``steps`` notes the tables it reads.
+
+    Joins with tables that grow with the corpus are merge joins by hint: Spark would broadcast them while they are small.
+    """
     whole = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(whole.alias("text"), F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(whole).alias("text_key"))
     ship(docs.sparkSession)
-    rows = index_rows(source, words, percent, bucket_weights(source, words))
+    rows = index_rows(source, words, percent, bucket_weights(source, words), steps)
     linked = rows.where("doc_id IS NOT NULL AND n > 0")
-    classes = written(linked.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("head").alias("head")))
+    classes = written(linked.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("head").alias("head")), steps)
     # A group is named by its smallest class; most groups have one member.
     names = classes.groupBy("n", "head").agg(F.min("class").alias("grp"))
-    members = written(classes.join(names, ["n", "head"]).select("class", "grp", "first_id"))
+    members = written(classes.join(names.hint("merge"), ["n", "head"]).select("class", "grp", "first_id"), steps)
     heads = members.where("class = grp").select("class", "first_id")
-    index = indexed(linked, shared_slots(linked)).join(heads, "class").where("doc_id = first_id").dropDuplicates(["class"])
+    index = indexed(linked, shared_slots(linked)).join(heads.hint("merge"), "class").where("doc_id = first_id").dropDuplicates(["class"])
     groups = index.select(F.col("class").alias("grp"), "n", F.inline(F.arrays_zip("pos", "gram")))
     shared = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
-    postings = written(groups.join(shared, "gram"))
+    postings = written(groups.join(shared.hint("merge"), "gram"), steps)
     within = members.where("class != grp").select(F.least("grp", "class").alias("a"), F.greatest("grp", "class").alias("b"))
     labels = members.select("class", "grp", F.col("class").alias("root"))
     tested = None
     for turn in range(star_rounds + 1):
         # Only shingles whose groups are not all of one component yet can bring a new link between components.
         state = labels.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        left = postings.join(state, "grp")
+        left = postings.join(state.hint("merge"), "grp")
         if turn:
             open_grams = left.groupBy("gram").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l != h").select("gram")
-            left = written(left.join(open_grams, "gram"))
+            left = written(left.join(open_grams.hint("merge"), "gram"), steps)
         if turn < star_rounds:
             # Every group meets the pivot of each shingle: the group in which the shingle stands earliest, then another one.
             order = F.struct("pos", "grp", "n") if turn == 0 else F.struct(F.xxhash64("grp", F.lit(turn)).alias("h"), "grp", "n", "pos")
             pivots = left.groupBy("gram").agg(F.min(order).alias("y"))
-            met = left.alias("x").join(pivots, "gram").where(f"x.grp != y.grp AND {_meet(percent)}").select(F.col("y.grp").alias("a"), F.col("x.grp").alias("b"))
+            met = left.alias("x").join(pivots.hint("merge"), "gram").where(f"x.grp != y.grp AND {_meet(percent)}").select(F.col("y.grp").alias("a"), F.col("x.grp").alias("b"))
             found = _expanded(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), labels)
             if turn == 0:
                 found = found.unionAll(within)
         else:
-            met = left.alias("x").join(left.alias("y"), "gram").where(f"x.grp < y.grp AND (x.low != y.low OR x.low != x.high OR y.low != y.high) AND {_meet(percent)}")
+            met = left.alias("x").join(left.alias("y").hint("merge"), "gram").where(f"x.grp < y.grp AND (x.low != y.low OR x.low != x.high OR y.low != y.high) AND {_meet(percent)}")
             met = met.select(F.col("x.grp").alias("a"), F.col("y.grp").alias("b")).distinct()
             inside = labels.alias("p").join(labels.alias("q"), "grp").where("p.class < q.class AND p.root != q.root").select(F.col("p.class").alias("a"), F.col("q.class").alias("b"))
             found = _expanded(met, labels).unionAll(inside)
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
-        found = written(prefix_filtered(written(found), linked, percent))
+        found = written(prefix_filtered(written(found, steps), linked, percent, steps), steps)
         if found.isEmpty():
             continue
         tested = found if tested is None else tested.unionAll(found)
         root_of = lambda side: labels.select(F.col("class").alias(side), F.col("root").alias(f"r{side}"))  # noqa: B023, E731
-        good = verified(found, classes, source, words, percent).join(root_of("a"), "a").join(root_of("b"), "b")
-        merged = components(good.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        up = labels.join(merged, labels["root"] == merged["node"], "left")
-        labels = written(up.select("class", "grp", F.coalesce(merged["root"], labels["root"]).alias("root")))
-    full = classes.select("class", "first_id").join(labels.select("class", "root"), "class")
+        good = verified(found, classes, source, words, percent, steps).join(root_of("a").hint("merge"), "a").join(root_of("b").hint("merge"), "b")
+        merged = components(good.select(F.col("ra").alias("a"), F.col("rb").alias("b")), steps=steps)
+        up = labels.join(merged.hint("merge"), labels["root"] == merged["node"], "left")
+        labels = written(up.select("class", "grp", F.coalesce(merged["root"], labels["root"]).alias("root")), steps)
+    full = classes.select("class", "first_id").join(labels.select("class", "root").hint("merge"), "class")
     lowest = full.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = full.join(lowest, "root").select("class", "component_id", "root")
-    out = rows.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
+    named = full.join(lowest.hint("merge"), "root").select("class", "component_id", "root")
+    out = rows.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "class").join(named.hint("merge"), "class", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), "root")
 
 
 def _expanded(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of groups to pairs of their members whose components differ."""
-    one = pairs.join(labels.select(F.col("grp").alias("a"), F.col("class").alias("ca"), F.col("root").alias("ra")), "a")
+    one = pairs.hint("merge").join(labels.select(F.col("grp").alias("a"), F.col("class").alias("ca"), F.col("root").alias("ra")), "a")
     two = one.join(labels.select(F.col("grp").alias("b"), F.col("class").alias("cb"), F.col("root").alias("rb")), "b")
     return two.where("ra != rb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnout.llm import wordbpe
-from turnout.llm.files import Output, attempt_file, run_folder, ship, written
+from turnout.llm.files import Output, attempt_file, discard, run_folder, ship, written
 
 #: Words in the lexicon: it bounds the file that every worker maps.
 LEXICON_WORDS = 1 << 16
@@ -187,7 +187,9 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", words:
         sizes = np.array([len(w) for w in ordered], np.int64)
         return bpe.merge(np.frombuffer(b"".join(ordered), np.uint8), np.cumsum(sizes) - sizes, sizes)
 
-    automaton = Automaton.build(frequent_words(written(word_counts(docs, tokenizer, text), "words"), words), ids_of)
+    steps: list[str] = []
+    automaton = Automaton.build(frequent_words(written(word_counts(docs, tokenizer, text), steps), words), ids_of)
+    discard(spark, steps)
     uri = attempt_file(run_folder(spark, "lexicon"), "words", ".bin")
     out = Output(uri)
     out.write(automaton.to_bytes())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnout.llm.files import ship, written
+from turnout.llm.files import discard, ship, written
 from turnout.llm.wordhash import BASE, blocks, mix, powers, windows, words_of
 
 #: Rounds of naming.  More rounds give wider contexts and fewer anchors in a window.
@@ -149,7 +149,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def describe(docs: DataFrame, length: int) -> DataFrame:
+def describe(docs: DataFrame, length: int, steps: list[str]) -> DataFrame:
     """(doc_id, text_key, n_words, whole, kept_sha256, keys) of every row: digest of all words, SHA-256 of the words joined by a
     space, and the distinct keys of the windows."""
 
@@ -167,21 +167,22 @@ def describe(docs: DataFrame, length: int) -> DataFrame:
                     pa.array(sha), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_words", "whole", "kept_sha256", "keys"])
 
     return written(docs.select("text", "doc_id", "text_key").mapInArrow(
-        run, "doc_id bigint, text_key bigint, n_words bigint, whole bigint, kept_sha256 string, keys array<bigint>"))
+        run, "doc_id bigint, text_key bigint, n_words bigint, whole bigint, kept_sha256 string, keys array<bigint>"), steps)
 
 
 def repeated_words(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """(rows, removed): what ``describe`` gives with ``copy`` (whether all words repeat a smaller id's text), and for each other
     row with repeats its doc_id, text_key and the ``starts`` of its repeated windows.  docs: text, doc_id, text_key."""
-    rows = describe(docs, length)
+    steps: list[str] = []
+    rows = describe(docs, length, steps)
     long = rows.where(f"n_words >= {length} AND doc_id IS NOT NULL")
     firsts = long.groupBy("whole", "n_words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    rows = rows.join(firsts.select("whole", "n_words", "first"), ["whole", "n_words"], "left").withColumn(
+    rows = rows.join(firsts.select("whole", "n_words", "first").hint("merge"), ["whole", "n_words"], "left").withColumn(
         "copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & (F.col("n_words") >= length)).drop("first", "whole")
-    rows = written(rows)
+    rows = written(rows, steps)
     held = rows.where(f"NOT copy AND n_words >= {length} AND doc_id IS NOT NULL").select("doc_id", "text_key", F.explode("keys").alias("key"))
     shared = held.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    taking = written(held.join(shared, "key").groupBy("doc_id", "text_key").agg(F.collect_set("key").alias("keys")))
+    taking = written(held.join(shared.hint("merge"), "key").groupBy("doc_id", "text_key").agg(F.collect_set("key").alias("keys")), steps)
     size = taking.agg(F.coalesce(F.sum(F.size("keys") + 1), F.lit(0))).first()[0]
     texts = docs.join(F.broadcast(taking) if size <= BROADCAST_KEYS else taking, ["doc_id", "text_key"])
 
@@ -201,10 +202,13 @@ def repeated_words(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
                         pa.array(at - found.bounds[i], pa.int32()), pa.array(_signed(digests[at]), pa.int64())], names=["doc_id", "text_key", "start", "window"])
 
     found = texts.select("text", "doc_id", "text_key", "keys").mapInArrow(run, "doc_id bigint, text_key bigint, start int, window bigint")
-    found = written(found)
+    found = written(found, steps)
     least = found.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
-    again = found.join(least, "window").where("doc_id > first").select("doc_id", "text_key", "start")
-    return rows, written(again.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("start")).alias("starts")))
+    again = found.join(least.hint("merge"), "window").where("doc_id > first").select("doc_id", "text_key", "start")
+    removed = written(again.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("start")).alias("starts")))
+    rows = written(rows.drop("keys"))
+    discard(docs.sparkSession, steps)
+    return rows, removed
 
 
 def covered(starts: np.ndarray, length: int, words: int) -> np.ndarray:
@@ -270,7 +274,7 @@ def word_digests(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text
     changed = cut(source, removed, length, _kept_words, "n_removed bigint, cut_sha256 string", ["doc_id", "text_key"])
     # One row a text, as rows that repeat an id and a text have one answer.
     changed = changed.groupBy("doc_id", "text_key").agg(F.first("n_removed").alias("n_removed"), F.first("cut_sha256").alias("cut_sha256"))
-    out = rows.drop("keys").join(changed, ["doc_id", "text_key"], "left")
+    out = rows.join(changed.hint("merge"), ["doc_id", "text_key"], "left")
     gone = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("bigint")))
     sha = F.when(F.col("copy"), F.lit(_EMPTY)).otherwise(F.coalesce("cut_sha256", "kept_sha256"))
     return out.select("doc_id", "n_words", gone.alias("n_removed"), sha.alias("kept_sha256"))
