@@ -20,7 +20,6 @@ other texts are judged each by its text; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
