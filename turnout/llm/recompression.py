@@ -34,8 +34,8 @@ from turnout.llm.wordhash import BASE, blocks, mix, powers, windows, words_of
 
 #: Rounds of naming.  More rounds give wider contexts and fewer anchors in a window.
 ROUNDS = 3
-#: Up to so many (document, key) rows are broadcast to pick texts; more are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Up to so many documents are broadcast to pick their texts; more are joined by shuffle.
+BROADCAST_DOCS = 1_000_000
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -170,6 +170,17 @@ def describe(docs: DataFrame, length: int, steps: list[str]) -> DataFrame:
         run, "doc_id bigint, text_key bigint, n_words bigint, whole bigint, kept_sha256 string, keys array<bigint>"), steps)
 
 
+def _joined_texts(docs: DataFrame, side: DataFrame) -> DataFrame:
+    """The documents that ``side`` names, with its columns.
+
+    Their ids alone are broadcast (two numbers a document, up to BROADCAST_DOCS) to pick the texts, so only those picked are shuffled
+    to meet the rest of ``side``, whose arrays have no bound.
+    """
+    keys = ["doc_id", "text_key"]
+    picked = docs.join(F.broadcast(side.select(*keys)), keys, "left_semi") if side.count() <= BROADCAST_DOCS else docs
+    return picked.join(side.hint("merge"), keys)
+
+
 def repeated_words(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """(rows, removed): what ``describe`` gives with ``copy`` (whether all words repeat a smaller id's text), and for each other
     row with repeats its doc_id, text_key and the ``starts`` of its repeated windows.  docs: text, doc_id, text_key."""
@@ -183,8 +194,7 @@ def repeated_words(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     held = rows.where(f"NOT copy AND n_words >= {length} AND doc_id IS NOT NULL").select("doc_id", "text_key", F.explode("keys").alias("key"))
     shared = held.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     taking = written(held.join(shared.hint("merge"), "key").groupBy("doc_id", "text_key").agg(F.collect_set("key").alias("keys")), steps)
-    size = taking.agg(F.coalesce(F.sum(F.size("keys") + 1), F.lit(0))).first()[0]
-    texts = docs.join(F.broadcast(taking) if size <= BROADCAST_KEYS else taking, ["doc_id", "text_key"])
+    texts = _joined_texts(docs, taking)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,8 +234,7 @@ def cut(docs: DataFrame, removed: DataFrame, length: int, finish: Callable, colu
 
     docs: text, doc_id, text_key and the carried columns.
     """
-    size = removed.agg(F.coalesce(F.sum(F.size("starts") + 1), F.lit(0))).first()[0]
-    texts = docs.join(F.broadcast(removed) if size <= BROADCAST_KEYS else removed, ["doc_id", "text_key"]).select("text", "starts", *carried)
+    texts = _joined_texts(docs, removed).select("text", "starts", *carried)
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +300,7 @@ def without_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", t
     copies = rows.where("copy").select("doc_id", "text_key").distinct()
     names = docs.columns
     touched = copies.unionAll(removed.select("doc_id", "text_key"))
-    few = touched.count() <= BROADCAST_KEYS
+    few = touched.count() <= BROADCAST_DOCS
     rest = source.join(F.broadcast(touched) if few else touched, ["doc_id", "text_key"], "left_anti").select("_row.*")
     changed = cut(source, removed, length, _kept_text, "n_removed bigint, cut_text string", ["_row"]).where("cut_text != ''")
     changed = changed.select(*((F.col("cut_text") if c == text else F.col("_row")[c]).alias(c) for c in names))
