@@ -27,7 +27,7 @@ def _as_given(changed: DataFrame, docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    judged = quality.quality_rules(docs.select(F.struct(*docs.columns).alias("row"), "text", "lang", "source"))
+    judged = quality.quality_rules(docs.select(F.struct(*docs.columns).alias("row"), "text", "lang", "source"), own=True)
     return judged.where("kept").select("row.*")
 
 

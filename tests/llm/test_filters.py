@@ -103,6 +103,19 @@ def test_quality_refuses_outliers_only_and_keeps_columns(spark):
     assert quality.quality_rules(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(("measure", "usual", "odd"), [("m_length", 470, 640), ("m_length", 470, 330), ("m_symbols", 5, 80), ("m_lines", 20, 380), ("m_repeats", 20, 180)])
+def test_each_measure_alone_refuses_an_outlier(spark, measure, usual, odd):
+    """Fences of the group's own sketch; the constants let all of these through."""
+    plain = {m: 470 if m == "m_length" else 0 for m in quality.MEASURES}
+    rows = [plain | {"doc_id": i, measure: usual + i % 7 if i % 3 == 0 or measure == "m_length" else 0} for i in range(300)] + [plain | {"doc_id": 900, measure: odd}]
+    measured = spark.createDataFrame([(r["doc_id"], *(r[m] for m in quality.MEASURES), "en", "s", False) for r in rows],
+                                     f"doc_id long, {', '.join(f'{m} long' for m in quality.MEASURES)}, lang string, source string, base_failed boolean")
+    measured = measured.withColumns({over: F.col(m) for m, (over, *_) in quality.MEASURES.items()})  # texts of a thousand words
+    refused = lambda table, own: [r.doc_id for r in quality.judge(measured, table, own=own).where("NOT kept").collect()]
+    assert refused(quality.own_thresholds(measured), True) == [900]
+    assert refused(quality.thresholds(measured), False) == []
+
+
 def test_sketches_merge_and_bound_the_error(spark):
     values = [random.Random(1).randrange(1, 10**6) for _ in range(2000)]
     rows = spark.createDataFrame([(v, "l", f"s{v % 5}") for v in values], "m_length long, lang string, source string").withColumns(

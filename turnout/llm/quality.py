@@ -5,7 +5,8 @@ a quantile sketch: counts per bucket, where a bucket keeps the leading ``SKETCH_
 quantile is known within 1/2^SKETCH_BITS of its value.  Sketches merge by adding counts; a source with few documents uses
 the merged sketch of its language, a language with few the merged sketch of the corpus.  A document is refused when a measure lies beyond
 the outer fence of its group, ``q75 + reach * (q75 - q25) + slack`` (for the word length also below the lower one), so a group
-without outliers loses nothing.  All arithmetic is on integers, so the result does not depend on the order of rows.
+without outliers loses nothing.  With ``own`` the room beyond the quartiles comes from the group's sketch in place of the constant
+slack (``own_thresholds``); the pipeline and ``op2_quality_fences`` use that.  All arithmetic is on integers, so the result does not depend on the order of rows.
 
 Defined cases: a null or empty text has no words and fails the base rule; null languages and sources form groups of
 their own; repeated rows are judged row by row; an empty table gives an empty result; other
@@ -35,6 +36,9 @@ MEASURES = {
     "m_repeats": ("n_repeat_words", "n_words", 1000, 200, False),
 }
 
+#: What one occurrence adds to a measure's numerator: a symbol, a line, the words of a window.
+EVENTS = {"m_symbols": 1, "m_lines": 1, "m_repeats": 5}
+
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "level", "kept")
 
 
@@ -119,6 +123,44 @@ def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys, "measure").agg(F.max("total").alias("n"), at(1).alias("q25"), at(3).alias("q75"))
 
 
+def _fences(sketch: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """Per group: document count, and the fences of each measure, read off the cumulative counts alone.
+
+    The room beyond a quartile is ``reach`` times the way from the other quartile to the outermost tenth, so up to a tenth of
+    a group may be outliers without moving its fence.  No room is narrower than ``reach`` buckets.
+    """
+    from pyspark.sql import Window
+
+    group = Window.partitionBy(*keys, "measure")
+    upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = sketch.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(group)})
+    at = lambda part: F.min(F.when(F.col("upto") * 20 >= F.col("total") * part, F.col("bucket")))
+    read = ranked.groupBy(*keys, "measure").agg(F.max("total").alias("n"), at(2).alias("q10"), at(5).alias("q25"), at(15).alias("q75"),
+                                                at(18).alias("q90"))
+    both = F.col("measure").isin([m for m, v in MEASURES.items() if v[4]])
+    step = lambda q: F.call_function("shiftright", q, F.lit(SKETCH_BITS - 1))
+    return read.select(
+        *keys, "measure", "n",
+        F.when(both, F.col("q25") - reach * F.greatest(F.col("q75") - F.col("q10"), step("q25"))).otherwise(F.lit(-1).cast("long")).alias("low"),
+        (F.col("q75") + reach * F.greatest(F.col("q90") - F.col("q25"), step("q75"))).alias("high"))
+
+
+def own_thresholds(measured: DataFrame, lang: str = "lang", source: str = "source", min_docs: int = 100, reach: int = 3) -> DataFrame:
+    """As ``thresholds``, with the room beyond the quartiles from the group's own sketch; see ``_fences``."""
+    fine = sketches(measured, lang, source)
+    per_lang = merge_sketches(fine, ["lang"])
+    own, wide, all_of = _fences(fine, ["lang", "source"], reach), _fences(per_lang, ["lang"], reach), _fences(merge_sketches(per_lang, []), [], reach)
+    named = lambda t, p: t.select(*(F.col(c).alias(c if p == "a" and c in ("lang", "source", "measure") else f"{p}_{c}") for c in t.columns))
+    joined = (named(own, "a").join(named(wide, "b"), F.col("lang").eqNullSafe(F.col("b_lang")) & (F.col("measure") == F.col("b_measure")))
+              .join(named(all_of, "c"), F.col("measure") == F.col("c_measure")))
+    enough = lambda a, b, c: F.when(F.col("a_n") >= min_docs, a).when(F.col("b_n") >= min_docs, b).otherwise(c)
+    pick = lambda q: enough(F.col(f"a_{q}"), F.col(f"b_{q}"), F.col(f"c_{q}"))
+    fence = F.struct(pick("low").alias("low"), pick("high").alias("high"))
+    return joined.groupBy("lang", "source").agg(
+        F.max("a_n").alias("n_docs"), F.max(enough(F.lit("source"), F.lit("lang"), F.lit("corpus"))).alias("level"),
+        *(F.max(F.when(F.col("measure") == m, fence)).alias(m.replace("m_", "t_")) for m in MEASURES))
+
+
 def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source", min_docs: int = 100, reach: int = 3) -> DataFrame:
     """One row per language and source with n_docs, the level its sketch was merged to, and a map from measure to fences."""
     fine = sketches(measured, lang, source)
@@ -148,11 +190,13 @@ def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source",
         *(F.max(F.when(F.col("measure") == m, fence)).alias(m.replace("m_", "t_")) for m in MEASURES))
 
 
-def judge(measured: DataFrame, table: DataFrame, lang: str = "lang", source: str = "source", broadcast_rows: int = 50_000) -> DataFrame:
+def judge(measured: DataFrame, table: DataFrame, lang: str = "lang", source: str = "source", broadcast_rows: int = 50_000,
+          own: bool = False, reach: int = 3) -> DataFrame:
     """Adds the thresholds' level and ``kept``: past the base rule and inside every fence of the document's group.
 
     A threshold table of up to ``broadcast_rows`` groups is broadcast; a larger one is joined by shuffle, where the adaptive
-    plan splits a hot group (the table has one row a group).
+    plan splits a hot group (the table has one row a group).  Fences of ``own_thresholds`` are edges of buckets, so with ``own`` a
+    value counts as the edge of its bucket, and up to ``reach`` single occurrences (EVENTS) are no outlier in a text however short.
     """
     table = durable(table)
     few = table.count() <= broadcast_rows
@@ -162,27 +206,29 @@ def judge(measured: DataFrame, table: DataFrame, lang: str = "lang", source: str
                          F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
     inside = F.lit(True)
     for m, t in zip(MEASURES, names, strict=True):
-        inside = inside & F.coalesce((F.col(m) >= F.col(t)["low"]) & (F.col(m) <= F.col(t)["high"]), F.lit(True))
+        value = bucket(F.col(m)) if own else F.col(m)
+        few_of = F.col(MEASURES[m][0]) <= reach * EVENTS[m] if own and m in EVENTS else F.lit(False)
+        inside = inside & (few_of | F.coalesce((value >= F.col(t)["low"]) & (value <= F.col(t)["high"]), F.lit(True)))
     return both.withColumn("kept", ~F.col("base_failed") & inside).drop("_lang", "_source", *names)
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = 100,
-                  reach: int = 3) -> DataFrame:
+                  reach: int = 3, own: bool = False) -> DataFrame:
     """``docs`` with the measures, base_failed, the level of the thresholds applied and ``kept``.
 
     Two passes over the input: one for the sketches, one for the verdicts, so nothing but sketches is shuffled.  Where the
     text is not wanted back, ``judge_measures`` saves the second pass.
     """
     measured = _measured(docs, text, lang, source)
-    return _unpacked(judge(measured, thresholds(measured, min_docs=min_docs, reach=reach)), docs.columns)
+    return _unpacked(judge(measured, (own_thresholds if own else thresholds)(measured, min_docs=min_docs, reach=reach), own=own, reach=reach), docs.columns)
 
 
 def judge_measures(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = 100,
-                   reach: int = 3) -> DataFrame:
+                   reach: int = 3, own: bool = False) -> DataFrame:
     """As ``quality_rules`` without the text: the measures are written once and read for both steps."""
     rest = [c for c in docs.columns if c != text]
     measured = durable(_measured(docs, text, lang, source, rest))
-    return _unpacked(judge(measured, thresholds(measured, min_docs=min_docs, reach=reach)), rest)
+    return _unpacked(judge(measured, (own_thresholds if own else thresholds)(measured, min_docs=min_docs, reach=reach), own=own, reach=reach), rest)
 
 
 def _measured(docs: DataFrame, text: str, lang: str, source: str, carried: list[str] | None = None) -> DataFrame:

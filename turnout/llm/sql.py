@@ -156,5 +156,37 @@ SUBSTRINGS = r"""
     SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
     FROM d LEFT JOIN kept USING (rid)"""
 
+def _own_quality(min_docs: int = 100, reach: int = 3) -> str:
+    """The SQL of the quality rules with fences from the sketches alone."""
+    both = ", ".join(f"'{m}'" for m, v in quality.MEASURES.items() if v[4])
+    step = quality.SKETCH_BITS - 1
+
+    def fences(name: str, keys: str) -> str:
+        group = f"{keys}, measure" if keys else "measure"
+        return f"""{name}_cum AS (SELECT {group}, bucket, sum(count(*)) OVER (PARTITION BY {group} ORDER BY bucket) AS upto,
+            sum(count(*)) OVER (PARTITION BY {group}) AS total FROM bucketed GROUP BY {group}, bucket),
+        {name}_q AS (SELECT {group}, max(total) AS n, min(bucket) FILTER (upto * 10 >= total) AS q10, min(bucket) FILTER (upto * 4 >= total) AS q25,
+            min(bucket) FILTER (upto * 4 >= total * 3) AS q75, min(bucket) FILTER (upto * 10 >= total * 9) AS q90 FROM {name}_cum GROUP BY {group}),
+        {name} AS (SELECT *, q75 + {reach} * greatest(q90 - q25, q75 >> {step}) AS high,
+            CASE WHEN measure IN ({both}) THEN q25 - {reach} * greatest(q75 - q10, q25 >> {step}) ELSE -1 END AS low FROM {name}_q)"""
+
+    value = f"((e.v >> greatest(length(bin(e.v)) - {quality.SKETCH_BITS}, 0)) << greatest(length(bin(e.v)) - {quality.SKETCH_BITS}, 0))"
+    every = " UNION ALL ".join(
+        f"SELECT rid, lang, source, '{m}' AS measure, {m} AS v, {f'{v[0]} <= {reach * quality.EVENTS[m]}' if m in quality.EVENTS else 'false'} AS few FROM measured"
+        for m, v in quality.MEASURES.items())
+    head = _quality(min_docs, reach).partition("    a_cum AS ")[0]
+    pick = lambda q: f"CASE WHEN a.n >= {min_docs} THEN a.{q} WHEN b.n >= {min_docs} THEN b.{q} ELSE c.{q} END AS {q}"
+    return head + f"""    {fences("a", "lang, source")}, {fences("b", "lang")}, {fences("c", "")},
+    fences AS (SELECT a.lang, a.source, a.measure, {pick("low")}, {pick("high")},
+            CASE WHEN a.n >= {min_docs} THEN 'source' WHEN b.n >= {min_docs} THEN 'lang' ELSE 'corpus' END AS level
+        FROM a JOIN b ON a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN c ON a.measure = c.measure),
+    judged AS (SELECT e.rid, max(f.level) AS level, bool_and(e.few OR coalesce({value} BETWEEN f.low AND f.high, true)) AS inside
+        FROM ({every}) e LEFT JOIN fences f
+        ON e.lang IS NOT DISTINCT FROM f.lang AND e.source IS NOT DISTINCT FROM f.source AND e.measure = f.measure GROUP BY e.rid)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept, level
+    FROM measured JOIN judged USING (rid)"""
+
+
 QUALITY = _quality()
+QUALITY_FENCES = _own_quality()
 SECRETS = _secrets()
