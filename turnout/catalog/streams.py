@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
 
 from turnout.catalog import base
 from turnout.catalog.base import query
@@ -33,9 +34,9 @@ def finish(writer: DataStreamWriter) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def _stream(spark: SparkSession, rows: DataFrame, out: str) -> DataFrame:
-    """The rows as a stream of BATCHES micro-batches, dealt by a hash so that keys come again in later ones."""
-    files = rows.withColumn("_deal", F.pmod(F.xxhash64(*rows.columns), F.lit(BATCHES)))
+def _stream(spark: SparkSession, rows: DataFrame, out: str, deal: Column | None = None) -> DataFrame:
+    """The rows as a stream of BATCHES micro-batches, dealt by ``deal`` or by a hash so that keys come again in later ones."""
+    files = rows.withColumn("_deal", F.pmod(F.xxhash64(*rows.columns), F.lit(BATCHES)) if deal is None else deal)
     for n in range(BATCHES):
         files.where(F.col("_deal") == n).drop("_deal").coalesce(1).write.mode("append").parquet(f"{out}/in")
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
@@ -95,15 +96,30 @@ def stream_activity_log(spark: SparkSession, folder: str) -> DataFrame:
     WHERE event_type IN ('view', 'click', 'purchase', 'signup') GROUP BY ALL)
   SELECT lower('user' || user_id || '@example.org') AS email_normalized, count(*) AS n_kinds FROM last GROUP BY 1""")
 def stream_registration_sync(spark: SparkSession, folder: str) -> DataFrame:
-    """Payload files streamed through extraction, mapping and upsert; the kinds of event whose name a registrant had."""
+    """Payload files streamed through extraction, mapping and upsert; the kinds of event whose name a registrant had.
+
+    A micro-batch holds the payloads of one kind, so a registrant has a name of each kind in a version of the table.
+    """
     out = scratch(spark)
-    source = _stream(spark, payloads(spark, folder), out)
+    kind = F.when(F.col("payload").startswith("["), 0).when(F.col("payload").startswith('{"ok"'), 1).when(F.col("payload").startswith('{"event"'), 2).otherwise(3)
+    source = _stream(spark, payloads(spark, folder), out, kind)
     table = BucketTable(f"{out}/table", ("email_normalized",), 16)
     finish(sync_registrations(source, "payload", table, f"{out}/runs", f"{out}/state"))
-    named = read_batches(spark, f"{out}/table/rows").select("email_normalized", "full_name").distinct()
-    seen = _events(spark, folder).where("event_type IN ('view', 'click', 'purchase', 'signup')").select(
-        F.lower(F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.org"))).alias("email_normalized"), F.col("event_type").alias("full_name")).distinct()
-    return seen.join(named.select("email_normalized").distinct(), "email_normalized").groupBy("email_normalized").agg(F.count(F.lit(1)).alias("n_kinds"))
+    return read_batches(spark, f"{out}/table/rows").groupBy("email_normalized").agg(F.countDistinct("full_name").alias("n_kinds"))
+
+
+@query("""SELECT lower('user' || user_id || '@example.org') AS email_normalized,
+    first(event_type ORDER BY event_id DESC) AS full_name FROM events
+  WHERE event_type IN ('view', 'click', 'purchase', 'signup') GROUP BY 1""")
+def stream_registration_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The table after the sync, its payloads streamed in their order: the last name of every registrant."""
+    out = scratch(spark)
+    rows = payloads(spark, folder)
+    first, last = rows.agg(F.min("payload_no"), F.max("payload_no")).first()
+    deal = F.expr(f"(payload_no - {first or 0}) * {BATCHES} div {(last or 0) - (first or 0) + 1}")
+    table = BucketTable(f"{out}/table", ("email_normalized",), 16)
+    finish(sync_registrations(_stream(spark, rows, out, deal), "payload", table, f"{out}/runs", f"{out}/state"))
+    return table.rows(spark, StructType.fromDDL("email_normalized string, full_name string"))
 
 
 @query("""SELECT 'completed' AS status, count(*) FILTER (event_type IN ('view', 'click', 'purchase')) * 2

@@ -198,7 +198,7 @@ def sync_registrations(payloads: DataFrame, column: str, table: BucketTable, run
         try:
             rows, _ = map_registration_records(located_records(located, column))
             keyed = rows.withColumn("email_normalized", F.lower(F.trim("email")))
-            position = sorted((c for c in keyed.columns if c in ("record_no", "payload_no", "_file")), reverse=True)
+            position = [c for c in ("_file", "payload_no", "record_no") if c in keyed.columns]
             last = keep_last(keyed, ["email_normalized"], position).persist()
             before = table.apply(last, batch_id, last.schema, lambda old, new: upsert(
                 old, new, ["email_normalized"], keep_if_null).drop("_action"))
