@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from turnout.operators.resolve import bootcamp_rules, email_list, validate_rows
 from turnout.sources import headers, payloads, sheets, tabs
-from turnout.sources.files import file_manifest, read_csv_strings, with_status
+from turnout.sources.files import file_manifest, listed_files, read_csv_strings, whole_manifest, with_status
 
 
 def write(folder, name, *lines):
@@ -208,3 +208,13 @@ def test_file_manifest(spark, tmp_path):
     got = {r.file_name: r for r in with_status(listed, spark.createDataFrame([("b.csv", "loaded")], "file_name string, status string")).collect()}
     assert {k: (r.n_rows, r.status) for k, r in got.items()} == {"a.csv": (2, "received"), "b.csv": (2, "loaded"), "c.csv": (2, "received")}
     assert got["a.csv"].digest == got["b.csv"].digest != got["c.csv"].digest and got["b.csv"].size_bytes == 6
+
+
+def test_manifest_lists_empty_files_and_sizes(spark, tmp_path):
+    spark.createDataFrame([(1, "a")], "k long, v string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    spark.createDataFrame([], "k long, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    sizes = {p.name: p.stat().st_size for p in (tmp_path / "t").glob("*.parquet")}
+    listed = whole_manifest(spark.read.parquet(str(tmp_path / "t")), listed_files(spark, str(tmp_path / "t")), "tables")
+    got = {r.file_name: r for r in listed.collect()}
+    assert len(sizes) == 2 and {k: r.size_bytes for k, r in got.items()} == sizes
+    assert sorted((r.n_rows, r.digest != 0) for r in got.values()) == [(0, False), (1, True)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnout.catalog import base
@@ -13,7 +13,7 @@ from turnout.functions.dates import parse_timestamp_text, unparsed
 from turnout.functions.numbers import attempts_from_text, float_from_text, int_from_text
 from turnout.functions.text import split_trailing_years
 from turnout.session import shared_folder
-from turnout.sources.files import file_manifest, read_csv_strings, with_status
+from turnout.sources.files import file_manifest, listed_files, read_csv_strings, whole_manifest, with_status
 from turnout.sources.payloads import extract_records_json, map_registration_records, parse_rsvp_snapshot
 from turnout.sources.sheets import dedupe_submissions, parse_registrations, parse_submissions
 from turnout.sources.tabs import route_tabs_to_kind, route_tabs_to_rounds
@@ -249,3 +249,47 @@ def file_manifest_rows(spark: SparkSession, folder: str) -> DataFrame:
     ]
     done = spark.createDataFrame([("customer.parquet", "loaded")], "file_name string, status string")
     return with_status(listed[0].unionByName(listed[1]), done).drop("size_bytes")
+
+
+#: Every table of the folder with all its columns, and how the SQL writes those that the two systems print differently.
+TABLES = {
+    "benchmark": "item_id text", "conversations": "conv_id turn role text", "customer": "c_custkey c_name c_nationkey c_acctbal:n c_mktsegment",
+    "documents": "doc_id text lang source n_chars", "embeddings": "vec_id embedding:v label", "events": "event_id ts:t user_id event_type value:n props",
+    "labels": "doc_id quality toxic",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity:n l_extendedprice:n l_discount:n l_tax:n l_returnflag l_linestatus l_shipdate:t",
+    "nation": "n_nationkey n_name n_regionkey", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice:n o_orderdate:t o_orderpriority",
+    "pages": "page_id url html", "part": "p_partkey p_name p_brand p_type p_size p_retailprice:n", "region": "r_regionkey r_name",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal:n",
+}
+
+
+def _manifest_sql(table: str) -> str:
+    # Numbers with a fraction are told apart to the ninth decimal, components of vectors likewise; moments by their microseconds.
+    write = {"": "{0}", "t": "epoch_us({0})", "n": "CAST(floor({0} * 1e9) AS HUGEINT)",
+             "v": "array_to_string(list_transform({0}, lambda x: coalesce(CAST(CAST(floor(x::DOUBLE * 1e9) AS HUGEINT) AS VARCHAR), '\\N')), ',')"}
+    cells = ", ".join("coalesce(CAST(" + write[kind].format(c) + " AS VARCHAR), '\\N')" for c, _, kind in (x.partition(":") for x in TABLES[table].split()))
+    return f"""SELECT '{table}.parquet' AS file_name, count(*) AS n_rows, CAST(coalesce(sum(('0x' || substr(md5(concat_ws(chr(31), {cells})), 1, 15))::HUGEINT), 0)
+      % 1152921504606846976 AS BIGINT) AS digest, 'tables' AS module, '{"loaded" if table == "customer" else "received"}' AS status FROM {table}"""
+
+
+def _written(column: str, kind: str) -> Column:
+    scaled = lambda x: F.floor(x.cast("double") * F.lit(1e9).cast("double")).cast("decimal(38,0)").cast("string")
+    if kind == "v":
+        return F.array_join(F.transform(column, lambda x: F.coalesce(scaled(x), F.lit("\\N"))), ",")
+    if kind == "n":
+        return scaled(F.col(column))
+    return F.unix_micros(F.col(column).cast("timestamp")) if kind == "t" else F.col(column)
+
+
+@query(" UNION ALL ".join(map(_manifest_sql, TABLES)))
+def file_manifest_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifest of every table of the folder over all columns, with a row also for a table of no rows; customer is reported as loaded."""
+    listed = None
+    for table, columns in TABLES.items():
+        path = f"{folder}/{table}.parquet"
+        pairs = [x.partition(":") for x in columns.split()]
+        rows = base.read_table(spark, folder, table).select(*(_written(c, kind).alias(c) for c, _, kind in pairs), "_metadata")
+        one = whole_manifest(rows, listed_files(spark, path), "tables", [c for c, _, _ in pairs])
+        listed = one if listed is None else listed.unionByName(one)
+    done = spark.createDataFrame([("customer.parquet", "loaded")], "file_name string, status string")
+    return with_status(listed, done).drop("size_bytes")

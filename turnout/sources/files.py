@@ -74,6 +74,20 @@ def file_manifest(rows: DataFrame, module: str, columns: Sequence[str] | None =
     ).withColumns({"module": F.lit(module), "status": F.lit("received")})
 
 
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """Name and size of every file of a path, from the listing alone: no content is read, so files without rows are there too."""
+    found = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size_bytes"))
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "size_bytes")
+
+
+def whole_manifest(rows: DataFrame, files: DataFrame, module: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """As ``file_manifest`` with a row for every one of ``files`` (``listed_files``); one without rows has 0 rows and digest 0."""
+    read = file_manifest(rows, module, columns).select(F.col("file_name").alias("_name"), "n_rows", "digest")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return files.join(read, F.col("file_name") == F.col("_name"), "left").select(
+        "file_name", "size_bytes", zero("n_rows"), zero("digest"), F.lit(module).alias("module"), F.lit("received").alias("status"))
+
+
 def with_status(manifest: DataFrame, outcome: DataFrame, key: str = "file_name") -> DataFrame:
     """The manifest with the status that ``outcome`` (key, status) gives some of its files."""
     side = outcome.groupBy(F.col(key).alias("_key")).agg(F.max("status").alias("_status"))
