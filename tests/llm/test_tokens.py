@@ -78,6 +78,16 @@ def test_lexicon_does_not_change_ids(spark, library):
     assert counts == {w: plain.count(w) for w in set(plain)}
 
 
+def test_long_words_stay_out_of_the_lexicon_and_keep_their_ids(spark, library):
+    long = "".join(random.Random(4).choice("abcdefgh") for _ in range(5000))
+    docs = spark.createDataFrame([(i, f"{long} usual") for i in range(20)], "doc_id long, text string")
+    words = lexicon.frequent_words(lexicon.word_counts(docs, TOKENIZER))
+    assert words and max(map(len, words)) <= lexicon.LEXICON_BYTES
+    name = lexicon.compile_lexicon(docs, TOKENIZER)
+    ids = lexicon.encode(docs, lexicon.token_ids, {"ids": pa.list_(pa.int32())}, TOKENIZER, name).first().ids
+    assert ids == library.encode(f"{long} usual", add_special_tokens=False).ids
+
+
 def test_lexicon_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     name = lexicon.compile_lexicon(docs, TOKENIZER)

@@ -27,6 +27,8 @@ from turnout.llm.files import Output, attempt_file, discard, run_folder, ship, w
 
 #: Words in the lexicon: it bounds the file that every worker maps.
 LEXICON_WORDS = 1 << 16
+#: Longest word in the lexicon, in bytes: with the number of words it bounds what the driver collects and builds (4 MB of words).
+LEXICON_BYTES = 64
 MAGIC = np.array([0x4C455831], np.int64)
 
 
@@ -61,11 +63,13 @@ def word_counts(docs: DataFrame, tokenizer: str, text: str = "text", flush_words
     return docs.select(text).mapInArrow(plain, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(counts: DataFrame, most: int = LEXICON_WORDS) -> list[bytes]:
+def frequent_words(counts: DataFrame, most: int = LEXICON_WORDS, longest: int = LEXICON_BYTES) -> list[bytes]:
     """The most frequent words, at most ``most`` of them: all whose count reaches a bound that so many words reach.
 
+    Words of more than ``longest`` bytes are left out in Spark, before anything is collected; they are merged exactly.
     The bound is read off the number of words per count, by leading digits: a few hundred rows however many words there are.
     """
+    counts = counts.where(F.octet_length("word") <= longest)
     edge = F.expr("n - n % greatest(1, shiftleft(1L, length(bin(n)) - 9))").alias("edge")
     sizes = {r["edge"]: r["words"] for r in counts.groupBy(edge).agg(F.count(F.lit(1)).alias("words")).collect()}
     bound, total = None, 0
