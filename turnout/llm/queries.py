@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnout.llm import jaccard, lexicon, packing, quality, recompression, secrets, sql, tokenfiles, topk, urls, warc, wordbpe
+from turnout.llm import jaccard, lexicon, negatives, packing, quality, recompression, secrets, sql, tokenfiles, topk, urls, warc, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -122,3 +122,11 @@ def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without repeated windows of 50 words; see ``recompression``."""
     return recompression.word_digests(table(spark, folder, "documents").select("doc_id", "text"), length=50)
+
+
+@query(sql.HARD_NEGATIVES)
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten hard negatives for each of five positives of every vector whose id is divisible by 100; see ``negatives``."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, label=label)

