@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnout.llm import jaccard, lexicon, negatives, packing, quality, recompression, secrets, sql, tokenfiles, topk, urls, warc, wordbpe
+from turnout.llm import collocations, jaccard, lexicon, negatives, packing, quality, recompression, secrets, sql, tokenfiles, topk, urls, warc, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -130,3 +130,10 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, label=label)
+
+
+@query(sql.COLLOCATIONS)
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2,000 best phrases of two and three words of every language; see ``collocations``."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return collocations.collocations(docs, threshold=10, longest=3, top=2000)

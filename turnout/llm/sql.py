@@ -205,3 +205,22 @@ HARD_NEGATIVES = """
         vec_id AS negative_id, positive_score, score AS negative_score
     FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
     QUALIFY rank <= 10"""
+
+COLLOCATIONS = r"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+    spots AS (SELECT lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM w, (VALUES (1), (2), (3)) lengths(k) WHERE len(ws) >= k),
+    f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS c FROM spots GROUP BY ALL),
+    n AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+    candidates AS (SELECT lang, phrase, k, c AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND c >= 10),
+    longer AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM candidates WHERE k = 3),
+    held AS (SELECT lang, phrase, max(a) AS longer FROM longer GROUP BY ALL),
+    cuts AS (SELECT lang, phrase, k, a, ws, unnest(generate_series(1, k - 1)) AS cut FROM candidates LEFT JOIN held USING (lang, phrase)
+        WHERE longer IS NULL OR 100 * longer < 50 * a),
+    scored AS (SELECT c.lang, c.phrase, a, cut, l.c AS l, r.c AS r, ((1000000::HUGEINT * a * a) // (l.c::HUGEINT * r.c))::BIGINT AS score
+        FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:cut], ' ') AND l.k = cut
+        JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ') AND r.k = c.k - cut),
+    worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM worst JOIN n USING (lang) QUALIFY rank <= 2000"""
