@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnout.llm import collocations, jaccard, lexicon, negatives, packing, quality, recompression, secrets, sql, tokenfiles, topk, urls, warc, wordbpe
+from turnout.llm import collocations, jaccard, lexicon, nbsvm, negatives, packing, quality, recompression, secrets, sql, tokenfiles, topk, urls, warc, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -137,3 +137,10 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     """The 2,000 best phrases of two and three words of every language; see ``collocations``."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     return collocations.collocations(docs, threshold=10, longest=3, top=2000)
+
+
+@query()
+def op13_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document by a model of the labels outside the held-out fold; see ``nbsvm``."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return nbsvm.quality_scores(docs, table(spark, folder, "labels").select("doc_id", "quality"))
