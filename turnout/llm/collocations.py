@@ -175,28 +175,27 @@ def phrase_counts(docs: DataFrame, threshold: int = 10, longest: int = 3, shards
                         F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(shards)).alias("shard"))
     dealt.write.partitionBy("shard").parquet(f"{run}/texts")
     corpus = spark.read.schema("text string, lang string, shard long").parquet(f"{run}/texts")
-    results, kept, steps, state = [], [], [], None
+    results, kept, state, quiet = [], [], None, 0
     for scan in range(shards * longest):
         counts = scan_shard(corpus.where(F.col("shard") == scan % shards), run, scan, shards, longest).withColumn("before", F.lit(0).cast("bigint"))
         if state is not None:
             counts = counts.unionByName(state.select("lang", "phrase", "k", "slot", "since", "c", F.col("c").alias("before")))
         summed = counts.groupBy("lang", "phrase", "k", "slot", "since").agg(F.sum("c").alias("c"), F.sum("before").alias("before"))
         summed = summed.withColumn("over", F.col("since") + (shards - 1) <= scan).where(~F.col("over") | (F.col("c") >= threshold) | (F.col("k") == 0))
-        state_steps: list[str] = []
-        table = written(summed, state_steps)
-        kept += state_steps
+        table = written(summed, kept)
         results.append(table.where("over").select("lang", "phrase", "k", "c"))
         state = table.where("NOT over")
         fresh = table.where((F.col("c") >= threshold) & (F.col("before") < threshold) & F.col("k").between(1, longest - 1))
         fresh.select("slot").distinct().write.parquet(f"{run}/reached-{scan}")
-        # Nothing is active any more once words have had their cycle and no phrase waits for its last shard or has just made another one active.
-        if scan >= shards - 1 and state.isEmpty() and spark.read.schema("slot int").parquet(f"{run}/reached-{scan}").isEmpty():
+        # A phrase that is active in the next scan was made so by a slot reached in one of the last ``shards`` scans, whether it was seen since or not.
+        quiet = 0 if not spark.read.schema("slot int").parquet(f"{run}/reached-{scan}").isEmpty() else quiet + 1
+        if quiet >= shards:
             break
     found = results[0]
     for more in results[1:]:
         found = found.unionAll(more)
     result = written(found)
-    discard(spark, [*kept, *steps, f"{run}/texts"])
+    discard(spark, [*kept, f"{run}/texts"])
     return result
 
 
