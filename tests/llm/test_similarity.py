@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from turnout.llm import jaccard, recompression, topk, wordhash
@@ -231,3 +232,52 @@ def test_word_digests_depend_on_bytes_alone():
     assert found.digests[1] == found.digests[2] and found.digests[0] == found.digests[5] and len(set(found.digests.tolist())) == 4
     folded = wordhash.words_of(column.slice(3), fold=True)
     assert folded.digests[1] == found.digests[0]
+
+
+def alternating(turns):
+    """A pattern over 0 and 1, and its complement, that collide under a polynomial modulo 2^64 whatever its odd base."""
+    pattern = np.zeros(1, int)
+    for _ in range(turns):
+        pattern = np.r_[pattern, 1 - pattern]
+    return pattern, 1 - pattern
+
+
+@pytest.mark.parametrize("letters", [("a", "b"), ("a", "B"), ("é", "ü")])
+def test_words_of_alternating_letters_stay_apart(spark, letters):
+    for turns in (10, 11, 12):
+        one, other = ("".join(letters[k] for k in p) for p in alternating(turns))
+        assert len(set(wordhash.words_of(pa.array([one, other])).digests.tolist())) == 2
+        rest = " ".join(f"w{i}" for i in range(49))
+        docs = spark.createDataFrame([(1, f"{rest} {one}"), (2, f"{rest} {other}"), (3, f"x y {one}"), (4, f"x y {other}")], "doc_id long, text string")
+        assert {r.doc_id: r.n_removed for r in recompression.word_digests(docs.where("doc_id < 3")).collect()} == {1: 0, 2: 0}
+        linked = jaccard.jaccard_join(docs.where("doc_id > 2"), words=3, percent=90).collect()
+        assert {r.doc_id: r.component_id for r in linked} == {3: 3, 4: 4}
+
+
+def test_runs_of_alternating_words_stay_apart(spark):
+    one, other = (" ".join(("left", "right")[k] for k in p) for p in alternating(11))
+    docs = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in recompression.word_digests(docs, 2048).collect()} == {1: 0, 2: 0}
+    linked = jaccard.jaccard_join(docs, words=2048, percent=90).collect()
+    assert {r.doc_id: r.component_id for r in linked} == {1: 1, 2: 2}
+    for base in (0, 1):
+        digests = wordhash.words_of(pa.array([f"{one} {other}"])).digests
+        rolled = wordhash.windows(digests, 2048, base)
+        assert rolled[0] != rolled[2048] and wordhash.windows(digests[700:2748], 2048, base)[0] == rolled[700]
+
+
+def test_products_modulo_the_prime():
+    prime = (1 << 61) - 1
+    edge = [0, 1, 2, (1 << 31) - 1, 1 << 31, (1 << 60) + 5, prime - 1]
+    a, b = (np.array(v, np.uint64) for v in zip(*[(x, y) for x in edge for y in edge], strict=True))
+    assert wordhash._times(a, b).tolist() == [x * y % prime for x in edge for y in edge]
+
+
+def test_grouped_places():
+    for top in (3, 1 << 20, 1 << 60):
+        codes = np.random.default_rng(top % 97).integers(0, top, 500)
+        codes = np.r_[codes, codes[:100]]
+        first, count, inverse = wordhash.grouped(codes)
+        want, at, back, n = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
+        assert (first == at).all() and (count == n).all() and (inverse == back).all() and (wordhash.distinct(codes) == want).all()
+    assert all(len(x) == 0 for x in wordhash.grouped(np.zeros(0, np.int64)))

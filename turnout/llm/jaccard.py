@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from turnout.llm.components import components
 from turnout.llm.files import discard, ship, written
-from turnout.llm.wordhash import BASE, blocks, mix, windows, words_of
+from turnout.llm.wordhash import BASE, blocks, distinct, mix, windows, words_of
 
 #: 2^ORDER_BITS buckets of shingle counts, summed in ranges of 2^RANGE_BITS.
 ORDER_BITS, RANGE_BITS = 22, 16
@@ -45,7 +45,7 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     for i in range(len(column)):
         first, last = found.bounds[i], found.bounds[i + 1]
         if last - first >= words:
-            yield np.unique(grams[first:last - words + 1])
+            yield distinct(grams[first:last - words + 1])
         elif last > first:
             short = windows(found.digests[first:last], int(last - first))
             yield mix(short + np.uint64(last - first))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnout.llm.files import discard, ship, written
-from turnout.llm.wordhash import BASE, blocks, mix, powers, windows, words_of
+from turnout.llm.wordhash import BASE, blocks, distinct, mix, powers, windows, words_of
 
 #: Rounds of naming.  More rounds give wider contexts and fewer anchors in a window.
 ROUNDS = 3
@@ -150,8 +150,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, length: int, steps: list[str]) -> DataFrame:
-    """(doc_id, text_key, n_words, whole, kept_sha256, keys) of every row: digest of all words, SHA-256 of the words joined by a
-    space, and the distinct keys of the windows."""
+    """(doc_id, text_key, n_words, kept_sha256, keys) of every row: SHA-256 of the words joined by a space, by which copies are told, and
+    the distinct keys of the windows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,15 +159,14 @@ def describe(docs: DataFrame, length: int, steps: list[str]) -> DataFrame:
                 found = words_of(part)
                 starts, keys = window_keys(found.digests, found.bounds, length)
                 cut = np.searchsorted(starts, found.bounds)
-                own = [_signed(np.unique(keys[cut[i]:cut[i + 1]])) for i in range(stop - start)]
-                whole = [int(_signed(windows(found.digests[found.text(i)], n))[0]) if (n := int(found.bounds[i + 1] - found.bounds[i])) else 0 for i in range(stop - start)]
+                own = [_signed(distinct(keys[cut[i]:cut[i + 1]])) for i in range(stop - start)]
                 sha = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in part.to_pylist()]
                 yield pa.record_batch([
-                    *(batch.column(c).slice(start, stop - start) for c in (1, 2)), pa.array(np.diff(found.bounds), pa.int64()), pa.array(whole, pa.int64()),
-                    pa.array(sha), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_words", "whole", "kept_sha256", "keys"])
+                    *(batch.column(c).slice(start, stop - start) for c in (1, 2)), pa.array(np.diff(found.bounds), pa.int64()),
+                    pa.array(sha), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_words", "kept_sha256", "keys"])
 
     return written(docs.select("text", "doc_id", "text_key").mapInArrow(
-        run, "doc_id bigint, text_key bigint, n_words bigint, whole bigint, kept_sha256 string, keys array<bigint>"), steps)
+        run, "doc_id bigint, text_key bigint, n_words bigint, kept_sha256 string, keys array<bigint>"), steps)
 
 
 def _joined_texts(docs: DataFrame, side: DataFrame) -> DataFrame:
@@ -187,9 +186,9 @@ def repeated_words(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     steps: list[str] = []
     rows = describe(docs, length, steps)
     long = rows.where(f"n_words >= {length} AND doc_id IS NOT NULL")
-    firsts = long.groupBy("whole", "n_words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    rows = rows.join(firsts.select("whole", "n_words", "first").hint("merge"), ["whole", "n_words"], "left").withColumn(
-        "copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & (F.col("n_words") >= length)).drop("first", "whole")
+    firsts = long.groupBy("kept_sha256", "n_words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    rows = rows.join(firsts.select("kept_sha256", "n_words", "first").hint("merge"), ["kept_sha256", "n_words"], "left").withColumn(
+        "copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & (F.col("n_words") >= length)).drop("first")
     rows = written(rows, steps)
     held = rows.where(f"NOT copy AND n_words >= {length} AND doc_id IS NOT NULL").select("doc_id", "text_key", F.explode("keys").alias("key"))
     shared = held.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
@@ -201,7 +200,7 @@ def repeated_words(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
             for start, stop, part in blocks(batch.column(0)):
                 found = words_of(part)
                 starts, keys = window_keys(found.digests, found.bounds, length)
-                digests = windows(found.digests, length)
+                digests, second = (windows(found.digests, length, base) for base in (0, 1))
                 cut = np.searchsorted(starts, found.bounds)
                 for i in range(stop - start):
                     here = slice(cut[i], cut[i + 1])
@@ -209,12 +208,13 @@ def repeated_words(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
                     n = len(at)
                     yield pa.record_batch([
                         *(pa.array(np.full(n, batch.column(c)[start + i].as_py()), pa.int64()) for c in (1, 2)),
-                        pa.array(at - found.bounds[i], pa.int32()), pa.array(_signed(digests[at]), pa.int64())], names=["doc_id", "text_key", "start", "window"])
+                        pa.array(at - found.bounds[i], pa.int32()), pa.array(_signed(digests[at]), pa.int64()), pa.array(_signed(second[at]), pa.int64())],
+                        names=["doc_id", "text_key", "start", "window", "second"])
 
-    found = texts.select("text", "doc_id", "text_key", "keys").mapInArrow(run, "doc_id bigint, text_key bigint, start int, window bigint")
+    found = texts.select("text", "doc_id", "text_key", "keys").mapInArrow(run, "doc_id bigint, text_key bigint, start int, window bigint, second bigint")
     found = written(found, steps)
-    least = found.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
-    again = found.join(least.hint("merge"), "window").where("doc_id > first").select("doc_id", "text_key", "start")
+    least = found.groupBy("window", "second").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "second", "first")
+    again = found.join(least.hint("merge"), ["window", "second"]).where("doc_id > first").select("doc_id", "text_key", "start")
     removed = written(again.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("start")).alias("starts")))
     rows = written(rows.drop("keys"))
     discard(docs.sparkSession, steps)
