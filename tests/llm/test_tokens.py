@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from turnout.llm.files import dealt
 from turnout.llm import lexicon, packing, tokenfiles, warc, wordbpe
 from turnout.llm.files import Output, run_folder
 from turnout.llm.queries import TOKENIZER
@@ -198,3 +199,12 @@ def test_reader_takes_small_steps_and_names_faults():
 def test_archives_of_nothing(spark):
     assert warc.read_archives(warc.write_archives(pages(spark).limit(0))).collect() == []
     assert pages(spark).where(F.col("html").isNull()).count() == 1
+
+
+def test_archives_are_read_by_many_tasks(spark):
+    """The rows that name archives are few bytes; the adaptive plan must not join them into one task."""
+    names = spark.createDataFrame([(f"{i}",) for i in range(40)], "archive string")
+    tasks = dealt(names, "archive").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 20 and dealt(names.limit(0), "archive").count() == 0
+    archives = warc.write_archives(pages(spark).repartition(4), archive_bytes=1)
+    assert archives.count() > 4 and warc.read_archives(archives).rdd.getNumPartitions() >= archives.count()

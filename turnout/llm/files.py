@@ -39,6 +39,14 @@ def discard(spark: SparkSession, steps: list[str]) -> None:
     steps.clear()
 
 
+def dealt(names: DataFrame, *keys: str, most: int = 10_000) -> DataFrame:
+    """Rows that name files or parts of them, dealt out to about one task each, up to ``most`` tasks.
+
+    The number is given, as the adaptive plan goes by the bytes of the rows and would join the names of large files into one task.
+    """
+    return names.repartition(min(2 * max(1, names.count()), most), *keys)
+
+
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path or URI (local, HDFS, S3, GCS) and the path there."""
     return pafs.FileSystem.from_uri(uri)

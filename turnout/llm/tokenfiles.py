@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnout.llm import wordbpe
-from turnout.llm.files import Output, attempt_file, run_folder, ship, store
+from turnout.llm.files import Output, attempt_file, dealt, run_folder, ship, store
 
 #: Ids in one block, and blocks in one group of the prefix scan.
 BLOCK_IDS = 1 << 20
@@ -103,7 +103,7 @@ def separators(blocks: DataFrame, end_id: int, width: int = 4) -> DataFrame:
 
     schema = "file string, block bigint, start bigint, n bigint, found bigint, first bigint, last bigint, inner array<bigint>"
     ship(blocks.sparkSession)
-    return blocks.repartition("file", "block").mapInArrow(scan, schema)
+    return dealt(blocks, "file", "block").mapInArrow(scan, schema)
 
 
 def stitch(found: DataFrame, group_blocks: int = GROUP_BLOCKS) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnout.llm.files import Output, attempt_file, run_folder, ship, store
+from turnout.llm.files import Output, attempt_file, dealt, run_folder, ship, store
 
 CHUNK = 1 << 16
 RECORDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, archive string, problem string"
@@ -256,4 +256,4 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
     ship(archives.sparkSession)
-    return archives.select("archive").repartition("archive").mapInArrow(read, RECORDS)
+    return dealt(archives.select("archive"), "archive").mapInArrow(read, RECORDS)
