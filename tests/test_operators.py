@@ -337,3 +337,39 @@ def test_state_aliases(spark, rows):
     df = spark.createDataFrame([("Orissa", 2), ("odisha ", 3), ("NCT_of_Delhi", 1), ("Atlantis", 9)], "s string, n int")
     got = rows(counts.alias_rollup(df, "s", "n", ["Odisha", "Delhi", "Goa"], counts.STATE_ALIASES))
     assert got == [("Delhi", 1), ("Goa", 0), ("Odisha", 5)]
+
+
+def _window_tasks(spark, frame):
+    """How many tasks hold rows of a frame, with no partitions joined."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        return frame.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set(name, "true")
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_close_values_are_walked_by_many_tasks(spark, sign):
+    # All values lie within a thousandth of each other, in one coarse bucket or two.
+    hot = spark.range(6000).select(F.lit("a").alias("g"), (F.lit(1000.0 * sign) + F.col("id") / 12000).alias("v"))
+    few = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", None)], "g string, v double")
+    got = {r.g: r.percentiles for r in distribution.exact_percentiles(hot.unionByName(few), "v", (0.25, 0.5, 0.9), ["g"]).collect()}
+    values = sorted(1000.0 * sign + i / 12000 for i in range(6000))
+    assert got[None] == pytest.approx([1.5, 2.0, 2.8])
+    assert got["a"] == pytest.approx([values[int(p * 5999)] + (p * 5999 % 1) / 12000 for p in (0.25, 0.5, 0.9)], abs=1e-9)
+    counted = hot.withColumn("c", F.lit(1))
+    run = ordering.bucketed_total(counted, [F.col("v")], distribution.value_levels(F.col("v")), F.col("c"), "n", ["g"], "all")
+    assert _window_tasks(spark, run) > 1
+    assert hot.select(distribution.value_levels(F.col("v"))[0]).distinct().count() <= 2
+    assert [r.n for r in run.orderBy("v").collect()] == list(range(1, 6001)) and run.select("all").distinct().first()[0] == 6000
+
+
+def test_moments_of_one_day_are_counted_by_many_tasks(spark):
+    start = F.lit("2024-05-01 00:00:00").cast("timestamp_ntz")
+    points = spark.range(5000).select(F.lit(1).alias("g"), (start + F.make_dt_interval(secs=F.col("id") * 16)).alias("ts"))
+    moments = points.where("second(ts) = 0").select("g", F.col("ts").alias("at"))
+    found = counts.counts_not_after(points, "ts", moments, "at", by=["g"])
+    assert _window_tasks(spark, found) > 1
+    seconds = lambda t: t.hour * 3600 + t.minute * 60 + t.second
+    assert all(r.n == seconds(r["at"]) // 16 + 1 for r in found.collect()) and found.count() == moments.count()

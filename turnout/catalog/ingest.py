@@ -13,7 +13,7 @@ from turnout.functions.dates import parse_timestamp_text, unparsed
 from turnout.functions.numbers import attempts_from_text, float_from_text, int_from_text
 from turnout.functions.text import split_trailing_years
 from turnout.session import shared_folder
-from turnout.sources.files import file_manifest, listed_files, read_csv_strings, whole_manifest, with_status
+from turnout.sources.files import file_manifest, listed_files, read_csv_strings, spread, whole_manifest, with_status
 from turnout.sources.payloads import extract_records_json, map_registration_records, parse_rsvp_snapshot
 from turnout.sources.sheets import dedupe_submissions, parse_registrations, parse_submissions
 from turnout.sources.tabs import route_tabs_to_kind, route_tabs_to_rounds
@@ -200,7 +200,7 @@ def payloads(spark: SparkSession, folder: str) -> DataFrame:
     CASE WHEN event_type <> 'signup' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS form_timestamp
   FROM events WHERE event_type IN ('view', 'click', 'purchase', 'signup')""")
 def json_records(spark: SparkSession, folder: str) -> DataFrame:
-    records, _ = extract_records_json(payloads(spark, folder), "payload")
+    records, _ = extract_records_json(spread(payloads(spark, folder)), "payload")
     rows, _ = map_registration_records(records)
     return rows.select(
         "payload_no", "email", "full_name", F.date_format("form_timestamp", "yyyy-MM-dd HH:mm:ss").alias("form_timestamp")
@@ -211,7 +211,7 @@ def json_records(spark: SparkSession, folder: str) -> DataFrame:
   WHERE event_type IN ('view', 'click', 'purchase') UNION ALL
   SELECT event_id, 'no records' FROM events WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup')""")
 def json_rejects(spark: SparkSession, folder: str) -> DataFrame:
-    records, unknown = extract_records_json(payloads(spark, folder), "payload")
+    records, unknown = extract_records_json(spread(payloads(spark, folder)), "payload")
     _, rejects = map_registration_records(records)
     return rejects.select("payload_no", "reason").unionByName(
         unknown.select("payload_no", F.lit("no records").alias("reason"))

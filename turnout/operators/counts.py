@@ -89,8 +89,8 @@ def counts_not_after(
 ) -> DataFrame:
     """For each distinct non-NULL moment of each ``by`` group, how many points of the group are at or before it.
 
-    The moments are merged into the counted points and read off a running total by day, so no point is ever paired
-    with a moment.
+    The moments are merged into the counted points and read off a running total by day, minute of the day and moment, so no point is ever paired
+    with a moment and no task holds more than a minute's distinct moments.
     """
     by = list(by)
     marks = moments.select(*by, F.col(moment).alias("_at")).where("_at IS NOT NULL").distinct()
@@ -101,7 +101,8 @@ def counts_not_after(
     line = seen.withColumn("_mark", F.lit(False)).unionByName(
         marks.withColumn("_points", F.lit(0).cast("long")).withColumn("_mark", F.lit(True))
     )
-    run = bucketed_total(line, [F.col("_at"), F.col("_mark")], F.to_date("_at"), F.col("_points"), "_n", by)
+    levels = [F.to_date("_at"), F.hour("_at") * 60 + F.minute("_at")]
+    run = bucketed_total(line, [F.col("_at"), F.col("_mark")], levels, F.col("_points"), "_n", by)
     return run.where("_mark").select(*by, F.col("_at").alias(moment), F.col("_n").alias(name))
 
 

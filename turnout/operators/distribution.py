@@ -61,6 +61,13 @@ def score_rollup(df: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame
     )
 
 
+def value_levels(value: Column) -> list[Column]:
+    """Buckets of a number, coarse and fine: a thousandth of its size, and the 4096 parts of that; neither decreases as the value grows."""
+    size = F.log1p(F.abs(value)) * 1024
+    signed = F.when(value < 0, -size).otherwise(size)
+    return [F.floor(signed), F.floor((signed - F.floor(signed)) * 4096)]
+
+
 def exact_percentiles(
     df: DataFrame,
     value: str,
@@ -69,14 +76,13 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact interpolated percentiles per group, as the array ``percentiles``.
 
-    The distinct values are counted and walked by a running total over buckets of a thousandth of their size, so a
-    group holding a third of all rows is spread over many tasks.
+    The distinct values are counted and walked by a running total over buckets of a thousandth of their size, each cut again by the next twelve
+    binary digits, so a group holding a third of all rows is spread over many tasks, also where its values lie close together.
     """
     by = list(by)
     x = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
     counted = x.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    size = F.floor(F.log1p(F.abs("_v")) * 1024)
-    run = bucketed_total(counted, [F.col("_v")], F.when(F.col("_v") < 0, -size).otherwise(size), F.col("_c"), "_hi", by, "_n")
+    run = bucketed_total(counted, [F.col("_v")], value_levels(F.col("_v")), F.col("_c"), "_hi", by, "_n")
     first = F.col("_hi") - F.col("_c")
 
     def holds(k: Column) -> Column:

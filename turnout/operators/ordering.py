@@ -65,33 +65,43 @@ def running_total(
 
 
 def bucketed_total(
-    df: DataFrame, order: Sequence[Column], bucket: Column, weight: Column, name: str, by: Sequence[str] = (),
+    df: DataFrame, order: Sequence[Column], buckets: Sequence[Column], weight: Column, name: str, by: Sequence[str] = (),
     total_name: str | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``weight`` in ``order`` within each ``by`` group, without a job of its own.
 
-    ``bucket`` must not decrease along ``order``; it depends on the row alone, so nothing has to be pinned.  Each
-    bucket is summed in its own task, and one row per bucket carries the sums before it.
+    ``buckets`` go from coarse to fine.  None may decrease along ``order`` inside the bucket above it; they depend on the row alone, so nothing has to be
+    pinned.  Rows are summed inside their finest bucket; what lies before it comes from one row a bucket, summed level by level inside the
+    bucket above.  So a window holds one finest bucket's rows, or one coarser bucket's sums, and a hot range of values is spread over many tasks.
     """
-    by = list(by)
-    keyed = df.withColumns({"_b": bucket, "_w": weight})
-    sums = keyed.groupBy(*by, "_b").agg(F.sum("_w").alias("_part_sum"))
-    group = Window.partitionBy(*by)
-    earlier = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *[F.col(b).alias(f"_o_{b}") for b in by],
-        F.col("_b").alias("_o_b"),
-        F.coalesce(F.sum("_part_sum").over(earlier), F.lit(0)).alias("_offset"),
-        F.sum("_part_sum").over(group).alias("_total"),
-    )
-    match = F.col("_b") == F.col("_o_b")
-    for b in by:
-        match = match & F.col(b).eqNullSafe(F.col(f"_o_{b}"))
-    local = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = keyed.join(offsets, match).withColumn(name, F.col("_offset") + F.sum("_w").over(local))
+    by, levels = list(by), [f"_b{i}" for i in range(len(buckets))]
+    keyed = df.withColumns({**dict(zip(levels, buckets)), "_w": weight})
+    sums, total = keyed, None
+    for depth in range(len(levels), 0, -1):
+        keys = [*by, *levels[:depth]]
+        sums = sums.groupBy(*keys).agg(F.sum("_w" if depth == len(levels) else "_sum").alias("_sum"))
+        upper = Window.partitionBy(*by, *levels[: depth - 1])
+        earlier = upper.orderBy(levels[depth - 1]).rowsBetween(Window.unboundedPreceding, -1)
+        before = sums.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias(f"_before{depth}"),
+                             *([F.sum("_sum").over(upper).alias("_total")] if depth == 1 else []))
+        if total is None:
+            total = before
+        else:
+            match = F.lit(True)
+            for k in keys:
+                match = match & F.col(f"_o_{k}").eqNullSafe(F.col(f"_u_{k}"))
+            # The level above has one row for many below; it joins their small table, not the rows.
+            above = before.select(*[F.col(f"_o_{k}").alias(f"_u_{k}") for k in keys], f"_before{depth}", *(["_total"] if depth == 1 else []))
+            total = total.join(above, match).drop(*[f"_u_{k}" for k in keys])
+    match = F.lit(True)
+    for k in [*by, *levels]:
+        match = match & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    local = Window.partitionBy(*by, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offset = sum((F.col(f"_before{d}") for d in range(2, len(levels) + 1)), F.col("_before1"))
+    out = keyed.join(total, match).withColumn(name, offset + F.sum("_w").over(local))
     if total_name:
         out = out.withColumn(total_name, F.col("_total"))
-    return out.drop("_b", "_w", "_o_b", "_offset", "_total", *[f"_o_{b}" for b in by])
+    return out.drop("_w", "_total", *levels, *[f"_before{d}" for d in range(1, len(levels) + 1)], *[f"_o_{k}" for k in [*by, *levels]])
 
 
 def global_rank(

@@ -93,3 +93,12 @@ def with_status(manifest: DataFrame, outcome: DataFrame, key: str = "file_name")
     side = outcome.groupBy(F.col(key).alias("_key")).agg(F.max("status").alias("_status"))
     joined = manifest.join(side, F.col(key) == F.col("_key"), "left")
     return joined.withColumn("status", F.coalesce("_status", "status")).drop("_key", "_status")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over at least as many tasks as there are cores, for work that is heavy on the processor and light in bytes.
+
+    Rows of many files are dealt out already and stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnout.functions.dates import parse_date_text, parse_timestamp_text
-from turnout.functions.text import WHITE_SPACE, as_col, blank_to_null, split_trailing_years, strip_all
-
-WHITE_SPACE_SQL = "".join(f"\\u{ord(c):04x}" for c in WHITE_SPACE)
+from turnout.functions.text import as_col, split_trailing_years, strip_all
 
 # Keys under which a payload may hold its record list, envelope and header row.
 LIST_KEYS = ("data", "registrations", "results", "items", "records", "rows", "users", "participants")
@@ -19,127 +17,106 @@ ENVELOPE_KEYS = ("data", "result", "response", "payload", "body", "event")
 HEADER_KEYS = ("columns", "headers", "fields", "keys", "schema")
 
 
-def _scalar(x: Column) -> Column:
-    return F.schema_of_variant(x).rlike("^(?!OBJECT|ARRAY|VOID)")
+def _once(c: Column) -> Column:
+    """Not deterministic in Spark's eyes, so that a long expression is not written out again wherever its column is used."""
+    return F.when(F.spark_partition_id() >= 0, c)
 
 
-def _list_at(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "array<variant>")
+def map_last_wins(entries: Column) -> Column:
+    """Map from (key, value) entries; of equal keys the last one stays."""
+    def later(kept: Column, e: Column) -> Column:
+        return F.concat(F.filter(kept, lambda k: k["key"] != e["key"]), F.array(e))
 
+    def made(e: Column) -> Column:
+        keys = F.transform(e, lambda x: x["key"])
+        unique = F.size(F.array_distinct(keys)) == F.size(keys)
+        return F.map_from_entries(F.when(unique, e).otherwise(F.reduce(e, F.slice(e, 1, 0), later)))
 
-def _texts(items: Column) -> Column:
-    return F.transform(items, lambda x: F.try_variant_get(x, "$", "string"))
+    return F.get(F.transform(F.array(entries), made), F.lit(0))
 
 
-def _rows(items: Column) -> Column:
-    """The lists among the items."""
-    return F.filter(F.transform(items, lambda x: _list_at(x, "$")), lambda r: r.isNotNull())
+def _listed(words: Sequence[str]) -> str:
+    return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-def map_last_wins(entries: Column) -> Column:
-    """Map from (key, value) entries; of equal keys the last one stays."""
-    def later(kept: Column, e: Column) -> Column:
-        return F.concat(F.filter(kept, lambda k: k["key"] != e["key"]), F.array(e))
+_OBJECT = "map<string,variant>"
+_SCALAR = "NOT rlike(schema_of_variant(x), '^(OBJECT|ARRAY|VOID)')"
 
-    keys = F.transform(entries, lambda e: e["key"])
-    unique = F.size(F.array_distinct(keys)) == F.size(keys)
-    return F.map_from_entries(
-        F.when(unique, entries).otherwise(F.reduce(entries, F.slice(entries, 1, 0), later))
-    )
+#: The payload's top (base 0) and the envelopes it has, each read once as a map.
+_ROOTS = f"""filter(transform(sequence(0, {len(ENVELOPE_KEYS)}), i -> named_struct('base', i, 'm',
+    if(i = 0, _top, try_variant_get(try_element_at(_top, get({_listed(ENVELOPE_KEYS)}, i - 1)), '$', '{_OBJECT}')))), r -> r.m IS NOT NULL)"""
 
+#: Per root, the first usable header row: a list of scalars that is not empty.
+_HEADS = f"""map_from_entries(filter(transform(_roots, r -> struct(r.base, get(filter(
+    transform(filter({_listed(HEADER_KEYS)}, k -> map_contains_key(r.m, k)), k -> try_variant_get(r.m[k], '$', 'array<variant>')),
+    h -> size(h) > 0 AND forall(h, x -> {_SCALAR})), 0) AS head)), h -> h.head IS NOT NULL))"""
 
-def _is_envelope(v: str, key: str) -> str:
-    return f"try_variant_get({v}, '$.{key}', 'map<string,variant>') IS NOT NULL"
+#: The lists under the keys that a root has: their root, key and items.
+_LISTS = f"""flatten(transform(_roots, r -> filter(transform(filter({_listed(LIST_KEYS)}, k -> map_contains_key(r.m, k)),
+    k -> named_struct('base', r.base, 'k', k, 'items', try_variant_get(r.m[k], '$', 'array<variant>'))), s -> s.items IS NOT NULL)))"""
 
+_IS_OBJECT = f"try_variant_get(x, '$', '{_OBJECT}') IS NOT NULL"
+_LEAD = "try_variant_get(get(s.items, 0), '$', 'array<variant>')"
+_TABLES = "size(filter(s.items, x -> try_variant_get(x, '$', 'array<variant>') IS NOT NULL))"
 
-def _first_record_list(v: str, heads: str) -> Column:
-    """The first place that holds records: its items, whether they are a table, and its envelope number.
+#: Turns of a list as records and as a table: the top list, the top's keys, each envelope (lists, then tables), tables at the top; NULL where it holds none.
+_AS_LIST = f"""if(exists(s.items, x -> {_IS_OBJECT}), CASE WHEN s.k = '' THEN 0 WHEN s.base = 0 THEN array_position({_listed(LIST_KEYS)}, s.k)
+    ELSE s.base * 100 + array_position({_listed(NESTED_LIST_KEYS)}, s.k) END, NULL)"""
+_AS_TABLE = f"""if(s.k <> '' AND {_LEAD} IS NOT NULL AND if(try_element_at(_heads, s.base) IS NOT NULL, {_TABLES} > 0,
+    {_TABLES} > 1 AND forall({_LEAD}, x -> {_SCALAR})), if(s.base = 0, 1000, s.base * 100 + 50) + array_position({_listed(LIST_KEYS)}, s.k), NULL)"""
+_TURNS = f"transform(_lists, s -> named_struct('list', {_AS_LIST}, 'tab', {_AS_TABLE}, 's', s))"
 
-    One SQL text, because building hundreds of small columns one by one takes longer than
-    running them; ``coalesce`` stops at the first hit.
-    """
-    is_object = "x -> try_variant_get(x, '$', 'map<string,variant>') IS NOT NULL"
-    is_list = "x -> try_variant_get(x, '$', 'array<variant>') IS NOT NULL"
-    is_scalar = "x -> NOT rlike(schema_of_variant(x), '^(OBJECT|ARRAY|VOID)')"
-    lead = "try_variant_get(get(a.items, 0), '$', 'array<variant>')"
-
-    def attempt(path: str, table: bool, base: int) -> str:
-        lists = f"size(filter(a.items, {is_list}))"
-        is_table = (
-            f"{lead} IS NOT NULL AND if(get({heads}, {base}) IS NOT NULL, {lists} > 0, "
-            f"{lists} > 1 AND forall({lead}, {is_scalar}))"
-        )
-        holds = is_table if table else f"exists(a.items, {is_object})"
-        place = (
-            f"named_struct('items', try_variant_get({v}, '{path}', 'array<variant>'), "
-            f"'is_table', {str(table).lower()}, 'base', {base})"
-        )
-        return f"get(filter(array({place}), a -> {holds}), 0)"
-
-    out = [attempt("$", False, 0)]
-    out += [attempt(f"$.{k}", False, 0) for k in LIST_KEYS]
-    for i, e in enumerate(ENVELOPE_KEYS, start=1):
-        inside = [attempt(f"$.{e}.{k}", False, i) for k in NESTED_LIST_KEYS]
-        inside += [attempt(f"$.{e}.{k}", True, i) for k in LIST_KEYS]
-        out.append(f"if({_is_envelope(v, e)}, coalesce({', '.join(inside)}), NULL)")
-    out += [attempt(f"$.{k}", True, 0) for k in LIST_KEYS]
-    return F.expr(f"coalesce({', '.join(out)})")
-
-
-def _header_rows(v: str) -> Column:
-    """The header row beside a table, at the top and in every envelope; NULL where there is none."""
-    def beside(base: str) -> str:
-        return "array(" + ", ".join(f"try_variant_get({v}, '{base}.{k}', 'array<variant>')" for k in HEADER_KEYS) + ")"
-
-    lists = [beside("$")]
-    lists += [f"if({_is_envelope(v, e)}, {beside(f'$.{e}')}, NULL)" for e in ENVELOPE_KEYS]
-    usable = F.transform(
-        F.expr(f"array({', '.join(lists)})"),
-        lambda rows: F.get(F.filter(rows, lambda h: (F.size(h) > 0) & F.forall(h, _scalar)), F.lit(0)),
-    )
-    return F.transform(usable, _texts)
+
+def _texts(items: Column) -> Column:
+    return F.transform(items, lambda x: F.try_variant_get(x, "$", "string"))
 
 
 def tabular_json_to_rows(rows: Column, header: Column) -> Column:
     """Records of a list of lists; without a separate header the first row is one."""
-    lists = _rows(rows)
+    lists = F.filter(F.transform(rows, lambda x: F.try_variant_get(x, "$", "array<variant>")), lambda r: r.isNotNull())
     names = F.coalesce(header, _texts(F.get(lists, F.lit(0))))
     body = F.slice(lists, F.when(header.isNull(), 2).otherwise(1), F.greatest(F.size(rows), F.lit(1)))
 
-    def record(row: Column) -> Column:
-        width = F.least(F.size(names), F.size(row))
-        pairs = F.arrays_zip(
-            F.slice(names, F.lit(1), width).alias("key"), F.slice(_texts(row), F.lit(1), width).alias("value")
-        )
-        return map_last_wins(pairs)
+    def records(names: Column) -> Column:
+        def record(row: Column) -> Column:
+            width = F.least(F.size(names), F.size(row))
+            return map_last_wins(F.arrays_zip(
+                F.slice(names, F.lit(1), width).alias("key"), F.slice(_texts(row), F.lit(1), width).alias("value")
+            ))
 
-    return F.transform(body, record)
+        return F.transform(body, record)
+
+    return F.get(F.transform(F.array(names), records), F.lit(0))
 
 
 def locate_records(payloads: DataFrame, column: str) -> DataFrame:
     """The payloads' other columns with ``records`` (array of text maps, NULL where none were found) and ``unknown``.
 
     Looked for in order: a top-level list, the list keys, each envelope (lists, then tables), a table at the top.  A list
-    without objects is an empty result, not an unknown shape.  One parse serves records and rejects alike, so a caller
+    without objects is an empty result, not an unknown shape.  A payload is parsed once and its keys are read once; only lists under
+    keys that it has are looked into, each once.  One parse serves records and rejects alike, so a caller
     that wants both should persist this.  Parsing is heavy on the processor: few large files are better dealt out
     (``payloads.repartition(n)``) before they come here.
     """
     rest = [c for c in payloads.columns if c != column]
-    parsed = payloads.withColumn("_v", F.try_parse_json(column))
-    # Not deterministic in Spark's eyes, so that these long expressions are not written out again where they are used.
-    once = lambda c: F.when(F.spark_partition_id() >= 0, c)
-    headed = parsed.withColumn("_heads", once(_header_rows("_v")))
-    found = headed.withColumn("_pick", once(_first_record_list("_v", "_heads")))
-    pick = F.col("_pick")
-    objects = F.filter(
-        F.transform(pick["items"], lambda x: F.try_variant_get(x, "$", "map<string,string>")), lambda m: m.isNotNull()
-    )
-    tables = tabular_json_to_rows(pick["items"], F.get(F.col("_heads"), pick["base"]))
-    top = _list_at(F.col("_v"), "$")
-    named = ", ".join(f"try_variant_get(_v, '$.{k}', 'array<variant>')" for k in LIST_KEYS)
-    empty = F.coalesce(F.size(top) == 0, F.lit(False)) | F.expr(f"coalesce({named}) IS NOT NULL")
+    parsed = payloads.withColumn("_v", _once(F.try_parse_json(column)))
+    parsed = parsed.withColumn("_top", _once(F.expr(f"try_variant_get(_v, '$', '{_OBJECT}')")))
+    rooted = parsed.withColumn("_roots", _once(F.expr(_ROOTS)))
+    headed = rooted.withColumn("_heads", _once(F.expr(_HEADS)))
+    top = "try_variant_get(_v, '$', 'array<variant>')"
+    listed = headed.withColumn("_lists", _once(F.expr(f"if(_top IS NULL, filter(array(named_struct('base', 0, 'k', '', 'items', {top})), s -> s.items IS NOT NULL), {_LISTS})")))
+    turned = listed.withColumn("_turns", _once(F.expr(_TURNS)))
+    first = "array_min(transform(_turns, t -> least(t.list, t.tab)))"
+    found = turned.withColumn("_pick", _once(F.expr(f"get(transform(array({first}), n -> get(filter(_turns, t -> least(t.list, t.tab) = n), 0)), 0)")))
+    items = F.col("_pick.s.items")
+    objects = F.filter(F.transform(items, lambda x: F.try_variant_get(x, "$", "map<string,string>")), lambda m: m.isNotNull())
+    tables = tabular_json_to_rows(items, _texts(F.try_element_at("_heads", F.col("_pick.s.base"))))
+    # A list that is empty, or any list under a key at the top, is a known shape.
+    known = F.expr("exists(_lists, s -> s.base = 0 AND (s.k <> '' OR size(s.items) = 0))")
+    as_table = F.expr("_pick.list IS NULL OR _pick.tab < _pick.list")
     return found.select(
-        *rest, F.when(pick["is_table"], tables).otherwise(objects).alias("records"), (pick.isNull() & ~empty).alias("unknown"), column
+        *rest, F.when(F.col("_pick").isNotNull(), _once(F.when(as_table, tables).otherwise(objects))).alias("records"),
+        (F.col("_pick").isNull() & ~F.coalesce(known, F.lit(False))).alias("unknown"), column
     )
 
 
@@ -204,22 +181,21 @@ RECORD_ALIASES = {
 
 
 def first_alias(record: str, names: Sequence[str]) -> Column:
-    """First non-blank value among the names, stripped."""
-    wanted = ", ".join(f"'{n}'" for n in names)
-    cells = f"transform(array({wanted}), n -> btrim(try_element_at({record}, n), '{WHITE_SPACE_SQL}'))"
-    return F.expr(f"get(filter({cells}, x -> x <> ''), 0)")
+    """First value among the names in a map of stripped values that are not blank."""
+    return F.expr("coalesce(" + ", ".join(f"try_element_at({record}, '{n}')" for n in names) + ")")
 
 
 def map_registration_records(records: DataFrame, record: str = "record") -> tuple[DataFrame, DataFrame]:
-    """Typed registration rows, and the records without an e-mail with the reason."""
-    keyed = records.withColumn("_m", normalised_record(record))
-    m = F.col("_m")
+    """Typed registration rows, and the records without an e-mail with the reason.
+
+    A record becomes one map of normalised keys to stripped values without blanks, made once and read by every field.
+    """
+    stripped = F.transform_values(normalised_record(record), lambda _, v: strip_all(v))
+    keyed = records.withColumn("_m", _once(F.map_filter(stripped, lambda _, v: v != "")))
     fields = {name: first_alias("_m", names) for name, names in RECORD_ALIASES.items()}
     # The attendance question is matched by its start, as in files.
-    question = F.filter(F.map_entries(m), lambda e: e["key"].startswith("in_which_city,_would_you_like_to_attend"))
-    fields["attendance_city"] = F.coalesce(
-        fields["attendance_city"], blank_to_null(F.get(question, F.lit(0))["value"])
-    )
+    question = F.map_values(F.map_filter("_m", lambda k, _: k.startswith("in_which_city,_would_you_like_to_attend")))
+    fields["attendance_city"] = F.coalesce(fields["attendance_city"], F.get(question, F.lit(0)))
     rest = [c for c in records.columns if c != record]
     flat = keyed.select(*rest, record, *[c.alias(n) for n, c in fields.items()])
     designation, years = split_trailing_years("designation")
