@@ -2,13 +2,15 @@ from __future__ import annotations
 
 from datetime import date, datetime
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from turnout.catalog import QUERIES
+from turnout.catalog import QUERIES, base
+from turnout.operators import roster
 from turnout.operators.roster import RosterFilter, apply_filter, best_score, roster_page, sort_columns
-from turnout.plans import activity, leaderboards, reports, stats
+from turnout.plans import activity, dashboard, leaderboards, reports, stats
 from turnout.plans.crossover import CrossoverParams, crossover
 from turnout.plans.dashboard import overview, registration_dashboard
 from turnout.plans.ledger import grant_credits
@@ -228,3 +230,42 @@ def test_log_search_reads_the_months_it_needs(spark, tmp_path):
 def test_scans_read_only_what_is_used(spark):
     plan = QUERIES["track_overlap"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan and "PushedFilters: [IsNotNull(o_orderstatus)" in plan
+
+
+def _scans(frame, table):
+    """How many scans of a table a frame's physical plan holds, steps it reuses left out."""
+    text = frame._jdf.queryExecution().executedPlan().toString()
+    return sum("FileScan" in line and f"/{table}.parquet" in line for line in text.split("\n"))
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+def test_facts_are_scanned_once(spark):
+    folder = "/root/testdata/sf0.001"
+    union = QUERIES["participation_union"](spark, folder)
+    # In-person submissions, the sessions they were at, virtual submissions; of customers, the registrations of either track besides.
+    assert _scans(union, "orders") <= 3 and _scans(union, "customer") <= 4
+    assert _scans(QUERIES["cohort_vs_prior_session"](spark, folder), "orders") <= 1
+    # What a batch of grants gives is read from the pinned batch alone.
+    balances = QUERIES["grant_credits_balances"](spark, folder)
+    assert _scans(balances, "events") == 0 and _scans(QUERIES["grant_credits_rejects"](spark, folder), "customer") == 0
+    assert _scans(QUERIES["dashboard_label_counts"](spark, folder), "customer") == 1
+
+
+def test_participation_counts_each_place_once(spark, rows):
+    regs = spark.createDataFrame([(1, "a", 10), (2, "b", None), (3, None, 11), (4, "d", None)], "id int, email_normalized string, session_id int")
+    ip = spark.createDataFrame([(1, 10), (1, 12), (2, 12), (2, 12), (9, 12), (None, 12), (3, None)], "registration_id int, session_id int")
+    v_regs = spark.createDataFrame([(1, "v"), (2, "a")], "id int, email_normalized string")
+    v = spark.createDataFrame([(1, "a", 5), (2, "a", 5), (2, "b", 6), (None, "c", 5), (None, "c", 5), (None, None, 7), (7, "e", 8), (None, "c", None)],
+                              "registration_id int, leader_email_normalized string, challenge_id int")
+    found = roster.participation(regs, ip, v, v_regs)
+    assert rows(found) == [("a", 2, 2), ("b", 1, 1), ("c", 0, 1), ("e", 0, 1), ("v", 0, 1)]
+
+
+def test_dashboard_labels_agree_with_each_count(spark):
+    regs = base.registrations(spark, "/root/testdata/sf0.001") if Path("/root/testdata/sf0.001").exists() else pytest.skip("no test tables")
+    out = dashboard.registration_dashboard(regs, datetime(2001, 1, 15))
+    labels = {}
+    for r in out["labels"].orderBy("facet", "rank").collect():
+        labels.setdefault(r.facet, []).append((r.label, r.n))
+    for name in dashboard.dashboard_facets("in_person"):
+        assert labels[name] == [(r.label, r.n) for r in out[name].collect()], name

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnout.catalog import base
 from turnout.catalog.base import AS_OF, day_text, query
-from turnout.functions.text import coalesce_label, compact_number, initcap_words, score_text
+from turnout.functions.text import coalesce_label, compact_number, initcap_words, scope_key, score_text
 from turnout.operators.counts import (
     alias_rollup,
     counts_not_after,
@@ -22,9 +22,10 @@ from turnout.operators.counts import (
     recent_daily_counts,
 )
 from turnout.operators.ordering import ranked_page
-from turnout.operators.roster import RosterFilter, apply_filter, best_score, participation, sort_columns
-from turnout.operators.sessions import eligibility_summary, pick_round, round_counts, round_order, session_list
+from turnout.operators.roster import RosterFilter, apply_filter, best_score, in_person_places, participation_of, sort_columns
+from turnout.operators.sessions import eligibility_summary, pick_round, round_counts, round_order, session_list, session_list_with_rsvp
 from turnout.plans.dashboard import (
+    dashboard_labels,
     date_bounds,
     overview_counts,
     registration_brief,
@@ -317,15 +318,12 @@ def participation_union(spark: SparkSession, folder: str) -> DataFrame:
         F.col("session_label").alias("dim_label"),
     )
     on = {"attendance_city": "dim_city", "session_on": "dim_on", "session_label": "dim_label"}
-
-    def linked(df: DataFrame) -> DataFrame:
-        empty = df.withColumn("session_id", F.lit(None).cast("long")).withColumn("session_label", F.trim("session_label"))
-        return relink_by_natural_key(empty, dim, on, "session_id", "dim_id", lower=["attendance_city"])
-
     regs = base.registrations(spark, folder)
-    return participation(
-        linked(regs), linked(base.in_person_submissions(spark, folder)), base.submissions(spark, folder), regs
-    )
+    # Registrations and submissions find their sessions together, so the sessions are derived once.
+    places = in_person_places(regs, base.in_person_submissions(spark, folder), ["attendance_city", "session_on", "session_label"])
+    places = places.withColumns({"session_id": F.lit(None).cast("long"), "session_label": F.trim("session_label")})
+    linked = relink_by_natural_key(places, dim, on, "session_id", "dim_id", lower=["attendance_city"])
+    return participation_of(linked, base.submissions(spark, folder), regs)
 
 
 @query(""", named AS (SELECT DISTINCT coalesce(nullif(trim(attendance_city, ' '), ''), nullif(trim(city, ' '), ''),
@@ -344,6 +342,55 @@ def session_list_merged(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select("city", day_text("session_on"), "session_label", "display")
 
 
+@query(""", named AS (SELECT DISTINCT coalesce(nullif(trim(attendance_city, ' '), ''), nullif(trim(city, ' '), ''),
+    '(Unknown)') AS city, session_on, trim(session_label, ' ') AS session_label, 0 AS source FROM regs
+    WHERE session_on IS NOT NULL),
+  played AS (SELECT DISTINCT trim(attendance_city, ' ') AS city, session_on, trim(session_label, ' ') AS session_label,
+    1 AS source FROM ip_subs WHERE sheet_kind = 'main' AND session_on IS NOT NULL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lower(city), session_on, session_label ORDER BY source, city) AS rn
+    FROM (SELECT * FROM named UNION ALL SELECT * FROM played)),
+  listed AS (SELECT *, lower(city) || '|' || strftime(session_on, '%Y-%m-%d') || '|' || session_label AS scope_key FROM ranked WHERE rn = 1),
+  lists AS (SELECT lower(trim(attendance_city, ' ')) || '|' || strftime(session_on, '%Y-%m-%d') || '|' || trim(session_label, ' ') AS k,
+    count(*) FILTER (sheet_kind = 'main') AS ms, count(*) FILTER (sheet_kind <> 'main') AS ma FROM ip_subs GROUP BY 1),
+  snaps AS (SELECT DISTINCT ON (k) lower(trim(attendance_city, ' ')) || '|' || strftime(session_on, '%Y-%m-%d') || '|' || trim(session_label, ' ') AS k,
+    CAST(id % 900 AS INTEGER) AS sent, CAST(id % 300 AS INTEGER) AS acc FROM regs ORDER BY k, form_timestamp DESC NULLS LAST, id DESC)
+  SELECT city, strftime(session_on, '%Y-%m-%d') AS session_on, session_label,
+    CAST(CASE WHEN ms > 0 THEN ms ELSE coalesce(sent, 0) END AS BIGINT) AS rsvp_sent,
+    CAST(CASE WHEN ma > 0 THEN ma ELSE coalesce(acc, 0) END AS BIGINT) AS rsvp_accepted
+  FROM listed LEFT JOIN lists ON lists.k = scope_key LEFT JOIN snaps ON snaps.k = scope_key""", "regs", "ip_subs")
+def session_list_rsvp(spark: SparkSession, folder: str) -> DataFrame:
+    """The session list with its RSVP counts: submissions stand for imported lists, registrations for snapshots."""
+    regs, subs = base.registrations(spark, folder), base.in_person_submissions(spark, folder)
+    manual = subs.select(F.col("attendance_city").alias("city"), "session_on", "session_label",
+                         F.when(F.col("sheet_kind") == "main", "invite_sent").otherwise("accepted").alias("list_kind"))
+    snapshots = regs.select(
+        "id", scope_key("attendance_city", "session_on", "session_label").alias("scope_key"), F.col("form_timestamp").alias("fetched_at"),
+        (F.col("id") % 900).cast("int").alias("rsvp_invite_sent"), (F.col("id") % 300).cast("int").alias("rsvp_accepted"))
+    merged = session_list_with_rsvp(regs, subs, manual, snapshots)
+    return merged.select("city", day_text("session_on"), "session_label", "rsvp_sent", "rsvp_accepted")
+
+
+_LABELS = {
+    "attendance_cities": ("nullif(trim(attendance_city, ' '), '')", None),
+    "utm_sources": ("coalesce(nullif(trim(utm_source, ' '), ''), '(none)')", 8),
+    "top_city": ("coalesce(nullif(trim(attendance_city, ' '), ''), nullif(trim(city, ' '), ''))", 1),
+    "top_state": ("nullif(array_to_string([upper(x[1]) || lower(x[2:]) for x in string_split(trim(state, ' '), ' ')], ' '), '')", 1),
+    "states": ("nullif(array_to_string([upper(x[1]) || lower(x[2:]) for x in string_split(trim(state, ' '), ' ')], ' '), '')", 36),
+    "cities": ("coalesce(nullif(trim(attendance_city, ' '), ''), nullif(trim(city, ' '), ''), '(Unknown)')", 40),
+    "genders": ("coalesce(nullif(trim(gender, ' '), ''), '(unspecified)')", 8),
+    "occupations": ("coalesce(nullif(trim(occupation, ' '), ''), '(unspecified)')", 8),
+}
+
+
+@query(", long AS (" + " UNION ALL ".join(f"SELECT '{k}' AS facet, {e} AS label, {n or 'NULL'} AS most FROM regs" for k, (e, n) in _LABELS.items())
+       + """), counted AS (SELECT facet, label, most, count(*) AS n FROM long WHERE label IS NOT NULL GROUP BY ALL)
+  SELECT facet, row_number() OVER (PARTITION BY facet ORDER BY n DESC, label)::INTEGER AS rank, label, n FROM counted
+  QUALIFY most IS NULL OR rank <= most""", "regs")
+def dashboard_label_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """All label counts of the registration dashboard, from one scan."""
+    return dashboard_labels(base.registrations(spark, folder))
+
+
 # --- reports ------------------------------------------------------------------------------------
 
 _SUBMITTED = """count(*) AS total_submissions, count(DISTINCT leader_email_normalized) AS unique_submitters,
@@ -415,5 +462,3 @@ def score_formats(spark: SparkSession, folder: str) -> DataFrame:
 def initcap_labels(spark: SparkSession, folder: str) -> DataFrame:
     orders = base.read_table(spark, folder, "orders", ["o_orderkey", "o_orderpriority"])
     return orders.select(F.col("o_orderkey").alias("id"), initcap_words("o_orderpriority").alias("label"))
-
-

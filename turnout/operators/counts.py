@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnout.functions.dates import business_date, business_hour
@@ -23,6 +23,23 @@ def label_counts(df: DataFrame, label: Column | str, n: int | None = None, name:
     return ordered.limit(n) if n is not None else ordered
 
 
+def facet_counts(df: DataFrame, facets: Mapping[str, tuple[Column, int | None]]) -> DataFrame:
+    """(facet, rank, label, n) of several labels at once: rows per non-NULL label, most frequent first, ties by label.
+
+    ``facets`` gives each label's column and how many of its values to keep (None: all).  All are counted in one scan and one aggregation, which Spark combines
+    before its shuffle.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("facet"), label.cast("string").alias("label")) for name, (label, _) in facets.items()]))
+    counted = df.select(pairs.alias("p")).select("p.facet", "p.label").where("label IS NOT NULL").groupBy("facet", "label").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("facet").orderBy(F.desc("n"), F.asc("label"))
+    ranked = counted.withColumn("rank", F.row_number().over(order))
+    kept = F.lit(False)
+    for name, (_, most) in facets.items():
+        here = F.col("facet") == name
+        kept = kept | (here if most is None else here & (F.col("rank") <= most))
+    return ranked.where(kept).select("facet", "rank", "label", "n")
+
+
 def facet_values(df: DataFrame, columns: Sequence[str], cap: int | None = None) -> DataFrame:
     """Distinct non-blank trimmed values of each column, all or the first ``cap``, in one scan."""
     pairs = F.explode(

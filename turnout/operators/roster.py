@@ -253,27 +253,37 @@ def registrant_submissions(regs: DataFrame, subs: DataFrame, sessions: DataFrame
 
 def participation(regs: DataFrame, ip_subs: DataFrame, v_subs: DataFrame, v_regs: DataFrame) -> DataFrame:
     """Per e-mail: distinct in-person sessions (registered or submitted) and distinct virtual rounds."""
-    linked = ip_subs.where("session_id IS NOT NULL AND registration_id IS NOT NULL").select(
-        F.col("registration_id").alias("_rid"), F.col("session_id").alias("what")
-    ).distinct()
-    sessions = regs.where("session_id IS NOT NULL").select(
-        "email_normalized", F.col("session_id").alias("what")
-    ).unionByName(
-        regs.select("id", "email_normalized").join(linked, F.col("id") == F.col("_rid"))
-        .select("email_normalized", "what")
-    ).distinct()
-    rounds_by_link = v_subs.where("challenge_id IS NOT NULL AND registration_id IS NOT NULL").select(
-        F.col("registration_id").alias("_rid"), F.col("challenge_id").alias("what")
-    ).distinct()
-    rounds = v_subs.where("challenge_id IS NOT NULL AND leader_email_normalized IS NOT NULL").select(
-        F.col("leader_email_normalized").alias("email_normalized"), F.col("challenge_id").alias("what")
-    ).unionByName(
-        v_regs.select("id", "email_normalized").join(rounds_by_link, F.col("id") == F.col("_rid"))
-        .select("email_normalized", "what")
-    ).distinct()
-    both = sessions.select("email_normalized", F.lit(1).alias("_s"), F.lit(0).alias("_r")).unionByName(
-        rounds.select("email_normalized", F.lit(0).alias("_s"), F.lit(1).alias("_r"))
-    )
-    return both.where("email_normalized IS NOT NULL").groupBy("email_normalized").agg(
-        F.sum("_s").alias("n_sessions"), F.sum("_r").alias("n_rounds")
+    return participation_of(in_person_places(regs, ip_subs, ["session_id"]), v_subs, v_regs)
+
+
+def in_person_places(regs: DataFrame, ip_subs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One frame of (registration_id, email_normalized, columns): registrations with their address, submissions with none."""
+    none = F.lit(None).cast("string").alias("email_normalized")
+    return regs.select(F.col("id").alias("registration_id"), "email_normalized", *columns).unionAll(
+        ip_subs.where("registration_id IS NOT NULL").select("registration_id", none, *columns))
+
+
+def participation_of(places: DataFrame, v_subs: DataFrame, v_regs: DataFrame) -> DataFrame:
+    """As ``participation``, from ``in_person_places`` with their ``session_id``.
+
+    Every row becomes a tagged fact of a registration: its address, or where the registration was.  One aggregation by
+    registration gives its places the address, a second one counts them by address; no table is read twice and nothing is joined.  Submissions without a
+    registration keep their own address and are dealt out by it.
+    """
+    def fact(track: str, key: Column, own: Column, direct: Column, what: Column) -> tuple[Column, ...]:
+        place = F.when(what.isNotNull(), F.struct(direct.cast("string").alias("email"), what.cast("string").alias("what")))
+        return (F.lit(track).alias("_track"), key.cast("string").alias("_key"), own.cast("string").alias("_own"), place.alias("_place"))
+
+    none, what = F.lit(None).cast("string"), F.col("challenge_id")
+    alone = F.concat(F.lit("@"), F.col("leader_email_normalized"))
+    facts = places.select(*fact("s", F.col("registration_id"), F.col("email_normalized"), none, F.col("session_id")))
+    facts = facts.unionAll(v_regs.select(*fact("r", F.col("id"), F.col("email_normalized"), none, F.lit(None))))
+    facts = facts.unionAll(v_subs.where(what.isNotNull()).select(
+        *fact("r", F.coalesce(F.col("registration_id").cast("string"), alone), none, F.col("leader_email_normalized"), what)))
+    held = facts.where("_key IS NOT NULL").groupBy("_track", "_key").agg(F.max("_own").alias("_own"), F.collect_set("_place").alias("_places"))
+    each = held.select("_track", "_own", F.explode("_places").alias("p"))
+    addresses = F.array_distinct(F.filter(F.array("_own", "p.email"), lambda x: x.isNotNull()))
+    pairs = each.select("_track", F.explode(addresses).alias("email_normalized"), F.col("p.what").alias("what")).distinct()
+    return pairs.groupBy("email_normalized").agg(
+        F.count_if(F.col("_track") == "s").alias("n_sessions"), F.count_if(F.col("_track") == "r").alias("n_rounds")
     )

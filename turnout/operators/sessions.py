@@ -99,6 +99,19 @@ def rsvp_overlay(sessions: DataFrame, manual: DataFrame, snapshots: DataFrame) -
     )
 
 
+def session_list_with_rsvp(
+    regs: DataFrame, subs: DataFrame, manual: DataFrame, snapshots: DataFrame, cap: int | None = None
+) -> DataFrame:
+    """The session list with the RSVP counts of each session, in list order.
+
+    ``manual`` has one row an imported address with its session's natural key (city, session_on, session_label) and ``list_kind``; snapshots are
+    matched by scope key.  Sessions without either have zeros.
+    """
+    listed = session_list(regs, subs, cap).withColumn("session_id", F.col("scope_key"))
+    lists = manual.select(scope_key("city", "session_on", F.trim(F.coalesce("session_label", F.lit("")))).alias("session_id"), "list_kind")
+    return rsvp_overlay(listed, lists, snapshots).drop("session_id").orderBy("session_on", F.lower("city"), "session_label", "city")
+
+
 def latest_snapshots(scopes: DataFrame, mappings: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Every scope with its mapping (the last one, if it has several) and latest snapshot, where present."""
     latest = latest_per_key(snapshots, ["scope_key"], ["fetched_at", "id"])

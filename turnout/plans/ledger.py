@@ -11,6 +11,7 @@ from turnout.functions.numbers import MONEY
 from turnout.functions.text import normalise_email
 from turnout.operators.merge import upsert
 from turnout.operators.sessions import eligible_members
+from turnout.session import pinned
 
 
 #: Why a grant is refused.  The text of NOT_ELIGIBLE is a fixed value, the others are codes of this library.
@@ -37,6 +38,9 @@ def grant_credits(
     was used, in the ledger or by an accepted grant before it; this goes before all other checks.  Then its round or
     programme must exist and be virtual, and the participant must have registered for the round's event by its
     close unless ``force`` is set.  ``row_no`` orders the batch.
+
+    The judged batch is pinned, first before and then after the look at used keys, so that registrations, ledger and batch are each scanned once and the three
+    results are filters on what is pinned.
     """
     incomplete = (
         F.col("participant_id").isNull() | F.col("delta").isNull() | (F.coalesce("reason", F.lit("")) == "")
@@ -55,25 +59,23 @@ def grant_credits(
     gated = eligible_members(scoped, regs, rounds, programmes, ("_email", "challenge_id"))
     needs_gate = F.col("challenge_id").isNotNull() & ~F.col("eligible")
     forced = F.coalesce("force", F.lit(False))
-    seen = ledger.where("idempotency_key IS NOT NULL").select(F.col("idempotency_key").alias("_seen")).distinct()
-    checked = gated.join(seen, F.col("idempotency_key") == F.col("_seen"), "left").withColumn(
+    checked = pinned(gated.withColumn(
         "_own",
         F.when(incomplete, INCOMPLETE)
-        .when(F.col("_seen").isNotNull(), DUPLICATE)
         .when(F.col("challenge_id").isNull() & F.col("event_id").isNull(), NO_TARGET)
         .when(F.col("challenge_id").isNotNull() & F.col("_round").isNull(), UNKNOWN_ROUND)
         .when(F.col("challenge_id").isNull() & F.col("_programme").isNull(), UNKNOWN_PROGRAMME)
         .when(F.col("_scope").isNull(), NOT_VIRTUAL)
         .when(needs_gate & ~forced, NOT_ELIGIBLE),
-    )
-    # The first acceptable grant of an idempotency key uses it; what comes later with it is a duplicate.
-    users = checked.where("_own IS NULL AND idempotency_key IS NOT NULL").groupBy(F.col("idempotency_key").alias("_key")).agg(
-        F.min("row_no").alias("_used_at"))
-    late = F.coalesce(F.col("row_no") > F.col("_used_at"), F.lit(False)) & ~incomplete
-    tagged = checked.join(users, F.col("idempotency_key") == F.col("_key"), "left").withColumn(
+    ).withColumn("force_ineligible", needs_gate & forced).select(*grants.columns, "_own", "force_ineligible", "_scope"))
+    # A key in the ledger is used before any row; of the batch, the first acceptable grant of a key uses it and what comes later is a duplicate.
+    keys = ledger.select("idempotency_key", F.lit(True).alias("_old"), F.lit(None).cast(grants.schema["row_no"].dataType).alias("_at")).unionAll(
+        checked.where("_own IS NULL").select("idempotency_key", F.lit(False), "row_no")).where("idempotency_key IS NOT NULL")
+    used = keys.groupBy(F.col("idempotency_key").alias("_key")).agg(F.max("_old").alias("_seen"), F.min("_at").alias("_used_at"))
+    late = F.coalesce(F.col("_seen") | (F.col("row_no") > F.col("_used_at")), F.lit(False)) & ~incomplete
+    tagged = pinned(checked.join(used, F.col("idempotency_key") == F.col("_key"), "left").withColumn(
         "reason_rejected", F.when(late, DUPLICATE).otherwise(F.col("_own"))
-    ).withColumn("force_ineligible", needs_gate & forced).select(
-        *grants.columns, "reason_rejected", "force_ineligible", "_scope")
+    ).select(*grants.columns, "reason_rejected", "force_ineligible", "_scope"))
     rejects = tagged.where("reason_rejected IS NOT NULL").select(*grants.columns, "reason_rejected")
     rows = tagged.where("reason_rejected IS NULL").select(
         "participant_id", "challenge_id", F.col("delta").cast(MONEY).alias("delta"), "reason", "idempotency_key",

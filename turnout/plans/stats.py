@@ -14,6 +14,7 @@ from turnout.operators.roster import ci_equals
 from turnout.operators.sessions import round_counts
 from turnout.plans.crossover import CrossoverParams, crossover
 from turnout.plans.leaderboards import session_scope
+from turnout.session import pinned
 
 
 def submission_totals(subs: DataFrame) -> DataFrame:
@@ -87,15 +88,21 @@ def session_chronology() -> list[Column]:
 
 
 def session_cohorts(subs: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Distinct leaders of every dated session, split by presence in the event's previous session."""
+    """Distinct leaders of every dated session, split by presence in the event's previous session.
+
+    The chronology, one row a session, is pinned: who was where, what came before and the result all read it, and none derives the sessions anew.
+    """
+    ordered = pinned(with_prior(sessions, "id", session_chronology(), by=["event_id"]).withColumnsRenamed(
+        {"id": "session_id", "prior_id": "prior_session_id"}
+    ))
     keyed = subs.where("sheet_kind = 'main'").select(
         "leader_email_normalized",
         F.lower(F.trim("attendance_city")).alias("_c"),
         F.col("session_on").alias("_d"),
         F.lower(F.trim(F.coalesce("session_label", F.lit("")))).alias("_l"),
     ).distinct()
-    key = sessions.select(
-        F.col("id").alias("session_id"),
+    key = ordered.select(
+        "session_id",
         F.lower(F.trim("city")).alias("_sc"),
         F.col("session_on").alias("_sd"),
         F.lower(F.trim(F.coalesce("session_label", F.lit("")))).alias("_sl"),
@@ -103,9 +110,6 @@ def session_cohorts(subs: DataFrame, sessions: DataFrame) -> DataFrame:
     member_of = keyed.join(
         key, (F.col("_c") == F.col("_sc")) & (F.col("_d") == F.col("_sd")) & (F.col("_l") == F.col("_sl"))
     ).select("leader_email_normalized", "session_id")
-    ordered = with_prior(sessions, "id", session_chronology(), by=["event_id"]).withColumnsRenamed(
-        {"id": "session_id", "prior_id": "prior_session_id"}
-    )
     return cohort_vs_prior(member_of, ordered, "session_id", "leader_email_normalized")
 
 
