@@ -220,14 +220,14 @@ SESSIONS = """sessions AS (
 
 
 def signups(spark: SparkSession, folder: str) -> DataFrame:
-    """Timestamped registrations."""
-    return read_table(spark, folder, "events").where("event_type = 'signup'").select(
+    """Timestamped registrations: every event is one."""
+    return read_table(spark, folder, "events").select(
         F.col("event_id").alias("id"), F.col("user_id").alias("participant_id"), F.col("ts").alias("form_timestamp")
     )
 
 
 SIGNUPS = """signups AS (
-  SELECT event_id AS id, user_id AS participant_id, ts AS form_timestamp FROM events WHERE event_type = 'signup')"""
+  SELECT event_id AS id, user_id AS participant_id, ts AS form_timestamp FROM events)"""
 
 
 def ledger(spark: SparkSession, folder: str) -> DataFrame:

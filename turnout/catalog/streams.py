@@ -17,6 +17,7 @@ from turnout.streaming.jobs import (
     current_rows,
     drop_old_months,
     grants_once,
+    keep_current,
     read_batches,
     running_balances,
     subfolders,
@@ -54,9 +55,9 @@ def stream_balances(spark: SparkSession, folder: str) -> DataFrame:
         F.col("user_id").alias("participant_id"), F.col("event_type").alias("challenge_id"), F.col("value").alias("delta")
     )
     keys = ["participant_id", "challenge_id"]
-    finish(write_updates(running_balances(ledger, keys), f"{out}/rows", f"{out}/state"))
-    rows = current_rows(read_batches(spark, f"{out}/rows"), keys)
-    return rows.withColumn("balance", F.col("balance").cast("double"))
+    balances, table = running_balances(ledger, keys), BucketTable(f"{out}/table", tuple(keys), 16)
+    finish(keep_current(balances, table, f"{out}/state"))
+    return table.rows(spark, balances.schema).withColumn("balance", F.col("balance").cast("double"))
 
 
 @query("""SELECT strftime(date_trunc('hour', ts + INTERVAL 330 MINUTE), '%Y-%m-%d %H') AS start, count(*) AS n
@@ -92,20 +93,20 @@ def stream_activity_log(spark: SparkSession, folder: str) -> DataFrame:
     return log.groupBy(F.col("month").cast("string").substr(1, 7).alias("month"), F.col("event_type").alias("action")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH last AS (SELECT event_type, user_id, max(event_id) AS event_id FROM events
-    WHERE event_type IN ('view', 'click', 'purchase', 'signup') GROUP BY ALL)
-  SELECT lower('user' || user_id || '@example.org') AS email_normalized, count(*) AS n_kinds FROM last GROUP BY 1""")
+@query("""SELECT lower('user' || user_id || '@example.org') AS email_normalized,
+    first(event_type ORDER BY CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END DESC) AS full_name
+  FROM events WHERE event_type IN ('view', 'click', 'purchase', 'signup') GROUP BY 1""")
 def stream_registration_sync(spark: SparkSession, folder: str) -> DataFrame:
-    """Payload files streamed through extraction, mapping and upsert; the kinds of event whose name a registrant had.
+    """Payload files streamed through extraction, mapping and upsert, a kind of event a micro-batch; the table's names after the last.
 
-    A micro-batch holds the payloads of one kind, so a registrant has a name of each kind in a version of the table.
+    The kind that came last is a registrant's name, whatever the numbers of its payloads are.
     """
     out = scratch(spark)
     kind = F.when(F.col("payload").startswith("["), 0).when(F.col("payload").startswith('{"ok"'), 1).when(F.col("payload").startswith('{"event"'), 2).otherwise(3)
     source = _stream(spark, payloads(spark, folder), out, kind)
     table = BucketTable(f"{out}/table", ("email_normalized",), 16)
     finish(sync_registrations(source, "payload", table, f"{out}/runs", f"{out}/state"))
-    return read_batches(spark, f"{out}/table/rows").groupBy("email_normalized").agg(F.countDistinct("full_name").alias("n_kinds"))
+    return table.rows(spark, StructType.fromDDL("email_normalized string, full_name string"))
 
 
 @query("""SELECT lower('user' || user_id || '@example.org') AS email_normalized,

@@ -92,17 +92,17 @@ def insert_absent_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, o_custkey, coalesce(p.qty, CAST(0 AS BIGINT)) AS attempts FROM orders
   LEFT JOIN (SELECT l_orderkey, CAST(max_by(l_quantity, l_linenumber) AS BIGINT) AS qty FROM lineitem
-    WHERE l_returnflag = 'R' GROUP BY 1) p ON l_orderkey = o_orderkey AND o_orderstatus <> 'P'""")
+    GROUP BY 1) p ON l_orderkey = o_orderkey AND o_orderstatus <> 'P'""")
 def patch_attempts(spark: SparkSession, folder: str) -> DataFrame:
     return _patched(spark, folder)[0].drop("o_orderstatus")
 
 
 def _patched(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Attempts of an order come from its returned lines; the last line number wins."""
+    """Attempts of an order come from its lines; the last line number wins."""
     current = base.read_table(spark, folder, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"]).withColumn(
         "attempts", F.lit(0).cast("long")
     )
-    sheet = base.read_table(spark, folder, "lineitem").where("l_returnflag = 'R'").select(
+    sheet = base.read_table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"), F.col("l_quantity").cast("long").alias("attempts"), "l_linenumber",
         "l_suppkey", "l_partkey",
     )
@@ -119,7 +119,7 @@ base.ORACLE["patch_attempts"] = base.ORACLE["patch_attempts"].replace(
 )
 
 
-@query("""WITH bad AS (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey NOT IN
+@query("""WITH bad AS (SELECT l_orderkey FROM lineitem WHERE l_orderkey NOT IN
     (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'))
   SELECT count(*) AS rows_not_matched, count(DISTINCT l_orderkey) AS keys_not_matched,
     (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT DISTINCT lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS k FROM bad

@@ -260,6 +260,28 @@ def write_updates(aggregate: DataFrame, folder: str, checkpoint: str) -> DataStr
     return aggregate.writeStream.outputMode("update").foreachBatch(one_batch).option("checkpointLocation", checkpoint)
 
 
+def keep_current(aggregate: DataFrame, table: BucketTable, checkpoint: str, vacuum_every: int = 20) -> DataStreamWriter:
+    """Fold the rows each micro-batch changed into a keyed table, which is compacted in place.
+
+    A batch rewrites the buckets of its keys, and every ``vacuum_every`` batches what no reader needs any more is removed, so the files that
+    ``table.rows`` reads are one a bucket however many batches there were.  A replayed batch writes the same again.
+    """
+    schema, keys = aggregate.schema, list(table.keys)
+
+    def newer(old: DataFrame, new: DataFrame) -> DataFrame:
+        named = new.select(*[F.col(k).alias(f"_t_{k}") for k in keys])
+        return old.join(named, null_safe(keys, [f"_t_{k}" for k in keys]), "left_anti").unionByName(new)
+
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        changed = batch.persist()
+        table.apply(changed, batch_id, schema, newer)
+        changed.unpersist()
+        if batch_id % vacuum_every == vacuum_every - 1:
+            table.vacuum(batch.sparkSession)
+
+    return aggregate.writeStream.outputMode("update").foreachBatch(one_batch).option("checkpointLocation", checkpoint)
+
+
 # --- counts over time ------------------------------------------------------------------------
 
 
@@ -299,6 +321,6 @@ def capture_changes(upserts: DataFrame, keys: Sequence[str], order: Sequence[Col
 
 __all__ = [
     "BucketTable", "append_activity", "append_snapshot", "capture_changes", "compact_batches", "current_rows", "drop_old_months",
-    "first_grants", "grants_once", "latest_run", "read_batches", "retained", "running_balances", "subfolders",
+    "first_grants", "grants_once", "keep_current", "latest_run", "read_batches", "retained", "running_balances", "subfolders",
     "sync_registrations", "windowed_counts", "write_batch", "write_updates",
 ]
