@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnout.llm.files import ship, written
-from turnout.llm.wordhash import BASE, blocks, mix, words_of
+from turnout.llm.wordhash import BASE, blocks, distinct, mix, words_of
 
 FEATURE_BITS, SAMPLE, SAMPLE_FEATURES, FOLDS = 18, 8000, 1 << 24, 3
 #: Kinds of characters: lower case and beyond ASCII, capitals, digits, sentence punctuation, anything else.
@@ -57,10 +57,11 @@ def indicators(texts: pa.Array, bits: int = FEATURE_BITS) -> tuple[np.ndarray, n
     offsets = offsets - offsets[0]
     data = words.data.astype(np.uint64)
     found: list[np.ndarray] = []
+    wide = np.uint32 if len(texts).bit_length() + bits <= 32 else np.uint64
 
     def add(text: np.ndarray, values: np.ndarray, kind: int) -> None:
         hashed = mix(values * np.uint64(BASE) + np.uint64(kind)) >> np.uint64(64 - bits)
-        found.append(np.unique(text.astype(np.int64) << bits | hashed.astype(np.int64)))
+        found.append(distinct((text << bits).astype(wide) | hashed.astype(wide)))
 
     def grams(values: np.ndarray, text: np.ndarray, n: int, kind: int) -> None:
         if len(values) < n:
@@ -83,7 +84,7 @@ def indicators(texts: pa.Array, bits: int = FEATURE_BITS) -> tuple[np.ndarray, n
         marks = word_marks(words.digests, kinds, text)
         for n in (1, 2, 3):
             grams(marks, text, n, 3 + n)
-    keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    keys = distinct(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64)
     return np.searchsorted(keys, np.arange(len(texts) + 1) << bits), (keys & (1 << bits) - 1).astype(np.int32)
 
 
