@@ -33,10 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnout.llm.files import discard, run_folder, ship, store, written
-from turnout.llm.wordhash import BASE, FOLD, blocks, mix
+from turnout.llm.wordhash import BASE, FOLD, blocks, grouped, mix
+from turnout.operators.ordering import top_per_group
 
 #: Slots of the table of scans, and bytes of text counted at a time.
-SLOT_BITS, BLOCK_BYTES = 26, 8 << 20
+SLOT_BITS, BLOCK_BYTES = 26, 4 << 20
 NEVER = 255
 _PIECE_END = np.zeros(256, bool)
 _PIECE_END[[*range(0x0A, 0x0E), *b".,;:!?"]] = True
@@ -81,8 +82,8 @@ class Occurrences:
         """One place of each distinct phrase of ``k`` words among the places, and how many places have it."""
         code = self.lang[at] * len(self.words) + self.ids[at]
         for j in range(1, k):
-            code = np.unique(code, return_inverse=True)[1] * len(self.words) + self.ids[at + j]
-        _, first, count = np.unique(code, return_index=True, return_counts=True)
+            code = grouped(code)[2] * len(self.words) + self.ids[at + j]
+        first, count, _ = grouped(code)
         return at[first], count
 
     def phrases(self, at: np.ndarray, k: int) -> pa.Array:
@@ -105,7 +106,7 @@ def count_block(block: Occurrences, reached: np.ndarray, scan: int, shards: int,
     if scan < shards and len(everywhere):
         at, count = block.counted(everywhere, 1)
         yield rows(at, 1, slots_of(block.keys[at]), np.zeros(len(at)), count, block.phrases(at, 1))
-        langs, at, count = np.unique(block.lang, return_index=True, return_counts=True)
+        at, count, _ = grouped(block.lang)
         yield rows(at, 0, np.zeros(len(at)), np.zeros(len(at)), count, pa.array([""] * len(at)))
     keys, whole = block.keys, np.ones(len(everywhere), bool)
     for k in range(2, longest + 1):
@@ -221,6 +222,10 @@ def collocations(docs: DataFrame, threshold: int = 10, longest: int = 3, top: in
     score = F.expr("(cast(1000000 AS decimal(38,0)) * a * a) div (cast(l AS decimal(38,0)) * r)")
     worst = cuts.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("m"))
     total = counts.where("k = 0").groupBy("lang").agg(F.sum("c").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = worst.select("lang", "phrase", "a", "m.l", "m.r", "m.score").withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    # A language's phrases are cut to the best of each share first, so that the last ranking sees ``top`` rows of a share and not all of a language.
+    shares = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = worst.select("lang", "phrase", "a", "m.l", "m.r", "m.score", F.pmod(F.xxhash64("phrase"), F.lit(shares)).alias("share"))
+    best = top_per_group(shared, ["lang", "share"], order, top).drop("share")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint")).where(F.col("rank") <= top)
     return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
