@@ -82,6 +82,16 @@ def test_completed_years(spark, born, as_of, years):
         ("2026-04-24 05:30", datetime(2026, 4, 24, 0, 0)),
         ("2026-04-24", datetime(2026, 4, 23, 18, 30)),
         ("2026-04-24 10:00:00-02:30", datetime(2026, 4, 24, 12, 30)),
+        ("03/04/2024 05:30", datetime(2024, 3, 4, 0, 0)),
+        ("13.02.2024 5:30 PM", datetime(2024, 2, 13, 12, 0)),
+        ("March 4, 2024 12:30 am", datetime(2024, 3, 3, 19, 0)),
+        ("4 mar 2024", datetime(2024, 3, 3, 18, 30)),
+        ("2024/1/5 5:30:01.5", datetime(2024, 1, 5, 0, 0, 1, 500000)),
+        ("2024-02-30", None),
+        ("2024-01-01 25:00", None),
+        ("2024-01-01 13:00 PM", None),
+        ("12:30", None),
+        ("4 Foo 2024", None),
         ("not a date", None),
         ("", None),
     ],
