@@ -144,6 +144,17 @@ def test_top_k_matches_all_scores(spark, scale):
     assert sorted(tuple(x) for x in out) == brute_top(rows, wanted, 7)
 
 
+def test_top_k_shuffles_names_and_deals_both_sides(spark):
+    r = random.Random(8)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    out = topk.top_k(table.where("vec_id % 2 = 0"), table, 3, block_rows=20, block_queries=50, slices_a_task=2)
+    assert sorted(tuple(x) for x in out.collect()) == brute_top(rows, {i for i, _ in rows if i % 2 == 0}, 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    scan = [line for line in plan.splitlines() if "Scan parquet" in line]
+    assert scan and all("vector" not in line for line in scan)
+
+
 def test_top_k_of_few_and_none(spark):
     table = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(x) for x in topk.top_k(table.where("vec_id = 0"), table).collect()] == [(0, 1, 1, 64 * 128)]

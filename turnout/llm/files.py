@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,6 +78,23 @@ class Output:
         self.stream.close()
 
 
+def save_arrays(folder: str, stem: str, **arrays: np.ndarray) -> str:
+    """Writes named arrays as one file of the shared folder; returns its name."""
+    held = io.BytesIO()
+    np.savez(held, **arrays)
+    out = Output(attempt_file(folder, stem, ".npz"))
+    out.write(held.getvalue())
+    out.close()
+    return out.uri
+
+
+def load_arrays(uri: str) -> dict[str, np.ndarray]:
+    """The arrays of a file that ``save_arrays`` wrote."""
+    system, path = store(uri)
+    with system.open_input_file(path) as file, np.load(io.BytesIO(file.read())) as arrays:
+        return {k: arrays[k] for k in arrays.files}
+
+
 #: Arrow batches that reach Python hold whole texts; Spark's own limits (10,000 rows, 64 MB) would fill a small executor.
 BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
