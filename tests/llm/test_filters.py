@@ -95,36 +95,60 @@ def test_quality_refuses_outliers_only_and_keeps_columns(spark):
     plain = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 8))) for _ in range(60))
     rows = [(i, plain(), "en", "s" if i % 3 else None, 7) for i in range(150)] + [(900, plain().replace(" ", "### "), "en", "s", 7), (901, None, None, None, 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, m_length int")
-    out = {x.doc_id: x for x in quality.quality_rules(docs, min_docs=20).collect()}
+    out = {x.doc_id: x for x in quality.quality_rules(docs).collect()}
     assert len(out) == 152 and all(out[i].kept and out[i].m_length == 7 for i in range(150))
     assert not out[900].kept and not out[900].base_failed and out[901].base_failed
-    same = {x.doc_id: x.kept for x in quality.judge_measures(docs, min_docs=20).collect()}
+    same = {x.doc_id: x.kept for x in quality.judge_measures(docs).collect()}
     assert same == {k: v.kept for k, v in out.items()}
     assert quality.quality_rules(docs.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize(("measure", "usual", "odd"), [("m_length", 470, 640), ("m_length", 470, 330), ("m_symbols", 5, 80), ("m_lines", 20, 380), ("m_repeats", 20, 180)])
-def test_each_measure_alone_refuses_an_outlier(spark, measure, usual, odd):
-    """Fences of the group's own sketch; the constants let all of these through."""
-    plain = {m: 470 if m == "m_length" else 0 for m in quality.MEASURES}
-    rows = [plain | {"doc_id": i, measure: usual + i % 7 if i % 3 == 0 or measure == "m_length" else 0} for i in range(300)] + [plain | {"doc_id": 900, measure: odd}]
-    measured = spark.createDataFrame([(r["doc_id"], *(r[m] for m in quality.MEASURES), "en", "s", False) for r in rows],
-                                     f"doc_id long, {', '.join(f'{m} long' for m in quality.MEASURES)}, lang string, source string, base_failed boolean")
-    measured = measured.withColumns({over: F.col(m) for m, (over, *_) in quality.MEASURES.items()})  # texts of a thousand words
-    refused = lambda table, own: [r.doc_id for r in quality.judge(measured, table, own=own).where("NOT kept").collect()]
-    assert refused(quality.own_thresholds(measured), True) == [900]
-    assert refused(quality.thresholds(measured), False) == []
+def plain_text(r, lines=10, words=12):
+    return "\n".join(" ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 8))) for _ in range(words)) for _ in range(lines))
+
+
+def odd_by(measure, r):
+    """A text that stands out by one measure alone."""
+    lines = plain_text(r).split("\n")
+    if measure == "m_length":
+        return "\n".join(x.replace(" ", "xyzxyz ") for x in lines)
+    if measure == "m_symbols":
+        return "\n".join(x + " # $ %" for x in lines)
+    if measure == "m_lines":
+        return "\nbb cc\n".join(plain_text(r, 14).split("\n"))
+    again = " ".join((lines[3] + " " + lines[4]).split()[:14])
+    return "\n".join([*lines, again, plain_text(r, 1)])
+
+
+@pytest.mark.parametrize("measure", sorted(quality.MEASURES))
+@pytest.mark.parametrize("group", [300, 40])
+def test_each_measure_alone_refuses_an_outlier(spark, measure, group):
+    """In a large group, and in a small one beside others of its language; one event is never an outlier."""
+    r = random.Random(4)
+    rows = [(i, plain_text(r, r.randrange(6, 16)), "en", "s" if i < group else f"t{i % 3}") for i in range(320)]
+    rows += [(900, odd_by(measure, r), "en", "s"), (901, plain_text(r) + " #", "en", "s"), (902, plain_text(r, 2) + "\nxx\nxx", "en", "s")]
+    out = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("NOT kept").collect()
+    assert [(x.doc_id, x.base_failed) for x in out] == [(900, False)]
+
+
+def test_fences_follow_the_source(spark):
+    """What is usual in a source is no outlier there, and is one elsewhere."""
+    r = random.Random(6)
+    rows = [(i, plain_text(r).replace("\n", " # #\n" if i % 2 else "\n"), "en", "code" if i % 2 else "prose") for i in range(600)]
+    rows += [(900, plain_text(r).replace("\n", " # #\n"), "en", "prose"), (901, plain_text(r).replace("\n", " # #\n"), "en", "code")]
+    out = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("NOT kept").collect()
+    assert [x.doc_id for x in out] == [900]
 
 
 def test_sketches_merge_and_bound_the_error(spark):
     values = [random.Random(1).randrange(1, 10**6) for _ in range(2000)]
-    rows = spark.createDataFrame([(v, "l", f"s{v % 5}") for v in values], "m_length long, lang string, source string").withColumns(
-        {"base_failed": F.lit(False), **{m: F.lit(0).cast("long") for m in quality.MEASURES if m != "m_length"}})
+    rows = spark.createDataFrame([(v, "l", f"s{v % 5}") for v in values], "u_length long, lang string, source string").withColumns(
+        {"base_failed": F.lit(False), **{quality.upper(m): F.lit(0).cast("long") for m in quality.MEASURES if m != "m_length"}})
     fine = quality.sketches(rows)
     merged = sorted(map(tuple, quality.merge_sketches(fine, ["lang"]).collect()))
     direct = sorted(map(tuple, quality.sketches(rows.withColumn("source", F.lit("x"))).select("lang", "measure", "bucket", "n").collect()))
     assert merged == direct
-    quartile = quality._quartiles(quality.merge_sketches(fine, ["lang"]), ["lang"]).where("measure = 'm_length'").first()
+    quartile = quality.quantiles(quality.merge_sketches(fine, ["lang"]), ["lang"]).where("measure = 'm_length'").first()
     exact = sorted(values)[499]
     assert exact * (1 - 2 ** (1 - quality.SKETCH_BITS)) <= quartile.q25 <= exact
 

@@ -1,15 +1,19 @@
 """Quality rules with adaptive thresholds.
 
-Every document is measured; each measure is an integer rate.  Per language and source the measures are summed up in
-a quantile sketch: counts per bucket, where a bucket keeps the leading ``SKETCH_BITS`` bits of the value, so any
-quantile is known within 1/2^SKETCH_BITS of its value.  Sketches merge by adding counts; a source with few documents uses
-the merged sketch of its language, a language with few the merged sketch of the corpus.  A document is refused when a measure lies beyond
-the outer fence of its group, ``q75 + reach * (q75 - q25) + slack`` (for the word length also below the lower one), so a group
-without outliers loses nothing.  With ``own`` the room beyond the quartiles comes from the group's sketch in place of the constant
-slack (``own_thresholds``); the pipeline and ``op2_quality_fences`` use that.  All arithmetic is on integers, so the result does not depend on the order of rows.
+Every document is measured; each measure is a whole number of millionths.  A rate of rare events is only known up to one event, the more
+coarsely the shorter the text, so each document has an upper end (one event more) and a lower end (one event fewer).  Per language
+and source the upper ends are summed up in a quantile sketch: counts per bucket, where a bucket keeps the leading
+``SKETCH_BITS`` bits of the value, so any quantile is known within 1/2^(SKETCH_BITS - 1) of its value.  Sketches merge by adding counts.
+
+The fence of a measure is ``q75 + reach * (q90 - q50)`` of the sketch, for the word length also ``q25 - reach * (q50 - q10)``, so up to a tenth of
+a group may be outliers without moving it.  No room is narrower than ``reach`` buckets.  A group's fences are drawn towards those of its language, and
+a language's towards those of the corpus, as if ``weight`` documents of the wider group had been seen, so few documents never decide alone and
+there is no size at which the rule changes.  A document is refused when the lower end of a measure lies above its group's
+fence, or the upper end below the lower one.  All
+arithmetic is on integers, so the result does not depend on the order of rows.
 
 Defined cases: a null or empty text has no words and fails the base rule; null languages and sources form groups of
-their own; repeated rows are judged row by row; an empty table gives an empty result; other
+their own; repeated rows are judged row by row; an empty table gives an empty result; a text of any length is measured whole, inside its own row; other
 columns pass through, those named like a result column are replaced by it.
 Windows are compared by 64-bit digests within one document.
 """
@@ -18,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnout.session import durable
@@ -28,18 +32,23 @@ BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"  # as it stands inside a character class
 SKETCH_BITS = 7
 
-#: Measure -> (numerator, denominator, scale, slack, whether small values are bad too).
+#: Measure -> (numerator, denominator, what one event adds to the numerator, whether small values are bad too).  An event is a long word's
+#: length, a symbol, a line, the words of a window.  Lines and words that repeat are
+#: set against those that do not, as a share of all could not pass a fence near 1.
 MEASURES = {
-    "m_length": ("word_chars", "n_words", 100, 200, True),
-    "m_symbols": ("n_symbols", "n_words", 1000, 100, False),
-    "m_lines": ("n_dup_lines", "n_lines", 1000, 400, False),
-    "m_repeats": ("n_repeat_words", "n_words", 1000, 200, False),
+    "m_length": ("word_chars", "n_words", 16, True),
+    "m_symbols": ("n_symbols", "n_words", 1, False),
+    "m_lines": ("n_dup_lines", "n_lines - n_dup_lines", 1, False),
+    "m_repeats": ("n_repeat_words", "n_words - n_repeat_words", 5, False),
 }
+SCALE = 1_000_000
 
-#: What one occurrence adds to a measure's numerator: a symbol, a line, the words of a window.
-EVENTS = {"m_symbols": 1, "m_lines": 1, "m_repeats": 5}
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "group_docs", "kept")
 
-RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "level", "kept")
+
+def upper(measure: str) -> str:
+    """Name of a measure's upper end; the lower end has the measure's own name."""
+    return measure.replace("m_", "u_")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -70,7 +79,7 @@ def _repeat_words(words: Column, window: int) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text", min_words: int = 10, repeat_percent: int = 20, window: int = 5) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed and the rates of MEASURES."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed and both ends of MEASURES."""
     whole = F.coalesce(F.col(text), F.lit(""))
     trimmed = F.btrim(whole, F.lit(BLANKS))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+"))
@@ -89,8 +98,10 @@ def measure(docs: DataFrame, text: str = "text", min_words: int = 10, repeat_per
         "n_lines": F.col("_lines.n_lines"),
     }).drop("_words", "_lines")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    rates = {name: F.when(F.col(over) > 0, F.expr(f"({of} * {scale}) div {over}")).otherwise(F.lit(0).cast("long"))
-             for name, (of, over, scale, _, _) in MEASURES.items()}
+    rates = {}
+    for name, (of, over, event, _) in MEASURES.items():
+        for column, value in ((name, f"greatest({of} - {event}, 0)"), (upper(name), f"{of} + {event}")):
+            rates[column] = F.when(F.expr(over) > 0, F.expr(f"(({value}) * {SCALE}L) div ({over})")).otherwise(F.lit(0).cast("long"))
     return out.withColumn("base_failed", failed).withColumns(rates)
 
 
@@ -102,7 +113,7 @@ def bucket(value: Column, bits: int = SKETCH_BITS) -> Column:
 
 def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """Bucket counts per language, source and measure, of the documents that pass the base rule."""
-    values = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in MEASURES)))
+    values = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(F.col(upper(m))).alias("bucket")) for m in MEASURES)))
     rows = measured.where(~F.col("base_failed")).select(F.col(lang).alias("lang"), F.col(source).alias("source"), values.alias("v"))
     return rows.groupBy("lang", "source", "v.measure", "v.bucket").agg(F.count(F.lit(1)).alias("n"))
 
@@ -112,123 +123,82 @@ def merge_sketches(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group: document count, and lower quartile and upper quartile of each measure, read off the cumulative counts."""
-    from pyspark.sql import Window
-
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group and measure: document count and the quantiles that the fences need, read off the cumulative counts."""
     group = Window.partitionBy(*keys, "measure")
     upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranked = sketch.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(group)})
-    at = lambda part: F.min(F.when(F.col("upto") * 4 >= F.col("total") * part, F.col("bucket")))
-    return ranked.groupBy(*keys, "measure").agg(F.max("total").alias("n"), at(1).alias("q25"), at(3).alias("q75"))
+    at = lambda part: F.min(F.when(F.col("upto") * 20 >= F.col("total") * part, F.col("bucket")))
+    return ranked.groupBy(*keys, "measure").agg(
+        F.max("total").alias("n"), at(2).alias("q10"), at(5).alias("q25"), at(10).alias("q50"), at(15).alias("q75"), at(18).alias("q90"))
 
 
 def _fences(sketch: DataFrame, keys: list[str], reach: int) -> DataFrame:
-    """Per group: document count, and the fences of each measure, read off the cumulative counts alone.
-
-    The room beyond a quartile is ``reach`` times the way from the other quartile to the outermost tenth, so up to a tenth of
-    a group may be outliers without moving its fence.  No room is narrower than ``reach`` buckets.
-    """
-    from pyspark.sql import Window
-
-    group = Window.partitionBy(*keys, "measure")
-    upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = sketch.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(group)})
-    at = lambda part: F.min(F.when(F.col("upto") * 20 >= F.col("total") * part, F.col("bucket")))
-    read = ranked.groupBy(*keys, "measure").agg(F.max("total").alias("n"), at(2).alias("q10"), at(5).alias("q25"), at(15).alias("q75"),
-                                                at(18).alias("q90"))
-    both = F.col("measure").isin([m for m, v in MEASURES.items() if v[4]])
-    step = lambda q: F.call_function("shiftright", q, F.lit(SKETCH_BITS - 1))
-    return read.select(
+    """Per group and measure: document count and fences, before they are drawn towards the wider group's."""
+    both = F.col("measure").isin([m for m, v in MEASURES.items() if v[3]])
+    step = lambda q: F.call_function("shiftright", F.col(q), F.lit(SKETCH_BITS - 1))
+    room = lambda far, near, q: reach * F.greatest(F.col(far) - F.col(near), step(q))
+    return quantiles(sketch, keys).select(
         *keys, "measure", "n",
-        F.when(both, F.col("q25") - reach * F.greatest(F.col("q75") - F.col("q10"), step("q25"))).otherwise(F.lit(-1).cast("long")).alias("low"),
-        (F.col("q75") + reach * F.greatest(F.col("q90") - F.col("q25"), step("q75"))).alias("high"))
+        F.when(both, F.greatest(F.col("q25") - room("q50", "q10", "q25"), F.lit(0))).otherwise(F.lit(0)).cast("long").alias("low"),
+        (F.col("q75") + room("q90", "q50", "q75")).alias("high"))
 
 
-def own_thresholds(measured: DataFrame, lang: str = "lang", source: str = "source", min_docs: int = 100, reach: int = 3) -> DataFrame:
-    """As ``thresholds``, with the room beyond the quartiles from the group's own sketch; see ``_fences``."""
+def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source", reach: int = 3, weight: int = 50) -> DataFrame:
+    """One row per language and source with group_docs and, for each measure, the struct t_… of its low and high fence."""
     fine = sketches(measured, lang, source)
     per_lang = merge_sketches(fine, ["lang"])
     own, wide, all_of = _fences(fine, ["lang", "source"], reach), _fences(per_lang, ["lang"], reach), _fences(merge_sketches(per_lang, []), [], reach)
     named = lambda t, p: t.select(*(F.col(c).alias(c if p == "a" and c in ("lang", "source", "measure") else f"{p}_{c}") for c in t.columns))
     joined = (named(own, "a").join(named(wide, "b"), F.col("lang").eqNullSafe(F.col("b_lang")) & (F.col("measure") == F.col("b_measure")))
               .join(named(all_of, "c"), F.col("measure") == F.col("c_measure")))
-    enough = lambda a, b, c: F.when(F.col("a_n") >= min_docs, a).when(F.col("b_n") >= min_docs, b).otherwise(c)
-    pick = lambda q: enough(F.col(f"a_{q}"), F.col(f"b_{q}"), F.col(f"c_{q}"))
-    fence = F.struct(pick("low").alias("low"), pick("high").alias("high"))
+
+    def drawn(end: str) -> Column:
+        # From a billion documents on, the wider group moves a fence by less than a unit, so the product stays in 64 bits.
+        n = lambda p: f"least({p}_n, 1000000000L)"
+        wider = f"({n('b')} * b_{end} + {weight}L * c_{end}) div ({n('b')} + {weight}L)"
+        return F.expr(f"({n('a')} * a_{end} + {weight}L * ({wider})) div ({n('a')} + {weight}L)")
+
+    fence = F.struct(drawn("low").alias("low"), drawn("high").alias("high"))
     return joined.groupBy("lang", "source").agg(
-        F.max("a_n").alias("n_docs"), F.max(enough(F.lit("source"), F.lit("lang"), F.lit("corpus"))).alias("level"),
-        *(F.max(F.when(F.col("measure") == m, fence)).alias(m.replace("m_", "t_")) for m in MEASURES))
+        F.max("a_n").alias("group_docs"), *(F.max(F.when(F.col("measure") == m, fence)).alias(m.replace("m_", "t_")) for m in MEASURES))
 
 
-def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source", min_docs: int = 100, reach: int = 3) -> DataFrame:
-    """One row per language and source with n_docs, the level its sketch was merged to, and a map from measure to fences."""
-    fine = sketches(measured, lang, source)
-    per_lang = merge_sketches(fine, ["lang"])
-    everything = merge_sketches(per_lang, [])
-    own, wide, all_of = _quartiles(fine, ["lang", "source"]), _quartiles(per_lang, ["lang"]), _quartiles(everything, [])
-    named = lambda t, p: t.select(*[c for c in t.columns if c in ("lang", "source", "measure")],
-                                  *(F.col(c).alias(f"{p}_{c}") for c in ("n", "q25", "q75")))
-    own, wide, all_of = named(own, "a"), named(wide, "b").withColumnRenamed("lang", "b_lang").withColumnRenamed("measure", "b_measure"), \
-        named(all_of, "c").withColumnRenamed("measure", "c_measure")
-    joined = (own.join(wide, F.col("lang").eqNullSafe(F.col("b_lang")) & (F.col("measure") == F.col("b_measure")))
-              .join(all_of, F.col("measure") == F.col("c_measure")))
-    pick = lambda q: F.when(F.col("a_n") >= min_docs, F.col(f"a_{q}")).when(F.col("b_n") >= min_docs, F.col(f"b_{q}")).otherwise(F.col(f"c_{q}"))
-    level = F.when(F.col("a_n") >= min_docs, "source").when(F.col("b_n") >= min_docs, "lang").otherwise("corpus")
-    slack, low = F.lit(0), F.lit(False)
-    for name, (_, _, _, room, both) in MEASURES.items():
-        slack = F.when(F.col("measure") == name, F.lit(room)).otherwise(slack)
-        low = F.when(F.col("measure") == name, F.lit(both)).otherwise(low)
-    spread = F.col("q75") - F.col("q25")
-    fenced = joined.withColumns({"q25": pick("q25"), "q75": pick("q75"), "level": level}).withColumns({
-        "high": F.col("q75") + reach * spread + slack,
-        "low": F.when(low, F.col("q25") - reach * spread - slack).otherwise(F.lit(-1).cast("long")),
-    })
-    fence = F.struct("low", "high")
-    return fenced.groupBy("lang", "source").agg(
-        F.max("a_n").alias("n_docs"), F.max("level").alias("level"),
-        *(F.max(F.when(F.col("measure") == m, fence)).alias(m.replace("m_", "t_")) for m in MEASURES))
-
-
-def judge(measured: DataFrame, table: DataFrame, lang: str = "lang", source: str = "source", broadcast_rows: int = 50_000,
-          own: bool = False, reach: int = 3) -> DataFrame:
-    """Adds the thresholds' level and ``kept``: past the base rule and inside every fence of the document's group.
+def judge(measured: DataFrame, table: DataFrame, lang: str = "lang", source: str = "source", broadcast_rows: int = 50_000) -> DataFrame:
+    """Adds group_docs (documents of the group past the base rule) and ``kept``: past the base rule and inside every fence of the group.
 
     A threshold table of up to ``broadcast_rows`` groups is broadcast; a larger one is joined by shuffle, where the adaptive
-    plan splits a hot group (the table has one row a group).  Fences of ``own_thresholds`` are edges of buckets, so with ``own`` a
-    value counts as the edge of its bucket, and up to ``reach`` single occurrences (EVENTS) are no outlier in a text however short.
+    plan splits a hot group (the table has one row a group).  Fences come from the edges of buckets, so a value counts as the edge of its bucket.
     """
     table = durable(table)
     few = table.count() <= broadcast_rows
     names = [m.replace("m_", "t_") for m in MEASURES]
-    side = table.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "level", *names)
+    side = table.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("group_docs").alias("_docs"), *names)
     both = measured.join(F.broadcast(side) if few else side,
                          F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
     inside = F.lit(True)
     for m, t in zip(MEASURES, names, strict=True):
-        value = bucket(F.col(m)) if own else F.col(m)
-        few_of = F.col(MEASURES[m][0]) <= reach * EVENTS[m] if own and m in EVENTS else F.lit(False)
-        inside = inside & (few_of | F.coalesce((value >= F.col(t)["low"]) & (value <= F.col(t)["high"]), F.lit(True)))
-    return both.withColumn("kept", ~F.col("base_failed") & inside).drop("_lang", "_source", *names)
+        ends = (bucket(F.col(m)) <= F.col(t)["high"]) & (bucket(F.col(upper(m))) >= F.col(t)["low"])
+        inside = inside & F.coalesce(ends, F.lit(True))
+    return both.withColumns({"kept": ~F.col("base_failed") & inside, "group_docs": F.coalesce("_docs", F.lit(0).cast("long"))}).drop(
+        "_lang", "_source", "_docs", *names)
 
 
-def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = 100,
-                  reach: int = 3, own: bool = False) -> DataFrame:
-    """``docs`` with the measures, base_failed, the level of the thresholds applied and ``kept``.
+def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", reach: int = 3, weight: int = 50) -> DataFrame:
+    """``docs`` with the measures, base_failed, group_docs and ``kept``.
 
     Two passes over the input: one for the sketches, one for the verdicts, so nothing but sketches is shuffled.  Where the
     text is not wanted back, ``judge_measures`` saves the second pass.
     """
     measured = _measured(docs, text, lang, source)
-    return _unpacked(judge(measured, (own_thresholds if own else thresholds)(measured, min_docs=min_docs, reach=reach), own=own, reach=reach), docs.columns)
+    return _unpacked(judge(measured, thresholds(measured, reach=reach, weight=weight)), docs.columns)
 
 
-def judge_measures(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = 100,
-                   reach: int = 3, own: bool = False) -> DataFrame:
+def judge_measures(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", reach: int = 3, weight: int = 50) -> DataFrame:
     """As ``quality_rules`` without the text: the measures are written once and read for both steps."""
     rest = [c for c in docs.columns if c != text]
     measured = durable(_measured(docs, text, lang, source, rest))
-    return _unpacked(judge(measured, (own_thresholds if own else thresholds)(measured, min_docs=min_docs, reach=reach), own=own, reach=reach), rest)
+    return _unpacked(judge(measured, thresholds(measured, reach=reach, weight=weight)), rest)
 
 
 def _measured(docs: DataFrame, text: str, lang: str, source: str, carried: list[str] | None = None) -> DataFrame:

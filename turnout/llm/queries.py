@@ -48,15 +48,7 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Measures and verdict of every document; see ``quality``."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
     judged = quality.judge_measures(docs)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "level")
-
-
-@query(sql.QUALITY_FENCES)
-def op2_quality_fences(spark: SparkSession, folder: str) -> DataFrame:
-    """As op2_quality_rules, with all room beyond the quartiles from the sketches; see ``quality.own_thresholds``."""
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
-    judged = quality.judge_measures(docs, own=True)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "level")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "group_docs")
 
 
 @query(sql.SECRETS)

@@ -13,21 +13,25 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _quality(min_docs: int = 100, reach: int = 3) -> str:
-    rates = ", ".join(f"CASE WHEN {over} > 0 THEN ({of} * {scale}) // {over} ELSE 0 END AS {name}"
-                      for name, (of, over, scale, _, _) in quality.MEASURES.items())
-    long = " UNION ALL ".join(f"SELECT rid, lang, source, '{m}' AS measure, {m} AS v FROM measured WHERE NOT base_failed" for m in quality.MEASURES)
-    slack = "CASE measure " + " ".join(f"WHEN '{m}' THEN {v[3]}" for m, v in quality.MEASURES.items()) + " END"
-    both = ", ".join(f"'{m}'" for m, v in quality.MEASURES.items() if v[4])
-    every = " UNION ALL ".join(f"SELECT rid, lang, source, '{m}' AS measure, {m} AS v FROM measured" for m in quality.MEASURES)
-
-    def quartiles(name: str, keys: str) -> str:
+def _quality(reach: int = 3, weight: int = 50) -> str:
+    rates = ", ".join(f"CASE WHEN {over} > 0 THEN (({value}) * {quality.SCALE}) // ({over}) ELSE 0 END AS {column}"
+                      for name, (of, over, event, _) in quality.MEASURES.items()
+                      for column, value in ((name, f"greatest({of} - {event}, 0)"), (quality.upper(name), f"{of} + {event}")))
+    both = ", ".join(f"'{m}'" for m, v in quality.MEASURES.items() if v[3])
+    bits = quality.SKETCH_BITS
+    edge = lambda v: f"(({v} >> greatest(length(bin({v})) - {bits}, 0)) << greatest(length(bin({v})) - {bits}, 0))"
+    every = " UNION ALL ".join(f"SELECT rid, lang, source, base_failed, '{m}' AS measure, {m} AS v, {quality.upper(m)} AS u FROM measured" for m in quality.MEASURES)
+
+    def fences(name: str, keys: str) -> str:
         group = f"{keys}, measure" if keys else "measure"
+        at = ", ".join(f"min(bucket) FILTER (upto * 20 >= total * {part}) AS {q}" for q, part in (("q10", 2), ("q25", 5), ("q50", 10), ("q75", 15), ("q90", 18)))
         return f"""{name}_cum AS (SELECT {group}, bucket, sum(count(*)) OVER (PARTITION BY {group} ORDER BY bucket) AS upto,
             sum(count(*)) OVER (PARTITION BY {group}) AS total FROM bucketed GROUP BY {group}, bucket),
-        {name} AS (SELECT {group}, max(total) AS n, min(CASE WHEN upto * 4 >= total THEN bucket END) AS q25,
-            min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) AS q75 FROM {name}_cum GROUP BY {group})"""
+        {name}_q AS (SELECT {group}, max(total)::BIGINT AS n, {at} FROM {name}_cum GROUP BY {group}),
+        {name} AS (SELECT *, q75 + {reach} * greatest(q90 - q50, q75 >> {bits - 1}) AS high,
+            CASE WHEN measure IN ({both}) THEN greatest(q25 - {reach} * greatest(q50 - q10, q25 >> {bits - 1}), 0) ELSE 0 END AS low FROM {name}_q)"""
 
+    drawn = lambda end: f"(a.n * a.{end} + {weight} * ((b.n * b.{end} + {weight} * c.{end}) // (b.n + {weight}))) // (a.n + {weight}) AS {end}"
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text,
             regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
@@ -44,19 +48,15 @@ def _quality(min_docs: int = 100, reach: int = 3) -> str:
     lined AS (SELECT *, len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
             n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted),
     measured AS (SELECT *, {rates} FROM lined),
-    bucketed AS (SELECT *, (v >> greatest(length(bin(v)) - {quality.SKETCH_BITS}, 0)) << greatest(length(bin(v)) - {quality.SKETCH_BITS}, 0) AS bucket FROM ({long})),
-    {quartiles("a", "lang, source")}, {quartiles("b", "lang")}, {quartiles("c", "")},
-    picked AS (SELECT a.lang, a.source, a.measure,
-            CASE WHEN a.n >= {min_docs} THEN a.q25 WHEN b.n >= {min_docs} THEN b.q25 ELSE c.q25 END AS q25,
-            CASE WHEN a.n >= {min_docs} THEN a.q75 WHEN b.n >= {min_docs} THEN b.q75 ELSE c.q75 END AS q75,
-            CASE WHEN a.n >= {min_docs} THEN 'source' WHEN b.n >= {min_docs} THEN 'lang' ELSE 'corpus' END AS level
+    bucketed AS (SELECT *, {edge("u")} AS bucket FROM ({every}) WHERE NOT base_failed),
+    {fences("a", "lang, source")}, {fences("b", "lang")}, {fences("c", "")},
+    fences AS (SELECT a.lang, a.source, a.measure, a.n, {drawn("low")}, {drawn("high")}
         FROM a JOIN b ON a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN c ON a.measure = c.measure),
-    fences AS (SELECT *, q75 + {reach} * (q75 - q25) + {slack} AS high,
-            CASE WHEN measure IN ({both}) THEN q25 - {reach} * (q75 - q25) - {slack} ELSE -1 END AS low FROM picked),
-    judged AS (SELECT e.rid, max(f.level) AS level, bool_and(coalesce(e.v BETWEEN f.low AND f.high, true)) AS inside
+    judged AS (SELECT e.rid, coalesce(max(f.n), 0)::BIGINT AS group_docs,
+            bool_and(coalesce({edge("e.v")} <= f.high AND {edge("e.u")} >= f.low, true)) AS inside
         FROM ({every}) e LEFT JOIN fences f
         ON e.lang IS NOT DISTINCT FROM f.lang AND e.source IS NOT DISTINCT FROM f.source AND e.measure = f.measure GROUP BY e.rid)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept, level
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept, group_docs
     FROM measured JOIN judged USING (rid)"""
 
 
@@ -156,39 +156,8 @@ SUBSTRINGS = r"""
     SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
     FROM d LEFT JOIN kept USING (rid)"""
 
-def _own_quality(min_docs: int = 100, reach: int = 3) -> str:
-    """The SQL of the quality rules with fences from the sketches alone."""
-    both = ", ".join(f"'{m}'" for m, v in quality.MEASURES.items() if v[4])
-    step = quality.SKETCH_BITS - 1
-
-    def fences(name: str, keys: str) -> str:
-        group = f"{keys}, measure" if keys else "measure"
-        return f"""{name}_cum AS (SELECT {group}, bucket, sum(count(*)) OVER (PARTITION BY {group} ORDER BY bucket) AS upto,
-            sum(count(*)) OVER (PARTITION BY {group}) AS total FROM bucketed GROUP BY {group}, bucket),
-        {name}_q AS (SELECT {group}, max(total) AS n, min(bucket) FILTER (upto * 10 >= total) AS q10, min(bucket) FILTER (upto * 4 >= total) AS q25,
-            min(bucket) FILTER (upto * 4 >= total * 3) AS q75, min(bucket) FILTER (upto * 10 >= total * 9) AS q90 FROM {name}_cum GROUP BY {group}),
-        {name} AS (SELECT *, q75 + {reach} * greatest(q90 - q25, q75 >> {step}) AS high,
-            CASE WHEN measure IN ({both}) THEN q25 - {reach} * greatest(q75 - q10, q25 >> {step}) ELSE -1 END AS low FROM {name}_q)"""
-
-    value = f"((e.v >> greatest(length(bin(e.v)) - {quality.SKETCH_BITS}, 0)) << greatest(length(bin(e.v)) - {quality.SKETCH_BITS}, 0))"
-    every = " UNION ALL ".join(
-        f"SELECT rid, lang, source, '{m}' AS measure, {m} AS v, {f'{v[0]} <= {reach * quality.EVENTS[m]}' if m in quality.EVENTS else 'false'} AS few FROM measured"
-        for m, v in quality.MEASURES.items())
-    head = _quality(min_docs, reach).partition("    a_cum AS ")[0]
-    pick = lambda q: f"CASE WHEN a.n >= {min_docs} THEN a.{q} WHEN b.n >= {min_docs} THEN b.{q} ELSE c.{q} END AS {q}"
-    return head + f"""    {fences("a", "lang, source")}, {fences("b", "lang")}, {fences("c", "")},
-    fences AS (SELECT a.lang, a.source, a.measure, {pick("low")}, {pick("high")},
-            CASE WHEN a.n >= {min_docs} THEN 'source' WHEN b.n >= {min_docs} THEN 'lang' ELSE 'corpus' END AS level
-        FROM a JOIN b ON a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN c ON a.measure = c.measure),
-    judged AS (SELECT e.rid, max(f.level) AS level, bool_and(e.few OR coalesce({value} BETWEEN f.low AND f.high, true)) AS inside
-        FROM ({every}) e LEFT JOIN fences f
-        ON e.lang IS NOT DISTINCT FROM f.lang AND e.source IS NOT DISTINCT FROM f.source AND e.measure = f.measure GROUP BY e.rid)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept, level
-    FROM measured JOIN judged USING (rid)"""
-
 
 QUALITY = _quality()
-QUALITY_FENCES = _own_quality()
 SECRETS = _secrets()
 
 HARD_NEGATIVES = """
