@@ -191,6 +191,46 @@ def test_random_tokens_are_found_and_language_is_not(spark):
     assert one.text[span.start:span.stop] in random_tokens
 
 
+ENCODINGS = {
+    "hex": "0123456789ABCDEF", "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+WORDS = ("internationalization counterrevolutionaries some long identifier name elements class error handler configuration request response manager service controller "
+         "default value buffer stream reader connection database application session account notification address customer payment shipping category inventory employee "
+         "schedule calendar event report analysis summary statistics variable argument interface implementation package library framework deployment environment").split()
+
+
+@pytest.mark.parametrize("length", [32, 40, 64])
+def test_every_encoding_is_found_and_its_language_is_not(spark, length):
+    """As many random tokens as written ones in each encoding's characters."""
+    r = random.Random(length)
+    joins = {"hex": None, "lower": "", "upper": "", "base32": "", "base36": "7", "base64": "_"}
+    docs, kind = [], {}
+    for name, alphabet in ENCODINGS.items():
+        for i in range(60):
+            kind[len(docs)] = (name, True)
+            docs.append((len(docs), "see " + "".join(r.choice(alphabet) for _ in range(length)) + " here"))
+            if joins[name] is not None:
+                text = r.choice(WORDS)
+                while len(text) < length:
+                    text += joins[name] + r.choice(WORDS)
+                kind[len(docs)] = (name, False)
+                docs.append((len(docs), "see " + (text.upper() if name in ("upper", "base32") else text) + ("2" if name == "base32" else "") + " here"))
+    rows = secrets.secret_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    hit = {x.doc_id for x in rows if any(s.kind == 3 for s in x.all_spans)}
+    for name in ENCODINGS:
+        of = lambda random_one: [i for i, k in kind.items() if k == (name, random_one)]  # noqa: B023, E731
+        assert sum(i in hit for i in of(True)) >= 0.9 * len(of(True)), name
+        assert sum(i in hit for i in of(False)) <= 0.05 * len(of(False)), name
+
+
+def test_language_alone_is_not_reported(spark):
+    r = random.Random(1)
+    docs = [(i, "".join(r.choice(WORDS) for _ in range(r.randrange(2, 6)))) for i in range(500)]
+    rows = secrets.secret_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert not [x.doc_id for x in rows if x.all_spans]
+
+
 def test_redaction_merges_spans_and_keeps_the_rest(spark):
     texts = secret_texts()
     found = secrets.secret_scan(spark.createDataFrame([(i, t, "b") for i, t in enumerate(texts)], "doc_id long, text string, base string"))

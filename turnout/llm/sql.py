@@ -73,8 +73,9 @@ def _secrets(rate: float = 0.05) -> str:
 
     tails = ", ".join(repr(secrets.tail(z)) for z in range(secrets.LOWEST, secrets.HIGHEST + 1))
     size = "CASE " + " ".join(f"WHEN n >= {least} THEN {k}" for k, least in reversed(list(enumerate(secrets.LENGTH_CLASSES)))) + " ELSE 0 END"
-    c, ch, co = repr(secrets.COINCIDENCE), repr(secrets.CHANGES), repr(secrets.CORRELATION)
-    one_change = repr(secrets.CHANGES * (1.0 - secrets.CHANGES))
+    by = lambda value: "CASE a " + " ".join(f"WHEN {k}.0::DOUBLE THEN {value(i, *v)}" for i, (k, v) in enumerate(secrets.LANGUAGE.items())) + " END"
+    size = f"{size} + {by(lambda i, c, ch: len(secrets.LENGTH_CLASSES) * i)}"
+    c, ch, one_change = (by(v) for v in (lambda i, c, ch: f"{c!r}::DOUBLE", lambda i, c, ch: f"{ch!r}::DOUBLE", lambda i, c, ch: f"{ch * (1.0 - ch)!r}::DOUBLE"))
     listed = lambda where: (
         "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k, stop)" + (f" FILTER ({where})" if where else "") + ", '')")
     return rf"""
@@ -89,18 +90,20 @@ def _secrets(rate: float = 0.05) -> str:
     neighbours AS (SELECT *, coalesce(lead(v) OVER (PARTITION BY rid, start ORDER BY i), first(v) OVER (PARTITION BY rid, start ORDER BY i)) AS w FROM chars),
     sums AS (SELECT rid, start, sum(v)::BIGINT AS t, sum(v * v)::BIGINT AS s, sum(v * w)::BIGINT AS p FROM neighbours GROUP BY ALL),
     stats AS (SELECT rid, start, stop, a, n::DOUBLE AS x, n, squares::DOUBLE AS squares,
-            length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(value, '[a-z]+', 'l', 'g'), '[A-Z]+', 'U', 'g'), '[0-9]+', '0', 'g'), '[+/_-]+', '-', 'g'))::DOUBLE AS runs,
+            CASE WHEN a = 26.0::DOUBLE THEN length(regexp_replace(regexp_replace(value, '[{secrets.VOWELS}]+', '0', 'g'), '[A-Za-z]+', 'l', 'g')) ELSE
+            length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(value, '[a-z]+', 'l', 'g'), '[A-Z]+', 'U', 'g'), '[0-9]+', '0', 'g'), '[+/_-]+', '-', 'g')) END::DOUBLE AS runs,
             CASE WHEN n * s = t * t THEN 1.0::DOUBLE ELSE (n * p - t * t)::DOUBLE / (n * s - t * t)::DOUBLE END AS r
         FROM tok JOIN squares USING (rid, start) JOIN sums USING (rid, start)),
+    expected AS (SELECT *, {c} AS c, {ch} AS ch, {one_change} AS one_change FROM stats),
     zs AS (SELECT rid, start, stop, {size} AS size,
-            ((((a - 1.0::DOUBLE) + (x - 1.0::DOUBLE) * (a * {c}::DOUBLE - 1.0::DOUBLE) - (a / x * squares - x))
-               / sqrt(2.0::DOUBLE * (a - 1.0::DOUBLE) + 4.0::DOUBLE * (x - 1.0::DOUBLE) * abs(a * {c}::DOUBLE - 1.0::DOUBLE)))
-              + ((runs - 1.0::DOUBLE) - (x - 1.0::DOUBLE) * {ch}::DOUBLE) / sqrt((x - 1.0::DOUBLE) * {one_change}::DOUBLE)
-              + ({co}::DOUBLE - abs(r)) * sqrt(x)) / {math.sqrt(secrets.SUM_VARIANCE)!r}::DOUBLE AS z FROM stats),
+            ((((a - 1.0::DOUBLE) + (x - 1.0::DOUBLE) * (a * c - 1.0::DOUBLE) - (a / x * squares - x))
+               / sqrt(2.0::DOUBLE * (a - 1.0::DOUBLE) + 4.0::DOUBLE * (x - 1.0::DOUBLE) * abs(a * c - 1.0::DOUBLE)))
+              + CASE WHEN a = 26.0::DOUBLE THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * (((runs - 1.0::DOUBLE) - (x - 1.0::DOUBLE) * ch) / sqrt((x - 1.0::DOUBLE) * one_change))
+              + least({secrets.CORRELATION!r}::DOUBLE - abs(r) * sqrt(x), 0.0::DOUBLE)) / {math.sqrt(secrets.SUM_VARIANCE)!r}::DOUBLE AS z FROM expected),
     binned AS (SELECT rid, start, stop, size, least(greatest(floor(z * {secrets.BINS}), {secrets.LOWEST}), {secrets.HIGHEST})::INT AS z FROM zs),
     counts AS (SELECT size, z, count(*) AS n FROM binned GROUP BY ALL),
     reached AS (SELECT size, z, sum(n) OVER (PARTITION BY size) AS m, sum(n) OVER (PARTITION BY size ORDER BY z DESC) AS found FROM counts),
-    cuts AS (SELECT size, min(z) AS z FROM reached WHERE z >= {secrets.LEAST_BIN} AND m * ([{tails}])[z - {secrets.LOWEST} + 1]::DOUBLE <= {rate}::DOUBLE * found GROUP BY size),
+    cuts AS (SELECT size, min(z) AS z FROM reached WHERE m * ([{tails}])[z - {secrets.LOWEST} + 1]::DOUBLE <= {rate}::DOUBLE * found GROUP BY size),
     spans AS (
         SELECT rid, 'assign' AS kind, 0 AS k, start, stop FROM assign WHERE length(value) >= 6
         UNION ALL SELECT rid, 'access', 1, start, stop FROM access UNION ALL SELECT rid, 'hex', 2, start, stop FROM hex
