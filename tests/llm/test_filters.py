@@ -66,6 +66,40 @@ def test_url_model_on_held_out_urls(spark):
     assert right > 0.85 and right > majority + 0.05
 
 
+def lexical_pages(spark, partitions):
+    """Urls whose label depends on digits and depth alone; suffixes and sections say nothing."""
+    r = random.Random(12)
+    rows = []
+    for i in range(3000):
+        bad = i % 2
+        name = "".join(r.choice("0123456789" if bad and r.random() < 0.6 else "abcdefghij") for _ in range(10))
+        rest = "/".join("".join(r.choice("klmnop") for _ in range(4)) for _ in range(r.randrange(2, 4) + 2 * bad))
+        rows.append((f"http://{name}.{r.choice(['net', 'com', 'org'])}/{r.choice('xyz')}/{rest}", float(bad)))
+    pages = spark.createDataFrame(rows, "url string, label double").repartition(partitions)
+    return pages.withColumns({"host": urls.host(F.col("url")), "path": urls.path(F.col("url"))})
+
+
+def test_lexical_features_decide_where_labels_depend_on_them(spark):
+    pages = lexical_pages(spark, 3)
+    held = F.pmod(F.xxhash64("url"), F.lit(4)) == 0
+    model = urls.fit(pages.where(~held), "label", training_rows=1000)
+    importance = dict(zip(urls.FEATURES, model.trees.featureImportances.toArray(), strict=True))
+    assert sum(v for k, v in importance.items() if "suffix" not in k and "section" not in k) >= 0.5
+    scored = model.score(pages.where(held)).select("label", "url_score").collect()
+    assert sum((r.url_score >= 0.5) == (r.label == 1.0) for r in scored) >= 0.9 * len(scored)
+    again = urls.fit(lexical_pages(spark, 7).where(~held), "label", training_rows=1000)
+    first, second = (sorted(map(tuple, m.score(pages).select("url", "url_score").collect())) for m in (model, again))
+    assert first == second
+
+
+def test_rates_leave_the_fold_out(spark):
+    """A section that one host alone has tells nothing about that host's own rows."""
+    pages = spark.createDataFrame([(f"h{i}.net", f"s{i}", float(i % 2)) for i in range(40) for _ in range(5)], "host string, section string, label double")
+    table = urls.suffix_statistics(urls.fold_counts(pages, "section", "label"), "section")
+    assert {r.f_section_rate for r in table.where("fold >= 0").collect()} == {0.5}
+    assert {r.f_section_rate for r in table.where("fold = -1").collect()} == {0.4, 0.6}
+
+
 def plain_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]

@@ -2,11 +2,15 @@
 
 A rule such as ``block example.org/es/`` fits its host and every subdomain when the path starts with the
 rule's path; the longest fitting rule wins, equally long ones in the order given.  Urls that no rule fits are judged by a
-gradient-boosted tree model trained from labelled urls.
+gradient-boosted tree model trained from labelled urls.  Its features are lexical (length, depth, digit ratio, entropy, parameter counts, hyphens)
+and statistics of the host's suffix and, beside the method's own list, of the path's first section: how common they are, and how often they are blocked.
+A training row's rates leave out all rows whose host falls into the same fold of a hash, its own among them, so the trees do not read a label back
+from the statistics; rows to be judged get the rates of all folds.  The training rows are the first by a hash of the url, so a refit gives the same trees.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and is judged by the model; repeated
 urls are judged alike, row by row; with no labelled row, or labels of one kind only, the model is that constant
-(``allow`` without labels); an empty table gives an empty result; other columns pass through, those named like a
+(``allow`` without labels); an empty table gives an empty result; urls of any length are measured whole, in work that
+is linear in them; other columns pass through, those named like a
 result column are replaced by it.
 """
 
@@ -21,11 +25,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnout.llm.files import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Characters whose shares make up the entropy; all others count as one more symbol.
 ALPHABET = LOWER + "0123456789-._~/?&=%"
 
+#: Folds of hosts, and places of the hash that picks training rows.
+FOLDS, PLACES = 5, 1 << 40
+
 FEATURES = ("f_length", "f_depth", "f_digits", "f_entropy", "f_params", "f_hyphens", "f_suffix_log", "f_suffix_rate",
             "f_section_log", "f_section_rate")
 
@@ -103,18 +112,31 @@ def lexical(pages: DataFrame, url: str = "url") -> DataFrame:
     })
 
 
-def suffix_statistics(pages: DataFrame, key: str, label: str, prior: float = 0.5, weight: float = 20.0) -> DataFrame:
-    """For each value of ``key`` over all pages: log of its page count, and the smoothed rate of blocked ones among
-    the labelled.  One aggregation that combines before the shuffle, so a hot value costs a row per task."""
-    known = F.count(F.col(label))
-    return pages.groupBy(key).agg(
-        F.log1p(F.count(F.lit(1)).cast("double")).alias(f"f_{key}_log"),
-        ((F.coalesce(F.sum(label), F.lit(0.0)) + prior * weight) / (known + weight)).alias(f"f_{key}_rate"))
+def fold_counts(pages: DataFrame, key: str, label: str) -> DataFrame:
+    """For each value of ``key`` and fold of hosts, as a table: pages, labelled pages, blocked ones among these.
+
+    One aggregation that combines before the shuffle, so a hot value costs ``FOLDS`` rows a task.
+    """
+    return written(pages.groupBy(key, fold().alias("fold")).agg(
+        F.count(F.lit(1)).alias("pages"), F.count(label).alias("known"), F.coalesce(F.sum(label), F.lit(0.0)).alias("bad")))
+
+
+def fold() -> Column:
+    return F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
+
+
+def suffix_statistics(counts: DataFrame, key: str, prior: float = 0.5, weight: float = 20.0) -> DataFrame:
+    """For each value of ``key`` and each fold left out (-1: none): log of the page count, and the smoothed rate of blocked pages among the labelled."""
+    total = counts.groupBy(key).agg(F.sum("pages").alias("all_pages"), F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"))
+    rows = counts.join(total, key).select(key, "fold", "all_pages", (F.col("all_known") - F.col("known")).alias("known"), (F.col("all_bad") - F.col("bad")).alias("bad"))
+    rows = rows.unionByName(total.select(key, F.lit(-1).alias("fold"), "all_pages", F.col("all_known").alias("known"), F.col("all_bad").alias("bad")))
+    return written(rows.select(key, "fold", F.log1p(F.col("all_pages").cast("double")).alias(f"f_{key}_log"),
+                               ((F.col("bad") + prior * weight) / (F.col("known") + weight)).alias(f"f_{key}_rate")))
 
 
 @dataclass
 class UrlModel:
-    """A fitted filter: the statistics per suffix and section, and the trees (or the constant they come down to)."""
+    """A fitted filter: the statistics per suffix and section and fold left out, and the trees (or the constant they come down to)."""
 
     statistics: dict[str, DataFrame]
     trees: Model | None
@@ -125,7 +147,7 @@ class UrlModel:
         extra = [c for c in (*FEATURES, "suffix", "section")]
         if self.trees is None:
             return pages.withColumn("url_score", F.lit(self.constant))
-        out = _featured(pages, self.statistics, url)
+        out = _featured(pages, {key: table.where("fold = -1").drop("fold") for key, table in self.statistics.items()}, url)
         out = self.trees.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(out))
         out = out.withColumn("url_score", vector_to_array("_probability")[1])
         return out.drop(*extra, "_features", "_raw", "_probability", "_prediction")
@@ -134,7 +156,7 @@ class UrlModel:
 def _featured(pages: DataFrame, statistics: dict[str, DataFrame], url: str) -> DataFrame:
     out = lexical(pages, url)
     for key, table in statistics.items():
-        out = out.join(table, key, "left")
+        out = out.join(table, [c for c in (key, "fold") if c in table.columns], "left")
     return out.fillna({"f_suffix_log": 0.0, "f_section_log": 0.0, "f_suffix_rate": 0.5, "f_section_rate": 0.5})
 
 
@@ -142,18 +164,20 @@ def fit(pages: DataFrame, label: str, url: str = "url", training_rows: int = 20_
         seed: int = 7) -> UrlModel:
     """Trains on the rows whose ``label`` (1.0 block, 0.0 allow) is set.
 
-    The statistics cover all rows.  The trees are grown on at most ``training_rows`` labelled rows, chosen by a hash
-    of the url; up to that many, all are used.
+    The statistics cover all rows.  The trees are grown on at most ``training_rows`` labelled rows, the first by a hash
+    of the url; up to that many, all are used.  They are written, in order, as one partition, so that trees do not depend on how the rows arrive.
     """
     pages = lexical(pages, url)
-    statistics = {key: suffix_statistics(pages, key, label) for key in ("suffix", "section")}
+    statistics = {key: suffix_statistics(fold_counts(pages, key, label), key) for key in ("suffix", "section")}
     counted = pages.agg(F.count(label).alias("n"), F.sum(label).alias("bad")).first()
     n, bad = counted["n"], counted["bad"] or 0.0
     if not 0 < bad < n:
         return UrlModel(statistics, None, 1.0 if n and bad else 0.0)
-    share = min(1.0, training_rows / n)
-    chosen = pages.where(F.col(label).isNotNull() & (F.pmod(F.xxhash64(url), F.lit(1_000_000)) < share * 1_000_000))
-    rows = _featured(chosen.select(url, "host", "path", label), statistics, url).limit(training_rows)
+    # The hash alone bounds what is sorted, to about twice the rows wanted.
+    place = F.pmod(F.xxhash64(url), F.lit(PLACES))
+    near = pages.where(F.col(label).isNotNull() & (place < int(min(1.0, 2.0 * training_rows / n) * PLACES)))
+    chosen = near.select(url, "host", "path", label, place.alias("place"), fold().alias("fold")).orderBy("place", url, label).limit(training_rows)
+    rows = written(_featured(chosen, statistics, url).select("place", url, label, *FEATURES).repartition(1).sortWithinPartitions("place", url, label))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(rows).select("_features", label)
     trees = GBTClassifier(featuresCol="_features", labelCol=label, predictionCol="_prediction", maxIter=rounds, maxDepth=depth, seed=seed)
     trees = trees.setRawPredictionCol("_raw").setProbabilityCol("_probability")
