@@ -177,8 +177,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, vec_id: str =
     # Small inputs take fewer slices a task, so that every task of the session has some.
     parallel = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     count = slices.count()
-    groups = max(1, -(-count // max(1, min(slices_a_task, count * blocks // parallel))))
-    grouped = slices.groupBy(F.pmod(F.xxhash64("uri"), F.lit(groups)).alias("part")).agg(F.sort_array(F.collect_list("uri")).alias("uris"))
+    share = max(1, min(slices_a_task, count * blocks // parallel))
+    part = F.xxhash64("uri") if share == 1 else F.pmod(F.xxhash64("uri"), F.lit(-(-count // share)))
+    grouped = slices.groupBy(part.alias("part")).agg(F.sort_array(F.collect_list("uri")).alias("uris"))
     pairs = grouped.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(named, "block")
     pairs = dealt(written(pairs.select("block", "part", "block_uri", "uris")), "block", "part")
 
