@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from turnout.operators.resolve import bootcamp_rules, email_list, validate_rows
 from turnout.sources import headers, payloads, sheets, tabs
-from turnout.sources.files import file_manifest, listed_files, read_csv_strings, whole_manifest, with_status
+from turnout.sources.files import file_manifest, listed_files, read_csv_records, read_csv_strings, whole_manifest, with_status
 
 
 def write(folder, name, *lines):
@@ -218,3 +218,49 @@ def test_manifest_lists_empty_files_and_sizes(spark, tmp_path):
     got = {r.file_name: r for r in listed.collect()}
     assert len(sizes) == 2 and {k: r.size_bytes for k, r in got.items()} == sizes
     assert sorted((r.n_rows, r.digest != 0) for r in got.values()) == [(0, False), (1, True)]
+
+
+CSV_CELLS = ["", "plain", 'say "hi"', "two\nlines", "\n", '"', '""', ",", 'a,"b\n",c', "blank\n\nline", "x" * 90, 'end"\n"', "Zoë\n\n\n,\"", "cr\r\nlf"]
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+@pytest.mark.parametrize("split", [50, 1 << 20])
+def test_records_with_breaks_are_split_at_any_line(spark, tmp_path, ending, split):
+    import csv
+    import random
+
+    rng, expected = random.Random(split), []
+    for name, n in (("a", 60), ("b", 25), ("c", 0)):
+        with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8") as f:
+            out = csv.writer(f, lineterminator=ending)
+            out.writerow(["Key", "First\nhalf", "Key"])
+            for i in range(n):
+                row = [f"{name}{i}", rng.choice(CSV_CELLS), rng.choice(CSV_CELLS)]
+                out.writerow(row)
+                expected.append((f"{name}.csv", *row))
+                if i % 9 == 0:
+                    f.write(ending)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        read = read_csv_records(spark, str(tmp_path))
+        rows = read.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert read.columns == ["Key", "First\nhalf", "Key\t2", "_ordinal", "_file"]
+    got = [(r["_file"], r[0], r[1] or "", r[2] or "") for r in sorted(rows, key=lambda r: tuple(r["_ordinal"]))]
+    assert got == expected
+    if split == 50:
+        assert len({(r["_ordinal"].file, r["_ordinal"].block) for r in rows}) > 20
+
+
+def test_quotes_inside_bare_cells_do_not_open(spark, tmp_path):
+    path = write(tmp_path, "q.csv", "a,b", '5" disc,1', 'x,"y', 'z"', "", '6" disc,"2"')
+    assert [tuple(r)[:2] for r in sorted(read_csv_records(spark, path).collect(), key=lambda r: r["_ordinal"])] == [
+        ('5" disc', "1"), ("x", "y\nz"), ('6" disc', "2")]
+
+
+def test_a_table_without_records_has_no_rows(spark, tmp_path):
+    read = read_csv_records(spark, write(tmp_path, "e.csv", "a,b"))
+    assert read.columns[:2] == ["a", "b"] and read.count() == 0

@@ -13,7 +13,7 @@ from turnout.functions.dates import parse_timestamp_text, unparsed
 from turnout.functions.numbers import attempts_from_text, float_from_text, int_from_text
 from turnout.functions.text import split_trailing_years
 from turnout.session import shared_folder
-from turnout.sources.files import file_manifest, listed_files, read_csv_strings, spread, whole_manifest, with_status
+from turnout.sources.files import file_manifest, listed_files, read_csv_records, read_csv_strings, spread, whole_manifest, with_status
 from turnout.sources.payloads import extract_records_json, map_registration_records, parse_rsvp_snapshot
 from turnout.sources.sheets import dedupe_submissions, parse_registrations, parse_submissions
 from turnout.sources.tabs import route_tabs_to_kind, route_tabs_to_rounds
@@ -56,6 +56,21 @@ def csv_registrations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("""SELECT doc_id, md5(coalesce(replace(text, '. ', '.' || chr(10)), '') || '"' || chr(10)) AS cell, coalesce(source, '') AS source FROM documents""")
+def csv_broken_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents written as CSV with a line break after every sentence and a quote at the end, read back by files split at any line."""
+    cells = base.read_table(spark, folder, "documents", ["doc_id", "text", "source"]).select(
+        F.col("doc_id").alias("Id"),
+        F.concat(F.coalesce(F.replace("text", F.lit(". "), F.lit(".\n")), F.lit("")), F.lit('"\n')).alias("Text"),
+        F.col("source").alias("Source"))
+    path = scratch(spark)
+    # Blanks at both ends of a cell belong to it.
+    keep = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    cells.write.options(header="true", escape='"', **keep).csv(path)
+    return read_csv_records(spark, path).select(
+        F.col("Id").cast("long").alias("doc_id"), F.md5("Text").alias("cell"), F.coalesce("Source", F.lit("")).alias("source"))
+
+
 @query("""WITH cells AS (SELECT o_orderkey, o_orderpriority AS tab, 'Customer#' || o_custkey AS email,
     CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'Team ' || o_custkey END AS team, o_totalprice FROM orders)
   SELECT tab, email AS leader_email, first(o_totalprice ORDER BY o_orderkey DESC) AS total_score,
@@ -218,6 +233,24 @@ def json_rejects(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("""SELECT o_orderkey AS payload_no, lower(o_orderpriority) || o_custkey || '@example.org' AS email, o_orderstatus AS full_name,
+    CASE WHEN o_orderkey % 3 <> 0 THEN 'Pune' END AS city FROM orders""")
+def json_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as tables in JSON: columns with data, headers with rows, or a first row that names the columns; short rows lack their last cells."""
+    key = F.col("o_orderkey")
+    names = F.array(*map(F.lit, ("E-mail", "Full Name", "City")))
+    address = F.concat(F.lower("o_orderpriority"), F.col("o_custkey").cast("string"), F.lit("@example.org"))
+    full = F.array(address, "o_orderstatus", F.lit("Pune"))
+    row = F.when(key % 3 == 0, F.slice(full, 1, 2)).otherwise(full)
+    shaped = (
+        F.when(key % 2 == 0, F.to_json(F.struct(names.alias("columns"), F.array(row).alias("data"))))
+        .otherwise(F.to_json(F.struct(F.array(names, row).alias("rows"))))
+    )
+    orders = base.read_table(spark, folder, "orders").select(key.alias("payload_no"), shaped.alias("payload"))
+    records, _ = extract_records_json(spread(orders), "payload")
+    return map_registration_records(records)[0].select("payload_no", "email", "full_name", "city")
+
+
 @query("""SELECT o_orderkey AS id, o_orderpriority AS external_event_tag, CAST(o_orderkey AS INTEGER) AS rsvp_invite_sent,
     CAST(o_custkey AS INTEGER) AS rsvp_accepted, 'c' || o_custkey AS checked_in FROM orders""")
 def rsvp_snapshots(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnout.session import pinned
+
 #: Position of a row in its input: file, block within the file, place within the scan.
 ORDINAL = "_ordinal"
 
@@ -15,7 +18,7 @@ def read_csv_strings(spark: SparkSession, path: str, multiline: bool = True) ->
     """Header CSV, every column text, plus the row ordinal and the file name.
 
     ``multiline`` allows line breaks inside quotes, at the price of one task per file; switch it off for files known
-    to have none, so that they are split over tasks.
+    to have none, so that they are split over tasks.  ``read_csv_records`` splits files with such breaks too.
     """
     raw = (
         spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
@@ -33,6 +36,94 @@ def read_csv_strings(spark: SparkSession, path: str, multiline: bool = True) ->
     return out.toDF(*_unique(names), ORDINAL, "_file")
 
 
+#: A line that, begun outside quotes, ends inside a quoted cell: whole cells, each with its comma, then a cell left open.
+_LEFT_OPEN = r'^(?:(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|[^",][^,]*+)?,)*+"[^"]*+(?:""[^"]*+)*+$'
+
+
+def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_csv_strings`` with line breaks inside quotes, but every file is split over tasks at any line.
+
+    A line maps "begun inside quotes or not" to "ended inside quotes or not".  These maps are composed within each split of
+    the scan, then over the splits of a file, one row each; that tells for every line whether it begins a record.  Lines
+    of one record are put together and parsed by ``from_csv``.  A window holds one split, so
+    ``spark.sql.files.maxPartitionBytes`` bounds it, and a record that spans splits is as long as one cell can be.  Lines
+    end in LF or CRLF.  Lines without a character are skipped outside quotes, and the first record of each file is its
+    header; the first file's names the columns.
+    """
+    lines = pinned(_line_states(spark.read.option("lineSep", "\n").text(path)))
+    records = _records(lines)
+    first = records.where("header").orderBy("file").select("record").first()
+    names = [n or f"_c{i}" for i, n in enumerate(next(csv.reader([first[0]])))] if first else ["_c0"]
+    fields = ", ".join(f"_c{i} string" for i in range(len(names)))
+    parsed = records.where("NOT header").select(
+        F.from_csv("record", fields, {"escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}).alias("_r"),
+        F.struct("file", "block", "place").alias(ORDINAL), F.element_at(F.split("file", "/"), -1).alias("_file"))
+    return parsed.select("_r.*", ORDINAL, "_file").toDF(*_marked(names), ORDINAL, "_file")
+
+
+def _line_states(text: DataFrame) -> DataFrame:
+    """Every line with what is known of it within its split.
+
+    ``swaps`` counts the lines before that turn the state round; ``fixed`` holds the state after the last line before that
+    leaves one state whatever came in, with the swaps up to there.
+    """
+    line = text.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), "value")
+    # A line begun inside quotes ends as the line with a quote before it does.
+    quoted = F.col("value").contains('"')
+    from_closed = quoted & F.col("value").rlike(_LEFT_OPEN)
+    from_open = ~quoted | F.concat(F.lit('"'), "value").rlike(_LEFT_OPEN)
+    line = line.withColumns({"from_closed": from_closed, "from_open": from_open})
+    before = Window.partitionBy("file", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    line = line.withColumn("swaps", F.coalesce(F.count_if(F.col("from_closed") & ~F.col("from_open")).over(before), F.lit(0)))
+    settles = F.when(F.col("from_closed") == F.col("from_open"), F.struct(F.col("from_open").alias("state"), "swaps"))
+    return line.withColumn("fixed", F.last(settles, ignorenulls=True).over(before))
+
+
+def _inside(at_start: Column) -> Column:
+    """Whether a line begins inside quotes, given the state at the start of its split."""
+    turned = lambda state, n: state != (n % 2 == 1)
+    return F.when(F.col("fixed").isNull(), turned(at_start, F.col("swaps"))).otherwise(
+        turned(F.col("fixed.state"), F.col("swaps") - F.col("fixed.swaps")))
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """(file, header, block, place, record): the records of each file, placed by their first lines; the first is its header."""
+    bare = F.regexp_replace("value", r"\r$", "")
+    after = lambda inside: F.when(inside, F.col("from_open")).otherwise(F.col("from_closed"))
+    begins = lambda inside: ~inside & (bare != "")
+    low, high = _inside(F.lit(False)), _inside(F.lit(True))
+    splits = lines.groupBy("file", "block").agg(
+        F.max_by(after(low), "place").alias("low"), F.max_by(after(high), "place").alias("high"),
+        F.count_if(begins(low)).alias("n_low"), F.count_if(begins(high)).alias("n_high"))
+    # The maps of whole splits, composed in the order of a file: as for lines, the last that settles the state, then swaps.
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("swaps", F.coalesce(F.count_if(F.col("low") & ~F.col("high")).over(before), F.lit(0)))
+    settles = F.when(F.col("low") == F.col("high"), F.struct(F.col("high").alias("state"), "swaps"))
+    splits = splits.withColumn("fixed", F.last(settles, ignorenulls=True).over(before))
+    splits = splits.withColumn("open", _inside(F.lit(False))).withColumn("n", F.when(F.col("open"), F.col("n_high")).otherwise(F.col("n_low")))
+    # A record open at the start of a split was begun in the last split before in which any was.
+    begun = F.when(F.col("n") > 0, F.struct(F.col("block").alias("block"), F.col("n").alias("number")))
+    splits = splits.select("file", "block", "open", F.last(begun, ignorenulls=True).over(before).alias("earlier"))
+
+    known = lines.join(splits, ["file", "block"]).withColumn("inside", _inside(F.col("open")))
+    known = known.withColumns({"begins": begins(F.col("inside")), "ends_inside": after(F.col("inside"))})
+    # Places of first lines say which record a line belongs to.
+    to_here = Window.partitionBy("file", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    known = known.withColumn("number", F.count_if("begins").over(to_here))
+    known = known.where("begins OR inside").select(
+        "file", F.when(F.col("number") > 0, F.col("block")).otherwise(F.col("earlier.block")).alias("first_block"),
+        F.when(F.col("number") > 0, F.col("number")).otherwise(F.col("earlier.number")).alias("number"),
+        (F.col("earlier").isNull() & (F.col("number") == 1)).alias("header"), "block", "place", "inside", "ends_inside", "value")
+    alone = known.where("NOT inside AND NOT ends_inside").select("file", "header", "block", "place", "value")
+    joined = known.where("inside OR ends_inside").groupBy("file", "first_block", "number").agg(
+        F.bool_or("header").alias("header"), F.array_sort(F.collect_list(F.struct("block", "place", "value"))).alias("parts"))
+    several = joined.select("file", "header", F.col("parts")[0]["block"].alias("block"), F.col("parts")[0]["place"].alias("place"),
+                            F.array_join(F.transform("parts", lambda x: x["value"]), "\n").alias("value"))
+    return alone.unionByName(several).select("file", "header", "block", "place", bare.alias("record"))
+
+
 def _unique(names: list[str]) -> list[str]:
     """Headers as written, later copies (without regard to case) marked by a tab and their position.
 
@@ -40,11 +131,14 @@ def _unique(names: list[str]) -> list[str]:
     """
     bare = [n.removesuffix(str(i)).lower() for i, n in enumerate(names)]
     copies = {b for i, b in enumerate(bare) if b != names[i].lower() and bare.count(b) > 1}
+    return _marked([n.removesuffix(str(i)) if b in copies else n for i, (n, b) in enumerate(zip(names, bare))])
+
+
+def _marked(names: list[str]) -> list[str]:
     out, seen = [], set()
-    for i, (n, b) in enumerate(zip(names, bare)):
-        own = n.removesuffix(str(i)) if b in copies else n
-        out.append(f"{own}\t{i}" if own.lower() in seen else own)
-        seen.add(own.lower())
+    for i, n in enumerate(names):
+        out.append(f"{n}\t{i}" if n.lower() in seen else n)
+        seen.add(n.lower())
     return out
 
 
