@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from turnout.catalog import base
 from turnout.catalog.base import day_text, query
 from turnout.operators.distribution import attempt_buckets, histogram, score_rollup, score_stats, with_segment
-from turnout.operators.ordering import global_rank
+from turnout.operators.ordering import deep_page, global_rank
 from turnout.operators.sessions import default_session, session_options
 from turnout.plans.leaderboards import (
     balance_scores,
@@ -92,6 +92,15 @@ def global_rank_full(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.select("id", "tie_rank", "place")
 
 
+@query("""SELECT id, tie_rank FROM (SELECT id, rank() OVER w AS tie_rank, row_number() OVER (ORDER BY attempts_completed DESC NULLS LAST, id) AS place
+    FROM subs WINDOW w AS (ORDER BY attempts_completed DESC NULLS LAST)) WHERE place BETWEEN (SELECT count(*) // 2 FROM subs) + 1 AND (SELECT count(*) // 2 FROM subs) + 500""", "subs")
+def page_in_the_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """The page of 500 that starts half way down all submissions, with the ranks that ties share."""
+    rows = base.submissions(spark, folder).select("id", "attempts_completed")
+    order = [F.col("attempts_completed").desc_nulls_last(), F.col("id").asc()]
+    return deep_page(rows, order, 500, rows.count() // 2, ties=["attempts_completed"], name="tie_rank").select("id", "tie_rank")
+
+
 _LEDGER_SCORES = """scores AS (SELECT e.participant_id, coalesce(sum(delta), 0) AS score
   FROM enrolled e LEFT JOIN ledger l ON l.participant_id = e.participant_id{extra} GROUP BY 1)"""
 _SCORE_PAGE = """ SELECT participant_id, CAST(score AS DOUBLE) AS score, rank FROM (

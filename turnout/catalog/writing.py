@@ -294,6 +294,24 @@ def created_references(spark: SparkSession, folder: str) -> DataFrame:
     return created
 
 
+@query("""SELECT id, 'kept' AS outcome FROM subs WHERE leader_email_normalized IN (SELECT email_normalized FROM regs WHERE form_timestamp >= TIMESTAMP '1997-01-01')
+  UNION ALL SELECT count(*), 'missing references' FROM (SELECT DISTINCT leader_email_normalized FROM subs WHERE leader_email_normalized NOT IN
+    (SELECT email_normalized FROM regs WHERE form_timestamp >= TIMESTAMP '1997-01-01'))
+  UNION ALL SELECT count(*), 'refused whole' FROM subs""", "subs", "regs")
+def skipped_references(spark: SparkSession, folder: str) -> DataFrame:
+    """Submissions whose leader has a registration, and the number of leaders without; the strict policy refuses all of them."""
+    regs = base.registrations(spark, folder).where(F.col("form_timestamp") >= F.lit("1997-01-01").cast("timestamp_ntz")).select("email_normalized")
+    subs = base.submissions(spark, folder).select(F.col("id").cast("long").alias("id"), "leader_email_normalized")
+    kept, missing, _ = resolve_required(subs, regs, "leader_email_normalized", "email_normalized", "skip")
+    try:
+        resolve_required(subs, regs, "leader_email_normalized", "email_normalized", "error")
+        refused = subs.limit(0)
+    except ValueError:
+        refused = subs
+    total = lambda df, outcome: df.agg(F.count(F.lit(1)).alias("id")).withColumn("outcome", F.lit(outcome))
+    return kept.select("id", F.lit("kept").alias("outcome")).unionByName(total(missing, "missing references")).unionByName(total(refused, "refused whole"))
+
+
 @query("""SELECT i.id, s.id AS session_id FROM ip_subs i LEFT JOIN sessions s
   ON lower(trim(i.attendance_city, ' ')) = lower(trim(s.city, ' ')) AND i.session_on = s.session_on
   AND lower(trim(i.session_label, ' ')) = lower(trim(s.session_label, ' '))""", "sessions")
