@@ -266,6 +266,26 @@ def test_a_table_without_records_has_no_rows(spark, tmp_path):
     assert read.columns[:2] == ["a", "b"] and read.count() == 0
 
 
+def test_heavy_work_is_dealt_into_tasks_of_bounded_size(spark, monkeypatch):
+    from turnout.sources import files
+
+    monkeypatch.setattr(files, "TASK_ROWS", 100)
+    monkeypatch.setattr(files, "TASK_BYTES", 1000)
+    dealt = files.spread(spark.range(0, 5000, 1, 8))
+    assert dealt.rdd.getNumPartitions() == 50 and max(dealt.rdd.glom().map(len).collect()) <= 110
+    long = spark.range(0, 50, 1, 8).select(F.repeat(F.lit("x"), 1000).alias("p"))
+    assert files.spread(long, "p").rdd.getNumPartitions() == 50
+
+
+def test_rejects_and_unknown_payloads_take_one_parse(spark):
+    rows = [(1, '[{"name": "a"}, {"email": "a@x.co"}]'), (2, '{"note": 1}'), (3, "{"), (4, None)]
+    records, unknown = payloads.extract_records_json(spark.createDataFrame(rows, "k int, p string"), "p", both=True)
+    _, rejects = payloads.map_registration_records(records)
+    both = rejects.select("k", "reason").unionByName(unknown.select("k", F.lit("no records").alias("reason")))
+    assert {tuple(r) for r in both.collect()} == {(1, "missing email"), (2, "no records"), (3, "no records"), (4, "no records")}
+    assert "parse_json" not in both._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lines_of_records_are_not_shuffled(spark, tmp_path):
     """Only parts of records that span splits move; all lines did, several times."""
     from turnout.sources import files

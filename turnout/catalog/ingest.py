@@ -187,7 +187,7 @@ def split_designation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """One JSON payload per event, its shape by event type: list, data list, envelope, table, unknown."""
+    """One JSON payload per event, its shape by event type: list, data list, envelope, table, unknown; in tasks of bounded size."""
     kind = F.col("event_type")
     person = F.struct(
         F.concat(F.lit(" User"), F.col("user_id").cast("string"), F.lit("@Example.org ")).alias("E-Mail"),
@@ -207,7 +207,8 @@ def payloads(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == "signup", table)
         .otherwise(F.lit('{"message":"none"}'))
     )
-    return base.read_table(spark, folder, "events").select(F.col("event_id").alias("payload_no"), text.alias("payload"))
+    return spread(base.read_table(spark, folder, "events", ["event_id", "ts", "user_id", "event_type"])).select(
+        F.col("event_id").alias("payload_no"), text.alias("payload"))
 
 
 @query("""SELECT event_id AS payload_no, CASE event_type WHEN 'signup' THEN 'user' ELSE 'User' END || user_id || '@'
@@ -215,7 +216,7 @@ def payloads(spark: SparkSession, folder: str) -> DataFrame:
     CASE WHEN event_type <> 'signup' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS form_timestamp
   FROM events WHERE event_type IN ('view', 'click', 'purchase', 'signup')""")
 def json_records(spark: SparkSession, folder: str) -> DataFrame:
-    records, _ = extract_records_json(spread(payloads(spark, folder)), "payload")
+    records, _ = extract_records_json(payloads(spark, folder), "payload")
     rows, _ = map_registration_records(records)
     return rows.select(
         "payload_no", "email", "full_name", F.date_format("form_timestamp", "yyyy-MM-dd HH:mm:ss").alias("form_timestamp")
@@ -226,7 +227,7 @@ def json_records(spark: SparkSession, folder: str) -> DataFrame:
   WHERE event_type IN ('view', 'click', 'purchase') UNION ALL
   SELECT event_id, 'no records' FROM events WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup')""")
 def json_rejects(spark: SparkSession, folder: str) -> DataFrame:
-    records, unknown = extract_records_json(spread(payloads(spark, folder)), "payload")
+    records, unknown = extract_records_json(payloads(spark, folder), "payload", both=True)
     _, rejects = map_registration_records(records)
     return rejects.select("payload_no", "reason").unionByName(
         unknown.select("payload_no", F.lit("no records").alias("reason"))
@@ -246,8 +247,8 @@ def json_tables(spark: SparkSession, folder: str) -> DataFrame:
         F.when(key % 2 == 0, F.to_json(F.struct(names.alias("columns"), F.array(row).alias("data"))))
         .otherwise(F.to_json(F.struct(F.array(names, row).alias("rows"))))
     )
-    orders = base.read_table(spark, folder, "orders").select(key.alias("payload_no"), shaped.alias("payload"))
-    records, _ = extract_records_json(spread(orders), "payload")
+    orders = spread(base.read_table(spark, folder, "orders", ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"]))
+    records, _ = extract_records_json(orders.select(key.alias("payload_no"), shaped.alias("payload")), "payload")
     return map_registration_records(records)[0].select("payload_no", "email", "full_name", "city")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turnout.functions.dates import parse_date_text, parse_timestamp_text
 from turnout.functions.text import as_col, split_trailing_years, strip_all
+from turnout.session import pinned
 
 # Keys under which a payload may hold its record list, envelope and header row.
 LIST_KEYS = ("data", "registrations", "results", "items", "records", "rows", "users", "participants")
@@ -126,9 +127,13 @@ def located_records(located: DataFrame, column: str) -> DataFrame:
     return located.select(*rest, F.posexplode("records").alias("record_no", "record"))
 
 
-def extract_records_json(payloads: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """One row per record of JSON payloads of unknown shape, and the payloads that hold no list at all."""
+def extract_records_json(payloads: DataFrame, column: str, both: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One row per record of JSON payloads of unknown shape, and the payloads that hold no list at all.
+
+    A caller that wants ``both`` has the payloads parsed once, to a table in the shared folder.
+    """
     located = locate_records(payloads, column)
+    located = pinned(located) if both else located
     return located_records(located, column), located.where("unknown").select(*payloads.columns)
 
 
