@@ -191,3 +191,17 @@ def test_balances_stay_in_a_bounded_number_of_files(spark, tmp_path):
         # One file a bucket, though there were as many versions as batches; what is on disk follows the buckets too.
         assert len(rows.inputFiles()) <= 4
     assert len(list((tmp_path / "table" / "rows").rglob("*.parquet"))) <= 4 * 4
+
+
+def test_a_micro_batch_is_written_and_read_in_many_tasks(spark, tmp_path):
+    from turnout.catalog import streams
+
+    rows, sizes = spark.range(0, 8000, 1, 8).withColumn("text", F.repeat(F.lit("x"), 100)), []
+
+    def one_batch(batch, batch_id):
+        sizes.append((batch_id, batch.count(), len(batch.inputFiles())))
+
+    for stream in streams._batches(spark, rows, str(tmp_path), F.col("id") % 4):
+        run(stream.writeStream.foreachBatch(one_batch).option("checkpointLocation", str(tmp_path / "cp")))
+    # Each was one file, written by one task.
+    assert [s[:2] for s in sizes] == [(n, 2000) for n in range(4)] and all(s[2] > 1 for s in sizes)

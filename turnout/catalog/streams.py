@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -10,6 +12,7 @@ from pyspark.sql.types import StructType
 from turnout.catalog import base
 from turnout.catalog.base import query
 from turnout.catalog.ingest import payloads, scratch
+from turnout.session import pinned
 from turnout.streaming.jobs import (
     BucketTable,
     append_activity,
@@ -26,7 +29,7 @@ from turnout.streaming.jobs import (
     write_updates,
 )
 
-#: Files a streamed table is split into; each is a micro-batch.
+#: Micro-batches a streamed table is split into.
 BATCHES = 4
 
 
@@ -35,12 +38,15 @@ def finish(writer: DataStreamWriter) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def _stream(spark: SparkSession, rows: DataFrame, out: str, deal: Column | None = None) -> DataFrame:
-    """The rows as a stream of BATCHES micro-batches, dealt by ``deal`` or by a hash so that keys come again in later ones."""
-    files = rows.withColumn("_deal", F.pmod(F.xxhash64(*rows.columns), F.lit(BATCHES)) if deal is None else deal)
-    for n in range(BATCHES):
-        files.where(F.col("_deal") == n).drop("_deal").coalesce(1).write.mode("append").parquet(f"{out}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+def _batches(spark: SparkSession, rows: DataFrame, out: str, deal: Column | None = None, batches: int = BATCHES) -> Iterator[DataFrame]:
+    """The rows as a stream, once for each micro-batch, which is written before; a query that goes on from its checkpoint takes just that.
+
+    Rows are dealt by ``deal``, or by a hash so that keys come again in later ones.  A micro-batch is as many files as there were tasks to write it.
+    """
+    dealt = pinned(rows.withColumn("_deal", F.pmod(F.xxhash64(*rows.columns), F.lit(batches)) if deal is None else deal))
+    for n in range(batches):
+        dealt.where(F.col("_deal") == n).drop("_deal").write.mode("append").parquet(f"{out}/in")
+        yield spark.readStream.schema(rows.schema).parquet(f"{out}/in")
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,12 +57,12 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
   CAST(sum(CAST(value AS DECIMAL(14,4))) AS DOUBLE) AS balance FROM events GROUP BY 1, 2""")
 def stream_balances(spark: SparkSession, folder: str) -> DataFrame:
     out = scratch(spark)
-    ledger = _stream(spark, _events(spark, folder), out).select(
-        F.col("user_id").alias("participant_id"), F.col("event_type").alias("challenge_id"), F.col("value").alias("delta")
-    )
     keys = ["participant_id", "challenge_id"]
-    balances, table = running_balances(ledger, keys), BucketTable(f"{out}/table", tuple(keys), 16)
-    finish(keep_current(balances, table, f"{out}/state"))
+    table = BucketTable(f"{out}/table", tuple(keys), 16)
+    for rows in _batches(spark, _events(spark, folder), out):
+        ledger = rows.select(F.col("user_id").alias("participant_id"), F.col("event_type").alias("challenge_id"), F.col("value").alias("delta"))
+        balances = running_balances(ledger, keys)
+        finish(keep_current(balances, table, f"{out}/state"))
     return table.rows(spark, balances.schema).withColumn("balance", F.col("balance").cast("double"))
 
 
@@ -64,8 +70,8 @@ def stream_balances(spark: SparkSession, folder: str) -> DataFrame:
   FROM events GROUP BY 1""")
 def stream_hourly_counts(spark: SparkSession, folder: str) -> DataFrame:
     out = scratch(spark)
-    rows = _stream(spark, _events(spark, folder), out)
-    finish(write_updates(windowed_counts(rows, "ts", "1 hour", "400 days"), f"{out}/rows", f"{out}/state"))
+    for rows in _batches(spark, _events(spark, folder), out):
+        finish(write_updates(windowed_counts(rows, "ts", "1 hour", "400 days"), f"{out}/rows", f"{out}/state"))
     rows = current_rows(read_batches(spark, f"{out}/rows"), ["start"])
     return rows.withColumn("start", F.date_format("start", "yyyy-MM-dd HH"))
 
@@ -75,8 +81,9 @@ def stream_first_grants(spark: SparkSession, folder: str) -> DataFrame:
     """Keys that come in every batch pass once, however long after the first time they come again."""
     out = scratch(spark)
     key = F.concat_ws("-", F.col("user_id").cast("string"), "event_type")
-    ledger = _stream(spark, _events(spark, folder), out).select("event_id", key.alias("idempotency_key"))
-    finish(grants_once(ledger, ["event_id"], BucketTable(f"{out}/used", ("idempotency_key",), 16), f"{out}/rows", f"{out}/state"))
+    for rows in _batches(spark, _events(spark, folder), out):
+        ledger = rows.select("event_id", key.alias("idempotency_key"))
+        finish(grants_once(ledger, ["event_id"], BucketTable(f"{out}/used", ("idempotency_key",), 16), f"{out}/rows", f"{out}/state"))
     return read_batches(spark, f"{out}/rows").select("idempotency_key")
 
 
@@ -85,7 +92,8 @@ def stream_first_grants(spark: SparkSession, folder: str) -> DataFrame:
 def stream_activity_log(spark: SparkSession, folder: str) -> DataFrame:
     """The log partitioned by month; the months before the last twenty days are removed, then the rest is read."""
     out = scratch(spark)
-    finish(append_activity(_stream(spark, _events(spark, folder), out), "ts", f"{out}/log", f"{out}/state"))
+    for rows in _batches(spark, _events(spark, folder), out):
+        finish(append_activity(rows, "ts", f"{out}/log", f"{out}/state"))
     last = _events(spark, folder).agg(F.max("ts")).first()[0]
     drop_old_months(spark, f"{out}/log", "20d", last)
     months = [f"{out}/log/{m}" for m in subfolders(spark, f"{out}/log")]
@@ -103,9 +111,9 @@ def stream_registration_sync(spark: SparkSession, folder: str) -> DataFrame:
     """
     out = scratch(spark)
     kind = F.when(F.col("payload").startswith("["), 0).when(F.col("payload").startswith('{"ok"'), 1).when(F.col("payload").startswith('{"event"'), 2).otherwise(3)
-    source = _stream(spark, payloads(spark, folder), out, kind)
     table = BucketTable(f"{out}/table", ("email_normalized",), 16)
-    finish(sync_registrations(source, "payload", table, f"{out}/runs", f"{out}/state"))
+    for source in _batches(spark, payloads(spark, folder), out, kind):
+        finish(sync_registrations(source, "payload", table, f"{out}/runs", f"{out}/state"))
     return table.rows(spark, StructType.fromDDL("email_normalized string, full_name string"))
 
 
@@ -115,11 +123,11 @@ def stream_registration_sync(spark: SparkSession, folder: str) -> DataFrame:
 def stream_registration_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The table after the sync, its payloads streamed in their order: the last name of every registrant."""
     out = scratch(spark)
-    rows = payloads(spark, folder)
-    first, last = rows.agg(F.min("payload_no"), F.max("payload_no")).first()
+    first, last = base.read_table(spark, folder, "events", ["event_id"]).agg(F.min("event_id"), F.max("event_id")).first()
     deal = F.expr(f"(payload_no - {first or 0}) * {BATCHES} div {(last or 0) - (first or 0) + 1}")
     table = BucketTable(f"{out}/table", ("email_normalized",), 16)
-    finish(sync_registrations(_stream(spark, rows, out, deal), "payload", table, f"{out}/runs", f"{out}/state"))
+    for source in _batches(spark, payloads(spark, folder), out, deal):
+        finish(sync_registrations(source, "payload", table, f"{out}/runs", f"{out}/state"))
     return table.rows(spark, StructType.fromDDL("email_normalized string, full_name string"))
 
 
@@ -132,7 +140,8 @@ def stream_run_log(spark: SparkSession, folder: str) -> DataFrame:
     """The run rows of a sync, added up."""
     out = scratch(spark)
     table = BucketTable(f"{out}/table", ("email_normalized",), 16)
-    finish(sync_registrations(_stream(spark, payloads(spark, folder), out), "payload", table, f"{out}/runs", f"{out}/state"))
+    for source in _batches(spark, payloads(spark, folder), out):
+        finish(sync_registrations(source, "payload", table, f"{out}/runs", f"{out}/state"))
     names = ("rows_read", "rows_rejected", "payloads_unknown", "rows_inserted")
     return read_batches(spark, f"{out}/runs").groupBy("status").agg(*(F.sum(n).alias(n) for n in names))
 
@@ -151,9 +160,6 @@ def _versions(spark: SparkSession, folder: str) -> DataFrame:
 def stream_change_log(spark: SparkSession, folder: str) -> DataFrame:
     """Inserts, then updates, then deletions and rows that did not change, a micro-batch each."""
     out = scratch(spark)
-    versions = _versions(spark, folder)
-    for v in (1, 2, 3):
-        versions.where(F.col("v") == v).drop("v").coalesce(1).write.mode("append").parquet(f"{out}/in")
-        stream = spark.readStream.schema(versions.drop("v").schema).parquet(f"{out}/in")
-        finish(capture_changes(stream, ["c_custkey"], ["c_name"], f"{out}/rows", f"{out}/log", f"{out}/state", deleted="gone", buckets=16))
+    for stream in _batches(spark, _versions(spark, folder), out, F.col("v") - 1, 3):
+        finish(capture_changes(stream.drop("v"), ["c_custkey"], ["c_name"], f"{out}/rows", f"{out}/log", f"{out}/state", deleted="gone", buckets=16))
     return read_batches(spark, f"{out}/log").groupBy("op").agg(F.count(F.lit(1)).alias("n"))

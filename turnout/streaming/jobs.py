@@ -21,6 +21,7 @@ from turnout.functions.numbers import MONEY
 from turnout.operators.changes import diff_changes
 from turnout.operators.dedupe import keep_last
 from turnout.operators.merge import append_idempotent, null_safe, upsert
+from turnout.sources.files import spread
 from turnout.sources.payloads import locate_records, located_records, map_registration_records
 
 BATCH = "batch_id"
@@ -188,13 +189,13 @@ def sync_registrations(payloads: DataFrame, column: str, table: BucketTable, run
                        trigger: str = "schedule", keep_if_null: Sequence[str] = ()) -> DataStreamWriter:
     """Payload stream to registration upserts and a run log.
 
-    Records are extracted once a micro-batch, mapped, and the last one per e-mail is merged into ``table``.  Every run
+    Records are extracted once a micro-batch in tasks of bounded size, mapped, and the last one per e-mail is merged into ``table``.  Every run
     leaves a row in the log, also one that fails; a failed batch is then tried again by Spark.
     """
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         run = {"module": "registration_sync", "trigger": trigger, "started_at": datetime.now(timezone.utc).replace(tzinfo=None), "status": "failed"}
-        located = locate_records(batch, column).persist()
+        located = locate_records(spread(batch, column), column).persist()
         try:
             rows, _ = map_registration_records(located_records(located, column))
             keyed = rows.withColumn("email_normalized", F.lower(F.trim("email")))
