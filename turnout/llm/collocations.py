@@ -70,7 +70,7 @@ class Occurrences:
         self.langs, text = names.dictionary, np.searchsorted(offsets, starts, side="right") - 1
         self.lang = names.indices.to_numpy().astype(np.int64)[text]
         # A phrase runs on from a word to the next of the same text with no end of a piece between them.
-        closed = np.zeros(len(data) + 1, np.int64)
+        closed = np.zeros(len(data) + 1, np.int32)
         np.cumsum(_PIECE_END[data], out=closed[1:])
         self.runs_on = np.zeros(len(starts), bool)
         self.runs_on[:-1] = (text[1:] == text[:-1]) & (closed[starts[1:]] == closed[stops[:-1]])
