@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnout.llm import collocations, nbsvm, negatives
+from turnout.llm.files import run_folder
 
 # --- collocations ------------------------------------------------------------------------
 
@@ -80,6 +81,42 @@ def test_phrase_counts_are_exact_even_if_all_slots_are_shared(spark):
     assert lengths == [{0, 1}, {0, 1, 2, 3}, {2, 3}, set()]
 
 
+def test_rows_that_are_summed_are_one_key_a_count_and_a_mark(spark):
+    docs = spark.createDataFrame(phrase_rows(), "doc_id long, text string, lang string").na.fill("", ["text"]).na.fill("und", ["lang"])
+    run = run_folder(spark, "test")
+    spark.createDataFrame([], "slot int").write.parquet(f"{run}/reached-0")
+    shard = collocations.scan_shard(docs, run, 0, 3, 3)
+    assert shard.columns == ["key", "c", "mark"]
+    assert {r.mark >> 32 for r in shard.collect()} == {0, 1}
+
+
+def test_phrases_and_languages_with_blanks_bad_bytes_and_long_words_are_told_apart(spark):
+    rows = [(i, f"a b{' ' * (i % 3 + 1)}{'w' * 33} {'w' * 32}", lang) for i, lang in enumerate(["", " ", "\t", "b \ten", "en", "und", None] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {(r.lang, r.k, r.phrase): r.c for r in collocations.phrase_counts(docs, threshold=3, longest=4).collect() if r.k}
+    assert counts == {k: c for k, c in plain_counts(rows, 4).items() if c >= 3}
+    broken = docs.select("doc_id", "lang", F.expr("string(unhex('61E320E3'))").alias("text"))
+    found = collocations.phrase_counts(broken, threshold=3).where("k = 2").select("lang", F.expr("hex(binary(phrase))"), "c")
+    assert sorted(tuple(r) for r in found.collect()) == sorted((lang, "61E320E3", 6 if lang == "und" else 3) for lang in ["", " ", "\t", "b \ten", "en", "und"])
+
+
+def test_digests_go_by_all_bytes_of_a_string_alone():
+    words = ["", "a", "a\0", "b", "é", *("x" * n for n in range(1, 40)), *("x" * n + "y" for n in range(40))]
+    found = collocations.digests(pa.array(words))
+    assert len(set(found.tolist())) == len(words) and not set(found.tolist()) & set(collocations.digests(pa.array(words), 1).tolist())
+    assert collocations.digests(pa.array(words[::-1]).slice(3, 50)).tolist() == found[::-1][3:53].tolist()
+    assert len(collocations.digests(pa.array([], pa.string()))) == 0
+
+
+def test_counted_agrees_however_codes_are_grouped():
+    words = [f"w{i * i % 97}" for i in range(400)]
+    block = collocations.Occurrences(pa.array([" ".join(words)]), pa.array(["en"]))
+    for k in range(1, 4):
+        at, count = block.counted(np.arange(len(words) - k + 1), k)
+        expected = Counter(tuple(words[i:i + k]) for i in range(len(words) - k + 1))
+        assert {tuple(words[i:i + k]): c for i, c in zip(at.tolist(), count.tolist(), strict=True)} == expected
+
+
 def test_collocations_of_an_empty_table(spark):
     assert collocations.collocations(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
 
