@@ -23,6 +23,7 @@ gives no rows; a language with no phrase over the threshold gives none; other co
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnout.llm.files import discard, run_folder, ship, store, written
@@ -202,6 +203,21 @@ def scan_shard(shard: DataFrame, run: str, scan: int, shards: int, longest: int)
     return shard.select("text", "lang").mapInArrow(count, _SCHEMA).select("key", "c", mark.alias("mark"))
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark remove the shuffle files of each write at its end, and not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def phrase_counts(docs: DataFrame, threshold: int = 10, longest: int = 3, shards: int = 3, doc_id: str = "doc_id", text: str = "text",
                   lang: str = "lang") -> DataFrame:
     """(lang, phrase, k, c) of all phrases of up to ``longest`` words that occur ``threshold`` times or more, and for k = 0 all words of a language."""
@@ -223,7 +239,8 @@ def phrase_counts(docs: DataFrame, threshold: int = 10, longest: int = 3, shards
         summed = counts.groupBy("key").agg(F.sum("c").alias("c"), F.max("mark").alias("mark"))
         summed = summed.withColumn("over", since + (shards - 1) <= scan).where(~F.col("over") | reached | (k == 0))
         steps: list[str] = []
-        table = written(summed, steps)
+        with shuffles_removed(spark):
+            table = written(summed, steps)
         # What is over or has reached the threshold is a small part of the table, which is read once for it.
         picked = written(table.where(F.col("over") | reached), kept)
         results.append(picked.where("over"))
